@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("exact_dedup", "byte_bpe", "secrets")
+_MODULES = ("quality", "token_counts", "exact_dedup", "byte_bpe", "secrets", "decontaminate")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
