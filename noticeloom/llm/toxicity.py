@@ -25,10 +25,10 @@ from .common import labelled_sample, map_columns, ship
 
 #: At most so many labelled rows are fitted.
 TRAINING_ROWS = 12_000
-#: Letters of the stems that are learned; 0 stands for whole words.
-STEMS = (4, 5, 6, 0)
-#: A learned entry's chance to arise by itself, over all candidates; its share of clean documents.
-CHANCE, IMPURE = 0.01, 0.1
+#: Letters of the stems that are learned, the longest first.
+STEMS = (9, 8, 7, 6, 5, 4)
+#: The chance of any learned entry to arise by itself; the least log odds of an entry.
+CHANCE, LEAST_ODDS = 0.01, 1.5
 #: Words that a negation reaches; what is left of a weight in its scope, and in reported speech; the
 #: factor of a clause with a target.
 REACH, NEGATED, REPORTED, TARGETED = 3, 0.6, 0.7, 1.25
@@ -47,12 +47,14 @@ _BREAK, _OTHER, _TARGET, _NOT, _SAID, _FIRST = 1, 0, 2, 3, 4, 5
 
 @dataclass
 class Grammar:
-    """words and stems: learned insult weights; slope and offset: of the probability by the sum."""
+    """words and stems: learned insult weights; slope, length and offset: coefficients of the log odds, for
+    the logarithms of the matched weight and of the number of tokens, and the constant."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
-    slope: float = 1.0
-    offset: float = -3.0
+    slope: float = 3.0
+    length: float = 0.0
+    offset: float = -4.0
 
     def __post_init__(self):
         self.weights: list[tuple[bool, float]] = [(False, 0.0)] * _FIRST
@@ -63,7 +65,7 @@ class Grammar:
         word = token.lower().replace("’", "'")
         weight, threat = max(INSULTS.get(word, 0.0), self.words.get(word, 0.0)), False
         if not weight:
-            weight = max([0.0, *(self.stems.get(word[:n], 0.0) for n in STEMS if n and len(word) >= n)])
+            weight = next((self.stems[word[:n]] for n in STEMS if len(word) >= n and word[:n] in self.stems), 0.0)
         if not weight and word in THREATS:
             weight, threat = THREATS[word], True
         if weight:
@@ -83,11 +85,11 @@ class Grammar:
             memory[token] = self.symbol(token)
         return [memory[t] for t in tokens]
 
-    def clauses(self, text: str) -> list[float]:
-        """The weights of the matched clauses of text, in order."""
+    def clauses(self, text: str) -> tuple[list[float], int]:
+        """The weights of the matched clauses of text, in order, and the number of its tokens."""
         row = self.symbols(text)
         if not row or max(row) < _FIRST:
-            return []
+            return [], len(row)
         out: list[float] = []
         reach, reported, aimed, total = 0, False, False, 0.0  # the automaton's state, and the clause's weight
         threats = 0.0
@@ -105,51 +107,54 @@ class Grammar:
                 if total:
                     out.append(total * (TARGETED if aimed else 1.0))
                 reach, reported, aimed, total, threats = 0, False, False, 0.0, 0.0
-        return out
+        return out, len(row)
 
-    def total(self, text: str) -> float:
-        return math.log1p(sum(self.clauses(text)))
+    def chance(self, clauses: list[float], tokens: int) -> float:
+        """The probability that a text of so many tokens with these matched clauses is toxic."""
+        odds = self.slope * math.log1p(sum(clauses)) + self.length * math.log1p(tokens) + self.offset
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
 
-    def chance(self, clauses: list[float]) -> float:
-        """The probability that a text with these matched clauses is toxic."""
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.slope * math.log1p(sum(clauses)) + self.offset))))
 
-
-def _entries(words: list[str]) -> set[str]:
-    return {("=" + w if not n else w[:n]) for w in words for n in STEMS if len(w) >= (n or 3)}
+def _entries(word: str) -> list[str]:
+    """The entries that cover a word: itself, marked by '=', and its stems."""
+    return ["=" + word, *(word[:n] for n in STEMS if len(word) >= n)] if len(word) >= 3 else []
 
 
 def learn_entries(texts: list[str], toxic: np.ndarray) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems that occur in toxic documents far more often than chance allows. Support is counted
-    by distinct preceding words, so that copies of one document count once."""
+    """(words, stems) with their log odds: those in more toxic documents than chance allows, by the Chernoff
+    bound on the binomial tail. Support is at most the number of distinct preceding words, so that copies
+    of one document count about once."""
     cut = [re.findall(r"[^\W\d_]+", t.lower()) for t in texts]
     n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
     if not n1 or not n0:
         return {}, {}
-    found = Counter(e for words, y in zip(cut, toxic) if y for e in _entries(list(set(words))))
-    share = n1 / (n1 + n0)
-    least = max(3, math.ceil(math.log(CHANCE / max(1, len(found))) / math.log(share)))
-    found = {e: n for e, n in found.items() if n >= least}
+    bad: Counter = Counter()
+    for words, y in zip(cut, toxic):
+        if y:
+            bad.update({e for w in set(words) for e in _entries(w)})
+    share, needed = n1 / (n1 + n0), math.log(max(1, len(bad)) / CHANCE)
+    bad = Counter({e: n for e, n in bad.items() if -n * math.log(share) > needed})
     clean: Counter = Counter()
     for words, y in zip(cut, toxic):
         if not y:
-            clean.update(e for e in _entries(list(set(words))) if e in found)
-    found = {e: n for e, n in found.items() if clean[e] <= IMPURE * n * min(1.0, n0 / n1)}
+            clean.update({e for w in set(words) for e in _entries(w) if e in bad})
+
+    def telling(n: int, e: str) -> bool:
+        p = n / (n + clean[e])
+        spare = (1 - p) * math.log((1 - p) / (1 - share)) if p < 1 else 0.0
+        return p > share and (n + clean[e]) * (p * math.log(p / share) + spare) > needed
+
+    odds = lambda e: math.log((bad[e] + 0.5) / (n1 + 1)) - math.log((clean[e] + 0.5) / (n0 + 1))
+    found = {e for e, n in bad.items() if telling(n, e) and odds(e) >= LEAST_ODDS}
     before = defaultdict(set)
     for words, y in zip(cut, toxic):
         if y:
             for last, word in zip(["", *words], words):
-                for n in STEMS:
-                    e = "=" + word if not n else word[:n]
-                    if len(word) >= (n or 3) and e in found:
+                for e in _entries(word):
+                    if e in found:
                         before[e].add(last)
-    words, stems = {}, {}
-    for e in sorted(found, key=lambda e: (e[0] == "=", len(e), e)):
-        short = any(e.lstrip("=")[:n] in stems for n in STEMS if n)
-        if len(before[e]) >= least and not short:
-            odds = math.log((found[e] + 0.5) / (n1 + 1)) - math.log((clean[e] + 0.5) / (n0 + 1))
-            (words if e[0] == "=" else stems)[e.lstrip("=")] = min(6.0, odds)
-    return words, stems
+    found = {e: min(6.0, odds(e)) for e in found if telling(min(bad[e], len(before[e])), e)}
+    return {e[1:]: w for e, w in found.items() if e[0] == "="}, {e: w for e, w in found.items() if e[0] != "="}
 
 
 def fit(texts: list[str], toxic) -> Grammar:
@@ -158,14 +163,13 @@ def fit(texts: list[str], toxic) -> Grammar:
     toxic = np.asarray(toxic, int)
     grammar = Grammar(*learn_entries(texts, toxic))
     if 0 < toxic.sum() < len(toxic):
-        x = np.stack([[grammar.total(t) for t in texts], np.ones(len(texts))], 1)
-        beta = np.array([grammar.slope, grammar.offset])
-        prior = beta.copy()
-        for _ in range(40):
+        x = np.array([(math.log1p(sum(c)), math.log1p(n), 1.0) for c, n in map(grammar.clauses, texts)])
+        prior = beta = np.array([grammar.slope, grammar.length, grammar.offset])
+        for _ in range(60):
             p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+            hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
             beta = beta - np.clip(np.linalg.solve(hessian, x.T @ (p - toxic) + 0.05 * (beta - prior)), -2, 2)
-        grammar.slope, grammar.offset = float(max(beta[0], 0.5)), float(beta[1])
+        grammar.slope, grammar.length, grammar.offset = map(float, beta)
     return grammar
 
 
@@ -174,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
     def learn(batches):
         rows = sorted((t, y) for batch in batches for t, y in zip(batch["text"], batch["label"]))
         g = fit([t for t, _ in rows], [y for _, y in rows])
-        yield pd.DataFrame({"grammar": [pickle.dumps((g.words, g.stems, g.slope, g.offset))]})
+        yield pd.DataFrame({"grammar": [pickle.dumps((g.words, g.stems, g.slope, g.length, g.offset))]})
 
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", modulus, held, bound)
@@ -184,14 +188,14 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """(doc_id, text_score, clauses array<double>) for each row of docs (doc_id, text). Null and empty texts
     match nothing and get the score of a text without matches; equal texts get equal scores."""
-    parts = (grammar.words, grammar.stems, grammar.slope, grammar.offset)
+    parts = (grammar.words, grammar.stems, grammar.slope, grammar.length, grammar.offset)
 
     def make():
         g = Grammar(*parts)
 
         def run(ids: list, texts: list) -> tuple:
             found = [g.clauses(t) for t in texts]
-            return ids, [g.chance(c) for c in found], found
+            return ids, [g.chance(*f) for f in found], [clauses for clauses, _ in found]
 
         return run
 
