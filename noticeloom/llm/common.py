@@ -27,21 +27,27 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/noticeloom/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder and read again: its lineage ends there, and the
-    shuffle files that made it go."""
+def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
+    """df written as a Parquet table in the shared folder, partitioned by parts, and read again: its
+    lineage ends there, and the shuffle files that made it go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
     cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(cleanup, "false")
     spark.conf.set(cleanup, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*parts).parquet(path)
     finally:
         spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Frees the files of a table from written() that nothing will read any more."""
+    for folder in {name.rsplit("/", 1)[0].split("/order=")[0] for name in table.inputFiles()}:
+        table.sparkSession.createDataFrame([], table.schema).write.mode("overwrite").parquet(folder)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
