@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 # Words of a notice's title that don't tell it apart, and legal forms of organisations.
@@ -15,10 +16,13 @@ LEGAL_FORMS = "주식회사|\\(주\\)|㈜|재단법인|사단법인|사회복지
 WEEKLY = "매주\\s*(?:월|화|수|목|금|토|일)요일"
 
 
-@F.pandas_udf("string")
-def nfkc(values: pd.Series) -> pd.Series:
+def nfkc(text: Column) -> Column:
     """Compatibility composition, for which Spark has no function of its own."""
-    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    @F.pandas_udf(T.StringType())
+    def composed(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    return composed(text)
 
 
 def squeezed(text: Column) -> Column:
