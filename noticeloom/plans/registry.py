@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars")
+FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars", "curation")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
