@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import fresh, written
 
 WINDOW = 13
 #: Windows that are broadcast at once; larger benchmarks are joined in blocks of about so many.
@@ -93,6 +93,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    mine = docs.withColumn("_own", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return mine.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_anti").drop("_own")
+    number, text_hash, own = fresh(docs, "_id", "_hash", "_own")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(number), F.col("text_hash").alias(text_hash))
+    mine = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))
+    return mine.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(own) == F.col(text_hash)), "left_anti").drop(own)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder, written
+from .common import fresh, shared_folder, written
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -102,9 +102,9 @@ def deduplicate(docs: DataFrame, digest=sha256_hex) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns. Rows with one doc_id and one text count as one."""
-    kept = deduplicate(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    mine = docs.withColumn("_own", sha256_hex(F.coalesce("text", F.lit(""))))
-    return (
-        mine.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-        .dropDuplicates(["doc_id", "_own"]).drop("_own")
-    )
+    number, sha, own = fresh(docs, "_id", "_sha", "_own")
+    kept = written(deduplicate(docs).where("kept").select(F.col("doc_id").alias(number), F.col("text_sha256").alias(sha)), "kept")
+    mine = docs.withColumn(own, sha256_hex(F.coalesce("text", F.lit(""))))
+    out = mine.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(number)) & (F.col(own) == F.col(sha)), "left_semi")
+    unique = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return (out if unique else out.dropDuplicates(["doc_id", own])).drop(own)

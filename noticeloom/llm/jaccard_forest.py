@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_columns, written
+from .common import discard, fresh, map_columns, written
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -202,8 +202,9 @@ def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each class the document with the least id,
     of repeated rows one."""
     joined = written(jaccard_join(docs, similar), "classes")
-    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"), "digest")
-    out = docs.join(kept.select("_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    if kept.where("digest IS NOT NULL").groupBy("_id", "digest").count().where("count > 1").isEmpty():
+    number, text = fresh(docs, "_id", "_text")
+    kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(number), "digest")
+    out = docs.join(kept.select(number).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col(number)), "left_semi")
+    if kept.groupBy(number, "digest").count().where("count > 1").isEmpty():
         return out
-    return out.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return out.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)

@@ -183,7 +183,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, b
         order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), ys[i]))  # whatever order rows came in
         yield pd.DataFrame({"model": [pickle.dumps(fit([rows[i] for i in order], np.array([ys[i] for i in order])))]})
 
-    return pickle.loads(bytes(cut.repartition(1).mapInPandas(descend, "model binary").first()["model"]))
+    row = cut.repartition(1).mapInPandas(descend, "model binary").first()
+    return pickle.loads(bytes(row["model"])) if row else fit([], np.zeros(0, int))
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:

@@ -182,7 +182,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
 
     ship(docs.sparkSession)
     sample = labelled_sample(docs, labels, "toxic", modulus, held, bound)
-    return Grammar(*pickle.loads(bytes(sample.repartition(1).mapInPandas(learn, "grammar binary").first()["grammar"])))
+    row = sample.repartition(1).mapInPandas(learn, "grammar binary").first()
+    return Grammar(*pickle.loads(bytes(row["grammar"]))) if row else Grammar()
 
 
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
