@@ -33,7 +33,7 @@ def r07_stale_runs(spark, sf_dir):
 
 def r08_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("events"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
+    return e.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("events"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
 
 
 def s06_page_detail(spark, sf_dir):
@@ -49,5 +49,5 @@ SQL = {
     "r04_alert_cooldown": _LOGGED.format(kind="error", hours=72) + " SELECT user_id || '|error' AS key, count(*) AS alerts FROM r GROUP BY 1",
     "r05_unseen": "SELECT DISTINCT props FROM events WHERE ts >= '2024-01-15' AND props NOT IN (SELECT props FROM events WHERE ts < '2024-01-15' AND user_id % 9 = 0)",
     "r07_stale_runs": f"SELECT * FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '{EVENTS_NOW}' - ts) / 60) AS BIGINT) AS minutes FROM events WHERE event_type = 'click') WHERE minutes >= 90",
-    "r08_sessions": "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS events, min(ts) AS began, max(ts) AS ended FROM events GROUP BY 1, 2",
+    "r08_sessions": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, min(ts) AS began, max(ts) AS ended FROM events GROUP BY 1, 2",
 }

@@ -198,7 +198,7 @@ def d03_due_tomorrow(spark, sf_dir):
 
 def d14_compact_date(spark, sf_dir):
     text = F.concat(F.date_format("start_at", "yyyyMM"), F.lpad((F.col("o_orderkey") % 33).cast("string"), 2, "0"))
-    return _orders(spark, sf_dir).select("o_orderkey", D.compact_date(text).alias("day"))
+    return _orders(spark, sf_dir).select("o_orderkey", D.compact_date(text).cast("string").alias("day"))
 
 
 def d15_deadline_type(spark, sf_dir):
@@ -272,7 +272,7 @@ SQL = {
     "d12_period_label": f"SELECT o_orderkey, CASE WHEN end_at IS NULL THEN strftime(start_at + INTERVAL 9 HOUR, '%Y.%m.%d') || ' ~' ELSE strftime(start_at + INTERVAL 9 HOUR, '%Y.%m.%d') || ' ~ ' || strftime(end_at + INTERVAL 9 HOUR, '%Y.%m.%d') END AS label FROM {_O}",
     "d13_candidate_status": f"SELECT o_orderkey, CASE WHEN end_at < {_NOW} THEN 'closed' WHEN start_at > {_NOW} THEN 'before' ELSE 'open' END AS status FROM {_O}",
     "d03_due_tomorrow": f"SELECT o_orderkey, end_at FROM {_O} WHERE {_LEFT} = 1",
-    "d14_compact_date": f"SELECT o_orderkey, CAST(try_strptime(strftime(start_at, '%Y%m') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) AS day FROM {_O}",
+    "d14_compact_date": f"SELECT o_orderkey, CAST(CAST(try_strptime(strftime(start_at, '%Y%m') || lpad(CAST(o_orderkey % 33 AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) AS VARCHAR) AS day FROM {_O}",
     "d15_deadline_type": f"SELECT o_orderkey, ['fixed', 'ongoing', 'until_exhausted', 'scheduled', 'unknown'][o_orderkey % 5 + 1] AS kind FROM {_O}",
     "d05_full_dates": f"SELECT o_orderkey, CAST(CAST(start_at AS DATE) AS VARCHAR) || ',' || CAST(CAST(end_at AS DATE) AS VARCHAR) AS dates FROM {_O} WHERE end_at IS NOT NULL",
     "f15_stale": f"SELECT o_orderkey, o_custkey % 5 <> 0 AND (year(start_at) < year({_NOW}) - 1 OR date_diff('day', CAST(start_at AS DATE), CAST({_NOW} AS DATE)) > 540) AS stale FROM {_O}",

@@ -60,7 +60,7 @@ _EXT = f"(SELECT * FROM {_V} WHERE path <> 'error' AND coalesce(role NOT IN ('ad
 
 
 def a05_traffic_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.breakdown(visits(spark, sf_dir).where("path <> 'error'"), F.col("day")).withColumnRenamed("key", "day").orderBy("day")
+    return T.breakdown(visits(spark, sf_dir).where("path <> 'error'"), F.col("day").cast("string")).withColumnRenamed("key", "day").orderBy("day")
 
 
 def a02_popular_keywords(spark, sf_dir):
@@ -155,7 +155,7 @@ def w04_session_edges(spark, sf_dir):
 
 
 def z32_dashboard(spark, sf_dir):
-    v = visits(spark, sf_dir).select("visitor", "session", _actor().alias("actor"), T.platform(F.col("user_agent"), F.col("utm") == "app").alias("platform"), "path", "day")
+    v = visits(spark, sf_dir).select("visitor", "session", _actor().alias("actor"), T.platform(F.col("user_agent"), F.col("utm") == "app").alias("platform"), "path", F.col("day").cast("string").alias("day"))
     rows = v.groupingSets([["actor"], ["platform"], ["path"], ["day"]], "actor", "platform", "path", "day")
     return rows.agg(F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"), F.count("*").alias("pageviews"))
 
@@ -177,7 +177,7 @@ SQL = {
     "a03_traffic_overview": f"""SELECT count(*) AS pageviews, count(DISTINCT visitor) AS visitors, count(DISTINCT session) AS sessions, count(*) FILTER ({_TODAY}) AS today_pageviews,
         count(DISTINCT visitor) FILTER ({_TODAY}) AS today_visitors, count(DISTINCT session) FILTER ({_TODAY}) AS today_sessions, min(ts) AS first_at, max(ts) AS last_at FROM {_EXT}""",
     "a04_traffic_overview_unfiltered": f"SELECT count(*) AS pageviews, count(DISTINCT visitor) AS visitors, count(*) FILTER ({_TODAY}) AS today_pageviews, count(DISTINCT visitor) FILTER ({_TODAY}) AS today_visitors FROM {_V}",
-    "a05_traffic_daily": f"SELECT day, {_KEYED} FROM {_V} WHERE path <> 'error' GROUP BY 1 ORDER BY 1",
+    "a05_traffic_daily": f"SELECT CAST(day AS VARCHAR) AS day, {_KEYED} FROM {_V} WHERE path <> 'error' GROUP BY 1 ORDER BY 1",
     "a05_traffic_by_actor": _BY(_ACTOR), "a05_traffic_by_page": _BY("path"),
     "a06_first_touch": f"""SELECT source, path AS landing, count(*) AS sessions, CAST(sum(n) AS BIGINT) AS pageviews FROM (SELECT {_SOURCE} AS source, path, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS r,
         count(*) OVER (PARTITION BY session) AS n FROM {_V}) WHERE r = 1 GROUP BY 1, 2""",
@@ -195,5 +195,5 @@ SQL = {
     "f14_ignored_paths": "SELECT * FROM (SELECT page_id, CASE WHEN p = '' THEN '/' ELSE substring(p, 1, 200) END AS path FROM (SELECT page_id, regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)?', 1) AS p FROM pages)) WHERE NOT regexp_matches(path, '^/(admin|api|_next|favicon)(/|$)')",
     "w04_session_edges": f"SELECT session, arg_min(path, (ts, event_id)) AS first_path, arg_max(path, (ts, event_id)) AS last_path FROM {_V} GROUP BY 1",
     "z20_visit_actor": _BY(_ACTOR), "z21_source_label": _BY(_SOURCE), "z22_platform": _BY(_PLATFORM),
-    "z32_dashboard": f"SELECT actor, platform, path, day, {_KEYED} FROM (SELECT *, {_ACTOR} AS actor, {_PLATFORM} AS platform FROM {_V}) GROUP BY GROUPING SETS ((actor), (platform), (path), (day))",
+    "z32_dashboard": f"SELECT actor, platform, path, day, {_KEYED} FROM (SELECT * REPLACE (CAST(day AS VARCHAR) AS day), {_ACTOR} AS actor, {_PLATFORM} AS platform FROM {_V}) GROUP BY GROUPING SETS ((actor), (platform), (path), (day))",
 }
