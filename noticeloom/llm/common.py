@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import importlib.util
 import tempfile
 import uuid
@@ -76,6 +77,25 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(str(target))
 
 
+class Cover:
+    """The stretches that spans (start, end, ...), sorted by start, cover; asked in logarithmic time."""
+
+    def __init__(self, spans: list[tuple]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for start, end, *_ in spans:
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def meets(self, start: int, end: int) -> bool:
+        """Whether any of them overlaps this stretch."""
+        k = bisect.bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Maps all columns of df batch by batch; make() runs once in each task and gives a function from
     the input columns, as lists, to the output columns, as lists of one length."""

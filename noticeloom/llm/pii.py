@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns, written
+from .common import Cover, map_columns, written
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("written_email", "local_phone", "iban", "ssn", "name")
@@ -133,9 +133,9 @@ def candidates(text: str) -> list[dict]:
     """The base spans and the proposals that overlap none of them, with votes and a length class."""
     base = base_spans(text)
     spans = [(*s, True) for s in base]
-    cover = sorted(base)
+    cover = Cover(base)
     for s, e, kind in sorted(_proposals(text)):
-        if not any(a < e and s < b for a, b, _ in cover):
+        if not cover.meets(s, e):
             spans.append((s, e, kind, False))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return [{"kind": k, "start": s, "end": e, "base": b, "votes": list(votes(text, s, e, k)), "size": min(3, (e - s).bit_length() // 2)} for s, e, k, b in spans]

@@ -8,7 +8,6 @@ candidate with a window above its class's threshold is reported, unless the allo
 
 from __future__ import annotations
 
-import bisect
 import math
 import re
 from collections.abc import Iterable, Iterator
@@ -16,7 +15,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_columns
+from .common import Cover, map_columns
 
 #: The base kinds, in the order that breaks ties of start; the entropy kinds come after them.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_alnum")
@@ -103,25 +102,13 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 def all_spans(text: str, allow: Iterable[re.Pattern] = ALLOW) -> tuple[list, list]:
     """The base spans, and these with the entropy spans that no base span overlaps."""
     base, more = base_spans(text), []
-    starts: list[int] = []
-    ends: list[int] = []  # of the stretches that base spans cover
-    for start, end, _ in base:
-        if ends and start < ends[-1]:
-            ends[-1] = max(ends[-1], end)
-        else:
-            starts.append(start)
-            ends.append(end)
+    cover = Cover(base)
     for m in CANDIDATE.finditer(text):
-        k = bisect.bisect_left(starts, m.end())
-        if not (k and ends[k - 1] > m.start()) and (kind := entropy_kind(m[0], allow)):
+        if not cover.meets(m.start(), m.end()) and (kind := entropy_kind(m[0], allow)):
             more.append((m.start(), m.end(), kind))
     return base, sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def joined(spans: Iterable[tuple[int, int, str]]) -> str:
-    return ",".join([f"{kind}:{start}:{end}" for start, end, kind in spans])
-
-
 def scan_secrets(docs: DataFrame, allow: Iterable[str] = ()) -> DataFrame:
     """Secrets of each row of docs (doc_id, text): (doc_id, spans array<struct<kind, start, end, base>>).
 
