@@ -8,6 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from noticeloom.functions import dates as D
+from noticeloom.functions import notices
 from noticeloom.functions import text as X
 from noticeloom.functions import urls as L
 from noticeloom.functions import vectors as V
@@ -180,3 +181,19 @@ def test_page_detail(spark):
     page = "<title>T</title><h1> A  B </h1><a href='/x'>go <b>on</b></a><a>no</a><img src=i.png><p>unclosed"
     d = one(spark, d=html.page_detail(F.lit(page)))["d"]
     assert (d["title"], d["heading"], [tuple(x) for x in d["links"]], d["images"]) == ("T", "A B", [("/x", "go on")], ["i.png"])
+
+
+@pytest.mark.parametrize("text,start,end,kind", [
+    ("접수 2026.02.10 ~ 2026.02.20", "2026-02-10", "2026-02-20", "fixed"), ("~ 3.15까지", None, "2026-03-15", "fixed"), ("12.20 ~ 1.5", "2025-12-20", "2026-01-05", "fixed"), ("상시 모집", None, None, "ongoing"),
+    ("2026.3.1 ~ 예산 소진 시", "2026-03-01", None, "until_exhausted"), ("추후 공지", None, None, None), ("2026.02.30", None, None, None), (None, None, None, None),
+])
+def test_period(spark, text, start, end, kind):
+    posted = "2025-12-10" if text and text.startswith("12.") else "2026-01-10"
+    p = one(spark, p=notices.period(F.lit(text).cast("string"), F.lit(posted).cast("date")))["p"]
+    got = (None, None, None) if p is None else (p["start"] and str(p["start"]), p["end"] and str(p["end"]), p["kind"])
+    assert got == (start, end, kind)
+
+
+def test_lines_and_bytes(spark):
+    r = one(spark, a=notices.clean_lines(F.lit("목록\n Hello  there \nhello there\nRSS\nend")), b=notices.decoded(F.lit("가나".encode("euc-kr")), F.lit("text/html; charset=EUC-KR")), c=notices.decoded(F.lit(b"<meta charset='nonsense'>\xea\xb0\x80"), F.lit(None).cast("string")))
+    assert (r["a"], r["b"], r["c"]) == ("Hello there\nend", "가나", "<meta charset='nonsense'>가")
