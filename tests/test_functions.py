@@ -7,6 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from noticeloom.functions import applications
 from noticeloom.functions import dates as D
 from noticeloom.functions import notices
 from noticeloom.functions import text as X
@@ -137,6 +138,29 @@ def test_near_hashes_share_a_band(spark):
     assert [tuple(r) for r in duplicates.candidate_pairs(p, words=False).collect()] == [(0, 1)]
 
 
+def test_best_matches_of_copies(spark):
+    r = random.Random(5)
+    kinds = [(f"청년 예술 캠프 {i % 3}", "마포구", f"u{i}" if i % 4 else "", "img" if i % 5 == 0 else "", "", "d" if i % 2 else "", f"f{i % 2}", "") for i in range(6)]
+    p = _prints(spark, *[r.choice(kinds) for _ in range(40)]).cache()
+    members = duplicates.classes(p)
+    got = duplicates.best_match(duplicates.scored_classes(p, members), members)
+    every = duplicates.score_pairs(duplicates.candidate_pairs(p), p).collect()
+    want = {}
+    for x in sorted(every, key=lambda x: (x["b"], -x["score"], x["a"])):
+        want.setdefault(x["b"], (x["a"], x["score"], x["decision"]))
+    assert {x["b"]: (x["a"], x["score"], x["decision"]) for x in got.collect()} == want
+
+
+@pytest.mark.parametrize("text,deadline,codes,stored", [
+    ("모집기간: 2026.07.01 ~ 2026.07.20", "2026-07-20", [], "2026-07-20"), ("신청기간: 2026. 8. 20. ~ 모집시까지, 행사는 추후에 진행 2026. 9. 1.", None, ["open-ended-application-period"], None),
+    ("접수기간: 2026.07.20 ~ 2026.07.01", "2026-07-20", ["date-end-before-start", "deadline-mismatch"], "2026-07-01"), ("신청기간: 2026.07.01(월) ~ 2026.07.20", "2026-07-20", ["weekday-mismatch"], "2026-07-20"),
+    ("접수기간: 7.1 ~ 7.20 00:00", None, ["date-without-year", "default-midnight-time"], None), ("no dates", "soon", ["invalid-extracted-deadline"], None), (None, None, [], None),
+])
+def test_date_quality(spark, text, deadline, codes, stored):
+    q = one(spark, q=applications.date_quality(F.lit(text).cast("string"), F.lit(deadline).cast("string")))["q"]
+    assert (q["issues"], q["stored"] and str(q["stored"])) == (codes, stored)
+
+
 def test_second_category(spark):
     scores = spark.createDataFrame([(1, "A", 10), (1, "B", 7), (1, "C", 6), (2, "A", 2)], "id long, category string, score long")
     got = [(r["category"], r["rank"], r["ambiguous"]) for r in rules.classify(scores).orderBy("rank").collect()]
