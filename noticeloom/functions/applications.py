@@ -19,6 +19,11 @@ _DATE = rf"(?<![0-9]){_YMD}\s*(?:\(([월화수목금토일])\))?"
 _WEEKDAYS = ("일", "월", "화", "수", "목", "금", "토")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _day(found: Column) -> Column:
     """The date of one match; years of two digits from 70 on are in the last century; null if there is no such day."""
     year, month, day = (F.regexp_extract(found, _DATE, i) for i in (1, 2, 3))
@@ -33,10 +38,13 @@ def plain_date(text: Column) -> Column:
 
 def _dates(segment: Column) -> Column:
     """array<struct<day, start, end, after>> of a segment's dates: places, and the text up to the next one."""
-    raw, gaps = F.regexp_extract_all(segment, F.lit(_DATE), F.lit(0)), F.split(segment, _DATE)
     length = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda s, x: s + F.length(x))
-    placed = F.transform(raw, lambda t, i: F.struct(_day(t).alias("day"), (length(gaps, i + 1) + length(raw, i)).alias("start"), F.length(t).alias("n"), F.get(gaps, i + 1).alias("after")))
-    return F.transform(placed, lambda d: F.struct(d["day"].alias("day"), d["start"].alias("start"), (d["start"] + d["n"]).alias("end"), d["after"].alias("after")))
+
+    def placed(p: Column) -> Column:
+        at = F.transform(p["raw"], lambda t, i: F.struct(_day(t).alias("day"), (length(p["gaps"], i + 1) + length(p["raw"], i)).alias("start"), F.length(t).alias("n"), F.get(p["gaps"], i + 1).alias("after")))
+        return F.transform(at, lambda d: F.struct(d["day"].alias("day"), d["start"].alias("start"), (d["start"] + d["n"]).alias("end"), d["after"].alias("after")))
+
+    return _let(F.struct(F.regexp_extract_all(segment, F.lit(_DATE), F.lit(0)).alias("raw"), F.split(segment, _DATE).alias("gaps")), placed)
 
 
 def segments(text: Column) -> Column:
@@ -60,23 +68,29 @@ def _tight(gap: Column) -> Column:
 
 
 def _period(segment: Column) -> Column:
-    dates = _dates(segment)
-    pairs = F.transform(dates, lambda d, i: F.struct(d["day"].alias("start"), F.get(dates, i + 1)["day"].alias("end"), d["after"].alias("gap")))
-    joined = F.get(F.filter(pairs, lambda p: p["start"].isNotNull() & p["end"].isNotNull() & _tight(p["gap"])), F.lit(0))
     word = F.length(F.regexp_extract(segment, rf"(?s)^(.*?)(?:{DEADLINE_WORD})", 1))
-    far = F.transform(F.filter(dates, lambda d: d["day"].isNotNull()), lambda d: F.struct(F.when(d["end"] <= word, word - d["end"]).otherwise(d["start"] - word).alias("far"), d["start"].alias("start"), d["day"].alias("day")))
-    nearest = F.array_min(F.filter(far, lambda d: d["far"].between(0, NEAR)))["day"]
-    none = F.lit(None).cast("date")
-    return (
-        F.when(joined.isNotNull(), F.struct(joined["start"].alias("start"), joined["end"].alias("end")))
-        .when(~open_ended(segment) & segment.rlike(DEADLINE_WORD) & nearest.isNotNull(), F.struct(none.alias("start"), nearest.alias("end")))
-    )
+
+    def joined(dates: Column) -> Column:
+        pairs = F.transform(dates, lambda d, i: F.struct(d["day"].alias("start"), F.get(dates, i + 1)["day"].alias("end"), d["after"].alias("gap")))
+        first = F.get(F.filter(pairs, lambda p: p["start"].isNotNull() & p["end"].isNotNull() & _tight(p["gap"])), F.lit(0))
+        return F.when(first.isNotNull(), F.struct(first["start"].alias("start"), first["end"].alias("end")))
+
+    def single(dates: Column) -> Column:
+        far = F.transform(F.filter(dates, lambda d: d["day"].isNotNull()), lambda d: F.struct(F.when(d["end"] <= word, word - d["end"]).otherwise(d["start"] - word).alias("far"), d["start"].alias("start"), d["day"].alias("day")))
+        nearest = F.array_min(F.filter(far, lambda d: d["far"].between(0, NEAR)))["day"]
+        return F.when(segment.rlike(DEADLINE_WORD) & nearest.isNotNull() & ~open_ended(segment), F.struct(F.lit(None).cast("date").alias("start"), nearest.alias("end")))
+
+    return _let(_dates(segment), lambda dates: F.coalesce(joined(dates), single(dates)))
+
+
+def _period_in(parts: Column) -> Column:
+    return F.get(F.array_compact(F.transform(parts, _period)), F.lit(0))
 
 
 def application_period(text: Column) -> Column:
     """struct(start, end) of the first segment that tells one: two dates joined as a range, or the date nearest to a
     word for a deadline. Null where none does."""
-    return F.get(F.array_compact(F.transform(segments(text), _period)), F.lit(0))
+    return _period_in(segments(text))
 
 
 def date_issues(text: Column, deadline: Column, parts: Column, period: Column) -> Column:
@@ -103,11 +117,15 @@ def date_issues(text: Column, deadline: Column, parts: Column, period: Column) -
 def date_quality(text: Column, deadline: Column) -> Column:
     """struct(issues, suggested, stored): the doubts, the deadline that the text gives, and the one to keep: the text's,
     else the extracted one unless a doubt speaks against it. A null text has no dates."""
-    t = F.coalesce(text, F.lit(""))
-    period, parts = application_period(t), segments(t)
-    issues = date_issues(t, deadline, parts, period)
-    known = plain_date(deadline)
-    forward = F.coalesce(period["end"] >= period["start"], F.lit(True))
-    suggested = F.when(forward | known.isNull() | (known != period["end"]), period["end"])
-    blocked = F.arrays_overlap(issues, F.array(*map(F.lit, ("invalid-extracted-deadline", "date-end-before-start", "open-ended-application-period"))))
-    return F.struct(issues.alias("issues"), suggested.alias("suggested"), F.coalesce(suggested, F.when(~blocked, known)).alias("stored"))
+    t, known = F.coalesce(text, F.lit("")), plain_date(deadline)
+
+    def verdict(found: Column) -> Column:
+        end = found["period"]["end"]
+        forward = F.coalesce(end >= found["period"]["start"], F.lit(True))
+        suggested = F.when(forward | known.isNull() | (known != end), end)
+        blocked = F.arrays_overlap(found["issues"], F.array(*map(F.lit, ("invalid-extracted-deadline", "date-end-before-start", "open-ended-application-period"))))
+        return F.struct(found["issues"].alias("issues"), suggested.alias("suggested"), F.coalesce(suggested, F.when(~blocked, known)).alias("stored"))
+
+    with_period = _let(segments(t), lambda parts: F.struct(parts.alias("parts"), _period_in(parts).alias("period")))
+    with_issues = _let(with_period, lambda f: F.struct(f["period"].alias("period"), date_issues(t, deadline, f["parts"], f["period"]).alias("issues")))
+    return _let(with_issues, verdict)
