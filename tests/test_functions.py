@@ -138,6 +138,31 @@ def test_near_hashes_share_a_band(spark):
     assert [tuple(r) for r in duplicates.candidate_pairs(p, words=False).collect()] == [(0, 1)]
 
 
+def test_candidates_like_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "TILE", 16)
+    r = random.Random(7)
+    syllables = ["seoul", "art", "camp", "youth", "garden", "walk", "2026", "spring", "music", "of the", "청년", "예술"]
+    titles = [" ".join(r.choices(syllables, k=r.randint(1, 7))) for _ in range(25)]
+    titles += [t[:k] + r.choice("xyz ") + t[k + 1:] for t in titles for k in [r.randrange(len(t))]]
+    hashes = [f"{r.getrandbits(64):016x}" for _ in range(6)]
+    near = lambda: f"{int(r.choice(hashes), 16) ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 9, 10, 11]))):016x}"
+    p = _prints(spark, *[(r.choice(titles), r.choice(["src1", "src10", "src11", "mapo district office", "mapo district offices", ""]), f"u{r.randrange(150)}", "", near() if i % 3 == 0 else "", r.choice(["d", "e", ""]), "", r.choice(["", "", "", "f1"])) for i in range(140)]).cache()
+    every = p.alias("x").join(p.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    kept = lambda d: sorted(tuple(x) for x in duplicates.score_pairs(d, p).where("decision <> 'none'").select("a", "b", "score", "decision").collect())
+    want = kept(every)
+    assert len(want) > 100 and kept(duplicates.candidate_pairs(p)) == want
+
+
+def test_alike_titles_alone_reach_z12(spark, tmp_path):
+    from noticeloom.plans import curation
+
+    text = "A first line that is shared by both of them, long enough to see\n"
+    rows = [(1, text + "x" * 200, "en", "src1"), (2, text + "y" * 200, "en", "src1"), (3, "Something else\n" + "z" * 200, "de", "src2")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r)[:2] + (r["decision"],) for r in curation.z12_duplicate_score(spark, str(tmp_path)).collect() if r["decision"] != "none"] == [(1, 2, "merge")]
+    assert [(r["b"], r["a"], r["decision"]) for r in curation.z13_best_duplicate(spark, str(tmp_path)).collect() if r["decision"] != "none"] == [(2, 1, "merge")]
+
+
 def test_best_matches_of_copies(spark):
     r = random.Random(5)
     kinds = [(f"청년 예술 캠프 {i % 3}", "마포구", f"u{i}" if i % 4 else "", "img" if i % 5 == 0 else "", "", "d" if i % 2 else "", f"f{i % 2}", "") for i in range(6)]
