@@ -28,13 +28,14 @@ from pyspark.sql import functions as F
 
 from .common import TEXT_BATCH_ROWS, discard, ship, written
 
-#: Longest n-gram; n-grams of two words and more that occurred once get no entry of their own: as in
-#: Katz's own experiments, their Good-Turing mass goes to the backoff.
-ORDER, LEAST_COUNT = 2, 2
+#: Longest n-gram, and how often one of two words and more must occur to get an entry of its own.
+ORDER, LEAST_COUNT = 3, 1
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a chunk: what a task holds at a time.
 CHUNK_TOKENS = 4_000_000
+#: Training tokens for each bucket, about: what a task adds up or looks up at a time.
+BUCKET_TOKENS = 2_000_000
 #: N-grams of each order that make up at least this share of the training tokens are broadcast: so at
 #: most this number of each order.
 FREQUENT = 50_000
@@ -201,16 +202,17 @@ class Model:
         self.values, self.order, self.bits, self.tokens, self.types, self.unknown = values, order, bits, tokens, types, unknown
 
 
-def _bits(spark: SparkSession) -> int:
-    """Buckets, as a power of two, follow the number of shuffle partitions, and so the size of the data."""
-    return max(3, int(int(spark.conf.get("spark.sql.shuffle.partitions")) * 0.75).bit_length())
+def _bits(texts: DataFrame) -> int:
+    """Buckets, as a power of two, follow the number of tokens, here of blanks and texts, which is no less."""
+    blanks = F.length("text") - F.length(F.translate("text", " \t\n\x0b\f\r", ""))
+    most = texts.agg(F.sum(F.coalesce(blanks, F.lit(0)) + 2)).first()[0] or 0
+    return max(3, math.ceil(most / BUCKET_TOKENS).bit_length())
 
 
 def train(texts: DataFrame, order: int = ORDER) -> Model:
     """The model of texts (text); null texts count as empty. Without texts all words are unknown, with
     probability one."""
-    spark = texts.sparkSession
-    bits = _bits(spark)
+    bits = _bits(texts)
     counts = written(count_ngrams(texts, order, bits), "ngram_counts", "order")
     seen: dict[int, dict[int, int]] = {k: {} for k in range(1, order + 1)}
     for r in counts.where("order < 0").groupBy("order", "key").agg(F.sum("n").alias("n")).collect():

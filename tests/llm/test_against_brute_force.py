@@ -102,6 +102,15 @@ def test_windows_by_recount():
     assert secrets.entropy_kind("kJ8vQ2xW9zR4tY7uP1sD6fG3hL5mN0bC") == "entropy_base64" and secrets.entropy_kind("thisisaverylongwordwithoutdigits") is None
 
 
+def test_katz_keeps_trigrams_and_singletons(spark, monkeypatch):
+    texts = spark.createDataFrame([("a b c d",), ("a b c e",), ("x y z",)], "text string")
+    model = katz.train(texts)
+    kept = {(r["order"], r["n"]): r["count"] for r in model.values.groupBy("order", "n").count().collect()}
+    assert model.order == 3 and kept[2, 1] == 7 and kept[3, 1] == 6 and kept[3, 2] == 1
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 1)
+    assert 2 ** katz.train(texts).bits >= model.tokens > 2**model.bits
+
+
 def test_labelers_are_told_apart():
     counts = {("email", (1, 1, 1, 0)): 90, ("email", (0, -1, 0, -1)): 60, ("email", (1, 1, 0, 0)): 50, ("email", (0, -1, 0, 0)): 40}
     model = pii.estimate(counts)
