@@ -3,7 +3,8 @@
 A candidate is a maximal run of the characters that keys are made of. Within each of its segments of
 one character class a window moves by one character at a time; the counts of the window's characters
 are kept up incrementally, and so is the sum of c*log2(c) from which the Shannon entropy follows. A
-candidate with a window above its class's threshold is reported, unless the allow-list names it.
+candidate with a window above its class's threshold is reported, unless the allow-list names it. Sample
+words are left out part by part, and of slugs each part is looked at alone.
 """
 
 from __future__ import annotations
@@ -18,31 +19,45 @@ from pyspark.sql import functions as F
 from .common import Cover, map_columns
 
 #: The base kinds, in the order that breaks ties of start; the entropy kinds come after them.
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_alnum")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_alnum", "entropy_lower")
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 
-#: Each character class: its members, the window's width, and the least bits a character in some window.
-CLASSES = {
-    "entropy_hex": (frozenset("0123456789abcdefABCDEF"), 24, 3.2),
-    "entropy_alnum": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16, 3.4),
-    "entropy_base64": (frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"), 24, 4.1),
-}
+_HEX = frozenset("0123456789abcdefABCDEF")
+_BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+_LOWER = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+
+#: Each character class and width: its members, the window's width, the least bits a character in some
+#: window, and the least changes between lower case, upper case, digits and signs in that window, which
+#: tell short keys from words with a number.
+CLASSES = (
+    ("entropy_hex", _HEX, 24, 3.2, 0),
+    ("entropy_alnum", frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 16, 3.4, 0),
+    ("entropy_base64", _BASE64, 24, 4.1, 0),
+    ("entropy_lower", _LOWER, 24, 3.6, 4),
+    ("entropy_hex", _HEX, 16, 2.9, 3),
+    ("entropy_lower", _LOWER, 16, 3.25, 3),
+    ("entropy_base64", _BASE64 - frozenset("+/_=-"), 16, 3.5, 6),
+)
 
 #: Candidates that are no secrets: words and identifiers without a digit, one letter case only with
-#: no digit, UUIDs, sequences and documentation samples.
+#: no digit, UUIDs, sequences and keys marked as examples at their end.
 ALLOW = tuple(map(re.compile, (
     r"[A-Za-z_/+=-]*$",
     r"[0-9_/+=-]+$",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i).*(example|sample|placeholder|dummy|changeme|test_?key)",
+    r".*EXAMPLE(KEY)?$",
     r"(?i)(https?|www|ftp)\b",
     r"(?i)(0123456789abcdef|abcdefghijklmnop)",
-    r"[a-z]+([_/-][a-z0-9]+)+$",
 )))
+#: Parts of a candidate that are left out: documentation samples.
+SAMPLE = re.compile(r"(?i)example|sample|placeholder|dummy|changeme|testkey")
+#: Candidates that are looked at part by part: words and numbers joined by signs.
+SLUG = re.compile(r"[a-z]+([_/-][a-z0-9]+)+$")
+PART = re.compile(r"[A-Za-z0-9]+")
 
 _LOG = [0.0, 0.0, *(c * math.log2(c) for c in range(2, 256))]
 
@@ -79,15 +94,39 @@ def _segments(text: str, members: frozenset) -> Iterator[str]:
         yield text[start:]
 
 
+def _stretches(candidate: str) -> Iterator[str]:
+    """What of a candidate is looked at: of a slug its parts, else what is between the parts with sample words."""
+    start = 0
+    for m in PART.finditer(candidate):
+        sample = SAMPLE.search(m[0])
+        if SLUG.match(candidate):
+            if not sample:
+                yield m[0]
+        elif sample:
+            yield candidate[start:m.start()]
+            start = m.end()
+    if not SLUG.match(candidate):
+        yield candidate[start:]
+
+
+def _changes(window: str) -> int:
+    kinds = [c.isdigit() + 2 * c.islower() + 4 * c.isupper() for c in window]
+    return sum(a != b for a, b in zip(kinds, kinds[1:]))
+
+
 def entropy_kind(candidate: str, allow: Iterable[re.Pattern] = ALLOW) -> str | None:
-    """The first class, in the order of CLASSES, with a window at or above its threshold; None for none,
+    """The first class, in the order of CLASSES, with a window at or above its thresholds; None for none,
     and for what the allow-list matches from its first character on."""
+    allow = tuple(allow)
     if any(rule.match(candidate) for rule in allow):
         return None
-    for kind, (members, width, least) in CLASSES.items():
-        for segment in _segments(candidate, members):
-            if any(bits >= least for bits in window_entropies(segment, width)):
-                return kind
+    kept = [s for s in _stretches(candidate) if s == candidate or s and not any(rule.match(s) for rule in allow)]
+    for kind, members, width, least, changes in CLASSES:
+        for stretch in kept:
+            for segment in _segments(stretch, members):
+                for i, bits in enumerate(window_entropies(segment, width)):
+                    if bits >= least and (not changes or _changes(segment[i:i + width]) >= changes):
+                        return kind
     return None
 
 
