@@ -163,6 +163,12 @@ def test_alike_titles_alone_reach_z12(spark, tmp_path):
     assert [(r["b"], r["a"], r["decision"]) for r in curation.z13_best_duplicate(spark, str(tmp_path)).collect() if r["decision"] != "none"] == [(2, 1, "merge")]
 
 
+def test_lookup_has_every_notice(spark, data):
+    from noticeloom.plans import search
+
+    assert search.j11_lookup_all(spark, data).count() == search._notices(spark, data).count()
+
+
 def test_best_matches_of_copies(spark):
     r = random.Random(5)
     kinds = [(f"청년 예술 캠프 {i % 3}", "마포구", f"u{i}" if i % 4 else "", "img" if i % 5 == 0 else "", "", "d" if i % 2 else "", f"f{i % 2}", "") for i in range(6)]
