@@ -1,8 +1,8 @@
 """Join of documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Candidates come from a MinHash LSH forest. In each tree a document's path is a row of MinHash labels, and
-sorted paths form a prefix trie; documents below one node share a prefix. Prefixes are shortened, from
-the whole path on, until documents at the threshold share one in some tree with the target probability.
+Candidates come from MinHash bands: of each tree's labels a prefix is one key, and documents with an equal key
+meet. The prefix length is one for all documents: the longest at which a pair at the threshold shares a key
+in some tree with the target probability. No trie is built, and no prefix depends on the documents.
 Candidates' groups are then verified exactly, set against set, in blocks of bounded size; what leaves a
 block is each set's number of links and a spanning forest of them, never the pairs.
 """
