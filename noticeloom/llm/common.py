@@ -15,14 +15,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Rows of an Arrow batch that carries whole texts: the mean text is a few kB, so a batch is a few MB.
-TEXT_BATCH_ROWS = 1000
+#: Bytes of a batch, about, that a Python function gets as lists at a time. Spark itself bounds the Arrow
+#: batches that it sends by bytes.
+SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir; where that is unset, as in tests, below a local one."""
+    """A fresh folder below spark.checkpoint.dir. Where that is unset, a session within one process, as in
+    tests, gets a local folder; on a cluster, whose executors don't share one, this is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         root = "file://" + tempfile.mkdtemp(prefix="noticeloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/noticeloom/{uuid.uuid4().hex}"
@@ -96,22 +101,37 @@ class Cover:
         return k > 0 and self.ends[k - 1] > start
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about SLICE_BYTES, by the mean size of its rows."""
+    rows = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tuple]]) -> DataFrame:
     """Maps all columns of df batch by batch; make() runs once in each task and gives a function from
     the input columns, as lists, to the output columns, as lists of one length."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     kinds = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for batch in batches:
-            out = fn(*(column.to_pylist() for column in batch.columns))
+        for part in (part for batch in batches for part in slices(batch)):
+            out = fn(*(column.to_pylist() for column in part.columns))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, kinds)], schema=kinds)
 
     return df.mapInArrow(run, schema)
 
 
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
+    """rows joined with groups, which has each key once and in `size` how many rows have it: groups of over
+    one part in `share` of all rows, fewer than `share` in number, are broadcast, the others shuffled."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * share > total
+    hot = F.broadcast(groups.where(large))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def fold(column: Column | str, modulus: int) -> Column:
     """crc32 of the id written as text, modulo modulus; a null id is in fold 0 of its own text ''."""
     return F.crc32(F.coalesce(F.col(column).cast("string") if isinstance(column, str) else column.cast("string"), F.lit("")).cast("binary")) % modulus

@@ -1,10 +1,13 @@
 """Join of documents whose sets of word shingles have a Jaccard similarity of at least a threshold.
 
-Candidates come from MinHash bands: of each tree's labels a prefix is one key, and documents with an equal key
-meet. The prefix length is one for all documents: the longest at which a pair at the threshold shares a key
-in some tree with the target probability. No trie is built, and no prefix depends on the documents.
-Candidates' groups are then verified exactly, set against set, in blocks of bounded size; what leaves a
-block is each set's number of links and a spanning forest of them, never the pairs.
+A MinHash LSH forest: in each tree a document has a path of labels, and the sorted paths form a prefix trie.
+Documents meet at the nodes that their paths share, at first at the longest prefix. The pairs that met are
+verified exactly. Each pair's similarity tells how likely it was to meet at this depth, so the pairs found
+estimate how many links there are in all; while the found share of them is below the target recall, the
+prefixes are shortened by one label, and the pairs that meet only now are verified. A pair is looked at
+once: at the longest prefix that it shares in any tree, in the first tree where it shares it.
+
+What leaves the verification is each set's number of links and a spanning forest of them, never the pairs.
 """
 
 from __future__ import annotations
@@ -14,29 +17,31 @@ import re
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, map_columns, written
+from .common import discard, fresh, join_skewed, map_columns, written
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Trees, labels of a whole path, and the share of links at the threshold to be found.
-TREES, LONGEST, RECALL = 25, 10, 0.9995
-#: Sets of a block; of a bundle of small groups; sets whose ids are broadcast at most.
-BLOCK, BUNDLE, BROADCAST = 512, 256, 200_000
+#: Trees, labels of a whole path, and the share of all links that is to be found.
+TREES, LONGEST, RECALL = 25, 8, 0.9999
+#: Sets of a block; rows of a bundle of small nodes; sets whose ids are broadcast at most.
+BLOCK, BUNDLE, BROADCAST = 512, 2048, 200_000
 
 _WORD = re.compile(r"\w+")
 _POWERS = np.array([0x9E3779B97F4A7C15 ** (i + 1) % (1 << 64) for i in range(64)], np.uint64)
 
 
-def prefix_length(trees: int = TREES, longest: int = LONGEST, similar: float = SIMILAR, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair of this similarity shares a node of some tree with probability
-    recall; 1 if none does."""
-    length = longest
-    while length > 1 and 1 - (1 - similar ** length) ** trees < recall:
-        length -= 1
-    return length
+def meeting_chance(similar, length: int, trees: int = TREES):
+    """The probability that pairs of this similarity share a prefix of this length in some tree."""
+    return 1 - (1 - similar ** length) ** trees
+
+
+def shortest_prefix(trees: int = TREES, longest: int = LONGEST, similar: float = SIMILAR, recall: float = RECALL) -> int:
+    """Where shortening ends at the latest: the longest prefix at which even pairs at the threshold meet with
+    probability recall; 1 if none is."""
+    return next((k for k in range(longest, 1, -1) if meeting_chance(similar, k, trees) >= recall), 1)
 
 
 def shingles(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -71,45 +76,61 @@ def set_digest(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def forest_paths(docs: DataFrame, length: int, trees: int = TREES) -> DataFrame:
-    """(doc_id, digest, size, path array<long>): of each document its set's digest and size, and for each
-    tree the node that its path's prefix of this length leads to; null where there are no words."""
+def forest_paths(docs: DataFrame, trees: int = TREES, longest: int = LONGEST) -> DataFrame:
+    """(doc_id, digest, path binary): each document's set digest and its paths in all trees, one after the
+    other, each of `longest` labels of two bytes; null where there are no words."""
     def make():
-        a, b = _permutations(trees * length)
-        tree = np.arange(trees, dtype=np.uint64) * _POWERS[3]
+        a, b = _permutations(trees * longest)
 
         def run(ids: list, texts: list) -> tuple:
-            digests, sizes, paths = [], [], []
+            digests, paths = [], []
             for text in texts:
                 found = shingles(text)
-                sizes.append(len(found))
-                if not len(found):
-                    digests.append(None)
-                    paths.append(None)
-                    continue
-                labels = min_hashes(found, a, b).reshape(trees, length)
-                node = tree.copy()
-                for level in range(length):
-                    node = (node ^ labels[:, level] >> np.uint64(16)) * _POWERS[4]
-                    node ^= node >> np.uint64(31)
-                digests.append(set_digest(found))
-                paths.append(node.view(np.int64).tolist())
-            return ids, digests, sizes, paths
+                digests.append(set_digest(found) if len(found) else None)
+                paths.append((min_hashes(found, a, b) * _POWERS[4] >> np.uint64(48)).astype(">u2").tobytes() if len(found) else None)
+            return ids, digests, paths
 
         return run
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return map_columns(rows, "doc_id long, digest binary, size int, path array<long>", make)
+    return map_columns(rows, "doc_id long, digest binary, path binary", make)
 
 
-def _verify(group: pd.DataFrame, similar: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, root) of each row: how many documents of linked sets there are in this block, and the least
-    row it is linked to through pairs of this block. Rows of two blocks are only compared across."""
-    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-    sizes = np.array([len(s) for s in sets])
+def _prefix(length: int) -> Column:
+    """The first labels of the path in the tree of column `tree`."""
+    return F.col("path").substr(F.col("tree") * (2 * LONGEST) + 1, F.lit(2 * length))
+
+
+def _nodes(paths: list[bytes], length: int) -> np.ndarray:
+    """A number for the node that each path's prefix of this length leads to, by row and tree."""
+    labels = np.stack([np.frombuffer(p, ">u2") for p in paths]).astype(np.uint64).reshape(len(paths), -1, LONGEST)
+    node = np.zeros(labels.shape[:2], np.uint64)
+    for level in range(length):
+        node = (node + labels[:, :, level] + np.uint64(1)) * _POWERS[4]
+        node ^= node >> np.uint64(31)
+    return node
+
+
+def meet(group: pd.DataFrame, length: int) -> np.ndarray:
+    """For the members of one node, by row and row: whether the pair is looked at here. It shares no longer
+    prefix in any tree, nor one of this length in an earlier tree; of two blocks, only pairs across are."""
+    paths, tree = group["path"].tolist(), int(group["tree"].iloc[0])
+    own = _nodes(paths, length)[:, :tree]
+    known = np.concatenate([own, _nodes(paths, length + 1)], 1) if length < LONGEST else own
+    out = ~np.eye(len(paths), dtype=bool)
+    side = group["block"].to_numpy()
+    if side.min() != side.max():
+        out &= side[:, None] != side[None, :]
+    for column in known.T:
+        out &= column[:, None] != column[None, :]
+    return out
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets."""
     _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     renumber = np.cumsum(often > 1) - 1  # a shingle of one set is in no intersection
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     use = often[code] > 1
     row, code = row[use], renumber[code[use]]
     both = np.zeros((len(sets), len(sets)), np.float32)
@@ -121,44 +142,106 @@ def _verify(group: pd.DataFrame, similar: float) -> tuple[np.ndarray, np.ndarray
         part = np.zeros((len(sets), width), np.float32)
         part[row[low:high], code[low:high] - start] = 1
         both += part @ part.T
-    exact = both.astype(np.int64)
-    linked = exact * 1000 >= round(similar * 1000) * (sizes[:, None] + sizes[None, :] - exact)
-    np.fill_diagonal(linked, False)
-    side = group["block"].to_numpy()
-    if side.min() != side.max():
-        linked &= side[:, None] != side[None, :]
-    links = linked @ group["copies"].to_numpy(np.int64)
+    return both.astype(np.int64)
+
+
+def _verify(group: pd.DataFrame, length: int, similar: float, lengths: range) -> pd.DataFrame:
+    """Of one node's rows (digest, links, root, pairs, weights), from the pairs looked at here: how many
+    documents of linked sets there are, the least row that links lead to, the number of links to earlier
+    rows, and for each prefix length the sum, over these, of one through the chance to meet at it."""
+    sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets)
+    either = sizes[:, None] + sizes[None, :] - both
+    linked = meet(group, length) & (both * 1000 >= round(similar * 1000) * either)
+    ratio = both / either
+    once = np.tril(linked)
+    weights = np.stack([np.where(once, 1 / np.where(once, meeting_chance(ratio, k), 1), 0).sum(1) for k in lengths], 1)
     root = np.arange(len(sets))
     while True:
         least = np.minimum(root, np.where(linked, root[None, :], len(sets)).min(1))
         least = least[least]
         if (least == root).all():
-            return links, root
+            break
         root = least
-
-
-def jaccard_join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    links = linked @ group["copies"].to_numpy(np.int64)
+    return pd.DataFrame({"digest": group["digest"], "links": links, "root": group["digest"].to_numpy()[root], "pairs": once.sum(1), "weights": list(weights)})
+
+
+def _by_node(rows: pd.DataFrame, work) -> list[pd.DataFrame]:
+    """work's results on each node's rows, in the order of their digests; a node's single row gives none."""
+    rows = rows.sort_values(["node", "digest"]).reset_index(drop=True)
+    cut = np.flatnonzero((rows["node"] != rows["node"].shift()).to_numpy())
+    return [work(rows.iloc[a:b].reset_index(drop=True)) for a, b in zip(cut, np.append(cut[1:], len(rows))) if b - a > 1]
+
+
+_LINKS = "digest binary, links long, root binary, pairs long, weights array<double>"
+
+
+def _level(members: DataFrame, meeting: DataFrame, whole: DataFrame, length: int, similar: float, lengths: range) -> DataFrame:
+    """(digest, links, root, pairs, weights) of the links of pairs whose longest common prefix has this length."""
+    child = F.xxhash64(_prefix(min(length + 1, LONGEST)))
+    placed = members.join(meeting, "digest").select("digest", "copies", "path", "tree", F.xxhash64("tree", _prefix(length)).alias("node"), child.alias("child"))
+    of = placed.groupBy("node").agg(F.count("*").alias("n"), (F.min("child") != F.max("child")).alias("parted"))
+    # below the longest prefix, a node whose members all go on to one child has no pairs of its own
+    of = of.where((F.col("n") > 1) & (F.lit(length == LONGEST) | F.col("parted"))).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    placed = written(placed.drop("child").join(of, "node"), f"nodes{length}")
+    bundles = max(1, -(-placed.count() // BUNDLE))
+    block = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
+    rows = placed.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    bundle = F.when(F.col("blocks") == 1, F.pmod("node", F.lit(bundles))).otherwise(F.col("node"))
+    rows = rows.select("digest", "copies", "path", "tree", "node", "block", bundle.alias("bundle"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    kind = "digest binary, copies long, path binary, tree int, node long, block int, bundle long, i int, j int"
+
+    def needed(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([group.iloc[:0], *_by_node(group, lambda g: g[meet(g, length).any(1)])])
+
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        done = _by_node(group, lambda g: _verify(g, length, similar, lengths))
+        return pd.concat(done) if done else pd.DataFrame(columns=["digest", "links", "root", "pairs", "weights"])
+
+    wanted = rows.groupBy("bundle", "i", "j").applyInPandas(needed, kind)
+    found = wanted.join(whole, "digest").groupBy("bundle", "i", "j").applyInPandas(verify, _LINKS)
+    out = written(found.where("links > 0"), f"links{length}")
+    discard(placed)
+    return out
+
+
+def find_links(members: DataFrame, meeting: DataFrame, whole: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> tuple[DataFrame, list[tuple[int, int, float]]]:
+    """The links found, and of each level that was gone through its prefix length, the number of links between
+    different sets found by then, and the estimate of how many there are."""
+    lengths = range(LONGEST, shortest_prefix(similar=similar, recall=recall) - 1, -1)
+    links, levels = None, []
+    for place, length in enumerate(lengths):
+        more = _level(members, meeting, whole, length, similar, lengths)
+        links = more if links is None else links.unionByName(more)
+        pairs, estimate = links.agg(F.sum("pairs"), F.sum(F.element_at("weights", place + 1))).first()
+        levels.append((length, pairs or 0, estimate or 0.0))
+        if pairs and pairs >= recall * estimate:
+            break
+    return links, levels
+
+
+def jaccard_join(docs: DataFrame, similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
     """One row for each row of docs (doc_id, text): (doc_id, class_id, n_links, digest).
 
     n_links: how many other documents have a similarity of at least `similar`, copies included. class_id: the
     least doc_id of all documents that links lead to. Equal texts are in one class; documents without
-    words, null texts too, have no links and are classes of their own; a null doc_id counts last.
-    Repeated rows are copies of each other. Empty tables give no rows; other columns are not read.
+    words, null texts too, have no links and are classes of their own; a null doc_id counts last. Long
+    texts count whole. Repeated rows are copies of each other. Empty tables give no rows; other columns
+    are not read. Words and shingles are compared by 64-bit hashes.
     """
-    length = prefix_length(similar=similar)
-    paths = written(forest_paths(docs, length), "paths")
-    sets = written(paths.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("path").alias("path")), "sets")
-    below = sets.select("digest", F.explode("path").alias("node"))
-    nodes = below.groupBy("node").agg(F.min("digest").alias("head"), F.count("*").alias("n")).where("n > 1").select("node", "head")
-    near = components(below.join(nodes, "node").select(F.col("digest").alias("a"), F.col("head").alias("b")))
-    near = written(near.withColumnRenamed("id", "digest"), "near")
-    number = near.count()
-    groups = near.groupBy("component").agg(F.count("*").alias("members"))
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    members = near.join(groups.select("component", blocks.alias("blocks")), "component").join(sets.select("digest", "doc_id", "copies"), "digest")
-    members = written(members.withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")), "members")
-
-    # whole sets of the candidates alone; a text that doesn't fit one of them by digest drops out again
+    prints = written(forest_paths(docs), "prints")
+    sets = written(prints.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("path").alias("path")), "sets")
+    # who meets anyone at all, at the shortest prefix
+    ends = shortest_prefix(similar=similar, recall=recall)
+    places = sets.select("digest", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("digest", "tree", F.xxhash64("tree", _prefix(ends)).alias("node"))
+    shared = places.groupBy("node").count().where("count > 1").select("node")
+    meeting = written(places.join(shared, "node").select("digest", "tree"), "meeting")
+    members = written(sets.join(meeting.select("digest").distinct(), "digest", "left_semi"), "members")
+    number = members.count()
+
+    # their whole sets; a text that doesn't fit one of them by digest drops out again
     wanted = members.select(F.col("doc_id").alias("_id")).distinct()
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chosen = mine.join(F.broadcast(wanted) if number <= BROADCAST else wanted, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
@@ -171,31 +254,22 @@ def jaccard_join(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
         return run
 
     whole = map_columns(chosen.select("text"), "digest binary, shingles binary", make)
-    bundles = max(1, -(-number // BUNDLE))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    placed = whole.join(members, "digest").select("digest", "shingles", "component", "copies", "block", "blocks", other)
-    bundle = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bundles))).otherwise(F.xxhash64("component"))
-    placed = placed.select("digest", "shingles", "component", "copies", "block", bundle.alias("bundle"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
-    def verify(bundle_rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in bundle_rows.groupby("component"):
-            group = group.drop_duplicates("digest").sort_values("digest").reset_index(drop=True)
-            links, root = _verify(group, similar)
-            out.append(pd.DataFrame({"digest": group["digest"], "links": links, "root": group["digest"].to_numpy()[root]}))
-        return pd.concat(out)
-
-    found = written(placed.groupBy("bundle", "i", "j").applyInPandas(verify, "digest binary, links long, root binary"), "links")
-    links = found.groupBy("digest").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("digest").alias("a"), F.col("root").alias("b")))
-    for table in (near, members):
+    whole = written(whole.join(members.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.first("shingles").alias("shingles")), "whole")
+
+    links, _ = find_links(members, meeting, whole, similar, recall)
+    classes = components(links.select(F.col("digest").alias("a"), F.col("root").alias("b")))
+    linked = classes.withColumnRenamed("id", "digest").join(members.select("digest", "doc_id"), "digest")
+    heads = linked.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("size"))
+    linked = join_skewed(linked, heads, "component", "size").select("digest", "class_id")
+    linked = linked.join(links.groupBy("digest").agg(F.sum("links").alias("links")), "digest")
+    own = F.when(F.col("links").isNull(), F.col("doc_id")).otherwise(F.col("class_id"))
+    known = sets.select("digest", "doc_id", "copies").join(linked, "digest", "left")
+    known = written(known.select("digest", own.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies"), "known")
+    for table in (meeting, members, whole, sets):
         discard(table)
-    known = sets.select("digest", "copies").join(links, "digest", "left").join(classes.withColumnRenamed("id", "digest"), "digest", "left")
-    known = known.select("digest", F.coalesce("component", "digest").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = paths.select("doc_id", "digest").where("digest IS NOT NULL").join(known, "digest")
-    least = rows.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    alone = paths.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "digest")
-    return rows.join(least, "root").select("doc_id", "class_id", "n_links", "digest").unionByName(alone)
+    rows = join_skewed(prints.where("digest IS NOT NULL").select("doc_id", "digest"), known, "digest", "copies").select("doc_id", "class_id", "n_links", "digest")
+    alone = prints.where("digest IS NULL").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "digest")
+    return rows.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:

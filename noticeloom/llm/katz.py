@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH_ROWS, discard, ship, written
+from .common import discard, ship, slices, written
 
 #: Longest n-gram, and how often one of two words and more must occur to get an entry of its own.
 ORDER, LEAST_COUNT = 3, 1
@@ -79,8 +79,8 @@ def _chunks(batches, place: int):
     rows: list[tuple] = []
     hashes: list[np.ndarray] = []
     size = 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
+    for part in (part for batch in batches for part in slices(batch)):
+        for row in zip(*(c.to_pylist() for c in part.columns)):
             rows.append(row[:place] + row[place + 1:])
             hashes.append(token_hashes(row[place] or ""))
             size += len(hashes[-1])
@@ -126,15 +126,10 @@ def _buckets(keys: np.ndarray, bits: int):
 _COUNT_SCHEMA = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
 
 
-def _text_batches(spark: SparkSession) -> None:
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-
-
 def count_ngrams(texts: DataFrame, order: int, bits: int) -> DataFrame:
     """(order, key, context, suffix, n) of the n-grams of texts (text) that get an entry, and rows of order
     -k with the number n of distinct k-grams that occurred `key` times, for key up to DISCOUNTED + 1."""
-    _text_batches(texts.sparkSession)
+    ship(texts.sparkSession)
 
     def send(batches):
         for _, hashes, row in _chunks(batches, 0):
@@ -276,7 +271,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    _text_batches(spark)
+    ship(spark)
     bits, order, unknown = model.bits, model.order, model.unknown
     base_unknown = -math.log10(model.tokens + model.types + 1)
     frequent = model.values.where(F.col("n") >= max(1.0, model.tokens / FREQUENT)).orderBy("order", "key").collect()

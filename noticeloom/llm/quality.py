@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TEXT_BATCH_ROWS, labelled_sample, map_columns, ship
+from .common import labelled_sample, map_columns, ship, slices
 
 #: The n-gram indicators are hashed to so many features.
 FEATURES = 1 << 18
@@ -189,7 +189,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, b
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, text_score double) for each row of docs (doc_id, text): the probability of class 1. Null and
-    empty texts get the score of a text without features; equal texts get equal scores."""
+    empty texts get the score of a text without features; long texts are read whole; equal texts get equal
+    scores, repeated rows each their own; an empty table gives no rows; other columns are not read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():
@@ -200,17 +201,17 @@ def score_quality(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, least: float) -> DataFrame:
-    """The rows of docs whose score is at least `least`, with all their columns."""
+    """The rows of docs whose score is at least `least`, with all their columns. A score of exactly `least`
+    stays; null and empty texts are judged as texts without features; repeated rows stay or go together."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kinds = docs.schema
     place = docs.columns.index("text")
 
     def run(batches):
         memory, m = Codes(), shared.value
-        for batch in batches:
-            good = [m.probability(featurise(t or "", memory)) >= least for t in batch.column(place).to_pylist()]
-            yield batch.filter(pa.array(good, pa.bool_()))
+        for part in (part for batch in batches for part in slices(batch)):
+            good = [m.probability(featurise(t or "", memory)) >= least for t in part.column(place).to_pylist()]
+            yield part.filter(pa.array(good, pa.bool_()))
 
     ship(docs.sparkSession)
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
     return docs.mapInArrow(run, kinds)

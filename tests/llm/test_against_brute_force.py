@@ -214,10 +214,52 @@ def test_join_finds_every_link(spark, data, texts, block, monkeypatch):
     assert {i: (r["class_id"], r["n_links"]) for i, r in got.items()} == {i: (find(i), links[i]) for i in sets}
 
 
-def test_prefix_is_shortened_until_the_recall_is_met():
-    k = jaccard_forest.prefix_length()
-    hit = lambda n: 1 - (1 - jaccard_forest.SIMILAR ** n) ** jaccard_forest.TREES
-    assert hit(k) >= jaccard_forest.RECALL > hit(k + 1)
+def test_prefixes_are_shortened_until_the_recall_is_met(spark, monkeypatch):
+    seen = []
+    whole = jaccard_forest.find_links
+
+    def spy(*args):
+        out = whole(*args)
+        seen.append(out[1])
+        return out
+
+    monkeypatch.setattr(jaccard_forest, "find_links", spy)
+    r = random.Random(11)
+    word = lambda: "".join(r.choices(string.ascii_lowercase, k=6))
+    close, far = [], []
+    for _ in range(40):  # pairs far above the threshold, and pairs near it
+        base = [word() for _ in range(200)]
+        close += [base, [*base[:100], word(), *base[101:]]]
+        far += [base, [*base[:60], word(), *base[61:110], word(), *base[111:160], word(), *base[161:]]]
+    for rows in (close, far, close[:1]):
+        docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+        found = jaccard_forest.jaccard_join(docs).collect()
+        assert sum(x["n_links"] for x in found) == len(rows) // 2 * 2
+    lengths = [[level[0] for level in levels] for levels in seen]
+    ends = jaccard_forest.shortest_prefix()
+    assert lengths[0] == [jaccard_forest.LONGEST] and jaccard_forest.LONGEST - 1 in lengths[1]  # pairs near the threshold need shorter prefixes
+    assert lengths[2][-1] == ends  # no link is no evidence
+    for levels in seen[:2]:
+        assert levels[-1][1] >= jaccard_forest.RECALL * levels[-1][2] or levels[-1][0] == ends
+        assert all(n < jaccard_forest.RECALL * estimate for _, n, estimate in levels[:-1])
+
+
+def test_a_pair_is_looked_at_once():
+    import numpy as np
+    import pandas as pd
+
+    r = np.random.default_rng(2)
+    paths = [r.integers(0, 2, jaccard_forest.TREES * jaccard_forest.LONGEST).astype(">u2") for _ in range(12)]
+    times = Counter()
+    for length in range(jaccard_forest.LONGEST, 0, -1):
+        for tree in range(jaccard_forest.TREES):
+            nodes = defaultdict(list)
+            for i, p in enumerate(paths):
+                nodes[tuple(p[tree * jaccard_forest.LONGEST:][:length])].append(i)
+            for here in nodes.values():
+                met = jaccard_forest.meet(pd.DataFrame({"path": [paths[i].tobytes() for i in here], "tree": tree, "block": 0}), length)
+                times.update((here[x], here[y]) for x, y in zip(*np.nonzero(met)))
+    assert times == {(i, j): 1 for i in range(12) for j in range(12) if i != j}
 
 
 def test_sql_on_the_same_tables(spark, data):
