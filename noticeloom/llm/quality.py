@@ -96,7 +96,7 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     return np.log(shares[0] / shares[1])
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, seed: int = 0) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, seed: int = 0, passes: int = PASSES) -> tuple[np.ndarray, float]:
     """(weights, bias) of the L1-loss support vector machine with rows scale[features], each of length
     1, and a constant feature; both classes weigh the same in sum."""
     sign = np.where(y == 1, 1.0, -1.0)
@@ -104,7 +104,7 @@ def dual_coordinate_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.nda
     values = [v / (np.sqrt((v * v).sum()) or 1.0) for v in (scale[row] for row in rows)]
     w, bias, alpha = np.zeros(FEATURES), 0.0, np.zeros(len(y))
     order = np.random.default_rng(seed)
-    for _ in range(PASSES):
+    for _ in range(passes):
         for i in order.permutation(len(y)):
             row, x = rows[i], values[i]
             gradient = sign[i] * (x @ w[row] + bias) - 1.0

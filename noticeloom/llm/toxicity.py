@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Lexical transducers turn the words of a clause into symbols with weights: insults, threats, targets,
-negations and reporting words. A clause automaton, composed of their scopes, reads these symbols:
-it knows how long a negation still reaches and whether what follows is reported, and passes each insult
-or threat on with its weight, damped in those scopes and raised in a clause with a target. Matched
-clauses, not single words, are added up, and a logistic fit turns the sum into a probability. Beside
-its fixed entries the insult transducer has words and stems learned from labelled documents.
+A lexicon turns words and signs into symbols: insults and threats, each with a weight, targets, negations,
+reporting words, words that mention a word, quotation marks and breaks. Small transducers, given below as
+tables of arcs, read these symbols: a negation's scope, reported speech with its quotations, mentions, and
+the patterns that a clause must match: an insult at a target or by itself, a threat against a target.
+They are composed into one machine. An arc's factor says what of a word's weight counts there; a
+clause's weight is that of its best accepted path, since whether a target is still to come is guessed.
+A logistic fit turns the weights of the matched clauses into a probability. Beside its fixed entries
+the lexicon has words and stems learned from labelled documents.
 """
 
 from __future__ import annotations
@@ -30,19 +32,119 @@ STEMS = (9, 8, 7, 6, 5, 4)
 #: The chance of any learned entry to arise by itself; the least log odds of an entry.
 CHANCE, LEAST_ODDS = 0.01, 1.5
 #: Words that a negation reaches; what is left of a weight in its scope, and in reported speech; the
-#: factor of a clause with a target.
-REACH, NEGATED, REPORTED, TARGETED = 3, 0.6, 0.7, 1.25
+#: factor of an insult at a target.
+REACH, NEGATED, REPORTED, TARGETED = 3, 0.4, 0.7, 1.25
 MEMORY = 300_000
 
-#: Fixed entries of the transducers.
+#: Fixed entries of the lexicon.
 INSULTS = {w: 4.0 for w in "idiot idiots moron morons imbecile loser losers scum trash worthless pathetic disgusting stupid clown dumbass bastard bitch asshole retard vermin subhuman arschloch idioten dummkopf abschaum connard connasse abruti salope imbécile idiota estúpido estúpida cabrón pendejo gilipollas".split()}
 THREATS = {w: 2.0 for w in "kill hurt destroy murder strangle shoot stab beat töten umbringen verletzen tuer frapper détruire matar golpear destruir".split()}
 TARGETS = frozenset("you your yours yourself u ur they them he she him her these those du dich dir dein ihr euch sie tu te toi ton vous votre usted ustedes ti tus ellos".split())
 NEGATIONS = frozenset("not no never neither nor without isn't aren't wasn't don't doesn't nicht kein keine keinen nie ne pas jamais sans nunca jamás sin".split())
 REPORTS = frozenset("said says say saying called calls told tells wrote writes quoted quote claimed reported sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó".split())
 
+MENTIONS = frozenset("word words term terms expression insult wort wörter begriff ausdruck mot mots terme palabra palabras término".split())
+
 _TOKEN = re.compile(r"\w+(?:['’]\w+)?|[.!?;:,\n\"“”«»()|]")
-_BREAK, _OTHER, _TARGET, _NOT, _SAID, _FIRST = 1, 0, 2, 3, 4, 5
+
+OTHER, TARGET, NOT, SAID, MENTION, QUOTE, PAUSE, STOP, LINE, INSULT, THREAT = SYMBOLS = range(11)
+SIGNS = {**dict.fromkeys(".!?;|", STOP), "\n": LINE, **dict.fromkeys('"“”«»', QUOTE), **dict.fromkeys(",:()", PAUSE)}
+#: The clause ends at these.
+ENDS = (STOP, LINE)
+
+
+@dataclass(frozen=True)
+class Machine:
+    """A transducer: arcs[state][symbol] is a tuple of (next state, symbol put out, factor)."""
+
+    start: object
+    arcs: dict
+    final: frozenset
+
+    @classmethod
+    def of(cls, start, table: dict, final, factor: float) -> Machine:
+        """From a table (state, symbol) -> (next state, symbol put out, factor), ... . A symbol that a state has no arc for
+        leads back to it, unchanged, with this factor."""
+        states = {state for state, _ in table} | {arc[0] for arcs in table.values() for arc in arcs}
+        return cls(start, {q: {x: table.get((q, x), ((q, x, factor),)) for x in SYMBOLS} for q in states}, frozenset(final))
+
+    def _joined(self, other: Machine, step) -> Machine:
+        start = (self.start, other.start)
+        arcs, todo = {}, [start]
+        while todo:
+            here = todo.pop()
+            if here not in arcs:
+                arcs[here] = {x: tuple(step(here, x)) for x in SYMBOLS}
+                todo += [arc[0] for out in arcs[here].values() for arc in out]
+        return Machine(start, arcs, frozenset(q for q in arcs if q[0] in self.final and q[1] in other.final))
+
+    def then(self, other: Machine) -> Machine:
+        """The composition: other reads what this one puts out; factors multiply."""
+        return self._joined(other, lambda here, x: [((p, q), z, f * g) for p, y, f in self.arcs[here[0]][x] for q, z, g in other.arcs[here[1]][y]])
+
+    def beside(self, other: Machine) -> Machine:
+        """Both read the same symbols; factors add up."""
+        return self._joined(other, lambda here, x: [((p, q), x, f + g) for p, _, f in self.arcs[here[0]][x] for q, _, g in other.arcs[here[1]][x]])
+
+
+def _negation() -> Machine:
+    """States count the words that a negation still reaches."""
+    table = {}
+    for left in range(REACH + 1):
+        table |= {(left, x): ((max(0, left - 1), x, NEGATED if left and x in (INSULT, THREAT) else 1.0),) for x in SYMBOLS}
+        table |= {(left, x): ((0, x, 1.0),) for x in (PAUSE, *ENDS)}
+        table |= {(left, NOT): ((REACH, NOT, 1.0),), (left, QUOTE): ((left, QUOTE, 1.0),)}
+    return Machine.of(0, table, range(REACH + 1), 1.0)
+
+
+def _reported() -> Machine:
+    """Reported speech lasts to the end of its clause, a quotation to its closing mark or the end of the line."""
+    table = {
+        ("plain", SAID): (("said", SAID, 1.0),), ("plain", QUOTE): (("cited", QUOTE, 1.0),),
+        ("said", QUOTE): (("quoting", QUOTE, 1.0),), ("said", STOP): (("plain", STOP, 1.0),),
+        ("cited", QUOTE): (("plain", QUOTE, 1.0),), ("quoting", QUOTE): (("said", QUOTE, 1.0),),
+    }
+    for state in ("said", "cited", "quoting"):
+        table |= {(state, LINE): (("plain", LINE, 1.0),), **{(state, x): ((state, x, REPORTED),) for x in (INSULT, THREAT)}}
+    return Machine.of("plain", table, ("plain", "said", "cited", "quoting"), 1.0)
+
+
+def _mention() -> Machine:
+    """An insult right after a word for words is only named: it is put out as any other word."""
+    table = {("use", MENTION): (("mention", MENTION, 1.0),), **{("mention", x): (("use", x, 1.0),) for x in SYMBOLS}}
+    table |= {("mention", x): (("mention", x, 1.0),) for x in (MENTION, QUOTE)}
+    table |= {("mention", x): (("use", OTHER, 0.0),) for x in (INSULT, THREAT)}
+    return Machine.of("use", table, ("use", "mention"), 1.0)
+
+
+#: Accepts a clause with insults by themselves, or at a target before or after them.
+INSULTING = Machine.of("none", {
+    ("none", INSULT): (("bare", INSULT, 1.0), ("await", INSULT, TARGETED)), ("none", TARGET): (("target", TARGET, 0.0),),
+    ("target", INSULT): (("aimed", INSULT, TARGETED),), ("bare", INSULT): (("bare", INSULT, 1.0),),
+    ("await", INSULT): (("await", INSULT, TARGETED),), ("await", TARGET): (("aimed", TARGET, 0.0),), ("aimed", INSULT): (("aimed", INSULT, TARGETED),),
+}, ("none", "target", "bare", "aimed"), 0.0)
+#: Accepts a clause with threats that have a target; other threats may be passed over.
+THREATENING = Machine.of("none", {
+    ("none", THREAT): (("none", THREAT, 0.0), ("await", THREAT, 1.0)), ("none", TARGET): (("target", TARGET, 0.0),), ("target", THREAT): (("target", THREAT, 1.0),),
+    ("await", THREAT): (("await", THREAT, 1.0),), ("await", TARGET): (("target", TARGET, 0.0),),
+}, ("none", "target"), 0.0)
+#: What comes before the patterns goes on from clause to clause; the patterns begin anew in each.
+SCOPES = _negation().then(_reported()).then(_mention())
+PATTERNS = INSULTING.beside(THREATENING)
+GRAMMAR = SCOPES.then(PATTERNS)
+
+
+def clause_weight(clause: list[tuple[int, float]], scope) -> tuple[float, object]:
+    """The weight of the best accepted path through a clause of (symbol, weight), from this state of SCOPES
+    on, and the state of SCOPES at its end."""
+    best = {(scope, PATTERNS.start): 0.0}
+    for symbol, weight in clause:
+        after: dict = {}
+        for state, total in best.items():
+            for to, _, factor in GRAMMAR.arcs[state][symbol]:
+                after[to] = max(after.get(to, 0.0), total + weight * factor)
+        best = after
+    return max(total for state, total in best.items() if state in GRAMMAR.final), next(iter(best))[0]
 
 
 @dataclass
@@ -57,30 +159,30 @@ class Grammar:
     offset: float = -4.0
 
     def __post_init__(self):
-        self.weights: list[tuple[bool, float]] = [(False, 0.0)] * _FIRST
+        self.weights: list[tuple[int, float]] = [(x, 0.0) for x in SYMBOLS]
         self.memory: dict[str, int] = {}
 
     def symbol(self, token: str) -> int:
-        """The union of the lexical transducers: the symbol of a token; from _FIRST on, of an entry."""
+        """The number of the token's symbol; from the number of symbols on, of its symbol and weight."""
         word = token.lower().replace("’", "'")
-        weight, threat = max(INSULTS.get(word, 0.0), self.words.get(word, 0.0)), False
+        weight, kind = max(INSULTS.get(word, 0.0), self.words.get(word, 0.0)), INSULT
         if not weight:
             weight = next((self.stems[word[:n]] for n in STEMS if len(word) >= n and word[:n] in self.stems), 0.0)
         if not weight and word in THREATS:
-            weight, threat = THREATS[word], True
+            weight, kind = THREATS[word], THREAT
         if weight:
-            self.weights.append((threat, weight))
+            self.weights.append((kind, weight))
             return len(self.weights) - 1
-        if not word[0].isalnum() and word[0] != "_":
-            return _BREAK
-        return _TARGET if word in TARGETS else _NOT if word in NEGATIONS else _SAID if word in REPORTS else _OTHER
+        if token in SIGNS:
+            return SIGNS[token]
+        return TARGET if word in TARGETS else NOT if word in NEGATIONS else SAID if word in REPORTS else MENTION if word in MENTIONS else OTHER
 
     def symbols(self, text: str) -> list[int]:
         tokens, memory = _TOKEN.findall(text), self.memory
         for token in set(tokens).difference(memory):
             if len(memory) >= MEMORY:
                 memory.clear()
-                self.weights[_FIRST:] = []
+                self.weights[len(SYMBOLS):] = []
                 return self.symbols(text) if len(set(tokens)) < MEMORY else [self.symbol(t) for t in tokens]
             memory[token] = self.symbol(token)
         return [memory[t] for t in tokens]
@@ -88,25 +190,22 @@ class Grammar:
     def clauses(self, text: str) -> tuple[list[float], int]:
         """The weights of the matched clauses of text, in order, and the number of its tokens."""
         row = self.symbols(text)
-        if not row or max(row) < _FIRST:
+        if not row or max(row) < len(SYMBOLS):
             return [], len(row)
         out: list[float] = []
-        reach, reported, aimed, total = 0, False, False, 0.0  # the automaton's state, and the clause's weight
-        threats = 0.0
-        for s in [*row, _BREAK]:
-            if s >= _FIRST:
-                threat, weight = self.weights[s]
-                weight *= (NEGATED if reach else 1.0) * (REPORTED if reported else 1.0)
-                threats += weight * threat
-                total += weight * (not threat)
-            aimed |= s == _TARGET
-            reported |= s == _SAID
-            reach = REACH if s == _NOT else max(0, reach - 1)
-            if s == _BREAK:
-                total += threats * aimed  # a threat counts against a target only
-                if total:
-                    out.append(total * (TARGETED if aimed else 1.0))
-                reach, reported, aimed, total, threats = 0, False, False, 0.0, 0.0
+        scope, start = SCOPES.start, 0
+        for end in [i for i, x in enumerate(row) if x in ENDS] + [len(row)]:
+            clause = row[start:end]
+            if max(clause, default=0) >= len(SYMBOLS):
+                weight, scope = clause_weight([self.weights[x] for x in clause], scope)
+                if weight:
+                    out.append(weight)
+            else:
+                for x in clause:
+                    scope = SCOPES.arcs[scope][x][0][0]
+            if end < len(row):
+                scope = SCOPES.arcs[scope][row[end]][0][0]
+            start = end + 1
         return out, len(row)
 
     def chance(self, clauses: list[float], tokens: int) -> float:
@@ -188,7 +287,8 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, b
 
 def score_toxicity(docs: DataFrame, grammar: Grammar) -> DataFrame:
     """(doc_id, text_score, clauses array<double>) for each row of docs (doc_id, text). Null and empty texts
-    match nothing and get the score of a text without matches; equal texts get equal scores."""
+    match nothing and get the score of a text without matches; long texts are read whole; equal texts get
+    equal scores, repeated rows each their own; an empty table gives no rows; other columns are not read."""
     parts = (grammar.words, grammar.stems, grammar.slope, grammar.length, grammar.offset)
 
     def make():

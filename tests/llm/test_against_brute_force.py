@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force, the libraries themselves, or held-out labels."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -11,7 +12,7 @@ from collections import Counter, defaultdict
 import public_tokenizers
 import pytest
 
-from noticeloom.llm import byte_bpe, jaccard_forest, katz, pii, registry, secrets
+from noticeloom.llm import byte_bpe, jaccard_forest, katz, pii, quality, registry, secrets, toxicity
 from noticeloom.llm.common import fold
 
 
@@ -28,13 +29,96 @@ def test_every_operator_is_registered():
     assert {int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES} == set(range(1, 11))
 
 
-@pytest.mark.parametrize("name,label,modulus,held,least", [("op1_nbsvm_quality", "quality", 5, 0, 0.85), ("op10_toxicity", "toxic", 3, 1, 0.85)])
-def test_held_out_accuracy(spark, data, name, label, modulus, held, least):
-    got = _run(spark, data, name)
-    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+@pytest.mark.parametrize("name,label,modulus,held", [("op1_nbsvm_quality", "quality", 5, 0), ("op10_toxicity", "toxic", 3, 1)])
+def test_held_out_accuracy(spark, name, label, modulus, held):
+    larger = "/root/testdata/sf0.01"  # the smallest tables have too few held-out rows of the rarer class
+    got = _run(spark, larger, name)
+    truth = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{larger}/labels.parquet").collect()}
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % modulus == held) for i, r in got.items())
-    right = [got[i]["predicted"] == y for i, y in truth.items() if got[i]["held_out"]]
-    assert right and sum(right) / len(right) >= least
+    share = lambda y: [got[i]["predicted"] == y for i, v in truth.items() if got[i]["held_out"] and v == y]
+    balanced = sum(sum(share(y)) / len(share(y)) for y in (0, 1)) / 2
+    assert balanced >= 0.85  # a constant has a half
+
+
+def test_dual_coordinate_descent_solves_the_dual():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    rows = [np.unique(r.integers(0, 30, 8)).astype(np.int32) for _ in range(40)]
+    y = (r.random(40) < 0.4).astype(int)
+    scale = np.zeros(quality.FEATURES)
+    scale[:30] = r.normal(size=30)
+    w, bias = quality.dual_coordinate_descent(rows, scale, y, passes=400)
+    x = np.zeros((40, 31))
+    for i, row in enumerate(rows):
+        x[i, row] = scale[row] / np.sqrt((scale[row] ** 2).sum())
+    x[:, 30] = 1.0
+    sign, cost = np.where(y == 1, 1.0, -1.0), quality.COST * np.where(y == 1, 40 / (2 * y.sum()), 40 / (2 * (1 - y).sum()))
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    alpha = np.zeros(40)
+    for _ in range(60_000):  # projected gradient
+        alpha = np.clip(alpha - 0.02 * (q @ alpha - 1), 0, cost)
+    assert [*w[:30], bias] == pytest.approx(x.T @ (sign * alpha), abs=1e-3)
+
+
+def test_log_count_ratios_by_hand():
+    import numpy as np
+
+    ratio = quality.log_count_ratio([np.array([0, 1], np.int32), np.array([1], np.int32)], np.array([1, 0]))
+    own, other = quality.FEATURES + 2, quality.FEATURES + 1
+    assert ratio[0] == pytest.approx(math.log(2 / own * other)) and ratio[1] == pytest.approx(math.log(2 / own / (2 / other)))
+
+
+def _best_path(machines, patterns, clause):
+    """Every path through the patterns, after the scopes' machines one by one; the end states of these."""
+    states, factors, read = [m.start if s is None else s for m, s in machines], [], []
+    for symbol, weight in clause:
+        factor = 1.0
+        for k, (m, _) in enumerate(machines):
+            ((states[k], symbol, f),) = m.arcs[states[k]][symbol]
+            factor *= f
+        read.append((symbol, weight * factor))
+    def paths(states, rest):
+        if not rest:
+            yield 0.0 if all(q in p.final for p, q in zip(patterns, states)) else None
+            return
+        (symbol, weight), *more = rest
+        for arcs in itertools.product(*(p.arcs[q][symbol] for p, q in zip(patterns, states))):
+            for total in paths([a[0] for a in arcs], more):
+                yield None if total is None else total + weight * sum(a[2] for a in arcs)
+    kept = [(x, w) for x, w in read if x in (toxicity.INSULT, toxicity.THREAT, toxicity.TARGET)]  # others are loops
+    return max(t for t in paths([p.start for p in patterns], kept) if t is not None), states
+
+
+def test_clauses_by_all_paths(texts):
+    g = toxicity.Grammar()
+    parts = (toxicity._negation(), toxicity._reported(), toxicity._mention())
+    checked = 0
+    for text in [*texts.values(), 'He said "you idiot. I will kill you". Not a moron, they said: "scum!"\nthe words "idiot" and moron, you loser', "I kill time, stab and kill him"]:
+        row, states, want, clause = g.symbols(text), [m.start for m in parts], [], []
+        for x in [*row, toxicity.LINE]:
+            if x not in toxicity.ENDS:
+                clause.append(g.weights[x])
+                continue
+            if sum(s in (toxicity.INSULT, toxicity.THREAT) for s, _ in clause) > 8:
+                break
+            weight, states = _best_path(list(zip(parts, states)), (toxicity.INSULTING, toxicity.THREATENING), clause)
+            want += [weight] if weight else []
+            states = [m.arcs[s][x][0][0] for m, s in zip(parts, states)]
+            clause = []
+        got = g.clauses(text)[0]
+        assert got[:len(want)] == pytest.approx(want)
+        checked += len(want)
+    assert checked > 3
+
+
+def test_scopes_and_patterns():
+    g = toxicity.Grammar()
+    weight = lambda text: sum(g.clauses(text)[0])
+    assert weight("You idiot!") > weight('He said "you idiot".') > weight("You are not an idiot.") > 0
+    assert weight("You idiot!") == weight("Idiot, you!") > weight("What an idiot!") > 0
+    assert g.clauses("the word idiot")[0] == [] == g.clauses('they used the term "idiot" again')[0]
+    assert g.clauses("I kill time.")[0] == [] and weight("I kill you.") == weight("you I kill.") == 2.0
 
 
 def test_bpe_like_the_library(spark, data, texts):
