@@ -3,13 +3,14 @@
 Patterns propose candidate spans, and labelers vote on each: its format, gazetteers and the words around
 it. Over the counts of all candidates' votes, expectation-maximisation estimates how reliable each
 labeler is for each kind; the posteriors of its label model then train the final span classifier, a
-logistic model over votes, kind and length. Matches of the base patterns are always reported;
+logistic model over votes, kind, length, the span's shape and what stands before it. Matches of the base patterns are always reported;
 the classifier decides on the further ones.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,11 @@ AROUND = 40
 #: A candidate of a further kind is reported at this probability.
 LEAST = 0.5
 STEPS = 50
+#: Candidates of each kind weigh as so many in all, whatever their number: ten copies of a corpus
+#: give the models of one.
+MASS = 1000.0
+#: Classes that spans' shapes are hashed to.
+SHAPES = 16
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -43,9 +49,16 @@ _IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-
 _NAME = re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-Z][\w'-]+(?:\x20[A-Z][\w'-]+)?|\b(?:[Mm]y name is|[Nn]amed|[Cc]alled)\x20[A-Z][\w'-]+(?:\x20[A-Z][\w'-]+)?")
 
 #: Gazetteers and cue words.
-TLDS = frozenset("com org net edu gov io co info biz de fr es uk us eu kr jp cn it nl pl ru br ch at be ca au".split())
+TLDS = frozenset(
+    "com org net edu gov mil int io co info biz name pro dev app ai me tv de fr es uk us eu kr jp cn tw hk sg in it nl pl ru ua br ar cl mx ch at be lu dk se no fi is ie pt gr cz sk hu ro bg hr si ee lv lt tr il ae sa za eg ng ke ca au nz id my th vn ph".split()
+)
 IBAN_LENGTH = dict(DE=22, FR=27, ES=24, GB=22, IT=27, NL=18, BE=16, AT=20, CH=21, PL=28, PT=25, IE=22, SE=24, DK=18, FI=18, NO=15)
-GIVEN = frozenset("james john robert michael william david richard joseph thomas charles mary patricia jennifer linda elizabeth barbara susan jessica sarah karen hans peter klaus jürgen anna maria ursula pierre jean marie françois juan josé carlos luis carmen ana isabel laura daniel paul mark george emma olivia noah liam lucas sofia".split())
+GIVEN = frozenset(
+    "james john robert michael william david richard joseph thomas charles christopher matthew anthony steven andrew kenneth kevin brian george edward ronald timothy jason jeffrey ryan jacob gary eric stephen jonathan larry justin scott brandon benjamin samuel "
+    "mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley kimberly emily donna michelle carol amanda melissa deborah stephanie rebecca laura helen amy angela emma olivia sophia jane alice "
+    "hans peter klaus jürgen wolfgang stefan andreas markus uwe dieter karl anna maria ursula monika petra sabine gisela claudia heike jean marie françois pierre michel philippe alain nicolas isabelle nathalie sylvie camille "
+    "juan josé carlos luis antonio manuel francisco miguel javier carmen ana isabel pilar lucía elena rosa daniel paul mark noah liam lucas sofia mia leon max min-jun ji-woo seo-yeon hiroshi yuki wei li".split()
+)
 CUES = {
     "email": "mail contact write reach address kontakt courriel correo", "ip": "ip host server address login", "card": "card visa mastercard credit payment karte carte tarjeta",
     "phone": "phone call tel mobile fax contact telefon téléphone teléfono", "written_email": "mail contact write reach kontakt courriel correo", "local_phone": "phone call tel mobile fax contact",
@@ -129,8 +142,22 @@ def votes(text: str, start: int, end: int, kind: str) -> tuple[int, ...]:
     return form, known, near, decoy
 
 
+def shape(span: str) -> int:
+    """A class of the span's shape: its runs of digits, capitals, other letters and signs, without their lengths."""
+    runs = re.sub(r"[a-z]+", "a", re.sub(r"[0-9]+", "0", re.sub(r"[A-Z]+", "A", span)))
+    return zlib.crc32(runs[:24].encode()) % SHAPES
+
+
+def lead(text: str, start: int) -> int:
+    """What stands before a span: 0 nothing or a line break, 1 a colon or equals sign and blanks, 2 a bracket or
+    quotation mark, 3 anything else."""
+    left = text[max(0, start - 3):start]
+    bare = left.rstrip(" ")
+    return 0 if not bare and start <= len(left) or bare.endswith("\n") else 1 if bare[-1:] in ":=" else 2 if left[-1:] in "([<\"'" else 3
+
+
 def candidates(text: str) -> list[dict]:
-    """The base spans and the proposals that overlap none of them, with votes and a length class."""
+    """The base spans and the proposals that overlap none of them, with votes and features."""
     base = base_spans(text)
     spans = [(*s, True) for s in base]
     cover = Cover(base)
@@ -138,7 +165,8 @@ def candidates(text: str) -> list[dict]:
         if not cover.meets(s, e):
             spans.append((s, e, kind, False))
     spans.sort(key=lambda s: (s[0], KINDS.index(s[2])))
-    return [{"kind": k, "start": s, "end": e, "base": b, "votes": list(votes(text, s, e, k)), "size": min(3, (e - s).bit_length() // 2)} for s, e, k, b in spans]
+    size = lambda s, e: min(3, (e - s).bit_length() // 2)
+    return [{"kind": k, "start": s, "end": e, "base": b, "votes": list(votes(text, s, e, k)), "features": [size(s, e), shape(text[s:e]), lead(text, s)]} for s, e, k, b in spans]
 
 
 @dataclass
@@ -156,11 +184,20 @@ class LabelModel:
         return odds[1] / (sum(odds) or 1.0)
 
 
+def _shares(counts: dict[tuple, int]) -> dict[tuple, float]:
+    """The counts, by kind, scaled to MASS in all."""
+    total: dict[str, int] = {}
+    for (kind, *_), n in counts.items():
+        total[kind] = total.get(kind, 0) + n
+    return {key: n * MASS / total[key[0]] for key, n in counts.items()}
+
+
 def estimate(counts: dict[tuple[str, tuple[int, ...]], int]) -> LabelModel:
-    """Expectation-maximisation over the counts of (kind, votes). It starts from labelers that are right
+    """Expectation-maximisation over the counts of (kind, votes), as shares. It starts from labelers that are right
     seven times in ten, which also serve as a weak prior, and takes votes as independent given the truth."""
     start = {(v, t): 0.5 if v == 0 else 0.35 if (v > 0) == bool(t) else 0.15 for v in (-1, 0, 1) for t in (0, 1)}
     kinds = {k for k, _ in counts}
+    counts = _shares(counts)
     model = LabelModel({k: 0.5 for k in kinds}, {(k, j, t, v): p for k in kinds for j in range(len(LABELERS)) for (v, t), p in start.items()})
     for _ in range(STEPS):
         mass: dict = {}
@@ -176,8 +213,9 @@ def estimate(counts: dict[tuple[str, tuple[int, ...]], int]) -> LabelModel:
     return model
 
 
-def _row(kind: str, vote: tuple[int, ...], size: int) -> np.ndarray:
-    ones = [1.0, *(kind == k for k in KINDS), *(v == s for v in vote for s in (-1, 1)), *(size == s for s in range(4))]
+def _row(kind: str, vote: tuple[int, ...], features: tuple[int, ...]) -> np.ndarray:
+    size, form, left = features
+    ones = [1.0, *(kind == k for k in KINDS), *(v == s for v in vote for s in (-1, 1)), *(size == s for s in range(4)), *(form == s for s in range(SHAPES)), *(left == s for s in range(4))]
     return np.array(ones, float)
 
 
@@ -185,19 +223,19 @@ def _row(kind: str, vote: tuple[int, ...], size: int) -> np.ndarray:
 class SpanClassifier:
     weights: np.ndarray
 
-    def probability(self, kind: str, vote: tuple[int, ...], size: int) -> float:
-        return float(1 / (1 + np.exp(-np.clip(_row(kind, vote, size) @ self.weights, -30, 30))))
+    def probability(self, kind: str, vote: tuple[int, ...], features: tuple[int, ...]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(_row(kind, vote, features) @ self.weights, -30, 30))))
 
 
-def train_classifier(counts: dict[tuple[str, tuple[int, ...], int], int], model: LabelModel) -> SpanClassifier:
-    """Logistic regression on the label model's posteriors, weighted by counts (at most a thousand parts of
-    weight each, so that one frequent pattern doesn't decide alone)."""
+def train_classifier(counts: dict[tuple[str, tuple[int, ...], tuple[int, ...]], int], model: LabelModel) -> SpanClassifier:
+    """Logistic regression on the label model's posteriors, each kind's patterns weighted by their shares."""
     keys = sorted(counts)
     if not keys:
-        return SpanClassifier(np.zeros(len(_row("email", (0,) * len(LABELERS), 0))))
+        return SpanClassifier(np.zeros(len(_row("email", (0,) * len(LABELERS), (0, 0, 0)))))
+    shares = _shares(counts)
     x = np.stack([_row(*k) for k in keys])
     y = np.array([model.posterior(k, v) for k, v, _ in keys])
-    n = np.minimum(np.array([counts[k] for k in keys], float), 1000.0)
+    n = np.array([shares[k] for k in keys])
     w = np.zeros(x.shape[1])
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -212,17 +250,18 @@ _SPAN = "kind:string,start:long,end:long,base:boolean"
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, spans array<struct<kind, start, end, base>>) for each row of docs (doc_id, text).
 
-    Candidates are found once and kept, without texts, in the shared folder; the counts of their votes, a
-    few hundred at most whatever the corpus, train the models. Null and empty texts have no spans;
-    equal rows give equal rows; an empty table gives none; other columns are not read.
+    Candidates are found once and kept, without texts, in the shared folder; the counts of their votes and
+    features, whose combinations don't grow with the corpus, train the models. Null and empty texts have no
+    spans; long texts are read whole; equal rows give equal rows; an empty table gives none; other
+    columns are not read.
     """
     def make():
         return lambda ids, texts: (ids, [candidates(t) for t in texts])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    found = written(map_columns(rows, f"doc_id long, spans array<struct<{_SPAN},votes:array<int>,size:int>>", make), "candidates")
-    seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.size").count().collect()
-    counts = {(r["kind"], tuple(r["votes"]), r["size"]): r["count"] for r in seen}
+    found = written(map_columns(rows, f"doc_id long, spans array<struct<{_SPAN},votes:array<int>,features:array<int>>>", make), "candidates")
+    seen = found.select(F.explode("spans").alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
+    counts = {(r["kind"], tuple(r["votes"]), tuple(r["features"])): r["count"] for r in seen}
     by_votes: dict = {}
     for (kind, vote, _), n in counts.items():
         by_votes[kind, vote] = by_votes.get((kind, vote), 0) + n
@@ -230,7 +269,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     good = {key for key in counts if classifier.probability(*key) >= LEAST}
 
     def decide():
-        keep = lambda s: s["base"] or (s["kind"], tuple(s["votes"]), s["size"]) in good
+        keep = lambda s: s["base"] or (s["kind"], tuple(s["votes"]), tuple(s["features"])) in good
         return lambda ids, lists: (ids, [[{k: s[k] for k in ("kind", "start", "end", "base")} for s in x if keep(s)] for x in lists])
 
     return map_columns(found, f"doc_id long, spans array<struct<{_SPAN}>>", decide)

@@ -43,10 +43,11 @@ CLASSES = (
     ("entropy_base64", _BASE64 - frozenset("+/_=-"), 16, 3.5, 6),
 )
 
-#: Candidates that are no secrets: words and identifiers without a digit, one letter case only with
-#: no digit, UUIDs, sequences and keys marked as examples at their end.
+#: Candidates that are no secrets: words and identifiers without a digit, of one case or cased as words
+#: are, numbers, UUIDs, addresses, sequences and keys marked as examples at their end.
 ALLOW = tuple(map(re.compile, (
-    r"[A-Za-z_/+=-]*$",
+    r"([a-z_/+=-]*|[A-Z_/+=-]*)$",
+    r"([A-Z]?[a-z]{2,}|[A-Z]{3,}|[_/+=-])*$",
     r"[0-9_/+=-]+$",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r".*EXAMPLE(KEY)?$",

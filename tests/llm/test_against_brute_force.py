@@ -218,8 +218,8 @@ def test_katz_keeps_trigrams_and_singletons(spark, monkeypatch):
 def test_labelers_are_told_apart():
     counts = {("email", (1, 1, 1, 0)): 90, ("email", (0, -1, 0, -1)): 60, ("email", (1, 1, 0, 0)): 50, ("email", (0, -1, 0, 0)): 40}
     model = pii.estimate(counts)
-    c = pii.train_classifier({(k, v, 2): n for (k, v), n in counts.items()}, model)
-    assert c.probability("email", (1, 1, 1, 0), 2) > 0.9 and c.probability("email", (0, -1, 0, -1), 2) < 0.1
+    c = pii.train_classifier({(k, v, (2, 0, 3)): n for (k, v), n in counts.items()}, model)
+    assert c.probability("email", (1, 1, 1, 0), (2, 0, 3)) > 0.9 and c.probability("email", (0, -1, 0, -1), (2, 0, 3)) < 0.1
     more = pii.candidates("Write to jane at example dot com or call 555-123-4567. SSN 123-45-6789, named John Smith.")
     assert {s["kind"] for s in more} >= {"written_email", "local_phone", "ssn", "name"}
 
