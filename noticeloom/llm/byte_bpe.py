@@ -109,7 +109,8 @@ def codec(path: str, pattern: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids array<long>) for each row of docs (doc_id, text).
 
-    Null and empty texts have no ids; equal rows give equal rows; other columns of docs are not read.
+    Null and empty texts have no ids; long texts are encoded whole; equal rows give equal rows; an empty
+    table gives none; other columns of docs are not read.
     """
     def make():
         c = codec(path, pattern)
@@ -119,7 +120,8 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(doc_id, text) for each row of encoded (doc_id, ids); bytes that are not UTF-8 become U+FFFD."""
+    """(doc_id, text) for each row of encoded (doc_id, ids); bytes that are not UTF-8 become U+FFFD. Null and
+    empty lists give empty texts; an empty table gives no rows; other columns are not read."""
     def make():
         c = codec(path, pattern)
         return lambda ids, lists: (ids, [c.decode(np.asarray(x or [], "<u4").tobytes()).decode("utf-8", "replace") for x in lists])
@@ -129,7 +131,9 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encodes and decodes each row of docs (doc_id, text): (doc_id, n_tokens, ids_sha256,
-    decoded_sha256, lossless). A null text counts as empty: no ids, both digests those of no bytes."""
+    decoded_sha256, lossless). A null text counts as empty: no ids, both digests those of no bytes. Long
+    texts are encoded whole; repeated rows give repeated rows; an empty table gives none; other
+    columns are not read."""
     def make():
         c = codec(path, pattern)
 

@@ -32,23 +32,23 @@ def words(text: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(window array<string>, items array<string>): the distinct windows and the ids of their items.
-    An item of fewer than width words, but not none, is one window; a null item_id is named ''."""
+    """(window array<string>, item string): the distinct windows of each item, once for each item that has them. An item of fewer than width words, but not none, is
+    one window; a null item_id is named ''."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
-    cut = items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("window"))
-    return cut.groupBy("window").agg(F.collect_set("item").alias("items"))
+    return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("window")).distinct()
 
 
 def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """windows with (word, at): the window's rarest word over all documents and its first place in it."""
+    """(id, window, word, at) of windows (id, window): the rarest word over all documents and its first place."""
     terms = written(windows.select(F.explode("window").alias("word")).distinct(), "benchmark_words")
     few = terms.count() <= COUNTED_WORDS
     tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))
     counts = tokens.join(F.broadcast(terms) if few else terms, "word", "left_semi").groupBy("word").count()
-    placed = windows.select("window", "items", F.posexplode("window").alias("at", "word"))
-    ranked = placed.join(counts, "word", "left").groupBy("window", "items").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "at")).alias("p"))
-    return ranked.select("window", "items", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+    placed = windows.select("id", "window", F.posexplode("window").alias("at", "word"))
+    placed = placed.join(F.broadcast(counts) if few else counts, "word", "left")
+    ranked = placed.groupBy("id", "window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "word", "at")).alias("p"))
+    return ranked.select("id", "window", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
 
 
 def _row_key(docs: DataFrame) -> list[Column]:
@@ -60,13 +60,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
     spans array<struct<start, stop>> of words, contaminated).
 
     A word inside any occurrence of a window is hit; a document is contaminated when at least one word
-    and a twentieth of its words are. Null and empty texts have no words and aren't contaminated;
-    without benchmark items nothing is hit; equal rows give equal rows; other columns are not read.
+    and a twentieth of its words are. Null and empty texts have no words and aren't contaminated; long
+    texts are read whole; without benchmark items nothing is hit; without documents there are no rows;
+    equal rows give equal rows; other columns are not read.
     """
-    table = written(prefixes(item_windows(benchmark, width), docs), "prefixes")
+    cut = item_windows(benchmark, width)
+    windows = written(cut.select("window").distinct().withColumn("id", F.monotonically_increasing_id()), "windows")
+    owners = cut.join(windows, "window").select("id", "item")
+    table = written(prefixes(windows, docs), "prefixes")
     blocks = max(1, -(-table.count() // BLOCK_WINDOWS))
     # an empty word after the last one matches in every document, and so brings its length along
-    end = table.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.array().cast("array<string>").alias("items"), F.lit("").alias("word"), F.lit(0).alias("at"))
+    end = table.sparkSession.range(1).select(F.lit(-1).cast("long").alias("id"), F.array().cast("array<string>").alias("window"), F.lit("").alias("word"), F.lit(0).alias("at"))
     tokens = docs.select(*_row_key(docs), words(F.col("text")).alias("w"))
     tokens = tokens.select("doc_id", "text_hash", "w", F.posexplode(F.concat("w", F.array(F.lit("")))).alias("pos", "word"))
 
@@ -74,25 +78,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW) ->
         start, length = F.col("pos") - F.col("at"), F.size("window")
         near = tokens.join(F.broadcast(block), "word").where((start >= 0) & (start + length <= F.size("w")))
         exact = near.where((F.col("word") == "") | (F.slice("w", start + 1, length) == F.col("window")))
-        return exact.select("doc_id", "text_hash", "word", "pos", "items", F.struct(start.alias("start"), (start + length).alias("stop")).alias("span"))
+        return exact.select("doc_id", "text_hash", "word", "pos", "id", F.struct(start.alias("start"), (start + length).alias("stop")).alias("span"))
 
     parts = [table if blocks == 1 else table.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == i) for i in range(blocks)]
     found = reduce(DataFrame.unionByName, [matches(part.unionByName(end) if i == 0 else part) for i, part in enumerate(parts)])
     hit = F.col("word") != ""
     each = found.groupBy("doc_id", "text_hash").agg(
         F.max(F.when(~hit, F.col("pos"))).cast("long").alias("n_words"), F.count_if(~hit).alias("copies"),
-        F.collect_set(F.when(hit, F.col("span"))).alias("spans"), F.collect_set(F.when(hit, F.col("items"))).alias("lists"),
+        F.collect_set(F.when(hit, F.col("span"))).alias("spans"), F.collect_set(F.when(hit, F.col("id"))).alias("ids"),
     )
+    each = written(each, "hits")
+    # the items come to the windows found, once for each document
+    named = each.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.explode("ids").alias("id")).join(owners, "id")
+    named = named.groupBy("_id", "_hash").agg(F.collect_set("item").alias("items"))
+    each = each.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
     zero = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("upto"))
     covered = F.aggregate(F.array_sort("spans"), zero, lambda a, s: F.struct(
         (a["covered"] + F.greatest(s["stop"] - F.greatest(s["start"], a["upto"]), F.lit(0))).alias("covered"), F.greatest(a["upto"], s["stop"]).alias("upto")))
-    each = each.select("*", covered["covered"].cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("lists"))).alias("items"))
+    each = each.select("*", covered["covered"].cast("long").alias("n_hit"), F.array_sort(F.coalesce("items", F.array().cast("array<string>"))).alias("item_ids"))
     each = each.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return each.select("doc_id", "text_hash", "n_words", "n_hit", "items", F.array_sort("spans").alias("spans"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return each.select("doc_id", "text_hash", "n_words", "n_hit", F.col("item_ids").alias("items"), F.array_sort("spans").alias("spans"), ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
+    """The rows of docs that aren't contaminated, with all their columns. Null and empty texts stay; repeated
+    rows stay or go together; without benchmark items, or of an empty table, nothing goes."""
     number, text_hash, own = fresh(docs, "_id", "_hash", "_own")
     bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(number), F.col("text_hash").alias(text_hash))
     mine = docs.withColumn(own, F.xxhash64(F.coalesce("text", F.lit(""))))

@@ -12,7 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, shared_folder, written
+from pyspark.sql.utils import AnalysisException
+
+from .common import fresh, join_skewed, shared_folder, written
+
+#: Digests of groups that were hit are broadcast up to this number; beyond it, they are joined by shuffle.
+BROADCAST = 200_000
 
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -29,13 +34,22 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _locator(docs: DataFrame) -> Column:
+    """Where a row lies: its file and its place in it; just the file, if any, where docs is no plain scan."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        return F.input_file_name()
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+
+
 def _feed(docs: DataFrame, digest) -> DataFrame:
     """(row, doc_id, digest, text_sha256, locator): one row for each document; row tells apart rows that
     are equal in all of these."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), digest(text).alias("digest"), sha256_hex(text).alias("text_sha256"),
-        F.input_file_name().alias("locator"), F.monotonically_increasing_id().alias("row"),
+        _locator(docs).alias("locator"), F.monotonically_increasing_id().alias("row"),
     )
 
 
@@ -67,8 +81,8 @@ def deduplicate(docs: DataFrame, digest=sha256_hex) -> DataFrame:
 
     Texts are equal when their bytes are; a null text counts as empty. Of equal texts the row with the
     largest doc_id stays; of rows that also share the doc_id, any one. A null doc_id is below all
-    others. An empty table gives no rows; other columns of docs are not read. digest may be replaced
-    by a weaker function: results stay the same.
+    others. Long texts are read whole. An empty table gives no rows; other columns of docs are not
+    read. digest may be replaced by a weaker function: results stay the same.
     """
     spark = docs.sparkSession
     folder = shared_folder(spark)
@@ -77,31 +91,31 @@ def deduplicate(docs: DataFrame, digest=sha256_hex) -> DataFrame:
     state = stream_state(spark, f"{folder}/feed", feed.schema, folder)
 
     # full bytes of the groups that were hit: equal least and greatest text means equal texts
+    state = written(state, "digests")
     hits = state.where("group_size > 1").select("digest")
-    hit_ids = feed.join(hits, "digest", "left_semi").select("digest", "doc_id").distinct()
-    content = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    content = content.withColumn("digest", digest(F.col("text")))
-    same = (F.col("c.digest") == F.col("h.digest")) & F.col("c.doc_id").eqNullSafe(F.col("h.doc_id"))
-    found = content.alias("c").join(hit_ids.alias("h"), same, "left_semi")
+    content = docs.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", digest(F.col("text")))
+    found = content.join(F.broadcast(hits) if hits.count() <= BROADCAST else hits, "digest", "left_semi")
     checked = found.groupBy("digest").agg(F.min("text").alias("least"), F.max("text").alias("most"))
     clash = written(checked.where("least <> most").select("digest"), "clash")
 
+    own = feed.withColumnRenamed("locator", "own_locator")
     if clash.isEmpty():
-        groups = state
-        key = ["digest"]
+        joined = join_skewed(own, state, "digest", "group_size")
     else:  # group by the texts' own digest and bytes, where the digest alone doesn't tell them apart
         key = ["digest", "text_sha256"]
         plain = feed.join(state.join(clash, "digest", "left_anti"), "digest").select("digest", "text_sha256", "last_id", "last_row", F.col("group_size")).distinct()
         mixed = feed.join(clash, "digest", "left_semi").groupBy(*key).agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), "row")).alias("last"), F.count("*").alias("group_size"))
         groups = plain.unionByName(mixed.select(*key, F.col("last.id").alias("last_id"), F.col("last.row").alias("last_row"), "group_size"))
+        joined = own.join(groups, key)
     keep = F.when(F.col("last_id") != -(2**63), F.col("last_id"))
-    return feed.withColumnRenamed("locator", "own_locator").join(groups, key).select(
+    return joined.select(
         "doc_id", keep.alias("keep_id"), "group_size", (F.col("row") == F.col("last_row")).alias("kept"), "text_sha256", F.col("own_locator").alias("locator"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns. Rows with one doc_id and one text count as one."""
+    """The rows of docs that stay, with all their columns: of equal texts, null ones being empty, the row with
+    the largest doc_id. Rows with one doc_id and one text count as one; a null doc_id is below all others."""
     number, sha, own = fresh(docs, "_id", "_sha", "_own")
     kept = written(deduplicate(docs).where("kept").select(F.col("doc_id").alias(number), F.col("text_sha256").alias(sha)), "kept")
     mine = docs.withColumn(own, sha256_hex(F.coalesce("text", F.lit(""))))

@@ -153,8 +153,8 @@ def scan_secrets(docs: DataFrame, allow: Iterable[str] = ()) -> DataFrame:
     """Secrets of each row of docs (doc_id, text): (doc_id, spans array<struct<kind, start, end, base>>).
 
     allow: further allow-list patterns, matched from a candidate's first character on; they suppress
-    entropy spans only. Null and empty texts have no spans, repeated rows give repeated rows, other
-    columns are not read. Work and memory follow the length of a text.
+    entropy spans only. Null and empty texts have no spans, repeated rows give repeated rows, an empty
+    table gives none, other columns are not read. Work and memory follow the length of a text.
     """
     rules = (*ALLOW, *map(re.compile, allow))
 

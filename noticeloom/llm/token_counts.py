@@ -1,7 +1,9 @@
 """Token counts through a digest cache.
 
 A count is stored under the digest of the normalised content and the digest of the tokenizer's version
-(its file and the normalisation). Documents are joined with the stored counts; only the distinct
+(its file and the normalisation). Contents are normalised only as far as the tokenizer can't tell them apart:
+one that drops white space before it cuts sees a run of blanks as one; for others, contents stay as
+they are. Documents are joined with the stored counts; only the distinct
 contents that have none are encoded, and their counts are appended.
 """
 
@@ -15,23 +17,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import map_columns, shared_folder, written
+from .common import join_skewed, map_columns, shared_folder, written
 
-#: Runs of ASCII blanks count as one blank: word tokenizers that drop white space can't tell them apart.
+#: Runs of ASCII blanks: one blank for tokenizers that drop white space.
 BLANKS = r"[ \t\n\x0B\f\r]+"
+#: Digests of repeated contents are broadcast up to this number.
+BROADCAST = 200_000
 #: Words whose lengths a worker remembers at most.
 MEMORY = 400_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
-def normalised(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
+def normalised(text: Column, by_word: bool) -> Column:
+    whole = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(whole, BLANKS, " ") if by_word else whole
 
 
-def tokenizer_version(path: str) -> str:
+def tokenizer_version(path: str, by_word: bool) -> str:
     """The digest of the tokenizer's file and of the normalisation in front of it."""
     with open(path, "rb") as data:
-        return hashlib.sha256(data.read() + BLANKS.encode()).hexdigest()
+        return hashlib.sha256(data.read() + (BLANKS if by_word else "").encode()).hexdigest()
 
 
 @functools.lru_cache(2)
@@ -90,23 +95,38 @@ def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     return found.where(F.col("tokenizer") == version)
 
 
+def _once(contents: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Each of contents (digest, content) once. Only contents that occur more than once are shuffled, as long
+    as their digests' number allows."""
+    repeated = sizes.where("n > 1").select("digest")
+    first = lambda df: df.groupBy("digest").agg(F.first("content").alias("content"))
+    if repeated.count() > BROADCAST:
+        return first(contents)
+    small = F.broadcast(repeated)
+    return contents.join(small, "digest", "left_anti").unionByName(first(contents.join(small, "digest", "left_semi")))
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, by_word: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for each row of docs (doc_id, text).
 
-    cache: the folder of the stored counts; by default a fresh one. by_word: see encode_lengths. Null texts count as empty and have
-    no tokens; equal rows give equal rows; an empty table gives none; other columns are not read.
-    Counts that two runs appended for one content are equal, so either serves.
+    cache: the folder of the stored counts; by default a fresh one. by_word: see encode_lengths. Null texts
+    count as empty and have no tokens; long texts are encoded whole; equal rows give equal rows; an empty
+    table gives none; other columns are not read. Counts that two runs appended for one content are
+    equal, so either serves.
     """
     spark = docs.sparkSession
     cache = cache or f"{shared_folder(spark)}/token_counts"
-    version = tokenizer_version(path)
+    version = tokenizer_version(path, by_word)
     text = F.coalesce("text", F.lit(""))
-    contents = docs.select(normalised(text).alias("content")).select(F.unhex(F.sha2(F.col("content").cast("binary"), 256)).alias("digest"), "content")
+    digest = F.unhex(F.sha2(normalised(text, by_word).cast("binary"), 256)).alias("digest")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest)
+    sizes = written(keyed.groupBy("digest").agg(F.count("*").alias("n")), "sizes")
+    contents = docs.select(digest, normalised(text, by_word).alias("content"))
     stored = _stored(spark, cache, version)
     if stored is not None:
-        contents = contents.join(stored.select("digest"), "digest", "left_anti")
-    misses = contents.groupBy("digest").agg(F.first("content").alias("content"))
-    encode_lengths(misses, path, by_word).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
-    counts = written(_stored(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "counts")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(normalised(text).cast("binary"), 256)).alias("digest"))
-    return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+        known = sizes.join(stored.select("digest"), "digest", "left_semi").select("digest")
+        contents = contents.join(F.broadcast(known) if known.count() <= BROADCAST else known, "digest", "left_anti")
+    encode_lengths(_once(contents, sizes), path, by_word).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    counts = _stored(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = written(sizes.join(counts, "digest"), "counts")
+    return join_skewed(keyed, counts, "digest", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -64,6 +64,48 @@ def test_one_row_for_each_document(spark, docs, none, name):
     assert _operators(spark, none)[name]().count() == 0
 
 
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from noticeloom.llm import common
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="spark://head:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(session)
+
+
+def test_long_batches_are_cut_by_bytes():
+    import pyarrow as pa
+
+    from noticeloom.llm import common
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * 1_000_000] * 20 + [None, ""]})
+    parts = list(common.slices(batch))
+    assert len(parts) > 3 and sum(p.num_rows for p in parts) == 22 and list(common.slices(batch.slice(0, 0))) == []
+
+
+def test_joins_with_a_hot_key(spark):
+    from noticeloom.llm.common import join_skewed
+
+    rows = spark.range(3000).selectExpr("id", "if(id % 3 = 0, -1, id) AS k")
+    out = join_skewed(rows, rows.groupBy("k").count(), "k", "count")
+    assert out.count() == 3000 and out.where("k = -1").agg({"count": "max"}).first()[0] == 1000
+
+
+def test_locators_name_file_and_row(spark, data):
+    rows = exact_dedup.deduplicate(spark.read.parquet(f"{data}/documents.parquet")).select("locator").collect()
+    assert len({r["locator"] for r in rows}) == len(rows) and all(".parquet#" in r["locator"] for r in rows)
+
+
+def test_token_counts_of_a_tokenizer_that_keeps_blanks(spark, docs):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    got = {(r["doc_id"], r["n_bytes"]): r["n_tokens"] for r in token_counts.count_tokens(docs, WORDS).collect()}
+    assert got == {(i, len((t or "").encode())): len(tokenizer.encode(t or "", add_special_tokens=False).ids) for i, t, _ in ROWS}
+    assert token_counts.tokenizer_version(WORDS, True) != token_counts.tokenizer_version(WORDS, False)
+
+
 def test_exact_ties(docs):
     rows = exact_dedup.deduplicate(docs).collect()
     same = [r for r in rows if r["group_size"] == 4]
