@@ -14,7 +14,8 @@ def _docs(spark, sf_dir):
 
 
 def x10_section_breaks(spark, sf_dir):
-    t = F.concat(F.lit("소개 글 신청기간: "), "source", F.lit(" ● 문의처: 02-1234-5678 1. 대상: 누구나"))
+    # each line of a document is the value of a section whose head has run into the line before
+    t = F.concat(F.lit("신청기간: "), F.regexp_replace("text", "\n", " ● 문의처: "), F.lit(" 1. 대상: 누구나"))
     return _docs(spark, sf_dir).select("doc_id", N.section_breaks(t).alias("text"))
 
 
@@ -22,7 +23,8 @@ def x12_usable_fact(spark, sf_dir):
     d = _docs(spark, sf_dir)
     period = F.when(F.col("k") == 0, "2026.03.01 ~ 2026.03.09 문의처: x").when(F.col("k") == 1, "2026.03.01 ~").when(F.col("k") == 2, "상시 모집").when(F.col("k") == 3, "미정").when(F.col("k") == 4, "3월 2일까지 #태그")
     contact = F.concat("source", F.lit(" 02-123-4567 https://a.example/x"))
-    return d.select("doc_id", N.usable_fact(period, "period").alias("period"), N.usable_fact(contact, "contact").alias("contact"))
+    content = N.usable_fact(F.concat(F.lit("내용 "), F.regexp_replace("text", r"[^A-Za-z \n]", "")), "content")
+    return d.select("doc_id", N.usable_fact(period, "period").alias("period"), N.usable_fact(contact, "contact").alias("contact"), content.alias("content"))
 
 
 def x15_org_in_title(spark, sf_dir):
@@ -81,8 +83,9 @@ def a25_crawler_summary(spark, sf_dir):
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "afjltuxz" and k[1:3].isdigit()}
 SQL = {
-    "x10_section_breaks": "SELECT doc_id, '소개 글' || chr(10) || '신청기간: ' || source || chr(10) || '● 문의처: 02-1234-5678' || chr(10) || '1. 대상: 누구나' AS text FROM documents",
-    "x12_usable_fact": "SELECT doc_id, ['2026.03.01 ~ 2026.03.09', NULL, '상시 모집', NULL, '3월 2일까지', NULL][doc_id % 6 + 1] AS period, source || ' 02-123-4567' AS contact FROM documents",
+    "x10_section_breaks": """SELECT doc_id, array_to_string(list_transform(range(1, len(l) + 1), lambda i: rtrim(CASE WHEN i = 1 THEN '신청기간: ' ELSE '● 문의처: ' END || l[i], ' ' || chr(9) || chr(13))), chr(10)) || chr(10) || '1. 대상: 누구나' AS text
+        FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
+    "x12_usable_fact": "SELECT doc_id, ['2026.03.01 ~ 2026.03.09', NULL, '상시 모집', NULL, '3월 2일까지', NULL][doc_id % 6 + 1] AS period, source || ' 02-123-4567' AS contact, CASE WHEN length(c) <= 700 AND c NOT LIKE '%www.' THEN c END AS content FROM (SELECT *, trim('내용 ' || trim(regexp_replace(string_split(regexp_replace(text, '[^A-Za-z \\n]', '', 'g'), chr(10))[1], ' +', ' ', 'g'))) AS c FROM documents)",
     "x15_org_in_title": "SELECT doc_id, CASE WHEN doc_id % 6 > 0 AND length(repeat(source, doc_id % 6)) <= 25 THEN repeat(source, doc_id % 6) END AS org FROM documents",
     "l10_inline_links": "SELECT page_id, url, 'y at ' AS before, '. Or ' AS after FROM pages UNION ALL SELECT page_id, url, '. Or ', ' soon' FROM pages",
     "z15_regions": """SELECT n_nationkey, CASE WHEN len(h) = 0 THEN CASE WHEN contains(t, 'EG') THEN 'nation=0.72' ELSE '' END ELSE array_to_string(list_transform(h[1:2], lambda x: x.r || '=' || printf('%.2f', least(CAST(0.68 - 0.07 * x.n AS DOUBLE), CASE WHEN len(h) > 2 THEN 0.72 ELSE 0.95 END))), ',') END AS regions

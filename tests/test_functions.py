@@ -252,3 +252,23 @@ def test_period(spark, text, start, end, kind):
 def test_lines_and_bytes(spark):
     r = one(spark, a=notices.clean_lines(F.lit("목록\n Hello  there \nhello there\nRSS\nend")), b=notices.decoded(F.lit("가나".encode("euc-kr")), F.lit("text/html; charset=EUC-KR")), c=notices.decoded(F.lit(b"<meta charset='nonsense'>\xea\xb0\x80"), F.lit(None).cast("string")))
     assert (r["a"], r["b"], r["c"]) == ("Hello there\nend", "가나", "<meta charset='nonsense'>가")
+
+
+@pytest.mark.parametrize("value,key,want", [
+    ("5년 이상 강남구 거주 주민 ● 모집인원 : 12개 부문", "target", "5년 이상 강남구 거주 주민"), ("~2026", "period", None), ("2026. 8. 4.(", "period", None), ("온라인 신청 https://forms", "application", None),
+    ("2026.7.1~2026.8.21", "period", "2026.7.1~2026.8.21"), ("마포구청 ✔️ 정원: 20명", "location", "마포구청"), ("02-1234-5678 #서울 찾아가기 서울", "contact", "02-1234-5678"),
+    ("서울 청년 2) 진행일정 1회기 상담", "target", "서울 청년"), ("여성 누구나 3. 신청기간: 2026.7.1~2026.8.21", "target", "여성 누구나"), ("담당 010-1234-5678 https://www.a.kr/?idx=1", "contact", "담당 010-1234-5678"),
+    ("https://pf.a.com/_b", "contact", "https://pf.a.com/_b"), ("", "target", None), (None, "target", None), ("해당 없음", "target", None), ("온라인 및", "application", None),
+])
+def test_usable_facts(spark, value, key, want):
+    from noticeloom.functions.facts import usable_fact
+
+    assert spark.createDataFrame([(value,)], "v string").select(usable_fact(F.col("v"), key)).first()[0] == want
+
+
+def test_sections_begin_on_lines_of_their_own(spark):
+    from noticeloom.functions.facts import section_breaks
+
+    text = "2. 신청대상: 여성 3. 신청기간: 2026.7.1~2026.8.21 - 장소: 시청●문의처: x\n\n\n\n끝"
+    got = spark.createDataFrame([(text,)], "v string").select(section_breaks(F.col("v"))).first()[0]
+    assert got == "2. 신청대상: 여성\n3. 신청기간: 2026.7.1~2026.8.21\n- 장소: 시청\n● 문의처: x\n\n끝"
