@@ -95,3 +95,24 @@ def short_link(url: Column) -> Column:
 
 def link_type(declared: Column, url: Column, label: Column) -> Column:
     return F.when(is_application_link(url, label), "official_apply").otherwise(F.coalesce(F.nullif(declared, F.lit("")), F.lit("other")))
+
+
+# Words for application links, and texts in their place that are no address.
+APPLICATION_LABEL = r"(?i)신청|접수|지원|응모|등록|apply|application"
+NO_ADDRESS = r"(?i)^(?:https?:/{1,2}|www\.?|#|-|없음|해당없음|미정|준비중)$"
+
+
+def bad_application(link: Column, source: Column) -> Column:
+    """Whether a link (url, label, type) for applications is missing, malformed, a placeholder, or leads to the
+    homepage of the notice's own source. Other links are never bad."""
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    url, home = F.trim(blank(link["url"])), blank(host(source))
+    applies = (blank(link["type"]) == "official_apply") | blank(link["label"]).rlike(APPLICATION_LABEL)
+    no_link = (url == "") | url.rlike(NO_ADDRESS) | url.rlike("(?i)^javascript:")
+    whole = F.when(url.startswith("//"), F.concat(F.lit("https:"), url)).otherwise(url)
+    web, site = whole.rlike("(?i)^https?://"), F.regexp_extract(whole, r"(?i)^https?://([^/?#:]*)", 1)
+    rest = F.regexp_replace(F.regexp_replace(whole, r"(?i)^https?://[^/?#]*|#.*$", ""), "[/?&=_-]", "")
+    nowhere = web & (~F.contains(site, F.lit(".")) | (F.lower(site) == "localhost"))
+    at_home = web & (home != "") & (F.regexp_replace(F.lower(site), r"^www\.", "") == home) & (F.length(rest) < 4)
+    unresolved = ~web & ~whole.rlike("(?i)^(mailto|tel):") & ~whole.rlike("(?i)^[a-z][a-z0-9+.-]*:") & (home == "")
+    return applies & (no_link | nowhere | at_home | unresolved)

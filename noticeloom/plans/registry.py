@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars", "curation", "flows", "handover", "checks", "notices", "deadlines", "editing", "facts")
+FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars", "gate", "curation", "flows", "handover", "checks", "notices", "deadlines", "editing", "facts")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

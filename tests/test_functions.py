@@ -108,11 +108,15 @@ def test_gates_at_their_bounds(spark):
 
 
 def test_quality_gate(spark):
-    rows = spark.createDataFrame([("청년 창업 교육생 모집", "서울시", "교육 프로그램 참여자를 모집합니다. 자세한 내용은 본문을 참고하세요.", "https://a.example/1", 1), ("공지사항", "", "x", "", 0)], "t string, o string, s string, u string, n int")
-    found = quality_gate.issues(F.col("t"), F.col("o"), F.col("s"), F.col("u"), F.col("n"), F.lit(False), F.lit(1), F.lit(1))
-    got = rows.select(quality_gate.decision(found).alias("d"), found.alias("i")).collect()
-    assert got[0]["d"] == "pass" and got[1]["d"] == "reject"
-    assert {i["code"] for i in got[1]["i"]} == {"missing-org", "weak-summary", "missing-source", "missing-image", "generic-title"}
+    kind = "id long, title string, org string, summary string, source_url string, images array<string>, links array<struct<url:string,label:string,type:string>>, text_only boolean, is_poster boolean, poster_confidence double, same_notice boolean, match_confidence double, deadline string"
+    rows = [
+        (1, "청년 창업 교육생 모집", "서울시", "교육 프로그램 참여자를 모집합니다. 자세한 내용은 본문을 참고하세요.", "https://a.example/1", ["https://a.example/p.jpg"], [], False, None, None, None, None, None),
+        (2, "공지사항", "", "x", "", [], None, None, None, None, None, None, None), (3, None, None, None, None, None, None, None, None, None, None, None, None),
+    ]
+    got = {r["id"]: r for r in quality_gate.gate(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1]["decision"] == "pass" and got[2]["decision"] == "reject"
+    assert {i["code"] for i in got[2]["issues"]} == {"missing-org", "weak-summary", "missing-source", "missing-image", "generic-title"}
+    assert {i["code"] for i in got[3]["issues"]} == {"missing-title", "missing-org", "weak-summary", "missing-source", "missing-image", "generic-title"} and got[3]["score"] == 26
 
 
 def _prints(spark, *rows):
