@@ -1,4 +1,4 @@
-"""Ordered rules and weighted keyword rules, as data that becomes one plan."""
+"""Weighted keyword rules, as data that becomes one plan."""
 
 from __future__ import annotations
 
@@ -8,11 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def first_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The name of the first rule (name, pattern) that matches; null for none."""
-    return F.coalesce(*[F.when(text.rlike(pattern), name) for name, pattern in rules])
-
-
 def keyword_scores(docs: DataFrame, fields: dict[str, int], rules: list[tuple[str, str]]) -> DataFrame:
     """(id, category, score): weights of the fields that contain each rule's (category, keyword), added up."""
     each = [
