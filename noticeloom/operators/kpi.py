@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from noticeloom.operators.ranks import nearest_ranks
+
 
 def percent(part: Column, whole: Column, digits: int = 1, empty: float | None = None) -> Column:
     """part of whole in percent; `empty` where there is no whole."""
@@ -12,19 +14,14 @@ def percent(part: Column, whole: Column, digits: int = 1, empty: float | None =
     return value if empty is None else F.coalesce(value, F.lit(empty))
 
 
-def nearest_rank(values: str, share: float) -> Column:
-    """The nearest-rank percentile of a column."""
-    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY {values})")
-
-
 def run_kpis(runs: DataFrame) -> DataFrame:
     """One row over (status, duration, checked, valid): partial runs count as successful here."""
     good = F.col("status").isin("success", "partial")
-    return runs.agg(
+    sums = runs.agg(
         F.count("*").alias("runs"), percent(F.count_if(good), F.count("*")).alias("success_percent"), F.round(F.avg("duration"), 2).alias("mean_duration"),
-        nearest_rank("duration", 0.5).alias("p50_duration"), nearest_rank("duration", 0.95).alias("p95_duration"),
         F.sum("checked").alias("checked"), F.sum("valid").alias("valid"), F.round(F.sum("duration") / F.nullif(F.sum("checked"), F.lit(0)), 2).alias("per_item"),
     )
+    return sums.join(F.broadcast(nearest_ranks(runs, [], "duration", {"p50_duration": 0.5, "p95_duration": 0.95})), how="left")
 
 
 def run_status(failed: Column, valid: Column, checked: Column) -> Column:

@@ -70,21 +70,31 @@ def external(visits: DataFrame, automated: Column, role: Column) -> DataFrame:
 
 
 def overview(visits: DataFrame, today: str) -> DataFrame:
-    """One row of eight measures over (ts, visitor, session), in one pass; today: a UTC instant, whose Korean
-    day counts as the current one."""
+    """One row of eight measures over (ts, visitor, session); today: a UTC instant, whose Korean day counts as the
+    current one. Distinct counts are taken from visitors' sessions, not from single visits."""
     now = kst_date(F.lit(today).cast("timestamp_ntz"))
-    here = kst_date("ts") == now
-    only = lambda c, k: F.count_distinct(F.when(c, F.col(k)))
-    return visits.agg(
-        F.count("*").alias("pageviews"), F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"),
-        F.count_if(here).alias("today_pageviews"), only(here, "visitor").alias("today_visitors"), only(here, "session").alias("today_sessions"),
-        F.min("ts").alias("first_at"), F.max("ts").alias("last_at"),
+    each = visits.groupBy("visitor", "session").agg(F.count("*").alias("n"), F.count_if(kst_date("ts") == now).alias("today"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    only = lambda k: F.count_distinct(F.when(F.col("today") > 0, F.col(k)))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return each.agg(
+        total("n").alias("pageviews"), F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"),
+        total("today").alias("today_pageviews"), only("visitor").alias("today_visitors"), only("session").alias("today_sessions"),
+        F.min("first").alias("first_at"), F.max("last").alias("last_at"),
     )
 
 
 def breakdown(visits: DataFrame, key: Column) -> DataFrame:
     """(key, visitors, sessions, pageviews) over (visitor, session)."""
-    return visits.groupBy(key.alias("key")).agg(F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"), F.count("*").alias("pageviews"))
+    return measures(visits.withColumn("key", key), [["key"]])
+
+
+def measures(visits: DataFrame, sets: list[list[str]]) -> DataFrame:
+    """(keys of all sets, visitors, sessions, pageviews) for each value of each set of keys. Visits are first added up for
+    each session under its keys, so that neither the sets nor the distinct counts multiply single visits."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    each = visits.groupBy(*keys, "visitor", "session").agg(F.count("*").alias("n"))
+    rows = each.groupBy(*keys) if sets == [keys] else each.groupingSets(sets, *keys)
+    return rows.agg(F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"), F.sum("n").alias("pageviews"))
 
 
 def first_touch(visits: DataFrame, order: str = "ts", tie: str = "event_id") -> DataFrame:

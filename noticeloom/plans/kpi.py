@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeloom.operators import kpi as K
+from noticeloom.operators.ranks import nearest_ranks
 from noticeloom.sources.tables import ORDERS_NOW, table
 
 def _runs(spark, sf_dir):
@@ -19,7 +20,7 @@ _R = """(SELECT *, CASE WHEN failed > 0 AND valid = 0 THEN 'error' WHEN failed >
 
 
 def a14_percentiles(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(K.nearest_rank("value", 0.5).alias("p50"), K.nearest_rank("value", 0.95).alias("p95"))
+    return nearest_ranks(table(spark, sf_dir, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
 def a15_means(spark, sf_dir):

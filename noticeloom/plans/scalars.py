@@ -164,10 +164,9 @@ def l12_query_param(spark, sf_dir):
 
 
 def a22_duplicate_keys(spark, sf_dir):
-    from pyspark.sql import Window
-
-    p = _pages(spark, sf_dir).withColumn("key", L.source_url(F.col("url")))
-    return p.select("page_id", F.count("*").over(Window.partitionBy("key")).alias("same_source"))
+    p = _pages(spark, sf_dir).select("page_id", L.source_url(F.col("url")).alias("key"))
+    counts = p.where("key <> ''").groupBy("key").agg(F.count("*").alias("same_source"))
+    return p.join(counts, "key", "left").select("page_id", F.coalesce("same_source", F.lit(0)).alias("same_source"))
 
 
 def _orders(spark, sf_dir):

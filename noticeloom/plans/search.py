@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from noticeloom.operators import search as S
+from noticeloom.operators.ranks import numbered
 from noticeloom.sources.tables import ORDERS_NOW, table
 
 _NOW = f"TIMESTAMP '{ORDERS_NOW}'"
@@ -190,7 +191,7 @@ def a11_max_case(spark, sf_dir):
 
 
 def a13_collect(spark, sf_dir):
-    return _notices(spark, sf_dir).groupBy("region").agg(F.array_join(F.array_sort(F.collect_set("org")), "|").alias("orgs"), F.size(F.collect_list("id")).alias("n"))
+    return _notices(spark, sf_dir).groupBy("region").agg(F.array_join(F.array_sort(F.collect_set("org")), "|").alias("orgs"), F.count("*").cast("int").alias("n"))
 
 
 def u01_union(spark, sf_dir):
@@ -236,8 +237,7 @@ def w03_first_category(spark, sf_dir):
 
 
 def w05_round_robin(spark, sf_dir):
-    w = Window.orderBy("s_suppkey")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", F.pmod(F.row_number().over(w) - 1, F.lit(4)).alias("batch"))
+    return numbered(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.pmod(F.col("number") - 1, F.lit(4)).cast("int").alias("batch"))
 
 
 def w06_best_of(spark, sf_dir):

@@ -156,8 +156,7 @@ def w04_session_edges(spark, sf_dir):
 
 def z32_dashboard(spark, sf_dir):
     v = visits(spark, sf_dir).select("visitor", "session", _actor().alias("actor"), T.platform(F.col("user_agent"), F.col("utm") == "app").alias("platform"), "path", F.col("day").cast("string").alias("day"))
-    rows = v.groupingSets([["actor"], ["platform"], ["path"], ["day"]], "actor", "platform", "path", "day")
-    return rows.agg(F.count_distinct("visitor").alias("visitors"), F.count_distinct("session").alias("sessions"), F.count("*").alias("pageviews"))
+    return T.measures(v, [["actor"], ["platform"], ["path"], ["day"]])
 
 
 _KEYED = "count(DISTINCT visitor) AS visitors, count(DISTINCT session) AS sessions, count(*) AS pageviews"

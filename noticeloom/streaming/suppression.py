@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import timedelta
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,15 +41,33 @@ def let_through_stream(events: DataFrame, keys: list[str], minutes: int) -> Data
 
 
 def let_through(events: DataFrame, keys: list[str], minutes: int) -> DataFrame:
-    """The same over a whole table: each key's times, in order, folded by built-in array functions."""
+    """The same over a whole table, in batches of rows sorted by key and time. All that is kept from one batch to the
+    next is the key and the last time that was let through, so a key may have any number of rows."""
     gap = minutes * 60_000_000
-    times = _keyed(events, keys).groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros("ts"))).alias("t"))
-    start = F.array().cast("array<bigint>")
-    folded = F.aggregate(
-        "t", F.struct(F.lit(None).cast("bigint").alias("last"), start.alias("kept")),
-        lambda s, t: F.when(s["last"].isNull() | (t - s["last"] >= gap), F.struct(t.alias("last"), F.concat(s["kept"], F.array(t)).alias("kept"))).otherwise(s),
-    )
-    return times.select("key", F.explode(folded["kept"]).alias("_t")).select("key", F.timestamp_micros("_t").alias("ts"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last_key, last = None, None
+        for batch in batches:
+            codes = batch["key"].dictionary_encode()
+            code, names, t = codes.indices.to_numpy(), codes.dictionary.to_pylist(), batch["t"].to_numpy()
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1), len(code)]
+            kept: list[int] = []
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                key = names[code[a]]
+                last = last if key == last_key else None
+                last_key = key
+                at = a if last is None else a + int(np.searchsorted(t[a:b], last + gap))
+                while at < b:  # from each time let through, straight to the next
+                    kept.append(at)
+                    last = int(t[at])
+                    at += int(np.searchsorted(t[at:b], last + gap))
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    rows = _keyed(events, keys).where("ts IS NOT NULL").select("key", F.unix_micros("ts").alias("t"))
+    kept = rows.repartition("key").sortWithinPartitions("key", "t").mapInArrow(fold, "key string, t long")
+    return kept.select("key", F.timestamp_micros("t").alias("ts"))
 
 
 def unseen(batch: DataFrame, seen: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
