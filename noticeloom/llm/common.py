@@ -1,11 +1,10 @@
-"""What the corpus operators share: shared work folders, Arrow-batched column maps, label sampling."""
+"""What the corpus operators share: work tables, Arrow-batched column maps, joins with hot keys, label sampling."""
 
 from __future__ import annotations
 
 import bisect
 import importlib.util
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,39 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from noticeloom.sources.work import shared_folder, written  # noqa: F401
+
 #: Bytes of a batch, about, that a Python function gets as lists at a time. Spark itself bounds the Arrow
 #: batches that it sends by bytes.
 SLICE_BYTES = 4 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below spark.checkpoint.dir. Where that is unset, a session within one process, as in
-    tests, gets a local folder; on a cluster, whose executors don't share one, this is an error."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        master = spark.sparkContext.master
-        if master != "local" and not master.startswith("local["):
-            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
-        root = "file://" + tempfile.mkdtemp(prefix="noticeloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/noticeloom/{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
-    """df written as a Parquet table in the shared folder, partitioned by parts, and read again: its
-    lineage ends there, and the shuffle files that made it go."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
-        df.write.partitionBy(*parts).parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(table: DataFrame) -> None:
     """Frees the files of a table from written() that nothing will read any more."""
     for folder in {name.rsplit("/", 1)[0].split("/order=")[0] for name in table.inputFiles()}:
