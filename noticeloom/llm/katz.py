@@ -1,21 +1,28 @@
-"""Katz backoff language model in partitioned tables.
-
-Counting: each task cuts its documents into chunks, and sends each chunk's distinct n-grams with their
-counts to hash buckets, where they are summed. Estimation: counts are discounted by Good-Turing, order by
-order; the mass that a context's seen continuations leave is shared out by its backoff weight, computed
-from the sums over exactly these continuations, so that every distribution adds up to one.
-
-Scoring: the recursion log P(w | h) = log P*(w | h) where hw was seen, else log a(h) + log P(w | h')
-telescopes. With h' the context without its first word, each seen n-gram stores how much it adds over the
-backed-off path, log P*(w | h) - log a(h) - log P(w | h'), plus its own weight as a context; a text's
-log probability is the sum of these values over its n-grams of all orders. The most frequent n-grams, a
-bounded number, are broadcast; the others' occurrences meet the value tables in their buckets.
+"""Katz backoff language model of order three in partitioned tables.
+
+Words have codes: the most frequent ones, a bounded number, their rank, the others a 63-bit hash. An n-gram of
+three words lies in the bucket of its middle word, where everything meets that its probability is made of:
+the n-grams with the same first two words, and the pairs of the middle word with its followers. So a
+trigram, its context's backoff weight, the pair it backs off to and that pair's weight are found in one bucket, and
+only probabilities of single rare words have to be asked for elsewhere. The middle words of very many tokens
+are dealt out to several buckets by the first word; their followers are sent to each of these.
+
+Counting: each task cuts its documents into chunks and sends each chunk's distinct n-grams, sorted and packed,
+to their buckets, where they are merged. Counts are discounted by Good-Turing, order by order; the mass
+that a context's seen continuations leave is shared out by its backoff weight, computed from the sums over
+exactly these continuations, so that every distribution adds up to one. A bucket's row holds its
+n-grams with their counts and its contexts' weights; the weight of a context that occurred once follows
+from its one continuation by the same formula, and is worked out when the row is read.
+
+Scoring: documents' tokens with the two words before them are sent to the buckets in the same way, and each is
+evaluated by recursion: its own entry, else the context's weight times the shorter n-gram's probability.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -23,25 +30,26 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, ship, slices, written
 
-#: Longest n-gram, and how often one of two words and more must occur to get an entry of its own.
-ORDER, LEAST_COUNT = 3, 1
+ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a chunk: what a task holds at a time.
 CHUNK_TOKENS = 4_000_000
-#: Training tokens for each bucket, about: what a task adds up or looks up at a time.
-BUCKET_TOKENS = 2_000_000
-#: N-grams of each order that make up at least this share of the training tokens are broadcast: so at
-#: most this number of each order.
-FREQUENT = 50_000
-
-_END = np.uint64(xxhash.xxh64_intdigest(b"\n"))  # no word has a line feed
+#: Training tokens for each bucket, about; and those of one middle word that stay together.
+BUCKET_TOKENS, WORD_TOKENS = 2_000_000, 16_000_000
+#: Words whose ranks, counts and probabilities are broadcast: 8, 8 and 8 bytes for each.
+FREQUENT = 1 << 19
+
+_HASHED = np.uint64(1 << 63)
+_START = np.uint64(0)  # in the place of the first word where a text begins with the other two
+_END = np.uint64(xxhash.xxh64_intdigest(b"\n")) | _HASHED  # no word has a line feed
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_BITS = 21
 
 
 def token_hashes(text: str) -> np.ndarray:
@@ -50,28 +58,114 @@ def token_hashes(text: str) -> np.ndarray:
     out = np.empty(len(words) + 1, np.uint64)
     out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     out[-1] = _END
-    return out
+    return out | _HASHED
 
 
-def joined_key(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """The key of an n-gram, from those of its first and of its last n-1 words."""
-    x = (context + _B) * _A
-    x = ((x ^ x >> np.uint64(31)) + suffix) * _B
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x + _B) * _A
+    x = (x ^ x >> np.uint64(31)) * _B
     return x ^ x >> np.uint64(29)
 
 
-def pack(values: np.ndarray, rising: bool = False) -> bytes:
-    """values, rising ones as differences, byte plane by byte plane, compressed."""
-    data = np.diff(values, prepend=values.dtype.type(0)) if rising else values
-    planes = np.ascontiguousarray(data).view(np.uint8).reshape(-1, data.itemsize).T
+def pack(values: np.ndarray) -> bytes:
+    """values, byte plane by byte plane, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def unpack(data: bytes, kind, rising: bool = False) -> np.ndarray:
+def unpack(data: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(size, -1)
-    values = np.ascontiguousarray(planes.T).view(kind).ravel()
-    return np.cumsum(values, dtype=kind) if rising else values
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def pack_codes(codes: np.ndarray) -> bytes:
+    """Ranks and hashes apart: a hash leaves a gap, and follows after all ranks."""
+    hashed = codes >= _HASHED
+    ranks = pack(np.where(hashed, np.uint64(0xFFFFFFFF), codes).astype(np.uint32))
+    return struct.pack("<I", len(ranks)) + ranks + codes[hashed].tobytes()
+
+
+def unpack_codes(data: bytes) -> np.ndarray:
+    (size,) = struct.unpack_from("<I", data)
+    codes = unpack(data[4:4 + size], np.uint32).astype(np.uint64)
+    codes[codes == 0xFFFFFFFF] = np.frombuffer(data, np.uint64, offset=4 + size)
+    return codes
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before, in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _lengths(first: np.ndarray, size: int) -> np.ndarray:
+    return np.diff(np.append(first, size)).astype(np.uint32)
+
+
+def pack_grams(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """N-grams sorted by middle, first and last word: the first two as runs."""
+    outer, inner = _runs(middle), _runs(middle, first)
+    within = _lengths(np.searchsorted(inner, outer), len(inner))
+    return [pack_codes(middle[outer]), pack(within), pack_codes(first[inner]), pack(_lengths(inner, len(middle))), pack_codes(last)]
+
+
+def unpack_grams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    inner = unpack(data[3], np.uint32)
+    middle = np.repeat(np.repeat(unpack_codes(data[0]), unpack(data[1], np.uint32)), inner)
+    return middle, np.repeat(unpack_codes(data[2]), inner), unpack_codes(data[4])
+
+
+def _ordered(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The order by three columns of small numbers or codes; ties stay as they are."""
+    if max((int(c.max()) for c in (middle, first, last) if len(c)), default=0) < 1 << _BITS:
+        return np.argsort(_joined(middle, first, last), kind="stable")
+    return np.lexsort((last, first, middle))
+
+
+def _joined(*columns: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = out << np.uint64(_BITS) | c.astype(np.uint64)
+    return out
+
+
+class Words:
+    """The frequent words: hashes, in order, with their ranks; and by rank, from 1 on, counts and in how many buckets
+    the n-grams around a word lie."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, bits: int):
+        by = np.argsort(hashes)
+        self.hashes, self.ranks, self.bits = hashes[by], by.astype(np.uint64) + np.uint64(1), bits
+        self.counts = np.append(0, counts).astype(np.int64)
+        self.parts = np.maximum(1, -(-self.counts // WORD_TOKENS)).astype(np.uint64)
+
+    def codes(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return hashes
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[place] == hashes, self.ranks[place], hashes)
+
+    def parts_of(self, codes: np.ndarray) -> np.ndarray:
+        return np.where(codes < _HASHED, self.parts[np.where(codes < _HASHED, codes, 0).astype(np.int64)], np.uint64(1))
+
+    def bucket(self, codes: np.ndarray, part: np.ndarray | int = 0) -> np.ndarray:
+        return (_mixed(codes + np.uint64(0x10001) * np.asarray(part, np.uint64)) >> np.uint64(64 - self.bits)).astype(np.uint32)
+
+    def place(self, middle: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The bucket of each n-gram."""
+        parts = self.parts_of(middle)
+        return self.bucket(middle, np.where(parts > 1, _mixed(first) % parts, np.uint64(0)))
+
+
+def _by_bucket(bucket: np.ndarray):
+    """(bucket, places of its entries, in order) for each bucket that has any."""
+    by = np.argsort(bucket.astype(np.uint16) if not len(bucket) or bucket.max() < 1 << 16 else bucket, kind="stable")
+    found = bucket[by]
+    for a, b in itertools.pairwise(np.append(_runs(found), len(found)) if len(found) else []):
+        yield int(found[a]), by[a:b]
 
 
 def _chunks(batches, place: int):
@@ -79,96 +173,141 @@ def _chunks(batches, place: int):
     rows: list[tuple] = []
     hashes: list[np.ndarray] = []
     size = 0
+    cut = lambda: (rows, np.concatenate(hashes), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(h) for h in hashes]))
     for part in (part for batch in batches for part in slices(batch)):
         for row in zip(*(c.to_pylist() for c in part.columns)):
             rows.append(row[:place] + row[place + 1:])
             hashes.append(token_hashes(row[place] or ""))
             size += len(hashes[-1])
             if size >= CHUNK_TOKENS:
-                yield rows, np.concatenate(hashes), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(h) for h in hashes])
+                yield cut()
                 rows, hashes, size = [], [], 0
     if rows:
-        yield rows, np.concatenate(hashes), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(h) for h in hashes])
+        yield cut()
 
 
-def _orders(hashes: np.ndarray, row: np.ndarray, order: int):
-    """(k, keys, contexts, suffixes, rows) of the k-grams within rows, for k from 1 to order."""
-    keys, at = hashes, np.arange(len(hashes))  # at: the places where these k-grams end
-    yield 1, keys, keys, keys, row
-    full = hashes
-    for k in range(2, order + 1):
-        inside = at[1:][(at[1:] - 1 == at[:-1]) & (row[at[1:]] == row[at[:-1]])]
-        context, suffix = full[inside - 1], full[inside]
-        keys = joined_key(context, suffix)
-        yield k, keys, context, suffix, row[inside]
-        full = np.zeros(len(hashes), np.uint64)
-        full[inside] = keys
-        at = inside
+class Chunk:
+    """The n-grams of a chunk, in local numbers of its words: entries (middle, first, last, row)."""
 
+    def __init__(self, hashes: np.ndarray, row: np.ndarray, words: Words):
+        distinct, at = np.unique(hashes, return_inverse=True)
+        codes = words.codes(distinct)
+        by = np.argsort(codes)
+        number = np.empty(len(by), np.uint32)
+        number[by] = np.arange(1, len(by) + 1, dtype=np.uint32)
+        self.codes = np.concatenate([[_START], codes[by]])
+        self.token = number[at]
+        end = np.flatnonzero(row[1:] == row[:-1]) + 1
+        self.middle, self.last, self.row = self.token[end - 1], self.token[end], row[end]
+        before = end - 2
+        self.first = np.where((before >= 0) & (row[before] == self.row), self.token[before], np.uint32(0))
+        parts = words.parts_of(self.codes)
+        self.bucket = words.bucket(self.codes)[self.middle]
+        split = np.flatnonzero(parts[self.middle] > 1)
+        if len(split):
+            self.bucket[split] = words.place(self.codes[self.middle[split]], self.codes[self.first[split]])
+        self.parts, self.split = parts, split
+
+    def grams(self, *numbers: np.ndarray) -> list[bytes]:
+        return pack_grams(*(self.codes[n] for n in numbers))
 
-def _runs(*columns: np.ndarray) -> np.ndarray:
-    """Where a row differs from the one before, in any column."""
-    new = np.ones(len(columns[0]), bool)
-    if len(new) > 1:
-        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-    return np.flatnonzero(new)
 
+_PART_SCHEMA = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.string()), ("data", pa.list_(pa.binary()))])
+_PART = "kind int, bucket int, chunk string, data array<binary>"
+#: Kinds of rows: a chunk's documents, its n-grams, rare words' counts, the pairs of a divided word, a bucket of the
+#: model, rare words' occurrences, sums of scores, and words whose probability is asked for.
+_HEAD, _GRAMS, _COUNTS, _PAIRS, _BLOCK, _RARE, _SUMS, _ASKED = range(8)
 
-def _buckets(keys: np.ndarray, bits: int):
-    """(bucket, places of its keys, in order) for each bucket that has keys: sorting then works on small parts."""
-    bucket = (keys >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
-    by = np.argsort(bucket, kind="stable").astype(np.uint32)
-    bucket = bucket[by]
-    for a, b in itertools.pairwise(np.append(_runs(bucket), len(bucket)) if len(bucket) else []):
-        yield int(bucket[a]), by[a:b]
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART_SCHEMA)], schema=_PART_SCHEMA)
 
-_COUNT_SCHEMA = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("contexts", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_PART_SCHEMA.names)
 
-def count_ngrams(texts: DataFrame, order: int, bits: int) -> DataFrame:
-    """(order, key, context, suffix, n) of the n-grams of texts (text) that get an entry, and rows of order
-    -k with the number n of distinct k-grams that occurred `key` times, for key up to DISCOUNTED + 1."""
-    ship(texts.sparkSession)
 
+def count_words(texts: DataFrame) -> DataFrame:
+    """(key, n): how often each word, and the end of texts, occurs; key is its hash."""
     def send(batches):
-        for _, hashes, row in _chunks(batches, 0):
-            for k, keys, contexts, suffixes, _ in _orders(hashes, row, order):
-                rows = []
-                for bucket, here in _buckets(keys, bits):
-                    c, x = contexts[here], suffixes[here]
-                    by = np.lexsort((x, c)) if k > 1 else np.argsort(c)
-                    c, x = c[by], x[by]
-                    first = _runs(c, x)
-                    counts = np.diff(np.append(first, len(c))).astype(np.uint32)
-                    rows.append((k, bucket, pack(c[first], True), pack(x[first]) if k > 1 else b"", pack(counts)))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _COUNT_SCHEMA)], schema=_COUNT_SCHEMA)
-
-    def add_up(group: pd.DataFrame) -> pd.DataFrame:
-        k = int(group["order"].iloc[0])
-        contexts = np.concatenate([unpack(x, np.uint64, True) for x in group["contexts"]])
-        suffixes = np.concatenate([unpack(x, np.uint64) for x in group["suffixes"]]) if k > 1 else contexts
-        counts = np.concatenate([unpack(x, np.uint32) for x in group["counts"]]).astype(np.int64)
-        keys = joined_key(contexts, suffixes) if k > 1 else contexts
-        by = np.argsort(keys)
-        keys, contexts, suffixes, counts = keys[by], contexts[by], suffixes[by], counts[by]
-        first = _runs(keys)
-        counts = np.add.reduceat(counts, first)
-        seen = np.bincount(np.minimum(counts, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2]
-        use = counts >= (LEAST_COUNT if k > 1 else 1)
-        first = first[use]
-        rest = DISCOUNTED + 1
-        return pd.DataFrame({
-            "order": np.append(np.full(len(first), k), np.full(rest, -k)).astype(np.int32),
-            "key": np.append(keys[first].view(np.int64), np.arange(1, rest + 1)),
-            "context": np.append(contexts[first].view(np.int64), np.zeros(rest, np.int64)),
-            "suffix": np.append(suffixes[first].view(np.int64), np.zeros(rest, np.int64)),
-            "n": np.append(counts[use], seen),
-        })
-
-    sent = texts.select("text").mapInArrow(send, "order int, bucket int, contexts binary, suffixes binary, counts binary")
-    return sent.groupBy("order", "bucket").applyInPandas(add_up, "order int, key long, context long, suffix long, n long")
+        for _, hashes, _ in _chunks(batches, 0):
+            keys, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+
+    return texts.select("text").mapInArrow(send, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct codes of all columns, in order, and the columns as places among them."""
+    codes, at = np.unique(np.concatenate(columns), return_inverse=True)
+    return codes, np.split(at, np.cumsum([len(c) for c in columns])[:-1])
+
+
+class Block:
+    """A bucket's n-grams (middle, first, last, n), sorted, and pairs (of, follower, m): for undivided middle words
+    from the n-grams, for divided ones as they were sent."""
+
+    def __init__(self, grams: tuple, n: np.ndarray, pairs: tuple):
+        self.words, (middle, first, last, of, follower) = _numbered(*grams, *pairs[:2])
+        self.middle, self.first, self.last, self.n = middle, first, last, n
+        own = ~np.isin(middle, of)
+        key = np.concatenate([_joined(middle[own], last[own]), _joined(of, follower)])
+        count = np.concatenate([n[own], pairs[2]])
+        by = np.argsort(key, kind="stable")
+        start = _runs(key[by])
+        self.pair = key[by][start]
+        self.m = np.add.reduceat(count[by], start) if len(start) else count
+        self.of, self.follower = self.pair >> np.uint64(_BITS), self.pair & np.uint64((1 << _BITS) - 1)
+        # contexts: middle words over pairs, and two words over n-grams
+        self.heads = _runs(self.of) if len(self.of) else np.zeros(0, np.int64)
+        self.head = self.of[self.heads]
+        self.count1 = np.add.reduceat(self.m, self.heads) if len(self.heads) else self.m
+        true = np.flatnonzero(self.first != np.searchsorted(self.words, _START)) if len(self.words) and self.words[0] == _START else np.arange(len(n))
+        self.gram = _joined(middle[true], self.first[true], last[true])
+        self.g = n[true]
+        self.context = self.gram >> np.uint64(_BITS)
+        self.starts = _runs(self.context) if len(self.context) else np.zeros(0, np.int64)
+        self.count2 = np.add.reduceat(self.g, self.starts) if len(self.starts) else self.g
+
+    @classmethod
+    def read(cls, data: list[bytes]) -> Block:
+        return cls(unpack_grams(data), unpack(data[5], np.uint32).astype(np.int64), (unpack_codes(data[6]), unpack_codes(data[7]), unpack(data[8], np.uint32).astype(np.int64)))
+
+    def seen(self, divided_elsewhere: np.ndarray) -> list[int]:
+        """How many pairs, then n-grams, occurred 1, 2, ... times; pairs of these middle words are counted elsewhere."""
+        here = ~np.isin(self.words[self.of.astype(np.int64)], divided_elsewhere) if len(self.of) else np.zeros(0, bool)
+        count = lambda c: np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2].tolist()
+        return [*count(self.m[here]), *count(self.g)]
+
+    def probabilities(self, factors: dict[int, np.ndarray]) -> None:
+        """p2, p3: of each pair's and n-gram's last word after the words before; left1, left2: what contexts leave."""
+        mass = lambda n, k: factors[k][np.minimum(n, DISCOUNTED + 1)] * n
+
+        def after(count, starts, masses):
+            size = _lengths(starts, len(masses))
+            left = 1 - (np.add.reduceat(masses, starts) if len(starts) else masses) / count
+            tight = left < 1e-9  # nothing was discounted: such a context sets one count aside
+            return masses / np.repeat(count + tight, size), np.where(tight, 1 / (count + 1.0), left)
+
+        self.p2, self.left1 = after(self.count1, self.heads, mass(self.m, 2))
+        self.p3, self.left2 = after(self.count2, self.starts, mass(self.g, 3))
+
+    def context_weights(self) -> np.ndarray:
+        """The backoff weight of each context of two words."""
+        shorter = self.gram & np.uint64((1 << _BITS) - 1) | (self.gram >> np.uint64(2 * _BITS)) << np.uint64(_BITS)
+        covered = np.add.reduceat(self.p2[np.searchsorted(self.pair, shorter)], self.starts) if len(self.starts) else np.zeros(0)
+        return self.left2 / (1 - covered)
+
+
+def _merged(parts: list[list[bytes]]) -> tuple[tuple, np.ndarray]:
+    grams = [unpack_grams(d) for d in parts]
+    columns = [np.concatenate(c) for c in zip(*grams)] if grams else [np.zeros(0, np.uint64)] * 3
+    n = np.concatenate([unpack(d[5], np.uint32) for d in parts]).astype(np.int64) if grams else np.zeros(0, np.int64)
+    codes, numbers = _numbered(*columns)
+    by = _ordered(*numbers)
+    middle, first, last = (c[by] for c in columns)
+    start = _runs(middle, first, last) if len(by) else by
+    return (middle[start], first[start], last[start]), np.add.reduceat(n[by], start) if len(start) else n
 
 
 def discounts(seen: dict[int, int]) -> list[float]:
@@ -185,16 +324,29 @@ def discounts(seen: dict[int, int]) -> list[float]:
     return [1.0, *(1 - d / r for r in range(1, DISCOUNTED + 1))]
 
 
-def _factor(table: list[float]):
-    return F.when(F.col("n") <= DISCOUNTED, F.element_at(F.array(*map(F.lit, table)), F.col("n").cast("int") + 1)).otherwise(1.0)
+class Numbers:
+    """What tasks need to know of a model: factors of counts, by order; tokens and types of the training texts."""
+
+    def __init__(self, factors: dict[int, np.ndarray], tokens: int, types: int, freed: float):
+        self.factors, self.tokens, self.types = factors, tokens, types
+        self.scale, rest = (float(tokens), freed) if freed > 0 else (tokens + 1.0, 1.0)
+        #: log10 probability of a word that has no entry
+        self.unknown = math.log10(rest / self.scale) if tokens else 0.0
+
+    def one(self, n: np.ndarray) -> np.ndarray:
+        """The probabilities of words that occurred n times."""
+        return self.factors[1][np.minimum(n, DISCOUNTED + 1)] * n / self.scale
+
+    def base(self, n: np.ndarray) -> np.ndarray:
+        return np.log10((n + 1) / (self.tokens + self.types + 1))
 
 
 class Model:
-    """values: (order, key, n, value, base) of each entry; tokens and types: of the training texts;
-    unknown: log10 probability of a word that has no entry."""
+    """blocks: a row for each bucket; unigrams: (key, n); words: the frequent ones; seen: by order, how many n-grams
+    occurred so often."""
 
-    def __init__(self, values: DataFrame, order: int, bits: int, tokens: int, types: int, unknown: float):
-        self.values, self.order, self.bits, self.tokens, self.types, self.unknown = values, order, bits, tokens, types, unknown
+    def __init__(self, blocks: DataFrame, unigrams: DataFrame, words: Words, numbers: Numbers, seen: dict[int, dict[int, int]]):
+        self.blocks, self.unigrams, self.words, self.numbers, self.seen, self.tokens = blocks, unigrams, words, numbers, seen, numbers.tokens
 
 
 def _bits(texts: DataFrame) -> int:
@@ -204,155 +356,295 @@ def _bits(texts: DataFrame) -> int:
     return max(3, math.ceil(most / BUCKET_TOKENS).bit_length())
 
 
-def train(texts: DataFrame, order: int = ORDER) -> Model:
+def _count_grams(texts: DataFrame, shared) -> DataFrame:
+    """Rows (kind, bucket, chunk, data, seen) of each bucket's n-grams."""
+    def send(batches):
+        for _, hashes, row in _chunks(batches, 0):
+            chunk, rows = Chunk(hashes, row, shared.value), []
+            for bucket, here in _by_bucket(chunk.bucket):
+                key = [c[here] for c in (chunk.middle, chunk.first, chunk.last)]
+                by = _ordered(*key)
+                key = [c[by] for c in key]
+                start = _runs(*key)
+                rows.append((_GRAMS, bucket, "", [*chunk.grams(*(c[start] for c in key)), pack(_lengths(start, len(by)))]))
+            if len(chunk.split):  # the followers of divided words go to each of their buckets
+                pair, n = np.unique(_joined(chunk.middle[chunk.split], chunk.last[chunk.split]), return_counts=True)
+                of, follower = pair >> np.uint64(_BITS), pair & np.uint64((1 << _BITS) - 1)
+                for a, b in itertools.pairwise(np.append(_runs(of), len(of))):
+                    code = chunk.codes[int(of[a])]
+                    data = [pack_codes(np.full(b - a, code)), pack_codes(chunk.codes[follower[a:b].astype(np.int64)]), pack(n[a:b].astype(np.uint32))]
+                    places = shared.value.bucket(np.full(int(chunk.parts[int(of[a])]), code), np.arange(int(chunk.parts[int(of[a])])))
+                    for bucket in np.unique(places).tolist():  # two parts may share a bucket
+                        rows.append((_PAIRS, bucket, "first" if bucket == places[0] else "again", data))
+            if rows:
+                yield _batch(rows)
+
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        of_kind = lambda k: [list(d) for d in group["data"][group["kind"] == k]]
+        grams, n = _merged(of_kind(_GRAMS))
+        sent = of_kind(_PAIRS)
+        none = np.zeros(0, np.uint64)
+        pairs = [np.concatenate([f(d[i]) for d in sent]) if sent else none for i, f in ((0, unpack_codes), (1, unpack_codes))]
+        m = np.concatenate([unpack(d[2], np.uint32) for d in sent]).astype(np.int64) if sent else np.zeros(0, np.int64)
+        if sent:
+            by = np.lexsort((pairs[1], pairs[0]))
+            start = _runs(pairs[0][by], pairs[1][by])
+            pairs, m = [p[by][start] for p in pairs], np.add.reduceat(m[by], start)
+        again = group[group["chunk"] == "again"]["data"]
+        elsewhere = {int(unpack_codes(d[0])[0]) for d in again}
+        block = Block(grams, n, (*pairs, m))
+        data = [*pack_grams(*grams), pack(n.astype(np.uint32)), pack_codes(pairs[0]), pack_codes(pairs[1]), pack(m.astype(np.uint32))]
+        elsewhere = np.array(sorted(elsewhere), np.uint64)
+        return pd.DataFrame({"kind": [_BLOCK], "bucket": [group["bucket"].iloc[0]], "chunk": [""], "data": [[*data, pack_codes(elsewhere)]], "seen": [block.seen(elsewhere)]})
+
+    sent = texts.select("text").mapInArrow(send, _PART)
+    return sent.groupBy("bucket").applyInPandas(merge, _PART + ", seen array<long>")
+
+
+def train(texts: DataFrame) -> Model:
     """The model of texts (text); null texts count as empty. Without texts all words are unknown, with
     probability one."""
-    bits = _bits(texts)
-    counts = written(count_ngrams(texts, order, bits), "ngram_counts", "order")
-    seen: dict[int, dict[int, int]] = {k: {} for k in range(1, order + 1)}
-    for r in counts.where("order < 0").groupBy("order", "key").agg(F.sum("n").alias("n")).collect():
-        seen[-r["order"]][r["key"]] = r["n"]
-    total = counts.where("order = 1").agg(F.sum("n"), F.count("*")).first()
-    tokens, types = total[0] or 0, total[1]
-
-    factors = discounts(seen[1])
-    freed = sum(r * seen[1].get(r, 0) * (1 - factors[r]) for r in range(1, DISCOUNTED + 1))
-    scale, rest = (tokens, freed) if freed > 0 else (tokens + 1, 1)
+    spark = texts.sparkSession
+    ship(spark)
+    unigrams = written(count_words(texts), "unigrams")
+    sums = unigrams.agg(F.sum("n"), F.count("*"), *(F.count_if(F.col("n") == r) for r in range(1, DISCOUNTED + 2))).first()
+    tokens, types = sums[0] or 0, sums[1]
+    seen = {1: {r: sums[r + 1] for r in range(1, DISCOUNTED + 2)}}
+    top = unigrams.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
+    words = Words(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), _bits(texts))
+    shared = spark.sparkContext.broadcast(words)
+    blocks = written(_count_grams(texts, shared), "grams")
+    counted = blocks.agg(*(F.sum(F.element_at("seen", i + 1)) for i in range(2 * (DISCOUNTED + 1)))).first()
+    for k in (2, 3):
+        seen[k] = {r: counted[(k - 2) * (DISCOUNTED + 1) + r - 1] or 0 for r in range(1, DISCOUNTED + 2)}
+    factors = {k: np.array([*discounts(seen[k]), 1.0]) for k in seen}
+    freed = sum(r * seen[1][r] * (1 - factors[1][r]) for r in range(1, DISCOUNTED + 1))
     if freed <= 0:
-        factors = [1.0] * (DISCOUNTED + 1)
-    level = counts.where("order = 1").select(
-        "key", "n", F.log10(_factor(factors) * F.col("n") / F.lit(float(scale))).alias("p"),
-        F.log10((F.col("n") + 1) / F.lit(float(tokens + types + 1))).alias("base"),
-    ).withColumn("value", F.col("p"))
-    made: list[DataFrame] = []
-    used = [counts]
-    for k in range(2, order + 1):
-        # the lower order's probability of the same word, then each context's sums over its continuations
-        lower = level.select(F.col("key").alias("suffix"), F.col("p").alias("lower"))
-        grams = written(counts.where(F.col("order") == k).join(lower, "suffix").select("key", "context", "n", "lower", (_factor(discounts(seen[k])) * F.col("n")).alias("mass")), f"grams{k}")
-        sums = grams.groupBy(F.col("context").alias("key")).agg(F.sum("mass").alias("mass"), F.sum(F.pow(F.lit(10.0), "lower")).alias("covered"))
-        left = 1 - F.col("mass") / F.col("n")
-        tight = left < 1e-9  # nothing was discounted: such a context sets one count aside
-        share = F.when(tight, F.col("n") / (F.col("n") + 1.0)).otherwise(1.0)
-        weight = F.log10(F.when(tight, 1 / (F.col("n") + 1.0)).otherwise(left) / (1 - F.col("covered")))
-        contexts = written(level.join(sums, "key", "left").select(
-            "key", "n", "p", "base", "value", F.coalesce(weight, F.lit(0.0)).alias("backoff"), F.coalesce(F.log10(share), F.lit(0.0)).alias("share")), f"contexts{k}")
-        used += [grams, contexts]
-        made.append(contexts.select(F.lit(k - 1).alias("order"), "key", "n", (F.col("value") + F.col("backoff")).alias("value"), "base"))
-        own = contexts.select(F.col("key").alias("context"), F.col("n").alias("of"), "backoff", "share")
-        level = grams.join(own, "context").select("key", "n", (F.log10(F.col("mass") / F.col("of")) + F.col("share")).alias("p"), F.lit(0.0).alias("base"), "backoff", "lower")
-        level = level.withColumn("value", F.col("p") - F.col("backoff") - F.col("lower")).drop("backoff", "lower")
-        if k < order:
-            level = written(level, f"level{k}")
-            used.append(level)
-    made.append(level.select(F.lit(order).alias("order"), "key", "n", "value", "base"))
-    values = made[0]
-    for more in made[1:]:
-        values = values.unionByName(more)
-    values = written(values, "values", "order")
-    for intermediate in used:
-        discard(intermediate)
-    unknown = math.log10(rest / scale) if tokens else 0.0
-    return Model(values, order, bits, tokens, types, unknown)
-
-
-_PART_SCHEMA = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.string()), ("keys", pa.binary()), ("rows", pa.binary()), ("counts", pa.binary())])
-_PART = "order int, bucket int, chunk string, keys binary, rows binary, counts binary"
-
-
-def _sums(rows: np.ndarray, weights: np.ndarray, size: int) -> np.ndarray:
-    return np.bincount(rows, weights, size)
+        factors[1] = np.ones(DISCOUNTED + 2)
+    model = Model(blocks, unigrams, words, Numbers(factors, tokens, types, float(freed)), seen)
+    model.blocks = written(_weighted(model, shared), "model")
+    discard(blocks)
+    return model
+
+
+def _weighted(model: Model, shared) -> DataFrame:
+    """The blocks with the backoff weights of their contexts."""
+    one, factors = model.numbers.one(model.words.counts), model.numbers.factors
+
+    def rare(batches):
+        for batch in batches:
+            for data in batch["data"].to_pylist():
+                b = Block.read(data)
+                of, follower = b.words[b.of.astype(np.int64)], b.words[b.follower.astype(np.int64)]
+                use = (follower >= _HASHED) & ~np.isin(of, unpack_codes(data[9]))
+                yield pa.RecordBatch.from_arrays([pa.array(of[use].view(np.int64)), pa.array(follower[use].view(np.int64))], ["of", "key"])
+
+    def place(batches):
+        got = [(b["of"].to_numpy().view(np.uint64), b["covered"].to_numpy()) for b in batches]
+        if got:
+            of, covered = (np.concatenate(c) for c in zip(*got))
+            rows = []
+            parts = shared.value.parts_of(of)
+            for part in range(int(parts.max()) if len(parts) else 0):
+                use = parts > part
+                for bucket, here in _by_bucket(shared.value.bucket(of[use], part)):
+                    rows.append((_COUNTS, bucket, "", [pack_codes(of[use][here]), pack(covered[use][here])]))
+            if rows:
+                yield _batch(rows)
+
+    def weigh(group: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        sums = [d for k, d in zip(group["kind"], group["data"]) if k == _COUNTS]
+        of = np.concatenate([unpack_codes(d[0]) for d in sums]) if sums else np.zeros(0, np.uint64)
+        more = np.concatenate([unpack(d[1], np.float64) for d in sums]) if sums else np.zeros(0)
+        by = np.argsort(of)
+        of, more = of[by], more[by]
+        for bucket, data in ((b, list(d)) for k, b, d in zip(group["kind"], group["bucket"], group["data"]) if k == _BLOCK):
+            b = Block.read(data)
+            b.probabilities(factors)
+            follower = b.words[b.follower.astype(np.int64)]
+            known = np.where(follower < _HASHED, one[np.where(follower < _HASHED, follower, 0).astype(np.int64)], 0.0)
+            covered = np.add.reduceat(known, b.heads) if len(b.heads) else known
+            head = b.words[b.head.astype(np.int64)]
+            if len(of):
+                at = np.minimum(np.searchsorted(of, head), len(of) - 1)
+                covered = covered + np.where(of[at] == head, more[at], 0.0)
+            weights = b.left1 / (1 - covered)
+            rows.append((_BLOCK, bucket, "", [*data[:9], pack(weights), pack(b.context_weights()[b.count2 > 1])]))
+        return _frame(rows)
+
+    n = F.when(F.col("n") <= DISCOUNTED, F.element_at(F.array(*map(F.lit, map(float, factors[1]))), F.col("n").cast("int") + 1)).otherwise(1.0) * F.col("n")
+    sums = model.blocks.select("data").mapInArrow(rare, "of long, key long").join(model.unigrams, "key").groupBy("of").agg(F.sum(n / F.lit(model.numbers.scale)).alias("covered"))
+    return model.blocks.select("kind", "bucket", "chunk", "data").unionByName(sums.mapInArrow(place, _PART)).groupBy("bucket").applyInPandas(weigh, _PART)
+
+
+class Evaluator:
+    """A bucket of the model, asked for log10 probabilities."""
+
+    def __init__(self, data: list[bytes], factors: dict[int, np.ndarray]):
+        b = self.block = Block.read(data)
+        b.probabilities(factors)
+        self.weight1 = np.log10(unpack(data[9], np.float64))
+        weights = b.context_weights()
+        weights[b.count2 > 1] = unpack(data[10], np.float64)
+        self.weight2, self.p2, self.p3 = np.log10(weights), np.log10(b.p2), np.log10(b.p3)
+        self.context = b.context[b.starts]
+
+    @staticmethod
+    def _find(table: np.ndarray, keys: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(table):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+        return at, possible & (table[at] == keys)
+
+    def __call__(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(value, short): log10 P(last | first middle), but where short, the last word's own log10 probability
+        is still to be added."""
+        b = self.block
+        numbers, there = [], []
+        for codes in (middle, first, last):
+            at, here = self._find(b.words, codes, np.ones(len(codes), bool))
+            numbers.append(np.where(here, at, 0))
+            there.append(here)
+        (m, f, w), (has_m, has_f, has_w) = numbers, there
+        has_f = has_f & (first != _START)
+        at, own = self._find(b.gram, _joined(m, f, w), has_m & has_f & has_w)
+        value = np.where(own, self.p3[at] if len(self.p3) else 0.0, 0.0)
+        at, context = self._find(self.context, _joined(m, f), ~own & has_m & has_f)
+        value += np.where(context, self.weight2[at] if len(self.weight2) else 0.0, 0.0)
+        at, pair = self._find(b.pair, _joined(m, w), ~own & has_m & has_w)
+        value += np.where(pair, self.p2[at] if len(self.p2) else 0.0, 0.0)
+        short = ~own & ~pair
+        at, head = self._find(b.head, m.astype(np.uint64), short & has_m)
+        return value + np.where(head, self.weight1[at] if len(self.weight1) else 0.0, 0.0), short
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) for each row of docs (doc_id, text), in log10.
 
-    A null text counts as empty: its one token is the end. Equal rows give equal rows; other columns are
-    not read; an empty table gives no rows.
+    A null text counts as empty: its one token is the end. Long texts are scored whole. Equal rows give
+    equal rows; other columns are not read; an empty table gives no rows. Words are told apart by 63-bit hashes.
     """
     spark = docs.sparkSession
     ship(spark)
-    bits, order, unknown = model.bits, model.order, model.unknown
-    base_unknown = -math.log10(model.tokens + model.types + 1)
-    frequent = model.values.where(F.col("n") >= max(1.0, model.tokens / FREQUENT)).orderBy("order", "key").collect()
-    tables = {k: tuple(np.array([r[c] for r in frequent if r["order"] == k], t) for c, t in (("key", np.int64), ("value", float), ("base", float))) for k in range(1, order + 1)}
-    shared = spark.sparkContext.broadcast(tables)
-
-    def look_up(keys: np.ndarray, table) -> tuple[np.ndarray, np.ndarray]:
-        """Places in the table (sorted by signed key), and whether the key is there."""
-        own = table[0]
-        if not len(own):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        place = np.minimum(np.searchsorted(own, keys), len(own) - 1)
-        return place, own[place] == keys
+    numbers = model.numbers
+    one, base, unknown, factors = numbers.one, numbers.base, numbers.unknown, numbers.factors
+    frequent = model.words.counts > 0
+    with np.errstate(divide="ignore"):
+        own = np.where(frequent, np.log10(one(model.words.counts)), 0.0)
+    shared = spark.sparkContext.broadcast((model.words, own, np.where(frequent, base(model.words.counts), 0.0)))
+    base_unknown = float(base(np.zeros(1))[0])
 
     def send(batches):
         from pyspark import TaskContext
 
+        words, probability, of_base = shared.value
         task = TaskContext.get().partitionId()
         for number, (ids, hashes, row) in enumerate(_chunks(batches, 1)):
-            chunk, size = f"{task}:{number}", len(ids)
-            done = np.zeros((3, size))  # value, base score, known tokens
-            rows = []
-            for k, keys, _, _, at in _orders(hashes, row, order):
-                table = shared.value[k]
-                place, here = look_up(keys.view(np.int64), table)
-                done[0] += _sums(at[here], table[1][place[here]], size)
-                if k == 1:
-                    done[1] += _sums(at[here], table[2][place[here]], size)
-                    done[2] += np.bincount(at[here], minlength=size)
-                keys, at = keys[~here], at[~here]
-                del place, here
-                for bucket, mine in _buckets(keys, bits):
-                    own, whose = keys[mine], at[mine]
-                    by = np.argsort(own, kind="stable")
-                    own, whose = own[by], whose[by]
-                    first = _runs(own, whose)
-                    counts = np.diff(np.append(first, len(own))).astype(np.uint32)
-                    rows.append((k, bucket, chunk, pack(own[first], True), pack(whose[first]), pack(counts)))
+            name, size, rows = f"{task}:{number}", len(ids), []
+            chunk = Chunk(hashes, row, words)
+            code = chunk.codes[chunk.token]
+            ranked = code < _HASHED
+            rank = np.where(ranked, code, 0).astype(np.int64)
+            begin = _runs(row) if len(row) else np.zeros(0, np.int64)
+            done = np.zeros((3, size))  # score, base score, known tokens
+            done[0, row[begin]] = np.where(ranked[begin], probability[rank[begin]], 0.0)
+            done[1] = np.bincount(row, of_base[rank], size)
+            done[2] = np.bincount(row[ranked], minlength=size)
+            first = np.zeros(len(row), np.uint8)
+            first[begin] = 1  # a rare first word's own probability is its score
+            places = np.flatnonzero(~ranked)
+            for bucket, here in _by_bucket(words.bucket(code[places])):
+                at = places[here]
+                rows.append((_RARE, bucket, name, [code[at].tobytes(), pack(row[at]), first[at].tobytes()]))
+            for bucket, here in _by_bucket(chunk.bucket):
+                key = [c[here] for c in (chunk.middle, chunk.first, chunk.last)]
+                by = _ordered(*key)
+                key, whose = [c[by] for c in key], chunk.row[here][by]
+                start = _runs(*key, whose)
+                rows.append((_GRAMS, bucket, name, [*chunk.grams(*(c[start] for c in key)), pack(_lengths(start, len(by))), pack(whose[start])]))
             names = np.array([i for (i,) in ids], object)
             null = np.array([i is None for i in names], bool)
-            numbers = np.where(null, 0, names).astype(np.int64)
+            as_numbers = np.where(null, 0, names).astype(np.int64)
             tokens = np.bincount(row, minlength=size).astype(np.uint32)
-            rows.append((0, zlib.crc32(chunk.encode()) % 1024, chunk, pack(numbers), pack(np.stack([tokens, null.astype(np.uint32)]).ravel()), pack(done.ravel())))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PART_SCHEMA)], schema=_PART_SCHEMA)
-
-    def meet(entries: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        if len(parts) and parts["order"].iloc[0] == 0:  # a chunk's head goes on to finish
-            return parts
-        entries = entries.sort_values("key")
-        table = (entries["key"].to_numpy(np.int64), entries["value"].to_numpy(float), entries["base"].to_numpy(float))
+            rows.append((_HEAD, zlib.crc32(name.encode()) % (1 << words.bits), name, [pack(as_numbers), pack(tokens), null.tobytes(), pack(done.ravel())]))
+            yield _batch(rows)
+
+    def words_of(batches):
+        got = [(b["key"].to_numpy().view(np.uint64), b["n"].to_numpy()) for b in batches]
+        if got:
+            keys, n = (np.concatenate(c) for c in zip(*got))
+            keys, n = keys[(code := shared.value[0].codes(keys)) >= _HASHED], n[code >= _HASHED]
+            rows = [(_COUNTS, bucket, "", [keys[here].tobytes(), pack(n[here])]) for bucket, here in _by_bucket(shared.value[0].bucket(keys))]
+            if rows:
+                yield _batch(rows)
+
+    def table(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        parts = group["data"][group["kind"] == _COUNTS]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(d[0], np.uint64) for d in parts)])
+        n = np.concatenate([np.zeros(0, np.int64), *(unpack(d[1], np.int64) for d in parts)])
+        by = np.argsort(keys)
+        return keys[by], n[by]
+
+    def summed(chunk: str, rows: np.ndarray, *columns: np.ndarray) -> tuple:
+        whose, at = np.unique(rows, return_inverse=True)
+        sums = [np.bincount(at, c, len(whose)) for c in columns]
+        return (_SUMS, 0, chunk, [pack(whose.astype(np.uint32)), *(pack(s) for s in sums)])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        out = [tuple(r) for r in group[group["kind"] == _HEAD].itertuples(index=False)]
+        words, probability, _ = shared.value
+        blocks = group["data"][group["kind"] == _BLOCK]
+        evaluate = Evaluator(list(blocks.iloc[0]), factors) if len(blocks) else None
+        keys, n = table(group)
+        for kind, chunk, data in zip(group["kind"], group["chunk"], group["data"]):
+            if kind == _RARE:
+                code, whose, first = np.frombuffer(data[0], np.uint64), unpack(data[1], np.uint32), np.frombuffer(data[2], np.uint8)
+                at, here = Evaluator._find(keys, code, np.ones(len(code), bool))
+                count = np.where(here, n[at], 0) if len(n) else np.zeros(len(code), np.int64)
+                with np.errstate(divide="ignore"):
+                    alone = np.where(count > 0, np.log10(one(count)), unknown)
+                out.append(summed(chunk, whose, np.where(first == 1, alone, 0.0), np.where(count > 0, base(count), base_unknown), (count > 0).astype(float)))
+            elif kind == _GRAMS:
+                middle, first, last = unpack_grams(list(data))
+                times, whose = unpack(data[5], np.uint32).astype(float), unpack(data[6], np.uint32)
+                value, short = evaluate(middle, first, last) if evaluate else (np.zeros(len(last)), np.ones(len(last), bool))
+                ranked = last < _HASHED
+                value = value + np.where(short & ranked, probability[np.where(ranked, last, 0).astype(np.int64)], 0.0)
+                out.append(summed(chunk, whose, value * times))
+                asked = np.flatnonzero(short & ~ranked)
+                for bucket, here in _by_bucket(words.bucket(last[asked])):
+                    at = asked[here]
+                    out.append((_ASKED, bucket, chunk, [last[at].tobytes(), pack(whose[at]), pack(times[at])]))
+        return _frame(out)
+
+    def answer(group: pd.DataFrame) -> pd.DataFrame:
+        keys, n = table(group)
         out = []
-        for k, chunk, keys, rows, counts in zip(parts["order"], parts["chunk"], parts["keys"], parts["rows"], parts["counts"]):
-            place, here = look_up(unpack(keys, np.uint64, True).view(np.int64), table)
-            if not here.any():
-                continue
-            place, at, n = place[here], unpack(rows, np.uint32)[here], unpack(counts, np.uint32)[here].astype(float)
-            whose = np.unique(at)
-            at = np.searchsorted(whose, at)
-            sums = [_sums(at, table[1][place] * n, len(whose))] + ([_sums(at, table[2][place] * n, len(whose)), _sums(at, n, len(whose))] if k == 1 else [])
-            out.append((k, 0, chunk, b"", pack(whose.astype(np.uint32)), pack(np.concatenate(sums))))
-        return pd.DataFrame(out, columns=["order", "bucket", "chunk", "keys", "rows", "counts"])
+        for kind, chunk, data in zip(group["kind"], group["chunk"], group["data"]):
+            if kind == _ASKED:
+                code, whose, times = np.frombuffer(data[0], np.uint64), unpack(data[1], np.uint32), unpack(data[2], np.float64)
+                at, here = Evaluator._find(keys, code, np.ones(len(code), bool))
+                count = np.where(here, n[at], 0) if len(n) else np.zeros(len(code), np.int64)
+                with np.errstate(divide="ignore"):
+                    out.append(summed(chunk, whose, np.where(count > 0, np.log10(one(count)), unknown) * times))
+        return _frame(out)
 
     def finish(group: pd.DataFrame) -> pd.DataFrame:
-        head = group[group["order"] == 0].iloc[0]
-        numbers = unpack(head["keys"], np.int64)
-        tokens, null = unpack(head["rows"], np.uint32).reshape(2, -1)
-        done = unpack(head["counts"], np.float64).reshape(3, -1).copy()
-        for k, rows, sums in zip(group["order"], group["rows"], group["counts"]):
-            if k:
-                at, values = unpack(rows, np.uint32), unpack(sums, np.float64)
-                for line, part in enumerate(values.reshape(-1, len(at))):
-                    done[line, at] += part
-        known = np.rint(done[2]).astype(np.int64)
-        missing = tokens.astype(np.int64) - known
-        return pd.DataFrame({
-            "doc_id": pd.array(np.where(null, None, numbers.astype(object)), "Int64"), "n_tokens": tokens.astype(np.int64), "n_known": known,
-            "base_score": done[1] + missing * base_unknown, "score": done[0] + missing * unknown,
-        })
-
+        head = list(group["data"][group["kind"] == _HEAD].iloc[0])
+        names, tokens, null = unpack(head[0], np.int64), unpack(head[1], np.uint32).astype(np.int64), np.frombuffer(head[2], bool)
+        done = unpack(head[3], np.float64).reshape(3, -1).copy()
+        for kind, data in zip(group["kind"], group["data"]):
+            if kind == _SUMS:
+                at = unpack(data[0], np.uint32)
+                for line, part in enumerate(data[1:]):
+                    done[line, at] += unpack(part, np.float64)
+        ids = pd.array(np.where(null, None, names.astype(object)), "Int64")
+        return pd.DataFrame({"doc_id": ids, "n_tokens": tokens, "n_known": np.rint(done[2]).astype(np.int64), "base_score": done[1], "score": done[0]})
+
+    rare = model.unigrams.mapInArrow(words_of, _PART)
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, _PART)
-    bucket = F.shiftrightunsigned("key", 64 - bits).cast("int")
-    entries = model.values.where(F.col("n") < max(1.0, model.tokens / FREQUENT)).select("order", bucket.alias("bucket"), "key", "value", "base")
-    met = entries.groupBy("order", "bucket").cogroup(sent.groupBy("order", "bucket")).applyInPandas(meet, _PART)
-    return met.groupBy("chunk").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    met = written(sent.unionByName(model.blocks).unionByName(rare).groupBy("bucket").applyInPandas(meet, _PART), "met")
+    asked = met.where(F.col("kind") == _ASKED).unionByName(rare).groupBy("bucket").applyInPandas(answer, _PART)
+    parts = met.where(F.col("kind").isin(_HEAD, _SUMS)).unionByName(asked)
+    return parts.groupBy("chunk").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
