@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,16 +23,26 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/noticeloom/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def write_settings(spark: SparkSession) -> Iterator[None]:
+    """While a work table is written: shuffle files go with the job that made them, and Arrow batches are small. What
+    the session had set before is set again afterwards."""
+    values = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     """df written as a Parquet table in the shared folder, partitioned by parts, and read again: its
     lineage ends there, and the shuffle files that made it go."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}"
-    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(cleanup, "false")
-    spark.conf.set(cleanup, "true")
-    try:
+    with write_settings(spark):
         df.write.partitionBy(*parts).parquet(path)
-    finally:
-        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
