@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeloom.functions import facts as N
-from noticeloom.functions.urls import host
 from noticeloom.sources.tables import table
 
 
@@ -43,11 +42,6 @@ def z15_regions(spark, sf_dir):
     return r.select("n_nationkey", F.array_join(F.transform(N.regions(F.col("t"), words, ("EG",)), lambda x: F.concat(x["region"], F.lit("="), F.format_number(x["confidence"], 2))), ",").alias("regions"))
 
 
-def f18_keep_links(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.where(F.col("url").rlike("^https?://") & ~F.col("url").rlike("(?i)utm_") & (host(F.col("url")) == host(F.concat(F.substring_index("url", "/", 3), F.lit("/"))))).select("page_id")
-
-
 def u03_verified_names(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
     name = F.trim("s_name").alias("name")
@@ -90,7 +84,6 @@ SQL = {
     "l10_inline_links": "SELECT page_id, url, 'y at ' AS before, '. Or ' AS after FROM pages UNION ALL SELECT page_id, url, '. Or ', ' soon' FROM pages",
     "z15_regions": """SELECT n_nationkey, CASE WHEN len(h) = 0 THEN CASE WHEN contains(t, 'EG') THEN 'nation=0.72' ELSE '' END ELSE array_to_string(list_transform(h[1:2], lambda x: x.r || '=' || printf('%.2f', least(CAST(0.68 - 0.07 * x.n AS DOUBLE), CASE WHEN len(h) > 2 THEN 0.72 ELSE 0.95 END))), ',') END AS regions
         FROM (SELECT n_nationkey, t, list_sort(list_filter([{'n': -(contains(t, 'RUS')::INT + contains(t, 'IRA')::INT), 'r': 'a'}, {'n': -(contains(t, 'UN')::INT + contains(t, 'JAP')::INT), 'r': 'b'}, {'n': -contains(t, 'CHI')::INT, 'r': 'c'}, {'n': -contains(t, 'A')::INT, 'r': 'd'}], lambda x: x.n < 0)) AS h FROM (SELECT n_nationkey, upper(n_name) AS t FROM nation))""",
-    "f18_keep_links": "SELECT page_id FROM pages WHERE regexp_matches(url, '^https?://') AND NOT regexp_matches(url, '(?i)utm_')",
     "u03_verified_names": "SELECT trim(s_name) AS name FROM supplier WHERE s_acctbal > 0 UNION SELECT trim(s_name) FROM supplier WHERE s_suppkey % 3 = 0",
     "t11_candidate_list": "SELECT o_orderkey FROM orders ORDER BY o_orderstatus = 'P' DESC, o_orderdate DESC, o_orderkey LIMIT 100",
     "t12_source_list": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 100 + s_suppkey % 3 WHEN s_acctbal < 2000 THEN 50 WHEN s_suppkey % 7 = 0 THEN 10 ELSE 0 END AS weight FROM supplier",

@@ -52,3 +52,66 @@ def page_detail(html: Column) -> Column:
         return pd.DataFrame(rows, columns=["title", "heading", "links", "images"])
 
     return parsed(html)
+
+
+ROW = T.StructType([T.StructField("selector", T.StringType()), T.StructField("rows", T.ArrayType(_LINK))])
+
+
+def list_rows(html: Column, selectors: tuple[str, ...]) -> Column:
+    """struct(selector, rows): the links of a list page by the first selector that yields any. A selector is a chain of
+    tags, each with a class or none ('table.board tr'), of which the last holds one row's link."""
+    @F.pandas_udf(ROW)
+    def parsed(pages: pd.Series) -> pd.DataFrame:
+        from html.parser import HTMLParser
+
+        chains = [[tuple(step.split(".", 1)) + ((),) * (1 - step.count(".")) for step in s.split()] for s in selectors]
+        single = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+        def fits(open_tags: list, chain: list) -> bool:
+            """Whether the innermost tags end a path that has the chain's steps in order."""
+            place = len(chain) - 1
+            for tag, classes in reversed(open_tags):
+                name, wanted = chain[place]
+                if tag == name and (not wanted or wanted in classes):
+                    place -= 1
+                    if place < 0:
+                        return True
+                elif place == len(chain) - 1:
+                    continue
+            return False
+
+        class Page(HTMLParser):
+            def __init__(self):
+                super().__init__(convert_charrefs=True)
+                self.open, self.found, self.into = [], [[] for _ in chains], []
+
+            def handle_starttag(self, tag, attrs):
+                known = dict(attrs)
+                if tag not in single:
+                    self.open.append((tag, (known.get("class") or "").split()))
+                if tag == "a" and known.get("href"):
+                    self.into = [rows for rows, chain in zip(self.found, chains) if fits(self.open, chain)]
+                    for rows in self.into:
+                        rows.append([known["href"], ""])
+
+            def handle_endtag(self, tag):
+                places = [i for i, (name, _) in enumerate(self.open) if name == tag]
+                if places:
+                    del self.open[places[-1]:]
+                if tag == "a":
+                    self.into = []
+
+            def handle_data(self, data):
+                for rows in self.into:
+                    rows[-1][1] += data
+
+        out = []
+        for source in pages:
+            page = Page()
+            page.feed(source or "")
+            first = next((i for i, rows in enumerate(page.found) if rows), None)
+            rows = [] if first is None else [{"url": u, "label": " ".join(label.split())} for u, label in page.found[first]]
+            out.append((None if first is None else selectors[first], rows))
+        return pd.DataFrame(out, columns=["selector", "rows"])
+
+    return parsed(html)
