@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from noticeloom.sources.work import shared_folder, written  # noqa: F401
+from noticeloom.sources.work import shared_folder, write_settings, written  # noqa: F401
 
 #: Bytes of a batch, about, that a Python function gets as lists at a time. Spark itself bounds the Arrow
 #: batches that it sends by bytes.

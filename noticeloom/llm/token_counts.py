@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import join_skewed, map_columns, shared_folder, written
+from .common import join_skewed, map_columns, shared_folder, write_settings, written
 
 #: Runs of ASCII blanks: one blank for tokenizers that drop white space.
 BLANKS = r"[ \t\n\x0B\f\r]+"
@@ -95,15 +95,16 @@ def _stored(spark: SparkSession, cache: str, version: str) -> DataFrame | None:
     return found.where(F.col("tokenizer") == version)
 
 
-def _once(contents: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Each of contents (digest, content) once. Only contents that occur more than once are shuffled, as long
-    as their digests' number allows."""
-    repeated = sizes.where("n > 1").select("digest")
-    first = lambda df: df.groupBy("digest").agg(F.first("content").alias("content"))
+def _once(docs: DataFrame, content: Column, digest: Column, sizes: DataFrame) -> DataFrame:
+    """(digest, content) of docs, once for each digest of sizes (digest, n, keep): where it lies, since keep, the least
+    doc_id with it, tells which row to take. Rows that share both are taken twice, which does no harm. Only where
+    the repeated digests are too many to broadcast are contents shuffled."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest, content.alias("content"))
+    repeated = sizes.where("n > 1").select(F.col("digest").alias("_digest"), "keep")
     if repeated.count() > BROADCAST:
-        return first(contents)
-    small = F.broadcast(repeated)
-    return contents.join(small, "digest", "left_anti").unionByName(first(contents.join(small, "digest", "left_semi")))
+        return rows.groupBy("digest").agg(F.first("content").alias("content"))
+    marked = rows.join(F.broadcast(repeated), F.col("digest") == F.col("_digest"), "left")
+    return marked.where(F.col("_digest").isNull() | F.col("doc_id").eqNullSafe(F.col("keep"))).select("digest", "content")
 
 
 def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: int = 2048, by_word: bool = False) -> DataFrame:
@@ -119,14 +120,16 @@ def count_tokens(docs: DataFrame, path: str, cache: str | None = None, limit: in
     version = tokenizer_version(path, by_word)
     text = F.coalesce("text", F.lit(""))
     digest = F.unhex(F.sha2(normalised(text, by_word).cast("binary"), 256)).alias("digest")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest)
-    sizes = written(keyed.groupBy("digest").agg(F.count("*").alias("n")), "sizes")
-    contents = docs.select(digest, normalised(text, by_word).alias("content"))
+    content = normalised(text, by_word)
+    keyed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest), "digests")
+    sizes = written(keyed.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep")), "sizes")
+    contents = _once(docs, content, digest, sizes)
     stored = _stored(spark, cache, version)
     if stored is not None:
         known = sizes.join(stored.select("digest"), "digest", "left_semi").select("digest")
         contents = contents.join(F.broadcast(known) if known.count() <= BROADCAST else known, "digest", "left_anti")
-    encode_lengths(_once(contents, sizes), path, by_word).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    with write_settings(spark):
+        encode_lengths(contents, path, by_word).select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = _stored(spark, cache, version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    counts = written(sizes.join(counts, "digest"), "counts")
+    counts = written(sizes.select("digest", "n").join(counts, "digest"), "counts")
     return join_skewed(keyed, counts, "digest", "n").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
