@@ -14,8 +14,10 @@ CONNECTOR = r"~|〜|∼|-|부터|에서|까지"
 DEADLINE_WORD = r"까지|마감|종료|기한|선착순"
 SEGMENT, GAP, NEAR = 260, 12, 30
 
+# How dates are written, and what follows one that begins a range without an end.
 _YMD = r"([0-9]{2,4})\s*(?:년|[./-])\s*([0-9]{1,2})\s*(?:월|[./-])\s*([0-9]{1,2})\s*일?\s*\.?"
 _DATE = rf"(?<![0-9]){_YMD}\s*(?:\(([월화수목금토일])\))?"
+_OPEN_END = r"^(?:\s*\([월화수목금토일]\))?(?:\s*[0-9]{1,2}\s*:\s*[0-9]{2})?\s*(?:~|〜|∼|부터)(?!\s*[‘’']?[0-9]{2,4}\s*(?:년|[./-]))"
 _WEEKDAYS = ("일", "월", "화", "수", "목", "금", "토")
 
 
@@ -58,7 +60,7 @@ def open_ended(segment: Column) -> Column:
     """Whether a segment's first date begins a range without an end."""
     first = F.get(F.filter(_dates(segment), lambda d: d["day"].isNotNull()), F.lit(0))
     tail = F.substr(segment, first["end"] + 1, F.lit(40))
-    return F.coalesce(tail.rlike(r"^(?:\s*\([월화수목금토일]\))?(?:\s*[0-9]{1,2}\s*:\s*[0-9]{2})?\s*(?:~|〜|∼|부터)(?!\s*[‘’']?[0-9]{2,4}\s*(?:년|[./-]))"), F.lit(False))
+    return F.coalesce(tail.rlike(_OPEN_END), F.lit(False))
 
 
 def _tight(gap: Column) -> Column:

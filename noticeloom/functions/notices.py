@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,10 +13,10 @@ from pyspark.sql import types as T
 ALWAYS_OPEN = r"상시(\s*모집|\s*접수)?|연중(?!무휴)"
 UNTIL_EXHAUSTED = r"예산\s*소진\s*시|소진\s*시까지|소진\s*시\s*마감|조기\s*마감(될\s*수\s*있음)?"
 NOISE_LINES = (
-    r"(?i)^(목록|공유|첨부파일|이전글|다음글|조회수|작성자|관리자|번호|제목|공지사항|등록일|담당부서|담당자|상세정보|상세보기|상세내용|본문보기)$|^첨부파일\s*[:：]?|^이전글|^다음글|^목록\s*보기"
-    r"|^(facebook|twitter|kakaotalk|url\s*copy|rss)$|^(Google Forms|Forms 개선|양식이 의심스러운가요|이 설문지는)"
+    r"^(목록|공유|첨부파일|이전글|다음글|조회수|작성자|관리자|번호|제목|공지사항|등록일|담당부서|담당자|상세정보|상세보기|상세내용|본문보기)$", r"^첨부파일\s*[:：]?", r"^이전글|^다음글|^목록\s*보기",
+    r"^(facebook|twitter|kakaotalk|url\s*copy|rss)$", r"^(Google Forms|Forms 개선|양식이 의심스러운가요|이 설문지는)",
 )
-
+# How the days of a period are written, with a year or without.
 _TOKEN = r"([0-9]{4}\s*[.\-/년]\s*[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}|[0-9]{1,2}\s*[.\-/월]\s*[0-9]{1,2}\s*일?(?!\s*[0-9]))"
 
 
@@ -49,7 +51,7 @@ def labelled(text: Column, labels: tuple[str, ...]) -> Column:
 
 def clean_lines(text: Column) -> Column:
     """The lines of a text without noise, each once, whatever the case of its letters; the first stays."""
-    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: (x != "") & ~x.rlike(NOISE_LINES))
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: (x != "") & ~reduce(Column.__or__, [x.rlike("(?i)" + p) for p in NOISE_LINES]))
     lower = F.transform(lines, lambda x: F.lower(x))
     return F.array_join(F.filter(lines, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1), "\n")
 

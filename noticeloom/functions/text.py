@@ -55,9 +55,9 @@ def org_key(org: Column, compatibility: bool = False) -> Column:
 
 def bigrams(text: Column) -> Column:
     """The character pairs of a text without blanks, with repeats; a single character is its own."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 1, F.lit(1))), lambda i: F.substring(t, i, F.lit(2)))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(pairs)
+    chars = F.filter(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", ""), ""), lambda c: c != "")
+    pairs = lambda cs: F.when(F.size(cs) < 2, cs).otherwise(F.zip_with(F.slice(cs, 1, F.size(cs) - 1), F.slice(cs, 2, F.size(cs)), lambda a, b: F.concat(a, b)))
+    return F.get(F.transform(F.array(chars), pairs), 0)
 
 
 def dice(a: Column, b: Column) -> Column:

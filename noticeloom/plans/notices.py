@@ -21,8 +21,8 @@ def d04_period(spark, sf_dir):
 
 def x11_labelled(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    text = F.concat(F.lit("대상 : 누구나\n ● 신청기간: "), F.substring(F.col("text"), 1, 5), F.lit("\n문의처： "), F.col("source"), F.lit("\n"))
-    return d.select("doc_id", N.labelled(text, ("문의", "문의처")).alias("contact"), N.labelled(text, ("대상",)).alias("target"))
+    text = F.concat(F.lit("대상 : 누구나\n"), F.col("text"), F.lit("\n ● 신청기간: "), F.split("text", "\n")[0], F.lit("\n문의처： "), F.col("source"), F.lit("\n"))
+    return d.select("doc_id", N.labelled(text, ("문의", "문의처")).alias("contact"), N.labelled(text, ("대상",)).alias("target"), N.labelled(text, ("신청기간",)).alias("period"))
 
 
 def x09_clean_lines(spark, sf_dir):
@@ -40,6 +40,8 @@ _YEAR = f"CASE WHEN {_END} < CAST(o_orderdate AS DATE) - 60 THEN CAST({_END} + I
 SQL = {
     "d04_period": f"""SELECT o_orderkey, CASE WHEN k % 5 IN (1, 2) THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '' END AS start_day, CASE WHEN k % 5 IN (2, 3) THEN CAST({_YEAR} AS VARCHAR) ELSE '' END AS end_day, ['ongoing', 'until_exhausted', 'fixed', 'fixed', ''][k % 5 + 1] AS kind
         FROM (SELECT *, CASE WHEN strftime(raw, '%m%d') = '0229' THEN raw - INTERVAL 1 DAY ELSE raw END AS e FROM (SELECT *, o_orderkey AS k, o_orderdate + INTERVAL 1 DAY * (o_orderkey % 200) AS raw FROM orders))""",
-    "x11_labelled": "SELECT doc_id, source AS contact, '누구나' AS target FROM documents",
+    "x11_labelled": "SELECT doc_id, source AS contact, '누구나' AS target, CASE WHEN trim(l, ' ' || chr(9) || chr(13)) = '' THEN '문의처： ' || source ELSE trim(ltrim(l, ' ' || chr(9) || chr(13))) END AS period FROM (SELECT *, string_split(text, chr(10))[1] AS l FROM documents)",
+    "x09_clean_lines": """SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(lw, lower(x)) = i), chr(10)) AS lines FROM (SELECT doc_id, l, list_transform(l, lambda x: lower(x)) AS lw FROM (SELECT doc_id,
+        list_filter(list_transform(string_split_regex('목록' || chr(10) || text || chr(10) || 'RSS' || chr(10) || text, '\\r?\\n'), lambda x: trim(regexp_replace(x, '[ \\t]+', ' ', 'g'))), lambda x: x <> '' AND x NOT IN ('목록', 'RSS')) AS l FROM documents))""",
     "s14_decoded": "SELECT page_id, html FROM pages",
 }

@@ -14,10 +14,10 @@ _NOW = f"TIMESTAMP '{ORDERS_NOW}'"
 
 def _docs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", "text", "source", F.substring(F.split("text", "\n")[0], 1, 60).alias("title"), F.substring("text", 101, 60).alias("other"))
+    return d.select("doc_id", "text", "source", F.split("text", "\n")[0].alias("title"), F.coalesce(F.get(F.split("text", "\n"), 1), F.lit("")).alias("other"))
 
 
-_D = "(SELECT doc_id, text, source, substring(string_split(text, chr(10))[1], 1, 60) AS title, substring(text, 101, 60) AS other FROM documents)"
+_D = "(SELECT doc_id, text, source, string_split(text, chr(10))[1] AS title, coalesce(string_split(text, chr(10))[2], '') AS other FROM documents)"
 _NORM = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(regexp_replace({c}, '\\s+', ' ', 'g'))), '[「」『』“”\"'']', '', 'g'), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -248,6 +248,8 @@ SQL = {
     "x05_dice": f"SELECT doc_id, round({_DICE}, 6) AS dice FROM {_PAIR}",
     "x06_jaccard": f"SELECT doc_id, round({_JAC}, 6) AS jaccard FROM {_PAIR}",
     "x07_similarity": f"SELECT doc_id, round(CASE WHEN ta = '' OR tb = '' THEN 0.0::DOUBLE WHEN ta = tb THEN 1.0 ELSE greatest({_DICE}, {_JAC}) END, 6) AS similarity FROM {_PAIR}",
+    "x08_grounding": f"""SELECT doc_id, CASE WHEN b = '' THEN false ELSE len(list_filter(list_distinct({_GRAMS('b')}), lambda g: contains(a, g))) >= 0.4 * len(list_distinct({_GRAMS('b')})) END AS grounded
+        FROM (SELECT doc_id, regexp_replace(lower(title), '\\s+', '', 'g') AS a, regexp_replace(lower(other), '\\s+', '', 'g') AS b FROM {_D})""",
     "x14_encoded_text": "SELECT doc_id, regexp_matches(text, '[A-Za-z0-9+/]{160,}={0,2}') AS encoded, contains(text, chr(65533)) AS broken FROM documents",
     "x18_slug": f"SELECT doc_id, regexp_replace(regexp_replace(lower(trim(title)), '[^\\p{{L}}\\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM {_D}",
     "x19_compact": f"SELECT doc_id, nullif(substring(trim(title), 1, 20), '') AS short FROM {_D}",
