@@ -20,7 +20,7 @@ def _binned(rows: DataFrame, sample: DataFrame, keys: list[str], value: str, bin
 
 def nearest_ranks(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float], bins: int = BINS) -> DataFrame:
     """(keys, a column for each of shares): nearest-rank percentiles, by name. Null values and null keys don't count;
-    without keys there is one row, and none without values."""
+    without keys there is one row, of nulls where there are no values."""
     known = rows.select(*keys, value).where(F.col(value).isNotNull())
     counts = _binned(known.groupBy(*keys, value).agg(F.count("*").alias("_n")), known, keys, value, bins)
     each = counts.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_m"))

@@ -270,6 +270,79 @@ def test_usable_facts(spark, value, key, want):
     assert spark.createDataFrame([(value,)], "v string").select(usable_fact(F.col("v"), key)).first()[0] == want
 
 
+def test_image_sizes_from_heads():
+    from noticeloom.functions.images import image_size
+
+    heads = {
+        ("png", 640, 480): b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (640).to_bytes(4) + (480).to_bytes(4), ("gif", 3, 7): b"GIF89a\x03\0\x07\0",
+        ("webp", 300, 200): b"RIFF\0\0\0\0WEBPVP8X" + bytes(8) + (299).to_bytes(3, "little") + (199).to_bytes(3, "little"), ("webp", 5, 9): b"RIFF\0\0\0\0WEBPVP8L" + bytes(4) + b"\x2f" + (4 | 8 << 14).to_bytes(4, "little"),
+        ("jpeg", 33, 44): b"\xff\xd8\xff\xe0\0\x04ab\xff\xc4\0\x03x\xff\xc2\0\x0b\x08" + (44).to_bytes(2) + (33).to_bytes(2) + b"\1\1\x11\0",
+    }
+    assert {image_size(data): size for size, data in heads.items()} == {size: size for size in heads}
+    for data in (None, b"", b"%PDF", b"\xff\xd8\xff", b"GIF89a", b"RIFF\0\0\0\0WEBPVP8 ", b"\xff\xd8\xff\xe0\0\1"):
+        assert image_size(data) == (None, None, None)
+
+
+def test_text_of_attachments():
+    import io
+    import zipfile
+
+    from noticeloom.functions.attachments import read_text
+
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        z.writestr("word/document.xml", "<w:t>모집</w:t> <w:t>공고 &amp; 안내</w:t>")
+        z.writestr("docProps/app.xml", "<x>no</x>")
+    assert read_text("docx", made.getvalue()) == ("extracted", "", "모집 공고 & 안내")
+    assert read_text("html", b"<script>x()</script><p>a</p>b")[2] == "a b" and read_text("txt", "\ufeffab".encode())[2] == "ab"
+    assert [read_text(k, d)[0] for k, d in (("pdf", b"x"), ("zip", b"x"), ("txt", b" "), ("hwp", None))] == ["unsupported", "failed", "failed", "unsupported"]
+
+
+def test_list_rows_by_the_first_selector_that_yields(spark):
+    from noticeloom.sources.html import list_rows
+
+    page = '<ul class="nav x"><li><a href="/a">A <b>b</b></a></li><li><a href="/c">C</a></li></ul><table class="board"><tr><td><a href="/1">one</a></td></tr></table>'
+    pages = spark.createDataFrame([(page,), ("<a href='/z'>z</a>",), (None,)], "html string")
+    got = [(r["selector"], [(x["url"], x["label"]) for x in r["rows"]]) for r in pages.select(list_rows(F.col("html"), ("table.other tr", "table.board tr", "ul li", "a")).alias("r")).select("r.*").collect()]
+    assert got == [("table.board tr", [("/1", "one")]), ("a", [("/z", "z")]), (None, [])]
+
+
+def test_ranks_by_bins(spark):
+    from noticeloom.operators.ranks import nearest_ranks, numbered
+
+    rows = spark.createDataFrame([("a", float(i % 7)) for i in range(100)] + [("b", 1.0), ("b", None), ("c", None)], "k string, v double")
+    got = {r["k"]: (r["low"], r["mid"], r["top"]) for r in nearest_ranks(rows, ["k"], "v", {"low": 0.0, "mid": 0.5, "top": 1.0}, bins=4).collect()}
+    values = sorted(float(i % 7) for i in range(100))
+    assert got == {"a": (values[0], values[49], values[-1]), "b": (1.0, 1.0, 1.0)}
+    assert nearest_ranks(rows.limit(0), [], "v", {"mid": 0.5}).first()["mid"] is None
+    assert [r["number"] for r in numbered(spark.range(50).select((F.lit(99) - F.col("id")).alias("id")), "id", bins=5).orderBy("id").collect()] == list(range(1, 51))
+
+
+def test_suppression_of_a_hot_key(spark):
+    from datetime import datetime, timedelta
+
+    times = [datetime(2024, 1, 1) + timedelta(minutes=7 * i) for i in range(3000)]
+    rows = spark.createDataFrame([("x", t) for t in times] + [("y", times[0]), ("y", None)], "k string, ts timestamp")
+    want, last = [], None
+    for t in times:
+        if last is None or t - last >= timedelta(minutes=60):
+            want.append(t)
+            last = t
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = suppression.let_through(rows, ["k"], 60).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r["ts"] for r in got if r["key"] == "x") == want and [r["ts"] for r in got if r["key"] == "y"] == times[:1]
+
+
+def test_exclusions_and_their_exceptions(spark):
+    from noticeloom.operators.exclusions import exclusion
+
+    rows = spark.createDataFrame([("휴관 안내", "", ""), ("휴관 안내 교육생 모집", "", ""), (None, None, None), ("", " ", None)], "t string, x string, s string")
+    assert [r[0] for r in rows.select(exclusion(F.col("t"), F.col("x"), F.col("s"), F.lit(2026))).collect()] == ["closure-or-operation-notice", None, None, None]
+
+
 def test_sections_begin_on_lines_of_their_own(spark):
     from noticeloom.functions.facts import section_breaks
 

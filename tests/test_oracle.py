@@ -1,4 +1,4 @@
-"""Every query with SQL gives the same rows in DuckDB; the others run."""
+"""Every query with SQL gives the same rows in DuckDB; the others give some."""
 
 import math
 
@@ -31,7 +31,7 @@ def _plain(value):
 def test_query(spark, data, duck, name):
     found = registry.QUERIES[name](spark, data)
     if name not in registry.SQL:
-        assert found.columns and found.count() >= 0
+        assert found.columns and found.count() > 0
         return
     want = duck.execute(registry.SQL[name])
     names = [d[0] for d in want.description]
