@@ -17,11 +17,17 @@ def _query_vector(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").where("vec_id = 0").select(F.col("embedding").alias("q"))
 
 
+def _dealt(spark, sf_dir, rows, id_):
+    """rows with vec_id: their ids dealt out to all vectors in turn."""
+    number = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("_vectors"))
+    return rows.crossJoin(F.broadcast(number)).withColumn("vec_id", F.pmod(id_, F.col("_vectors"))).drop("_vectors")
+
+
 def _notices(spark, sf_dir):
     o = table(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    n = o.select(F.col("o_orderkey").alias("id"), F.array("o_custkey").alias("institutions"), F.col("o_orderdate").alias("end_at"), F.pmod("o_orderkey", F.lit(400)).alias("vec_id"), "o_custkey")
-    return n.join(e, "vec_id", "left")
+    n = o.select(F.col("o_orderkey").alias("id"), F.array("o_custkey").alias("institutions"), F.col("o_orderdate").alias("end_at"), "o_custkey")
+    return _dealt(spark, sf_dir, n, F.col("id")).join(e, "vec_id", "left")
 
 
 def _recommended(spark, sf_dir, weights, likes=False):
@@ -52,7 +58,7 @@ def z03_recommend_audience(spark, sf_dir):
 
 
 def _signals(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", F.pmod("event_id", F.lit(400)).alias("item"))
+    e = _dealt(spark, sf_dir, table(spark, sf_dir, "events"), F.col("event_id")).select("user_id", "ts", "event_type", F.col("vec_id").alias("item"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), "embedding")
     return e.where("event_type = 'purchase'"), e.where("event_type = 'view'"), v
 
@@ -87,7 +93,7 @@ def v04_vector_check(spark, sf_dir):
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "tvz" and k[1:3].isdigit()}
-_LIVE = f"(SELECT o_orderkey AS id, o_custkey, o_orderdate AS end_at, embedding FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey % 400 WHERE o_orderstatus <> 'F' AND o_orderdate > {_NOW})"
+_LIVE = f"(SELECT o_orderkey AS id, o_custkey, o_orderdate AS end_at, embedding FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey % (SELECT count(*) FROM embeddings) WHERE o_orderstatus <> 'F' AND o_orderdate > {_NOW})"
 
 
 def _sql(w: R.Weights, likes: bool) -> str:
@@ -103,8 +109,8 @@ def _sql(w: R.Weights, likes: bool) -> str:
 _DIST = "list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 0) AS DOUBLE[]))"
 SQL = {
     "z01_recommend_first": _sql(R.FIRST, False), "z02_recommend": _sql(R.Weights(), True), "z03_recommend_audience": _sql(R.AUDIENCE, False),
-    "z04_interest_vector": """WITH s AS (SELECT user_id, event_id % 400 AS item, 2.0 AS w FROM events WHERE event_type = 'purchase' UNION ALL
-        SELECT user_id, item, 1.0 FROM (SELECT user_id, event_id % 400 AS item, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) <= 50)
+    "z04_interest_vector": """WITH s AS (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS item, 2.0 AS w FROM events WHERE event_type = 'purchase' UNION ALL
+        SELECT user_id, item, 1.0 FROM (SELECT user_id, event_id % (SELECT count(*) FROM embeddings) AS item, max(ts) AS ts FROM events WHERE event_type = 'view' GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, item) <= 50)
         SELECT user_id, CAST(i - 1 AS INT) AS i, round(sum(w * CAST(embedding[i] AS DOUBLE)) / sum(w), 5) AS x FROM s JOIN embeddings ON vec_id = item, generate_series(1, 64) g(i) GROUP BY 1, 2""",
     "z05_semantic_search": f"SELECT vec_id, round(greatest(0.0, {_DIST}), 5) AS similarity FROM embeddings WHERE vec_id <> 0 AND label IN (0, 1, 2, 3) AND {_DIST} >= 0.2 ORDER BY {_DIST} DESC, vec_id LIMIT 20",
     "t04_vector_topk": f"SELECT vec_id, round(greatest(0.0, {_DIST}), 5) AS similarity FROM embeddings ORDER BY greatest(0.0, {_DIST}) DESC, vec_id LIMIT 10",

@@ -160,7 +160,7 @@ def j11_lookup_all(spark, sf_dir):
 
 
 def j11_lookup(spark, sf_dir):
-    return j11_lookup_all(spark, sf_dir).where("id % 10 = 1")
+    return j11_lookup_all(spark, sf_dir)
 
 
 def j13_institution_counts(spark, sf_dir):
@@ -317,7 +317,7 @@ SQL = {
     "j05_exists_value": "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) THEN 45.0::DOUBLE ELSE 0.0::DOUBLE END AS follow_score FROM customer",
     "j07_range": "SELECT group_id, count(*) AS people FROM customer JOIN (VALUES (1, 0.0, 1000.0), (2, 1000.0, NULL), (3, NULL, 0.0)) g(group_id, low, high) ON (low IS NULL OR c_acctbal >= low) AND (high IS NULL OR c_acctbal <= high) GROUP BY 1",
     "j08_any_of_three": "SELECT l_suppkey, count(*) AS n FROM lineitem WHERE l_partkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) OR l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000) GROUP BY 1",
-    "j11_lookup": f"SELECT n.id, string_agg(category, ',' ORDER BY category) AS categories FROM {_N} n LEFT JOIN {_C} c ON c.id = n.id WHERE n.id % 10 = 1 GROUP BY 1",
+    "j11_lookup": f"SELECT n.id, string_agg(category, ',' ORDER BY category) AS categories FROM {_N} n LEFT JOIN {_C} c ON c.id = n.id GROUP BY 1",
     "j11_lookup_all": f"SELECT n.id, string_agg(category, ',' ORDER BY category) AS categories FROM {_N} n LEFT JOIN {_C} c ON c.id = n.id GROUP BY 1",
     "j13_institution_counts": f"SELECT * FROM {_COUNTS}",
     "a27_institution_directory": f"SELECT * FROM {_COUNTS} ORDER BY active DESC, organized DESC, s_name LIMIT 30",
