@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions.applications import date_quality
 from noticeloom.operators import quality_gate as Q
+from noticeloom.operators.upload import upload_plan
 from noticeloom.sources.tables import table
 
 _LONG = "우리 동네 이야기와 소식을 담은 여러 가지 활동을 함께 소개합니다."
@@ -86,6 +87,12 @@ def t08_worst_issues(spark, sf_dir):
     return _gated(spark, sf_dir).orderBy(F.desc("score"), F.desc("id")).limit(80).select("id", "score")
 
 
+def z19_upload(spark, sf_dir):
+    n = notices(spark, sf_dir)
+    doubts = F.when(F.col("dates") != "", date_quality(F.col("dates"), F.col("deadline"))["issues"])
+    return upload_plan(n, n.where("id % 50 = 0"), F.lit(2026), doubts)
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "atz" and k[1:3].isdigit()}
 
 #: What each sample must give, by its number; codes that depend on the document's text or on other rows are in the SQL.
@@ -133,7 +140,15 @@ _CODES = f"(SELECT id, k, list_filter([{', '.join(map(_code, _ORDER))}], lambda
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _GATE = f"""(SELECT *, list_sum(list_transform(codes, lambda c: CASE WHEN list_contains({_LIST(_HIGH)}, c) THEN 5 ELSE 3 END)) AS points,
     CASE WHEN len(codes) = 0 THEN 'pass' WHEN k IN (27, 28) THEN 'review' WHEN len(list_intersect(codes, {_LIST(_REJECT)})) > 0 THEN 'reject' ELSE 'review' END AS decision FROM {_CODES})"""
+#: The exclusion rules of samples, by number; the last three don't apply where the document's text calls for action.
+_EXCLUDED = {3: "metadata-title", 4: "breadcrumb-title", 10: "system-error-page", 11: "web-accessibility-mark", 12: "sports-program-timetable", 13: "application-guide", 15: "facility-schedule-or-parking-control",
+             28: "sports-facility-hours-or-closure", 29: "sports-facility-hours-or-closure", 6: "retrospective-news-no-action", 7: "public-safety-guide", 8: "news-board-without-action"}
+_RULE = "CASE " + " ".join(f"WHEN k = {k}" + (f" AND NOT {_ACTION}" if k in (6, 7, 8) else "") + f" THEN '{rule}'" for k, rule in _EXCLUDED.items()) + " END"
+_SOURCES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p[5]}')" for k, p in enumerate(SAMPLES)) + ") AS v(k, source))"
+_PLACED = f"""(SELECT g.*, {_RULE} AS rule, CASE WHEN ends_with(v.source, '/view/') OR ends_with(v.source, '/board/news/') THEN v.source || g.id ELSE v.source END AS url FROM {_GATE} g JOIN documents ON doc_id = g.id JOIN {_SOURCES} v USING (k))"""
+_ROUTED = f"""(SELECT *, CASE WHEN rule IS NOT NULL THEN 'excluded' WHEN decision = 'reject' THEN 'rejected' WHEN url <> '' AND url IN (SELECT url FROM {_PLACED} WHERE id % 50 = 0) THEN 'updated' WHEN decision = 'review' OR k = 27 THEN 'candidate' ELSE 'poster' END AS route FROM {_PLACED})"""
 SQL = {
+    "z19_upload": f"""SELECT id, route, CASE route WHEN 'excluded' THEN rule WHEN 'rejected' THEN list_filter(codes, lambda c: list_contains({_LIST(_REJECT)}, c))[1] WHEN 'candidate' THEN coalesce(codes[1], '') ELSE '' END AS reason FROM {_ROUTED}""",
     "z11_quality_gate": f"SELECT id, decision, CAST(coalesce(points, 0) AS INT) AS score, array_to_string(codes, ',') AS codes FROM {_GATE}",
     "a21_issue_counts": f"SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM {_GATE}) GROUP BY 1",
     "a18_review_queue": f"SELECT decision, count(*) AS n, CAST(sum(coalesce(points, 0)) AS BIGINT) AS points FROM {_GATE} GROUP BY 1",
