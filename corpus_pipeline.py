@@ -1,5 +1,9 @@
 """A training corpus from raw documents: good ones, each text once, each group of near copies once, none
-with benchmark passages, encoded."""
+with benchmark passages, encoded.
+
+Every stage takes nulls in any column, empty and very long texts, which count whole, repeated rows, empty tables,
+which give empty ones, and further columns, which all but the last pass on.
+"""
 
 from __future__ import annotations
 
@@ -13,27 +17,28 @@ from noticeloom.llm.queries.quality import LEAST
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier doesn't reject."""
+    """Documents that the quality classifier doesn't reject. Null and empty texts are judged as texts without
+    features; repeated rows stay or go together; a score of exactly the threshold stays."""
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")), LEAST)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text."""
+    """One document of each text: of ties the largest doc_id, of rows that share it one; null texts are empty ones."""
     return exact_dedup.keep_one(docs)
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the least doc_id; documents without words are alike to none."""
     return jaccard_forest.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't contaminated by benchmark items."""
+    """Documents that aren't contaminated by benchmark items; those without words never are."""
     return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's tokens: their number, digest, and that of what they decode to."""
+    """Each document's tokens: their number, digest, and that of what they decode to; none for null and empty texts."""
     return byte_bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
