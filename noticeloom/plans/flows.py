@@ -45,6 +45,8 @@ QUERIES = {k: v for k, v in list(globals().items()) if k[:1] in "rs" and k[1:3].
 _LOGGED = """WITH RECURSIVE e AS (SELECT user_id, ts FROM events WHERE event_type = '{kind}'), r AS (SELECT user_id, min(ts) AS ts FROM e GROUP BY 1
   UNION ALL SELECT r.user_id, min(e.ts) FROM r JOIN e ON e.user_id = r.user_id AND e.ts >= r.ts + INTERVAL {hours} HOUR GROUP BY r.user_id, r.ts)"""
 SQL = {
+    "s06_page_detail": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title, nullif(trim(regexp_replace(replace(replace(replace(regexp_extract(html, '<h1>([^<]*)</h1>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')), '') AS heading,
+        CAST(len(regexp_extract_all(html, '<a [^>]*href="[^"]+"')) AS INT) AS links, CAST(len(regexp_extract_all(html, '<img [^>]*src="[^"]+"')) AS INT) AS images FROM pages""",
     "r03_view_suppression": _LOGGED.format(kind="view", hours=24) + " SELECT CAST(user_id AS VARCHAR) AS key, count(*) AS logged, max(ts) AS last_at FROM r GROUP BY 1",
     "r04_alert_cooldown": _LOGGED.format(kind="error", hours=72) + " SELECT user_id || '|error' AS key, count(*) AS alerts FROM r GROUP BY 1",
     "r05_unseen": "SELECT DISTINCT props FROM events WHERE ts >= '2024-01-15' AND props NOT IN (SELECT props FROM events WHERE ts < '2024-01-15' AND user_id % 9 = 0)",

@@ -97,6 +97,14 @@ SQL = {
     "a29_coverage": """SELECT source AS institution, count(*) FILTER (doc_id % 2 = 0) AS board, count(*) FILTER (doc_id % 2 = 1) AS blog, count(*) FILTER (doc_id % 2 = 0 AND twin) AS overlap,
         round(coalesce(count(*) FILTER (doc_id % 2 = 0 AND twin)::DOUBLE / nullif(count(*) FILTER (doc_id % 2 = 0), 0), 0), 4) AS rate, CASE WHEN count(*) FILTER (doc_id % 2 = 0) = 0 THEN 'none' WHEN count(*) FILTER (doc_id % 2 = 0 AND twin) >= 0.7 * count(*) FILTER (doc_id % 2 = 0) THEN 'blog' ELSE 'board' END AS grade
         FROM (SELECT source, doc_id, text IN (SELECT text FROM documents WHERE doc_id % 2 = 1) AS twin FROM documents) GROUP BY 1""",
+    "v12_image_order": """WITH i AS (SELECT p_partkey % 300 AS id, 'i' || p_partkey AS url, p_size AS score, p_size >= 10 AS passes, p_partkey % 2 = 0 AS proxy, p_partkey % 5 = 0 AS portrait FROM part),
+        s AS (SELECT id, bool_or(passes AND NOT proxy AND portrait) AS tall, bool_or(passes AND proxy) AND count(*) FILTER (passes AND NOT proxy) > 1 AS carousel FROM i GROUP BY 1),
+        g AS (SELECT i.*, tall, CASE WHEN NOT passes THEN 9 WHEN tall AND proxy THEN 8 WHEN tall AND portrait THEN 0 WHEN tall THEN 1 WHEN carousel AND NOT proxy THEN 1 ELSE 0 END AS part FROM i JOIN s USING (id))
+        SELECT id, url, CAST(row_number() OVER (PARTITION BY id ORDER BY part, score DESC, url) AS INT) AS place FROM g WHERE part <> 8""",
+    "k09_calendar": f"""SELECT o_orderkey, array_to_string(['BEGIN:VCALENDAR', 'VERSION:2.0', 'PRODID:-//notices//EN', 'BEGIN:VEVENT', 'UID:' || o_orderkey, 'DTSTAMP:20010701T000000Z', 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ'),
+        'DTEND:' || strftime(o_orderdate + CASE WHEN o_orderkey % 2 = 0 THEN INTERVAL 3 HOUR ELSE INTERVAL 1 HOUR END, '%Y%m%dT%H%M%SZ'), 'SUMMARY:' || o_orderpriority || '\\, now\\; \\\\ x', 'END:VEVENT', 'END:VCALENDAR'], chr(13) || chr(10)) AS ics FROM orders WHERE o_orderstatus = 'P'""",
+    "k10_structured_data": """SELECT o_orderkey, '{"@context":"https://schema.org","@type":"Event","name":"' || o_orderpriority || '",' || CASE WHEN o_orderkey % 2 = 0 THEN '"startDate":"' || strftime(o_orderdate, '%Y-%m-%d') || '","endDate":"' || strftime(o_orderdate, '%Y-%m-%d') || '",' ELSE '' END
+        || '"organizer":{"@type":"Organization","name":"P"}}' AS json FROM orders WHERE o_orderstatus = 'P'""",
     "z17_representative": "SELECT p_partkey % 300 AS id, 'i' || arg_max(p_partkey, (p_size, p_partkey % 3, 'i' || p_partkey)) AS url FROM part GROUP BY 1",
     "k08_site_map": "SELECT c_nationkey AS region, o_orderpriority AS category, count(*) FILTER (o_orderstatus = 'O') AS active, count(*) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 50",
 }
