@@ -265,6 +265,7 @@ SQL = {
     "l04_source_key": "SELECT page_id, " + _REBUILT(_SORTED(L.SOURCE_KEY_PARAMS, " AND regexp_extract(p, '^[^=]*=(.*)$', 1) <> ''")) + " AS source_key FROM pages",
     "l05_image_identity": f"SELECT page_id, lower({_REBUILT(_SORTED(L.IMAGE_PARAMS, ''))}) AS identity FROM (SELECT page_id, url || '&w=100&Quality=3' AS url FROM pages)",
     "l06_application_link": f"SELECT page_id, {_APPLY} AS application FROM {_LINKS}",
+    "l07_short_link": f"SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'https://forms.gle/' || t WHEN 4 THEN 'https://pf.kakao.com/' || t || '/' ELSE link END AS short FROM (SELECT page_id, link, ['apply', 'notice', 'forms', 'viewform', 'booking'][CAST(floor(page_id / 5) AS INT) % 5 + 1] AS t FROM {_LINKS})",
     "l08_link_type": f"SELECT page_id, CASE WHEN {_APPLY} THEN 'official_apply' WHEN page_id % 3 = 0 THEN 'homepage' ELSE 'other' END AS type FROM {_LINKS}",
     "l12_query_param": "SELECT page_id, CASE WHEN regexp_matches(url, '[?&]utm_source=') THEN regexp_extract(url, '[?&]utm_source=([^&#]*)', 1) END AS utm, CASE WHEN regexp_matches(url, '[?&]page=') THEN regexp_extract(url, '[?&]page=([^&#]*)', 1) END AS page FROM pages",
     "a22_duplicate_keys": f"SELECT page_id, count(*) OVER (PARTITION BY {_KEY_URL}) AS same_source FROM pages",
