@@ -52,8 +52,9 @@ def labelled(text: Column, labels: tuple[str, ...]) -> Column:
 def clean_lines(text: Column) -> Column:
     """The lines of a text without noise, each once, whatever the case of its letters; the first stays."""
     lines = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), lambda x: (x != "") & ~reduce(Column.__or__, [x.rlike("(?i)" + p) for p in NOISE_LINES]))
-    lower = F.transform(lines, lambda x: F.lower(x))
-    return F.array_join(F.filter(lines, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1), "\n")
+    both = F.transform(F.array(lines), lambda xs: F.struct(xs.alias("lines"), F.transform(xs, lambda x: F.lower(x)).alias("lower")))  # worked out once
+    first = F.transform(both, lambda b: F.filter(b["lines"], lambda x, i: F.array_position(b["lower"], F.lower(x)) == i + 1))
+    return F.array_join(F.get(first, 0), "\n")
 
 
 def decoded(data: Column, content_type: Column) -> Column:
