@@ -33,18 +33,22 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ship, slices, written
+from .common import discard, shared_folder, ship, slices, write_settings, written
 
 ORDER = 3
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 #: Tokens of a chunk: what a task holds at a time.
-CHUNK_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_000_000
 #: Training tokens for each bucket, about; and those of one middle word that stay together.
-BUCKET_TOKENS, WORD_TOKENS = 2_000_000, 16_000_000
-#: Words whose ranks, counts and probabilities are broadcast: 8, 8 and 8 bytes for each.
+BUCKET_TOKENS, WORD_TOKENS = 1_500_000, 16_000_000
+#: Words whose ranks, counts and probabilities are broadcast, at most: 8, 8 and 8 bytes for each.
 FREQUENT = 1 << 19
 
+TOP_COUNT = 100_000
+#: Words whose hashes a worker remembers at most, of 32 bytes at most each.
+MEMORY = 50_000
+
 _HASHED = np.uint64(1 << 63)
 _START = np.uint64(0)  # in the place of the first word where a text begins with the other two
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n")) | _HASHED  # no word has a line feed
@@ -52,11 +56,24 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 21
 
 
+class _Hashes(dict):
+    """Words' hashes, of a bounded number of them remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh64_intdigest(word)
+        if len(self) < MEMORY and len(word) <= 32:
+            self[word] = found
+        return found
+
+
+_HASHES = _Hashes()
+
+
 def token_hashes(text: str) -> np.ndarray:
     """Hashes of the words of a text, A-Z lower-cased and cut at ASCII blanks, and of its end."""
     words = text.encode().lower().split()
     out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    out[:-1] = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     out[-1] = _END
     return out | _HASHED
 
@@ -118,6 +135,13 @@ def unpack_grams(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return middle, np.repeat(unpack_codes(data[2]), inner), unpack_codes(data[4])
 
 
+def pack_block(words: np.ndarray, middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """The same for numbers of words: each word's code is kept once."""
+    outer, inner = _runs(middle), _runs(middle, first)
+    runs = (middle[outer], _lengths(np.searchsorted(inner, outer), len(inner)), first[inner], _lengths(inner, len(middle)), last)
+    return [pack_codes(words), *(pack(x.astype(np.uint32)) for x in runs)]
+
+
 def _ordered(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The order by three columns of small numbers or codes; ties stay as they are."""
     if max((int(c.max()) for c in (middle, first, last) if len(c)), default=0) < 1 << _BITS:
@@ -132,6 +156,10 @@ def _joined(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
 class Words:
     """The frequent words: hashes, in order, with their ranks; and by rank, from 1 on, counts and in how many buckets
     the n-grams around a word lie."""
@@ -244,38 +272,43 @@ def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 class Block:
-    """A bucket's n-grams (middle, first, last, n), sorted, and pairs (of, follower, m): for undivided middle words
-    from the n-grams, for divided ones as they were sent."""
-
-    def __init__(self, grams: tuple, n: np.ndarray, pairs: tuple):
-        self.words, (middle, first, last, of, follower) = _numbered(*grams, *pairs[:2])
-        self.middle, self.first, self.last, self.n = middle, first, last, n
-        own = ~np.isin(middle, of)
-        key = np.concatenate([_joined(middle[own], last[own]), _joined(of, follower)])
-        count = np.concatenate([n[own], pairs[2]])
+    """A bucket's n-grams (middle, first, last, n), sorted, and pairs (of, follower, m), all as numbers of its words: pairs
+    of undivided middle words follow from the n-grams, those of divided ones are as they were sent."""
+
+    def __init__(self, words: np.ndarray, middle: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, of: np.ndarray, follower: np.ndarray, m: np.ndarray):
+        self.words, self.middle, self.first, self.last, self.n = words, middle, first, last, n
+        divided = np.zeros(len(words), bool)
+        divided[of] = True
+        own = ~divided[middle]
+        key, count = np.concatenate([_pair(middle[own], last[own]), _pair(of, follower)]), np.concatenate([n[own], m])
         by = np.argsort(key, kind="stable")
-        start = _runs(key[by])
+        start = _runs(key[by]) if len(by) else by
         self.pair = key[by][start]
         self.m = np.add.reduceat(count[by], start) if len(start) else count
-        self.of, self.follower = self.pair >> np.uint64(_BITS), self.pair & np.uint64((1 << _BITS) - 1)
+        self.of, self.follower = (self.pair >> np.uint64(32)).astype(np.int64), (self.pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
         # contexts: middle words over pairs, and two words over n-grams
-        self.heads = _runs(self.of) if len(self.of) else np.zeros(0, np.int64)
+        none = np.zeros(0, np.int64)
+        self.heads = _runs(self.of) if len(self.of) else none
         self.head = self.of[self.heads]
         self.count1 = np.add.reduceat(self.m, self.heads) if len(self.heads) else self.m
-        true = np.flatnonzero(self.first != np.searchsorted(self.words, _START)) if len(self.words) and self.words[0] == _START else np.arange(len(n))
-        self.gram = _joined(middle[true], self.first[true], last[true])
-        self.g = n[true]
-        self.context = self.gram >> np.uint64(_BITS)
-        self.starts = _runs(self.context) if len(self.context) else np.zeros(0, np.int64)
+        true = np.flatnonzero(first > 0) if len(words) and words[0] == _START else np.arange(len(n))
+        context = _pair(middle[true], first[true])
+        self.starts = _runs(context) if len(context) else none
+        self.context, self.g = context[self.starts], n[true]
+        self.gram = _pair(np.repeat(np.arange(len(self.starts)), _lengths(self.starts, len(true))), last[true])
+        self.shorter = _pair(middle[true], last[true])
         self.count2 = np.add.reduceat(self.g, self.starts) if len(self.starts) else self.g
 
     @classmethod
     def read(cls, data: list[bytes]) -> Block:
-        return cls(unpack_grams(data), unpack(data[5], np.uint32).astype(np.int64), (unpack_codes(data[6]), unpack_codes(data[7]), unpack(data[8], np.uint32).astype(np.int64)))
+        numbers = lambda i: unpack(data[i], np.uint32).astype(np.int64)
+        lengths = numbers(4)
+        middle = np.repeat(np.repeat(numbers(1), numbers(2)), lengths)
+        return cls(unpack_codes(data[0]), middle, np.repeat(numbers(3), lengths), numbers(5), numbers(6), numbers(7), numbers(8), numbers(9))
 
     def seen(self, divided_elsewhere: np.ndarray) -> list[int]:
         """How many pairs, then n-grams, occurred 1, 2, ... times; pairs of these middle words are counted elsewhere."""
-        here = ~np.isin(self.words[self.of.astype(np.int64)], divided_elsewhere) if len(self.of) else np.zeros(0, bool)
+        here = ~np.isin(self.words[self.of], divided_elsewhere) if len(self.of) else np.zeros(0, bool)
         count = lambda c: np.bincount(np.minimum(c, DISCOUNTED + 2), minlength=DISCOUNTED + 3)[1:DISCOUNTED + 2].tolist()
         return [*count(self.m[here]), *count(self.g)]
 
@@ -294,22 +327,10 @@ class Block:
 
     def context_weights(self) -> np.ndarray:
         """The backoff weight of each context of two words."""
-        shorter = self.gram & np.uint64((1 << _BITS) - 1) | (self.gram >> np.uint64(2 * _BITS)) << np.uint64(_BITS)
-        covered = np.add.reduceat(self.p2[np.searchsorted(self.pair, shorter)], self.starts) if len(self.starts) else np.zeros(0)
+        covered = np.add.reduceat(self.p2[np.searchsorted(self.pair, self.shorter)], self.starts) if len(self.starts) else np.zeros(0)
         return self.left2 / (1 - covered)
 
 
-def _merged(parts: list[list[bytes]]) -> tuple[tuple, np.ndarray]:
-    grams = [unpack_grams(d) for d in parts]
-    columns = [np.concatenate(c) for c in zip(*grams)] if grams else [np.zeros(0, np.uint64)] * 3
-    n = np.concatenate([unpack(d[5], np.uint32) for d in parts]).astype(np.int64) if grams else np.zeros(0, np.int64)
-    codes, numbers = _numbered(*columns)
-    by = _ordered(*numbers)
-    middle, first, last = (c[by] for c in columns)
-    start = _runs(middle, first, last) if len(by) else by
-    return (middle[start], first[start], last[start]), np.add.reduceat(n[by], start) if len(start) else n
-
-
 def discounts(seen: dict[int, int]) -> list[float]:
     """Factor of each count from 0 to DISCOUNTED, by Good-Turing with Katz's renormalisation, from the
     numbers of n-grams seen so often; where those are too few for factors between 0 and 1, the absolute
@@ -348,12 +369,9 @@ class Model:
     def __init__(self, blocks: DataFrame, unigrams: DataFrame, words: Words, numbers: Numbers, seen: dict[int, dict[int, int]]):
         self.blocks, self.unigrams, self.words, self.numbers, self.seen, self.tokens = blocks, unigrams, words, numbers, seen, numbers.tokens
 
-
-def _bits(texts: DataFrame) -> int:
-    """Buckets, as a power of two, follow the number of tokens, here of blanks and texts, which is no less."""
-    blanks = F.length("text") - F.length(F.translate("text", " \t\n\x0b\f\r", ""))
-    most = texts.agg(F.sum(F.coalesce(blanks, F.lit(0)) + 2)).first()[0] or 0
-    return max(3, math.ceil(most / BUCKET_TOKENS).bit_length())
+    def drop(self) -> None:
+        """Frees the tables; what score() gave before stays, as long as it is read in this session."""
+        _dropped(self.blocks)
 
 
 def _count_grams(texts: DataFrame, shared) -> DataFrame:
@@ -368,8 +386,8 @@ def _count_grams(texts: DataFrame, shared) -> DataFrame:
                 start = _runs(*key)
                 rows.append((_GRAMS, bucket, "", [*chunk.grams(*(c[start] for c in key)), pack(_lengths(start, len(by)))]))
             if len(chunk.split):  # the followers of divided words go to each of their buckets
-                pair, n = np.unique(_joined(chunk.middle[chunk.split], chunk.last[chunk.split]), return_counts=True)
-                of, follower = pair >> np.uint64(_BITS), pair & np.uint64((1 << _BITS) - 1)
+                pair, n = np.unique(_pair(chunk.middle[chunk.split], chunk.last[chunk.split]), return_counts=True)
+                of, follower = pair >> np.uint64(32), pair & np.uint64(0xFFFFFFFF)
                 for a, b in itertools.pairwise(np.append(_runs(of), len(of))):
                     code = chunk.codes[int(of[a])]
                     data = [pack_codes(np.full(b - a, code)), pack_codes(chunk.codes[follower[a:b].astype(np.int64)]), pack(n[a:b].astype(np.uint32))]
@@ -381,21 +399,21 @@ def _count_grams(texts: DataFrame, shared) -> DataFrame:
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         of_kind = lambda k: [list(d) for d in group["data"][group["kind"] == k]]
-        grams, n = _merged(of_kind(_GRAMS))
-        sent = of_kind(_PAIRS)
-        none = np.zeros(0, np.uint64)
-        pairs = [np.concatenate([f(d[i]) for d in sent]) if sent else none for i, f in ((0, unpack_codes), (1, unpack_codes))]
-        m = np.concatenate([unpack(d[2], np.uint32) for d in sent]).astype(np.int64) if sent else np.zeros(0, np.int64)
-        if sent:
-            by = np.lexsort((pairs[1], pairs[0]))
-            start = _runs(pairs[0][by], pairs[1][by])
-            pairs, m = [p[by][start] for p in pairs], np.add.reduceat(m[by], start)
-        again = group[group["chunk"] == "again"]["data"]
-        elsewhere = {int(unpack_codes(d[0])[0]) for d in again}
-        block = Block(grams, n, (*pairs, m))
-        data = [*pack_grams(*grams), pack(n.astype(np.uint32)), pack_codes(pairs[0]), pack_codes(pairs[1]), pack(m.astype(np.uint32))]
-        elsewhere = np.array(sorted(elsewhere), np.uint64)
-        return pd.DataFrame({"kind": [_BLOCK], "bucket": [group["bucket"].iloc[0]], "chunk": [""], "data": [[*data, pack_codes(elsewhere)]], "seen": [block.seen(elsewhere)]})
+        joined = lambda found, kind: np.concatenate([np.zeros(0, kind), *found])
+        grams, sent = of_kind(_GRAMS), of_kind(_PAIRS)
+        columns = [joined(c, np.uint64) for c in zip(*map(unpack_grams, grams))] if grams else [np.zeros(0, np.uint64)] * 3
+        n, m = (joined([unpack(d[i], np.uint32) for d in parts], np.uint32).astype(np.int64) for i, parts in ((5, grams), (2, sent)))
+        pairs = [joined([unpack_codes(d[i]) for d in sent], np.uint64) for i in (0, 1)]
+        words, numbers = _numbered(*columns, *pairs)
+        by = _ordered(*numbers[:3])
+        middle, first, last = (c[by] for c in numbers[:3])
+        start = _runs(middle, first, last) if len(by) else by
+        n = np.add.reduceat(n[by], start) if len(start) else n
+        again = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(d[0])[:1] for d in group["data"][group["chunk"] == "again"])]))
+        block = Block(words, middle[start], first[start], last[start], n, *numbers[3:], m)
+        divided = np.isin(block.of, numbers[3])
+        data = [*pack_block(words, block.middle, block.first, block.last), *(pack(x.astype(np.uint32)) for x in (n, block.of[divided], block.follower[divided], block.m[divided])), pack_codes(again)]
+        return pd.DataFrame({"kind": [_BLOCK], "bucket": [group["bucket"].iloc[0]], "chunk": [""], "data": [data], "seen": [block.seen(again)]})
 
     sent = texts.select("text").mapInArrow(send, _PART)
     return sent.groupBy("bucket").applyInPandas(merge, _PART + ", seen array<long>")
@@ -410,10 +428,17 @@ def train(texts: DataFrame) -> Model:
     sums = unigrams.agg(F.sum("n"), F.count("*"), *(F.count_if(F.col("n") == r) for r in range(1, DISCOUNTED + 2))).first()
     tokens, types = sums[0] or 0, sums[1]
     seen = {1: {r: sums[r + 1] for r in range(1, DISCOUNTED + 2)}}
-    top = unigrams.orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas()
-    words = Words(top["key"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), _bits(texts))
+    # the least count that at most FREQUENT words have; larger ones than TOP_COUNT need not be told apart
+    many, least = 0, TOP_COUNT
+    for r in sorted(unigrams.groupBy(F.least("n", F.lit(TOP_COUNT)).alias("n")).count().collect(), reverse=True):
+        many += r["count"]
+        if many > FREQUENT:
+            break
+        least = r["n"]
+    top = unigrams.where(F.col("n") >= least).orderBy("key").toArrow()
+    words = Words(top["key"].to_numpy().view(np.uint64), top["n"].to_numpy(), max(3, (math.ceil(tokens / BUCKET_TOKENS) - 1).bit_length()))
     shared = spark.sparkContext.broadcast(words)
-    blocks = written(_count_grams(texts, shared), "grams")
+    blocks = _bucketed(_count_grams(texts, shared), "grams", words.bits)
     counted = blocks.agg(*(F.sum(F.element_at("seen", i + 1)) for i in range(2 * (DISCOUNTED + 1)))).first()
     for k in (2, 3):
         seen[k] = {r: counted[(k - 2) * (DISCOUNTED + 1) + r - 1] or 0 for r in range(1, DISCOUNTED + 2)}
@@ -422,11 +447,29 @@ def train(texts: DataFrame) -> Model:
     if freed <= 0:
         factors[1] = np.ones(DISCOUNTED + 2)
     model = Model(blocks, unigrams, words, Numbers(factors, tokens, types, float(freed)), seen)
-    model.blocks = written(_weighted(model, shared), "model")
-    discard(blocks)
+    model.blocks = _bucketed(_weighted(model, shared), "model", words.bits)
+    _dropped(blocks)
     return model
 
 
+def _bucketed(df: DataFrame, name: str, bits: int) -> DataFrame:
+    """df as a table of so many buckets in the shared folder: what is grouped with it by bucket comes to it, and it is
+    not shuffled itself."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    table = f"noticeloom_{name}_{folder.rsplit('/', 1)[1]}"
+    with write_settings(spark):
+        df.write.bucketBy(1 << bits, "bucket").option("path", f"{folder}/{name}").saveAsTable(table)
+    return spark.table(table)
+
+
+def _dropped(table: DataFrame) -> None:
+    """Frees a table of _bucketed."""
+    for name in {part.split("/noticeloom/")[1].split("/")[1] + "_" + part.split("/noticeloom/")[1].split("/")[0] for part in table.inputFiles()}:
+        table.sparkSession.sql(f"DROP TABLE IF EXISTS noticeloom_{name}")
+    discard(table)
+
+
 def _weighted(model: Model, shared) -> DataFrame:
     """The blocks with the backoff weights of their contexts."""
     one, factors = model.numbers.one(model.words.counts), model.numbers.factors
@@ -435,8 +478,8 @@ def _weighted(model: Model, shared) -> DataFrame:
         for batch in batches:
             for data in batch["data"].to_pylist():
                 b = Block.read(data)
-                of, follower = b.words[b.of.astype(np.int64)], b.words[b.follower.astype(np.int64)]
-                use = (follower >= _HASHED) & ~np.isin(of, unpack_codes(data[9]))
+                of, follower = b.words[b.of], b.words[b.follower]
+                use = (follower >= _HASHED) & ~np.isin(of, unpack_codes(data[10]))
                 yield pa.RecordBatch.from_arrays([pa.array(of[use].view(np.int64)), pa.array(follower[use].view(np.int64))], ["of", "key"])
 
     def place(batches):
@@ -452,30 +495,31 @@ def _weighted(model: Model, shared) -> DataFrame:
             if rows:
                 yield _batch(rows)
 
-    def weigh(group: pd.DataFrame) -> pd.DataFrame:
+    def weigh(blocks: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        sums = [d for k, d in zip(group["kind"], group["data"]) if k == _COUNTS]
+        sums = list(sent["data"])
         of = np.concatenate([unpack_codes(d[0]) for d in sums]) if sums else np.zeros(0, np.uint64)
         more = np.concatenate([unpack(d[1], np.float64) for d in sums]) if sums else np.zeros(0)
         by = np.argsort(of)
         of, more = of[by], more[by]
-        for bucket, data in ((b, list(d)) for k, b, d in zip(group["kind"], group["bucket"], group["data"]) if k == _BLOCK):
+        for bucket, data in zip(blocks["bucket"], map(list, blocks["data"])):
             b = Block.read(data)
             b.probabilities(factors)
-            follower = b.words[b.follower.astype(np.int64)]
+            follower = b.words[b.follower]
             known = np.where(follower < _HASHED, one[np.where(follower < _HASHED, follower, 0).astype(np.int64)], 0.0)
             covered = np.add.reduceat(known, b.heads) if len(b.heads) else known
-            head = b.words[b.head.astype(np.int64)]
+            head = b.words[b.head]
             if len(of):
                 at = np.minimum(np.searchsorted(of, head), len(of) - 1)
                 covered = covered + np.where(of[at] == head, more[at], 0.0)
             weights = b.left1 / (1 - covered)
-            rows.append((_BLOCK, bucket, "", [*data[:9], pack(weights), pack(b.context_weights()[b.count2 > 1])]))
+            rows.append((_BLOCK, bucket, "", [*data[:10], pack(weights), pack(b.context_weights()[b.count2 > 1])]))
         return _frame(rows)
 
     n = F.when(F.col("n") <= DISCOUNTED, F.element_at(F.array(*map(F.lit, map(float, factors[1]))), F.col("n").cast("int") + 1)).otherwise(1.0) * F.col("n")
     sums = model.blocks.select("data").mapInArrow(rare, "of long, key long").join(model.unigrams, "key").groupBy("of").agg(F.sum(n / F.lit(model.numbers.scale)).alias("covered"))
-    return model.blocks.select("kind", "bucket", "chunk", "data").unionByName(sums.mapInArrow(place, _PART)).groupBy("bucket").applyInPandas(weigh, _PART)
+    blocks = model.blocks.select("bucket", "data")
+    return blocks.groupBy("bucket").cogroup(sums.mapInArrow(place, _PART).groupBy("bucket")).applyInPandas(weigh, _PART)
 
 
 class Evaluator:
@@ -484,11 +528,10 @@ class Evaluator:
     def __init__(self, data: list[bytes], factors: dict[int, np.ndarray]):
         b = self.block = Block.read(data)
         b.probabilities(factors)
-        self.weight1 = np.log10(unpack(data[9], np.float64))
+        self.weight1 = np.log10(unpack(data[10], np.float64))
         weights = b.context_weights()
-        weights[b.count2 > 1] = unpack(data[10], np.float64)
+        weights[b.count2 > 1] = unpack(data[11], np.float64)
         self.weight2, self.p2, self.p3 = np.log10(weights), np.log10(b.p2), np.log10(b.p3)
-        self.context = b.context[b.starts]
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -497,26 +540,29 @@ class Evaluator:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, possible & (table[at] == keys)
 
-    def __call__(self, middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(value, short): log10 P(last | first middle), but where short, the last word's own log10 probability
-        is still to be added."""
-        b = self.block
-        numbers, there = [], []
-        for codes in (middle, first, last):
-            at, here = self._find(b.words, codes, np.ones(len(codes), bool))
-            numbers.append(np.where(here, at, 0))
-            there.append(here)
-        (m, f, w), (has_m, has_f, has_w) = numbers, there
-        has_f = has_f & (first != _START)
-        at, own = self._find(b.gram, _joined(m, f, w), has_m & has_f & has_w)
-        value = np.where(own, self.p3[at] if len(self.p3) else 0.0, 0.0)
-        at, context = self._find(self.context, _joined(m, f), ~own & has_m & has_f)
-        value += np.where(context, self.weight2[at] if len(self.weight2) else 0.0, 0.0)
-        at, pair = self._find(b.pair, _joined(m, w), ~own & has_m & has_w)
-        value += np.where(pair, self.p2[at] if len(self.p2) else 0.0, 0.0)
-        short = ~own & ~pair
-        at, head = self._find(b.head, m.astype(np.uint64), short & has_m)
-        return value + np.where(head, self.weight1[at] if len(self.weight1) else 0.0, 0.0), short
+    def __call__(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(value, short, last) of packed n-grams: log10 P(last | first middle), but where short, the last word's own log10
+        probability is still to be added. Words are looked up once for each run."""
+        b, inner = self.block, unpack(runs[3], np.uint32)
+        first, last = unpack_codes(runs[2]), unpack_codes(runs[4])
+        spread = lambda x: np.repeat(x, inner)
+        number = lambda codes: self._find(b.words, codes, np.ones(len(codes), bool))
+        (m, has_m), (f, has_f), (w, has_w) = number(unpack_codes(runs[0])), number(first), number(last)
+        within = unpack(runs[1], np.uint32)
+        m, has_m = np.repeat(m, within), np.repeat(has_m, within)
+        c, context = self._find(b.context, _pair(m, f), has_m & has_f & (first != _START))
+        m, has_m, c, context = map(spread, (m, has_m, c, context))
+        at, own = self._find(b.gram, _pair(c, w), context & has_w)
+        value = np.where(own, self.p3[at] if len(self.p3) else 0.0, np.where(context, self.weight2[c] if len(self.weight2) else 0.0, 0.0))
+        rest = np.flatnonzero(~own)  # these back off to the pair, and then to the word
+        at, pair = self._find(b.pair, _pair(m[rest], w[rest]), has_m[rest] & has_w[rest])
+        value[rest] += np.where(pair, self.p2[at] if len(self.p2) else 0.0, 0.0)
+        short = np.zeros(len(last), bool)
+        short[rest] = ~pair
+        rest = rest[~pair]
+        at, head = self._find(b.head, m[rest], has_m[rest])
+        value[rest] += np.where(head, self.weight1[at] if len(self.weight1) else 0.0, 0.0)
+        return value, short, last
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -568,6 +614,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             as_numbers = np.where(null, 0, names).astype(np.int64)
             tokens = np.bincount(row, minlength=size).astype(np.uint32)
             rows.append((_HEAD, zlib.crc32(name.encode()) % (1 << words.bits), name, [pack(as_numbers), pack(tokens), null.tobytes(), pack(done.ravel())]))
+            del chunk, code, ranked, rank, places, first, hashes, row  # before the next chunk is made
             yield _batch(rows)
 
     def words_of(batches):
@@ -591,11 +638,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         sums = [np.bincount(at, c, len(whose)) for c in columns]
         return (_SUMS, 0, chunk, [pack(whose.astype(np.uint32)), *(pack(s) for s in sums)])
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
+    def meet(blocks: pd.DataFrame, group: pd.DataFrame) -> pd.DataFrame:
         out = [tuple(r) for r in group[group["kind"] == _HEAD].itertuples(index=False)]
         words, probability, _ = shared.value
-        blocks = group["data"][group["kind"] == _BLOCK]
-        evaluate = Evaluator(list(blocks.iloc[0]), factors) if len(blocks) else None
+        evaluate = Evaluator(list(blocks["data"].iloc[0]), factors) if len(blocks) else None
         keys, n = table(group)
         for kind, chunk, data in zip(group["kind"], group["chunk"], group["data"]):
             if kind == _RARE:
@@ -606,9 +652,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                     alone = np.where(count > 0, np.log10(one(count)), unknown)
                 out.append(summed(chunk, whose, np.where(first == 1, alone, 0.0), np.where(count > 0, base(count), base_unknown), (count > 0).astype(float)))
             elif kind == _GRAMS:
-                middle, first, last = unpack_grams(list(data))
                 times, whose = unpack(data[5], np.uint32).astype(float), unpack(data[6], np.uint32)
-                value, short = evaluate(middle, first, last) if evaluate else (np.zeros(len(last)), np.ones(len(last), bool))
+                value, short, last = evaluate(list(data[:5])) if evaluate else (np.zeros(len(times)), np.ones(len(times), bool), unpack_codes(data[4]))
                 ranked = last < _HASHED
                 value = value + np.where(short & ranked, probability[np.where(ranked, last, 0).astype(np.int64)], 0.0)
                 out.append(summed(chunk, whose, value * times))
@@ -644,7 +689,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rare = model.unigrams.mapInArrow(words_of, _PART)
     sent = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(send, _PART)
-    met = written(sent.unionByName(model.blocks).unionByName(rare).groupBy("bucket").applyInPandas(meet, _PART), "met")
+    blocks = model.blocks.select("bucket", "data").groupBy("bucket")
+    met = written(blocks.cogroup(sent.unionByName(rare).groupBy("bucket")).applyInPandas(meet, _PART), "met")
     asked = met.where(F.col("kind") == _ASKED).unionByName(rare).groupBy("bucket").applyInPandas(answer, _PART)
     parts = met.where(F.col("kind").isin(_HEAD, _SUMS)).unionByName(asked)
     return parts.groupBy("chunk").applyInPandas(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
