@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("quality", "pii", "secrets", "token_counts", "katz", "exact_dedup", "byte_bpe", "jaccard_forest", "decontaminate", "toxicity")
+_MODULES = ("quality", "pii", "secrets", "token_counts", "katz", "exact_dedup", "byte_bpe", "jaccard_forest", "decontaminate", "toxicity", "filter_audit", "simhash", "merkle")
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
