@@ -4,7 +4,8 @@ A candidate is a maximal run of the characters that keys are made of. Within eac
 one character class a window moves by one character at a time; the counts of the window's characters
 are kept up incrementally, and so is the sum of c*log2(c) from which the Shannon entropy follows. A
 candidate with a window above its class's threshold is reported, unless the allow-list names it. Sample
-words are left out part by part, and of slugs each part is looked at alone.
+words are left out part by part, runs like 0123456789 wherever they stand, and of slugs each part is looked at
+alone. Keys of lower-case letters alone, without a digit, can't be told from words and are not found.
 """
 
 from __future__ import annotations
@@ -44,21 +45,21 @@ CLASSES = (
 )
 
 #: Candidates that are no secrets: words and identifiers without a digit, of one case or cased as words
-#: are, numbers, UUIDs, addresses, sequences and keys marked as examples at their end.
+#: are, numbers, UUIDs and keys marked as examples at their end. Each takes time in proportion to a candidate's length.
 ALLOW = tuple(map(re.compile, (
     r"([a-z_/+=-]*|[A-Z_/+=-]*)$",
-    r"([A-Z]?[a-z]{2,}|[A-Z]{3,}|[_/+=-])*$",
+    r"(?:[A-Z]?[a-z]{2,}+|[A-Z]{3,}+|[_/+=-])*+$",  # possessive: a run is taken whole or not at all
     r"[0-9_/+=-]+$",
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r".*EXAMPLE(KEY)?$",
-    r"(?i)(https?|www|ftp)\b",
-    r"(?i)(0123456789abcdef|abcdefghijklmnop)",
 )))
 #: Parts of a candidate that are left out: documentation samples.
 SAMPLE = re.compile(r"(?i)example|sample|placeholder|dummy|changeme|testkey")
 #: Candidates that are looked at part by part: words and numbers joined by signs.
 SLUG = re.compile(r"[a-z]+([_/-][a-z0-9]+)+$")
 PART = re.compile(r"[A-Za-z0-9]+")
+#: What an address begins with, left out; and the least length of runs of ascending characters that are.
+SCHEME, RUN = re.compile(r"(?i)(https?|www|ftp)\b"), 6
 
 _LOG = [0.0, 0.0, *(c * math.log2(c) for c in range(2, 256))]
 
@@ -95,19 +96,27 @@ def _segments(text: str, members: frozenset) -> Iterator[str]:
         yield text[start:]
 
 
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Where at least RUN characters each follow the one before them in the alphabet or among the digits."""
+    start = 0
+    for i in range(1, len(text) + 1):
+        if i == len(text) or ord(text[i]) != ord(text[i - 1]) + 1:
+            if i - start >= RUN:
+                yield start, i
+            start = i
+
+
 def _stretches(candidate: str) -> Iterator[str]:
-    """What of a candidate is looked at: of a slug its parts, else what is between the parts with sample words."""
+    """What of a candidate is looked at: what is between runs, sample words and an address's scheme; of a slug each part."""
+    slug = SLUG.match(candidate)
+    cuts = [m.span() for m in PART.finditer(candidate) if SAMPLE.search(m[0])] + list(_runs(candidate))
+    if scheme := SCHEME.match(candidate):
+        cuts.append(scheme.span())
     start = 0
-    for m in PART.finditer(candidate):
-        sample = SAMPLE.search(m[0])
-        if SLUG.match(candidate):
-            if not sample:
-                yield m[0]
-        elif sample:
-            yield candidate[start:m.start()]
-            start = m.end()
-    if not SLUG.match(candidate):
-        yield candidate[start:]
+    for cut, end in sorted(cuts) + [(len(candidate), len(candidate))]:
+        if cut > start:
+            yield from PART.findall(candidate[start:cut]) if slug else [candidate[start:cut]]
+        start = max(start, end)
 
 
 def _changes(window: str) -> int:

@@ -156,3 +156,32 @@ def test_token_cache_encodes_only_misses(spark, docs, tmp_path):
     assert spark.read.parquet(cache).count() == stored + 1
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"])
     assert sorted(map(tuple, first), key=str) == sorted([tuple(r) for r in again if r["n_bytes"] != 14], key=str) and key
+
+
+def test_secret_scan_takes_linear_time():
+    """Long runs, slugs and words with a digit: none takes over a second."""
+    import re
+    import time
+
+    r = random.Random(2)
+    texts = ["a" * 10_000 + "1", "ab" * 5_000 + "7", "ab" + "-c1" * 8_000 + "=", "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(20_000)), "Abc" * 10_000 + "9",
+             "ABCab" * 4_000 + "9", "EXAMPLE" * 20_000 + "1", "0123456789" * 5_000, "a_" * 50_000 + "1", "ACDEFGHIKLMNPQRSTVWY" * 1_000 + "7", "password=" * 5_000]
+    for text in texts:
+        began = time.perf_counter()
+        secrets.all_spans(text)
+        assert time.perf_counter() - began < 1, text[:40]
+    # the possessive rule clears what the plain one does
+    plain = re.compile(r"([A-Z]?[a-z]{2,}|[A-Z]{3,}|[_/+=-])*$")
+    for _ in range(20_000):
+        text = "".join(r.choice("abABC_1") for _ in range(r.randint(0, 10)))
+        assert bool(plain.match(text)) == bool(secrets.ALLOW[1].match(text))
+
+
+def test_runs_hide_no_key():
+    """A run is cut out, and what else a candidate holds is scanned."""
+    keys = ["Q7rT9xK2vB8nM4Zw3K", "9dk27fpq01zmx84hvt6wbn3s"]
+    for key in keys:
+        for text in (key, "0123456789abcdef" + key, "abcdefghijklmnop/" + key, key + "+0123456789", "http-" + key):
+            assert [s[2] for s in secrets.all_spans(f"see {text} there")[1]], text
+    for text in ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdefghijklmnop"):
+        assert secrets.entropy_kind(text) is None
