@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from noticeloom.functions.patterns import found as matches, holds_anchor
 from noticeloom.functions.text import org_key, title_key
 from noticeloom.functions.urls import bad_application, image_identity
 
@@ -33,6 +34,7 @@ FORM_NOISE = r"(?:표시는\s*필수\s*질문|Google Forms를\s*통해|다음\s*
 MARKERS = r"(?:📌\s*(?:대상|인원|장소|참여\s*비용|참여\s*선정\s*안내|신청\s*기간|신청\s*방법|운영\s*기간|교육\s*일시|교육\s*장소|문의(?:처)?)|❤️\s*문의(?:처)?|🚨|※)"
 _EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"  # of a word of ASCII characters
 ENCODED = _EDGE + r"[A-Za-z0-9+/]{160,}={0,2}" + _EDGE
+RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{160}"  # without it, nothing is encoded; found in one pass
 MOJIBAKE = r"[�占]"
 NEWS_BOARD = r"/(?:community/news|notice/news|board/news)(?:/|$|\?)"
 SHARED_FORM = r"(?:^|//)(?:forms\.gle|docs\.google\.com/forms|form\.naver\.com|forms\.office\.com)(?:/|$)"
@@ -110,31 +112,33 @@ def gate(rows: DataFrame, date_codes: Column | None = None) -> DataFrame:
         "_alone": F.coalesce("text_only", F.lit(False)), "_again": F.coalesce("repeated", F.array().cast("array<string>")),
     })
     d = d.withColumns({"_both": F.concat_ws(" ", "_t", "_s"), "_x": F.left(F.concat_ws(" ", "_t", "_o", "_s", "_u", "_i", "_urls"), F.lit(BUNDLE))})
+    d = d.withColumns({"_bl": F.lower("_both"), "_xl": F.lower("_x")})
     t, s, u, x, alone = F.col("_t"), F.col("_s"), F.col("_u"), F.col("_x"), F.col("_alone")
+    in_both, in_x = (lambda *patterns: matches(F.col("_both"), F.col("_bl"), *patterns)), (lambda *patterns: matches(x, F.col("_xl"), *patterns))
     origin = F.concat_ws(" ", "_o", "_u")
     d = d.withColumns({
-        "_active": _has(F.col("_both"), RECRUITING), "_course": _has(F.col("_both"), COURSES),
-        "_central": alone & _has(origin, CENTRAL_SOURCE) & _has(x, CENTRAL_SIGN), "_job": alone & _has(origin, PUBLIC_JOB_SOURCE) & _has(x, PUBLIC_JOB_SIGN),
+        "_active": in_both(RECRUITING), "_course": in_both(COURSES),
+        "_central": alone & _has(origin, CENTRAL_SOURCE) & in_x(CENTRAL_SIGN), "_job": alone & _has(origin, PUBLIC_JOB_SOURCE) & in_x(PUBLIC_JOB_SIGN),
     })
     active, course = F.col("_active"), F.col("_course")
-    raw, known = text("summary"), lambda c: F.coalesce(F.col(c), F.lit(False))
+    raw, encoded = text("summary"), lambda c: F.when(c.rlike(RUN), c.rlike(ENCODED)).otherwise(False)
     checks = [
         issue("missing-title", "high", "reject", t == ""), issue("missing-org", "medium", "review", F.col("_o") == ""), issue("weak-summary", "medium", "review", F.length(s) < SHORT_SUMMARY),
         issue("missing-source", "high", "review", (u == "") & (F.size("_urls") == 0)),
-        issue("collapsed-structured-summary", "medium", "review", (F.regexp_count(raw, F.lit(MARKERS)) >= 2) & ~raw.rlike(r"[\r\n]")),
-        issue("form-ui-noise", "high", "review", _has(raw, FORM_NOISE)), issue("application-url-as-source", "high", "review", _has(u, SHARED_FORM)),
+        issue("collapsed-structured-summary", "medium", "review", F.when(holds_anchor(F.col("_bl"), MARKERS) & ~raw.rlike(r"[\r\n]"), F.regexp_count(raw, F.lit(MARKERS)) >= 2)),
+        issue("form-ui-noise", "high", "review", matches(raw, F.col("_bl"), FORM_NOISE)), issue("application-url-as-source", "high", "review", _has(u, SHARED_FORM)),
         issue("text-notice-no-image", "medium", "review", (F.size("_i") == 0) & alone), issue("missing-image", "high", "reject", (F.size("_i") == 0) & ~alone),
         issue("generic-title", "high", "reject", (F.length(t) <= SHORT_TITLE) | _has(t, *GENERIC_TITLES)), issue("breadcrumb-title", "high", "reject", (F.length(t) < LONG_TITLE) & _has(t, BREADCRUMB)),
-        issue("mojibake", "high", "reject", x.rlike(MOJIBAKE)), issue("encoded-or-binary-text", "high", "reject", s.rlike(ENCODED) | x.rlike(ENCODED)),
-        issue("employment-recruitment-notice", "high", "reject", _has(t, JOBS) | (_has(x, JOBS) & ~(active & course))),
-        issue("retrospective-news", "high", "reject", _has(t, NEWS) & ~active), issue("public-safety-guide", "high", "reject", _has(F.col("_both"), SAFETY) & ~active),
+        issue("mojibake", "high", "reject", matches(x, F.col("_xl"), MOJIBAKE, cased=True)), issue("encoded-or-binary-text", "high", "reject", encoded(s) | encoded(x)),
+        issue("employment-recruitment-notice", "high", "reject", _has(t, JOBS) | (~(active & course) & in_x(JOBS))),
+        issue("retrospective-news", "high", "reject", _has(t, NEWS) & ~active), issue("public-safety-guide", "high", "reject", ~active & in_both(SAFETY)),
         issue("news-board-without-action", "high", "reject", _has(u, NEWS_BOARD) & ~active),
         issue("bad-application-url", "medium", "review", F.exists("_l", lambda link: bad_application(link, F.col("_u")))),
     ]
     for code, severity, verdict, title_only, pattern in TEXT_RULES:
         hit = _has(t, pattern)
         if not title_only:  # a shared page around a course doesn't make it a facility's notice
-            beside = _has(x, pattern)
+            beside = in_x(pattern)
             hit = hit | (beside & ~(active | course) if code in SHARED_DETAIL else beside)
         mild = F.col("_central") if code in CENTRAL_REVIEW else F.col("_job") if code in PUBLIC_JOB_REVIEW else None
         if mild is None:

@@ -349,3 +349,16 @@ def test_sections_begin_on_lines_of_their_own(spark):
     text = "2. 신청대상: 여성 3. 신청기간: 2026.7.1~2026.8.21 - 장소: 시청●문의처: x\n\n\n\n끝"
     got = spark.createDataFrame([(text,)], "v string").select(section_breaks(F.col("v"))).first()[0]
     assert got == "2. 신청대상: 여성\n3. 신청기간: 2026.7.1~2026.8.21\n- 장소: 시청\n● 문의처: x\n\n끝"
+
+
+def test_anchors_are_in_every_match(spark):
+    from noticeloom.functions import patterns
+    from noticeloom.operators import quality_gate as Q
+
+    assert patterns.anchors(r"(?:ab|cd)\s*e?fg") == ("fg",) and patterns.anchors("a?b*") is None and patterns.anchors("[xy]z*") == ("x", "y")
+    assert patterns.anchors("(?:abc|ab)d?") == ("ab",) and patterns.anchors(r"(?<!\w)Ab(?:c|[0-9])") == ("ab",)
+    texts = ["3월 볼링 시간표", "웹 접근성 WA 마크", "공공근로 참여자 모집", "APPLY now", "수영장 운영 안내", "시스템  오류", "plain text", "", "Google Forms를 통해", "ir IR", "동아일보"]
+    rules = [r[4] for r in Q.TEXT_RULES] + [Q.RECRUITING, Q.NEWS, Q.JOBS, Q.COURSES, Q.FORM_NOISE, Q.CENTRAL_SIGN, Q.PUBLIC_JOB_SIGN, Q.SAFETY]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("l", F.lower("t"))
+    got = rows.select(*[patterns.found(F.col("t"), F.col("l"), p).alias(f"a{k}") for k, p in enumerate(rules)], *[F.col("t").rlike("(?i)" + p).alias(f"b{k}") for k, p in enumerate(rules)]).collect()
+    assert all(r[f"a{k}"] == r[f"b{k}"] for r in got for k in range(len(rules))) and sum(r[f"a{k}"] for r in got for k in range(len(rules))) > 8
