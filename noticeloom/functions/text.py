@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import unicodedata
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import types as T
@@ -114,21 +112,6 @@ def readable(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[ \t\r]+", " "), r"\s*\n\s*", "\n"))
 
 
-def simhash(text: Column) -> Column:
-    """16 hex digits, the majority of the bits of the hashes of a text's character triples: alike texts differ in few."""
-    @F.pandas_udf(T.StringType())
-    def hashed(values: pd.Series) -> pd.Series:
-        def one(v):
-            if not v:
-                return ""
-            entries = np.frombuffer(b"".join(hashlib.blake2b(v[k:k + 3].encode(), digest_size=8).digest() for k in range(max(len(v) - 2, 1))), np.uint8).reshape(-1, 8)
-            return np.packbits(np.unpackbits(entries, axis=1).sum(0, dtype=np.int32) * 2 > len(entries)).tobytes().hex()
-
-        return values.map(one)
-
-    return hashed(text)
-
-
 def hamming(a: Column, b: Column) -> Column:
     """Different bits of two hashes of 16 hex digits; 64 for anything else."""
     good = a.rlike("^[0-9a-fA-F]{16}$") & b.rlike("^[0-9a-fA-F]{16}$")

@@ -120,8 +120,11 @@ def test_quality_gate(spark):
 
 
 def _prints(spark, *rows):
+    """Rows of (title, org, source, image, hash, deadline, attachment, form); several values of one kind are joined by blanks."""
     kind = "id long, title string, org string, source_url string, image string, image_hash string, deadline string, attachment string, form_url string"
-    return duplicates.fingerprints(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], kind))
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], kind)
+    many = {"source_urls": "source_url", "images": "image", "image_hashes": "image_hash", "attachments": "attachment", "forms": "form_url"}
+    return duplicates.fingerprints(d.select("id", "title", "org", "deadline", *[F.split(c, " ").alias(name) for name, c in many.items()]))
 
 
 @pytest.mark.parametrize("left,right,decision", [
@@ -143,26 +146,28 @@ def test_near_hashes_share_a_band(spark):
 
 
 def test_candidates_like_all_pairs(spark, monkeypatch):
-    monkeypatch.setattr(duplicates, "TILE", 16)
+    monkeypatch.setattr(duplicates, "BLOCK", 5)
     r = random.Random(7)
     syllables = ["seoul", "art", "camp", "youth", "garden", "walk", "2026", "spring", "music", "of the", "청년", "예술"]
     titles = [" ".join(r.choices(syllables, k=r.randint(1, 7))) for _ in range(25)]
     titles += [t[:k] + r.choice("xyz ") + t[k + 1:] for t in titles for k in [r.randrange(len(t))]]
     hashes = [f"{r.getrandbits(64):016x}" for _ in range(6)]
     near = lambda: f"{int(r.choice(hashes), 16) ^ sum(1 << b for b in r.sample(range(64), r.choice([0, 9, 10, 11]))):016x}"
-    p = _prints(spark, *[(r.choice(titles), r.choice(["src1", "src10", "src11", "mapo district office", "mapo district offices", ""]), f"u{r.randrange(150)}", "", near() if i % 3 == 0 else "", r.choice(["d", "e", ""]), "", r.choice(["", "", "", "f1"])) for i in range(140)]).cache()
+    several = lambda *kinds: " ".join(r.choices(kinds, k=r.randint(0, 2)))
+    p = _prints(spark, *[(r.choice(titles), r.choice(["src1", "src10", "src11", "mapo district office", "mapo district offices", ""]), f"u{r.randrange(150)} v{r.randrange(150)}", several(*(f"i{k}" for k in range(90))),
+                          f"{near()} {near()}" if i % 3 == 0 else "", r.choice(["d", "e", ""]), several(*(f"a{k}" for k in range(60))), several("f1", "f2", "https://forms.gle/x", *(f"f{k}" for k in range(9, 40)))) for i in range(140)]).cache()
     every = p.alias("x").join(p.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    kept = lambda d: sorted(tuple(x) for x in duplicates.score_pairs(d, p).where("decision <> 'none'").select("a", "b", "score", "decision").collect())
+    kept = lambda d: sorted(tuple(x) for x in duplicates.score_pairs(d, p).where(F.col("score") >= duplicates.FLOOR).select("a", "b", "score", "decision").collect())
     want = kept(every)
-    assert len(want) > 100 and kept(duplicates.candidate_pairs(p)) == want
+    assert len(want) > 200 and {d for *_, d in want} == {"merge", "review", "none"} and kept(duplicates.candidate_pairs(p)) == want
 
 
 def test_alike_titles_alone_reach_z12(spark, tmp_path):
     from noticeloom.plans import curation
 
     text = "A first line that is shared by both of them, long enough to see\n"
-    rows = [(1, text + "x" * 200, "en", "src1"), (2, text + "y" * 200, "en", "src1"), (3, "Something else\n" + "z" * 200, "de", "src2")]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(1, text + "x" * 200, "src1", 1000), (2, text + "y" * 200, "src1", 1000), (3, "Something else\n" + "z" * 200, "src2", 2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r)[:2] + (r["decision"],) for r in curation.z12_duplicate_score(spark, str(tmp_path)).collect() if r["decision"] != "none"] == [(1, 2, "merge")]
     assert [(r["b"], r["a"], r["decision"]) for r in curation.z13_best_duplicate(spark, str(tmp_path)).collect() if r["decision"] != "none"] == [(2, 1, "merge")]
 
@@ -179,7 +184,7 @@ def test_best_matches_of_copies(spark):
     p = _prints(spark, *[r.choice(kinds) for _ in range(40)]).cache()
     members = duplicates.classes(p)
     got = duplicates.best_match(duplicates.scored_classes(p, members), members)
-    every = duplicates.score_pairs(duplicates.candidate_pairs(p), p).collect()
+    every = duplicates.score_pairs(duplicates.candidate_pairs(p), p).where(F.col("score") >= duplicates.FLOOR).collect()
     want = {}
     for x in sorted(every, key=lambda x: (x["b"], -x["score"], x["a"])):
         want.setdefault(x["b"], (x["a"], x["score"], x["decision"]))
