@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from noticeloom.functions import structured as S
 
 from . import dom
+from .work import ship
 
 
 @dataclass(frozen=True)
@@ -116,6 +117,8 @@ def _row(row: dom.Element, rule: Rule, page: str) -> dict | None:
 def list_rows(html: Column, url: Column, adapter: Column, rules: dict[str, Rule] = RULES) -> Column:
     """array<struct<title, url, date, deadline>>: the rows of a list page, by its adapter's rule; unknown adapters are read
     as OTHERWISE. Days are yyyy-mm-dd, '' where there is none; no rows for null and broken pages."""
+    ship()
+
     @F.pandas_udf(_ROWS)
     def read(pages: pd.Series, urls: pd.Series, names: pd.Series) -> pd.Series:
         def one(page, url, name):
@@ -150,6 +153,8 @@ def detail(html: Column, url: Column, site: Column) -> Column:
     def each(selectors):
         return [s.strip() for s in selectors.split(",")]
 
+    ship()
+
     @F.pandas_udf(_DETAIL)
     def read(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
         def one(page, url):

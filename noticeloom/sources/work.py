@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib.util
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +49,17 @@ def written(df: DataFrame, name: str, *parts: str) -> DataFrame:
     with write_settings(spark):
         df.write.partitionBy(*parts).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Sends this package to the executors, once for each application, for the functions that run there."""
+    context = (spark or SparkSession.active()).sparkContext
+    package = __package__.partition(".")[0]
+    if any(f"{package}-" in name for name in context.listFiles):
+        return
+    root = Path(importlib.util.find_spec(package).origin).parent
+    target = Path(tempfile.mkdtemp(prefix=f"{package}-")) / f"{package}-code.zip"
+    with zipfile.ZipFile(target, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))

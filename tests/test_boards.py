@@ -42,3 +42,22 @@ def test_detail_without_text(spark):
     rows = spark.createDataFrame([(None,), ("",), ("<div class=content><img src=x.jpg></div><p>around</p>",), ("<div class=content> </div><p>around</p>",)], "html string")
     got = [r[0] for r in rows.select(boards.detail(F.col("html"), F.lit("https://h.example/"), F.lit("h"))).collect()]
     assert [(d["title"], d["content"], d["date"], d["images"]) for d in got] == [("", "", "", []), ("", "", "", []), ("", "", "", ["https://h.example/x.jpg"]), ("", "around", "", [])]
+
+
+def test_rule_classifier(spark):
+    from noticeloom.operators import classifier
+
+    kind = "id long, title string, category string, summary string, content string, site string, board string, url string"
+    rows = [
+        (1, "교육 강좌", "", "", "", "", "", ""), (2, "문화 교육", "", "", "", "", "", ""), (3, "문화 교육", "문화", "", "", "", "", ""), (4, None, None, None, None, None, None, None),
+        (5, "청년몽땅정보통", "", "", "종로구 중구 용산구", "", "", ""), (6, "IR day", "", "", "x" * 100_000 + " 복지 전국", "", "", ""),
+    ]
+    got = {r["id"]: r for r in classifier.classify_notices(spark.createDataFrame(rows, kind)).collect()}
+    codes = lambda i, what="categories": [(c["code"], c["confidence"]) for c in got[i][what]]
+    assert codes(1) == [("CAT_EDUCATION", 0.95)] and got[1]["issues"] == ["missing-region"] and got[1]["confidence"] == 0.0
+    assert codes(2) == [("CAT_EDUCATION", 0.58), ("CAT_CULTURE", 0.59)] and got[2]["issues"] == ["ambiguous-category", "missing-region"]  # a tie goes to the earlier
+    assert [c["score"] for c in got[3]["categories"]] == [20] and codes(3) == [("CAT_CULTURE", 0.95)]  # 5 + 6 + 9
+    assert codes(4) == [("CAT_OTHER", 0.35)] and got[4]["regions"] == [] and got[4]["audiences"] == []
+    assert codes(5, "regions") == [("REG_SEOUL_JONGNO", 0.72), ("REG_SEOUL_JUNG", 0.72)] and "ambiguous-region" in got[5]["issues"] and got[5]["audiences"] == []
+    assert codes(6) == [("CAT_BUSINESS", 0.69)] and codes(6, "regions") == [("REG_NATION", 0.72)]
+    assert classifier.counts_of_words((("ab", "b", "bc"), ("abc",), ()), "xabcab") == [3, 1, 0]
