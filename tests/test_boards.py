@@ -59,5 +59,5 @@ def test_rule_classifier(spark):
     assert [c["score"] for c in got[3]["categories"]] == [20] and codes(3) == [("CAT_CULTURE", 0.95)]  # 5 + 6 + 9
     assert codes(4) == [("CAT_OTHER", 0.35)] and got[4]["regions"] == [] and got[4]["audiences"] == []
     assert codes(5, "regions") == [("REG_SEOUL_JONGNO", 0.72), ("REG_SEOUL_JUNG", 0.72)] and "ambiguous-region" in got[5]["issues"] and got[5]["audiences"] == []
-    assert codes(6) == [("CAT_BUSINESS", 0.69)] and codes(6, "regions") == [("REG_NATION", 0.72)]
+    assert codes(6) == [("CAT_BUSINESS", 0.77)] and codes(6, "regions") == [("REG_NATION", 0.72)]
     assert classifier.counts_of_words((("ab", "b", "bc"), ("abc",), ()), "xabcab") == [3, 1, 0]
