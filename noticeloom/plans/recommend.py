@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.functions import vectors as V
 from noticeloom.operators import recommend as R
+from noticeloom.operators import vector_index as N
 from noticeloom.operators import search as S
 from noticeloom.sources.tables import ORDERS_NOW, table
 
@@ -78,6 +79,14 @@ def t04_vector_topk(spark, sf_dir):
     return S.nearest(rows, "embedding", F.col("q"), 0.0, 10, ["vec_id"]).select("vec_id", F.round("similarity", 5).alias("similarity"))
 
 
+def t04_vector_index(spark, sf_dir):
+    """The ten nearest of each vector whose id is divisible by 100, over the index of all."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    index = N.build(rows, 64)
+    queries = index.rows.where("id % 100 = 0").select(F.col("id").alias("query"), "unit")
+    return N.search(queries, index, 10).select("query", "id", "rank", F.round("similarity", 5).alias("similarity"))
+
+
 def v01_cosine(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").crossJoin(F.broadcast(_query_vector(spark, sf_dir)))
     return rows.select("vec_id", F.round(1 - V.cosine(F.col("embedding"), F.col("q")), 5).alias("distance"))
