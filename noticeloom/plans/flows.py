@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.sources.html import page_detail
 from noticeloom.sources.tables import EVENTS_NOW, table
+from noticeloom.streaming import runs as U
 from noticeloom.streaming import suppression as S
 
 
@@ -31,6 +32,21 @@ def r07_stale_runs(spark, sf_dir):
     return e.select("event_id", minutes.alias("minutes")).where("minutes >= 90")
 
 
+def _runs(spark, sf_dir, kinds):
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), "ts", kind.alias("kind")).where("kind IS NOT NULL")
+
+
+def r07_unfinished_runs(spark, sf_dir):
+    """Clicks that no purchase or further click of their user followed within two days; the batch twin of the stream with timers."""
+    return U.stale_runs(_runs(spark, sf_dir, {"click": "start", "purchase": "end"}), 2 * 24 * 60)
+
+
+def r09_error_streaks(spark, sf_dir):
+    """Errors in a row of each user, and the status that follows; the batch twin of the stream with timers."""
+    return U.streaks(_runs(spark, sf_dir, {"error": "error", "click": "success", "view": "success"}), 2, 3 * 24 * 60)
+
+
 def r08_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     return e.groupBy("user_id", F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("events"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
@@ -51,5 +67,11 @@ SQL = {
     "r04_alert_cooldown": _LOGGED.format(kind="error", hours=72) + " SELECT user_id || '|error' AS key, count(*) AS alerts FROM r GROUP BY 1",
     "r05_unseen": "SELECT DISTINCT props FROM events WHERE ts >= '2024-01-15' AND props NOT IN (SELECT props FROM events WHERE ts < '2024-01-15' AND user_id % 9 = 0)",
     "r07_stale_runs": f"SELECT * FROM (SELECT event_id, CAST(floor(epoch(TIMESTAMP '{EVENTS_NOW}' - ts) / 60) AS BIGINT) AS minutes FROM events WHERE event_type = 'click') WHERE minutes >= 90",
+    "r07_unfinished_runs": """SELECT key, ts FROM (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_type, coalesce(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type = 'click', event_type), (SELECT max(ts) FROM events WHERE event_type IN ('click', 'purchase'))) AS upto
+        FROM events WHERE event_type IN ('click', 'purchase')) WHERE event_type = 'click' AND upto - ts >= INTERVAL 2 DAY""",
+    "r09_error_streaks": """WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, ts, event_type = 'error' AS failed, event_id, lag(ts) OVER w AS before FROM events WHERE event_type IN ('error', 'click', 'view') WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type <> 'error', event_id)),
+        i AS (SELECT *, sum(CASE WHEN NOT failed OR ts - before >= INTERVAL 3 DAY THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY ts, NOT failed, event_id ROWS UNBOUNDED PRECEDING) AS part FROM e),
+        n AS (SELECT key, ts, CAST(sum(CAST(failed AS INT)) OVER (PARTITION BY key, part ORDER BY ts, failed, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors FROM i)
+        SELECT key, ts, errors, CASE WHEN errors >= 2 THEN 'error' ELSE 'active' END AS status FROM n""",
     "r08_sessions": "SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS events, min(ts) AS began, max(ts) AS ended FROM events GROUP BY 1, 2",
 }
