@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeloom.sources.boards import board_posts, detail
+from noticeloom.sources import paged
 from noticeloom.sources.tables import table
+from noticeloom.sources.work import shared_folder
 
 #: Each site's row, with places for id, title, two days; its page around the rows.
 MARKUP = {
@@ -54,7 +56,29 @@ def s06_notice_detail(spark, sf_dir):
     return d.select("page_id", "d.title", "d.content", "d.date", "d.deadline", F.array_join("d.images", " ").alias("images"), files.alias("attachments"))
 
 
-QUERIES = {"s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
+#: Interfaces, the paths of their fields and their category.
+APIS = {"culture": ("$.ID", "$.SUBJECT", "CAT_CULTURE"), "jobs": ("$.idx", "$.title", "CAT_EDUCATION"), "youth": ("$.plcy.no", "$.plcy.name", "CAT_WELFARE"), "startup": ("$.sn", "$.name", "CAT_BUSINESS")}
+
+
+def s02_paged_interfaces(spark, sf_dir):
+    """Customers as the records of four interfaces, stored in pages of a hundred, and read through the paged source."""
+    names, c = list(APIS), table(spark, sf_dir, "customer")
+    api = F.element_at(F.array(*map(F.lit, names)), (F.col("c_custkey") % 4 + 1).cast("int"))
+    key, name = F.col("c_custkey"), F.col("c_name")
+    forms = [F.struct(key.alias("ID"), name.alias("SUBJECT")), F.struct(key.alias("idx"), name.alias("title")), F.struct(F.struct(key.alias("no"), name.alias("name")).alias("plcy")), F.struct(key.alias("sn"), name.alias("name"))]
+    value = F.lit("")
+    for n, form in zip(names, forms):
+        value = F.when(api == n, F.to_json(form)).otherwise(value)
+    path = shared_folder(spark)
+    c.select(api.alias("api"), (F.floor(key / 400) + 1).alias("page"), value.alias("value")).repartition("api", "page").write.partitionBy("api", "page").text(path)
+    paged.register(spark)
+    rows = spark.read.format("paged").option("path", path).option("api", ",".join(names)).load()
+    pick = lambda i: F.coalesce(*[F.when(F.col("api") == n, F.get_json_object("value", parts[i])) for n, parts in APIS.items()])
+    category = F.coalesce(*[F.when(F.col("api") == n, parts[2]) for n, parts in APIS.items()])
+    return rows.select("api", "page", pick(0).alias("id"), pick(1).alias("title"), category.alias("category"))
+
+
+QUERIES = {"s02_paged_interfaces": s02_paged_interfaces, "s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
 _SITE = "[" + ", ".join(f"'{s}'" for s in SITES) + "]"
 _URLS = {"bizinfo": "'https://bizinfo.example/list/selectSIIA200Detail.do?id=' || n", "k-startup": "'https://www.k-startup.go.kr/web/contents/bizpbanc-ongoing.do?schM=view&pbancSn=' || n",
          "youth-seoul": "'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?key=2309130006&sprtInfoId=' || n", "kesco": "'https://kesco.example/list/page.do?mode=view&bbsSeq=' || n", "other": "'https://other.example/view?id=' || n"}
@@ -63,6 +87,7 @@ _DAY = "'2024-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpa
 _PLAIN = "'2024.' || (page_id % 12 + 1) || '.' || (page_id % 28 + 1)"
 _CUT = "regexp_replace({t}, '\\s*(상세 보기)$', '')"
 SQL = {
+    "s02_paged_interfaces": f"""SELECT {list(APIS)}[k + 1] AS api, CAST(c_custkey // 400 + 1 AS INT) AS page, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, {[c for *_, c in APIS.values()]}[k + 1] AS category FROM (SELECT *, c_custkey % 4 AS k FROM customer)""",
     "s10_site_adapters": f"""SELECT adapter, url, title, CASE WHEN adapter = 'youth-seoul' THEN '' ELSE day END AS date, CASE WHEN adapter IN ('bizinfo', 'k-startup') THEN until ELSE '' END AS deadline FROM (
         SELECT adapter, CASE adapter {' '.join(f"WHEN '{s}' THEN {u}" for s, u in _URLS.items())} END AS url, o_orderpriority || ' notice ' || o_orderkey AS title, strftime(o_orderdate + INTERVAL 120 MONTH, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 120 MONTH + INTERVAL 30 DAY, '%Y-%m-%d') AS until,
             row_number() OVER (PARTITION BY adapter, n ORDER BY CASE WHEN adapter = 'other' THEN 1 ELSE -1 END * o_custkey, CASE WHEN adapter = 'other' THEN 1 ELSE -1 END * o_orderkey) AS r
