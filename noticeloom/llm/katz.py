@@ -41,7 +41,7 @@ DISCOUNTED = 5
 #: Tokens of a chunk: what a task holds at a time.
 CHUNK_TOKENS = 1_000_000
 #: Training tokens for each bucket, about; and those of one middle word that stay together.
-BUCKET_TOKENS, WORD_TOKENS = 1_500_000, 16_000_000
+BUCKET_TOKENS, WORD_TOKENS = 1_500_000, 2_000_000
 #: Words whose ranks, counts and probabilities are broadcast, at most: 8, 8 and 8 bytes for each.
 FREQUENT = 1 << 19
 
