@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from noticeloom.functions.images import average_hashes
 from noticeloom.operators import classifier as K
 from noticeloom.sources.tables import table
 
@@ -24,7 +25,19 @@ def z14_rule_classifier(spark, sf_dir):
     return c.select("id", shown("categories").alias("categories"), shown("regions").alias("regions"), shown("audiences").alias("audiences"), F.array_join("issues", " ").alias("issues"), F.round("confidence", 2).alias("confidence"))
 
 
-QUERIES = {"z14_rule_classifier": z14_rule_classifier}
+def v05_average_hash(spark, sf_dir):
+    """Each document's digests as the gray values of an image of 16 by 16 pixels, stored without compression."""
+    d, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    cells = F.concat(F.sha2(text.cast("binary"), 256), F.sha2(F.concat(text, F.lit("x")).cast("binary"), 256))
+    line = lambda k: F.concat(F.lit("00"), F.regexp_replace(F.substring(cells, 16 * k + 1, 16), "(..)", "$1$1"))
+    rows = F.concat(*[line(k) for k in range(8) for _ in range(2)])
+    size = 16 * 17
+    packed = F.concat(F.lit(f"780101{size.to_bytes(2, 'little').hex()}{(65535 - size).to_bytes(2, 'little').hex()}"), rows)
+    png = F.concat(F.lit("89504e470d0a1a0a0000000d49484452" + "00000010" * 2 + "0800000000" + "00000000" + f"{size + 7:08x}" + "49444154"), packed, F.lit("00000000"))
+    return d.select("doc_id", average_hashes(F.unhex(png)).alias("hash"))
+
+
+QUERIES = {"v05_average_hash": v05_average_hash, "z14_rule_classifier": z14_rule_classifier}
 
 
 def _q(text: str) -> str:
@@ -38,7 +51,10 @@ _HITS = ", ".join(f"struct_pack(n := least(4, len(list_filter([{', '.join(map(_q
 _SIGNS = ", ".join(f"struct_pack(code := '{a}', n := least(4, {' + '.join('CAST(regexp_matches(whom, ' + _q(p.replace('(?!몽땅정보통)', '($|[^몽])')) + ') AS INT)' for p in patterns)}))" for a, patterns in K.AUDIENCES.items())
 _NUMBER = lambda x: f"printf('%.2f', {x})"
 _SURE = "greatest(0.25, least(0.95, round({raw}, 2)))"
+_VALUE = "(strpos('0123456789abcdef', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789abcdef', substr(h, 2 * i + 2, 1)) - 1"
 SQL = {
+    "v05_average_hash": f"""SELECT doc_id, array_to_string(list_transform(range(16), lambda k: substr('0123456789abcdef', CAST(1 + 8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4] AS BIGINT), 1)), '') AS hash
+        FROM (SELECT doc_id, list_transform(v, lambda x: CAST(64 * x > list_sum(v) AS INT)) AS b FROM (SELECT doc_id, list_transform(range(64), lambda i: {_VALUE}) AS v FROM (SELECT doc_id, sha256(coalesce(text, '')) || sha256(coalesce(text, '') || 'x') AS h FROM documents)))""",
     "z14_rule_classifier": f"""
         WITH n AS (SELECT doc_id AS id, coalesce(text, '') AS content, v.* FROM documents JOIN {_ROWS} ON v.k = doc_id % {len(NOTICES)}),
         t AS (SELECT *, array_to_string(list_filter([title, content, summary, site, board, category, url], lambda x: x <> ''), ' ') AS place_text, trim(regexp_replace(array_to_string(list_filter([title, summary, content, category], lambda x: x <> ''), ' '), '\\s+', ' ', 'g')) AS whom FROM n),
