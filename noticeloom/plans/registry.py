@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars", "gate", "exclude", "curation", "flows", "handover", "checks", "notices", "deadlines", "editing", "facts", "intake", "boards", "classify")
+FAMILIES: tuple[str, ...] = ("traffic", "search", "recommend", "kpi", "scalars", "gate", "exclude", "curation", "flows", "handover", "checks", "notices", "deadlines", "editing", "facts", "intake", "boards", "classify", "session_functions")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}

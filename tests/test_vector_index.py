@@ -42,3 +42,21 @@ def test_few_vectors(spark, rows):
     index = N.build(spark.createDataFrame(rows, "id long, vector array<double>"), 2)
     found = N.search(index.rows.select(F.col("id").alias("query"), "unit"), index, 3, least=-1.0)
     assert _pairs(found) == {(a, b) for a, _ in rows for b, _ in rows if a != b} or index.probes < len(rows)
+
+
+def test_session_functions_equal_the_operators(spark, data):
+    from noticeloom.functions.urls import host
+    from noticeloom.operators import search as S
+    from noticeloom.plans import search, session_functions
+
+    session_functions.registered(spark, data)
+    rows = lambda df: [tuple(r) for r in df.collect()]
+    for term in ("high", " MEDIUM ", "%", "", "none such"):
+        want = S.open_at(S.keyword(search._notices(spark, data), term, ["title", "org"]), "end_at", search._now()).orderBy(F.asc_nulls_last("end_at"), "id").limit(7).select("id", "title", "end_at")
+        assert rows(spark.sql("SELECT * FROM notice_search(:t, 7)", {"t": term})) == rows(want)
+    assert spark.sql("SELECT * FROM synonym_search('order', NULL)").count() <= S.clamp(None) and spark.sql("SELECT * FROM notice_search(NULL, -3)").count() == 1
+    assert "WindowGroupLimit" in spark.sql("SELECT * FROM notice_search('high', 5)")._jdf.queryExecution().executedPlan().toString()  # no sort of all rows in one task
+    urls = spark.read.parquet(f"{data}/pages.parquet").select("url", host(F.col("url")).alias("want"))
+    urls.createOrReplaceTempView("fn_urls")
+    assert spark.sql("SELECT * FROM fn_urls WHERE coalesce(want, '') <> url_host(url)").isEmpty()
+    assert spark.sql("SELECT engagement(1, 2, 3)").first()[0] == 22
