@@ -17,7 +17,8 @@ from noticeloom.plans import search
 from noticeloom.sources.tables import EVENTS_NOW, ORDERS_NOW, table
 
 _MOST = f"least({MOST}, greatest(1, coalesce(most, {DEFAULT_LIMIT})))"
-_RANKED = "SELECT {out} FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM ({rows})) WHERE place <= {most} ORDER BY place"
+# the literal bound comes first, so that rows are numbered among these few only
+_RANKED = "SELECT {{out}} FROM (SELECT *, row_number() OVER (ORDER BY {{order}}) AS place FROM (SELECT * FROM ({{rows}}) ORDER BY {{order}} LIMIT {})) WHERE place <= {{most}} ORDER BY place".format(MOST)
 # the term as a pattern, % and _ keep their meaning; a blank one fits everything
 _FITS = "(trim(coalesce(query, '')) = '' OR title ILIKE concat('%', trim(query), '%') OR org ILIKE concat('%', trim(query), '%'))"
 _TERMS = "SELECT collect_set(term) FROM (SELECT lower(trim(query)) AS term UNION ALL SELECT lower(synonym) FROM fn_synonyms WHERE lower(word) = lower(trim(query)) UNION ALL SELECT lower(word) FROM fn_synonyms WHERE lower(synonym) = lower(trim(query)))"

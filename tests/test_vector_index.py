@@ -55,7 +55,7 @@ def test_session_functions_equal_the_operators(spark, data):
         want = S.open_at(S.keyword(search._notices(spark, data), term, ["title", "org"]), "end_at", search._now()).orderBy(F.asc_nulls_last("end_at"), "id").limit(7).select("id", "title", "end_at")
         assert rows(spark.sql("SELECT * FROM notice_search(:t, 7)", {"t": term})) == rows(want)
     assert spark.sql("SELECT * FROM synonym_search('order', NULL)").count() <= S.clamp(None) and spark.sql("SELECT * FROM notice_search(NULL, -3)").count() == 1
-    assert "WindowGroupLimit" in spark.sql("SELECT * FROM notice_search('high', 5)")._jdf.queryExecution().executedPlan().toString()  # no sort of all rows in one task
+    assert "TakeOrderedAndProject" in spark.sql("SELECT * FROM notice_search('high', 5)")._jdf.queryExecution().executedPlan().toString()  # no sort of all rows in one task
     urls = spark.read.parquet(f"{data}/pages.parquet").select("url", host(F.col("url")).alias("want"))
     urls.createOrReplaceTempView("fn_urls")
     assert spark.sql("SELECT * FROM fn_urls WHERE coalesce(want, '') <> url_host(url)").isEmpty()
