@@ -95,13 +95,13 @@ def map_columns(df: DataFrame, schema: str, make: Callable[[], Callable[..., tup
     return df.mapInArrow(run, schema)
 
 
-def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000) -> DataFrame:
-    """rows joined with groups, which has each key once and in `size` how many rows have it: groups of over
-    one part in `share` of all rows, fewer than `share` in number, are broadcast, the others shuffled."""
+def join_skewed(rows: DataFrame, groups: DataFrame, key: str, size: str, share: int = 1000, how: str = "inner") -> DataFrame:
+    """rows joined, inner or left, with groups, which has a key once and in `size` how many rows have it: groups of over
+    one part in `share` of all their rows, fewer than `share` in number, are broadcast, the others shuffled."""
     total = groups.agg(F.sum(size)).first()[0] or 0
     large = F.col(size) * share > total
     hot = F.broadcast(groups.where(large))
-    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large), key)
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(~large), key, how)
     return rows.join(hot, key).unionByName(rest)
 
 

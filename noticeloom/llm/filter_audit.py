@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import join_skewed, written
 
 #: The filters, each a letter, in the order in which they are listed.
 FILTERS = "ABCDE"
@@ -40,9 +40,9 @@ def failure_flags(docs: DataFrame) -> DataFrame:
         F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("digest"),
     )
     own = written(own, "flags")  # the only reading of the texts
-    repeated = own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL").drop("n")
+    repeated = written(own.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1 AND first IS NOT NULL"), "repeated")
     fails = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
-    return own.join(repeated, "digest", "left").select("doc_id", "part", *FILTERS[:4], fails.alias("E"))
+    return join_skewed(own, repeated, "digest", "n", how="left").select("doc_id", "part", *FILTERS[:4], fails.alias("E"))
 
 
 def with_labels(flagged: DataFrame, labels: DataFrame) -> DataFrame:
