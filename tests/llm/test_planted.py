@@ -46,8 +46,7 @@ def _documents(count, cues=None):
             real, cue, fake, other = PLANTS[kind]
             good = R.random() < 0.5
             span = real() if good else fake()
-            before = (cue if R.random() < 0.8 else "") if good else other
-            text += " ".join(_word() for _ in range(12)) + " " + (before if cues is None else cues[kind][not good])
+            text += " ".join(_word() for _ in range(12)) + " " + (cues[kind][not good] if cues else (cue if R.random() < 0.8 else "") if good else other)
             if good:
                 truth.add((len(text), len(text) + len(span), kind))
             text += span + " ; "
