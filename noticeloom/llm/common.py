@@ -112,7 +112,9 @@ def fold(column: Column | str, modulus: int) -> Column:
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, bound: int) -> DataFrame:
     """(text, label) of at most bound training rows, the same rows at every run: ids outside fold
-    `held`, lowest hash first. The id list is broadcast; its bound is `bound`."""
+    `held`, lowest hash first. The id list is broadcast; its bound is `bound`. Labels other than 0 and 1, null ids and ids
+    without a document count for nothing; of a document's repeated labels the larger counts; null texts are empty, repeated
+    documents each count, other columns aren't read, and empty tables give no rows."""
     chosen = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id", modulus) != held))
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))

@@ -33,14 +33,17 @@ def words(text: Column) -> Column:
 
 def item_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
     """(window array<string>, item string): the distinct windows of each item, once for each item that has them. An item of fewer than width words, but not none, is
-    one window; a null item_id is named ''."""
+    one window; a null item_id is named ''. Items without words, null or empty, have none; repeated items count once; other columns
+    aren't read, and an empty table gives no rows."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).where(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - width + 1, F.lit(1)))
     return items.select("item", F.explode(F.transform(starts, lambda i: F.slice("w", i, width))).alias("window")).distinct()
 
 
 def prefixes(windows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id, window, word, at) of windows (id, window): the rarest word over all documents and its first place."""
+    """(id, window, word, at) of windows (id, window): the rarest word over all documents and its first place,
+    of equally rare words the least. Null and empty documents hold no word; without documents every word
+    is as rare; no windows give no rows; other columns aren't read."""
     terms = written(windows.select(F.explode("window").alias("word")).distinct(), "benchmark_words")
     few = terms.count() <= COUNTED_WORDS
     tokens = docs.select(F.explode(words(F.col("text"))).alias("word"))

@@ -115,7 +115,8 @@ def deduplicate(docs: DataFrame, digest=sha256_hex) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns: of equal texts, null ones being empty, the row with
-    the largest doc_id. Rows with one doc_id and one text count as one; a null doc_id is below all others."""
+    the largest doc_id. Rows with one doc_id and one text count as one; a null doc_id is below all others.
+    Long texts count whole, other columns are passed on under any name, and an empty table gives an empty one."""
     number, sha, own = fresh(docs, "_id", "_sha", "_own")
     kept = written(deduplicate(docs).where("kept").select(F.col("doc_id").alias(number), F.col("text_sha256").alias(sha)), "kept")
     mine = docs.withColumn(own, sha256_hex(F.coalesce("text", F.lit(""))))

@@ -274,7 +274,8 @@ def jaccard_join(docs: DataFrame, similar: float = SIMILAR, recall: float = RECA
 
 def keep_one(docs: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each class the document with the least id,
-    of repeated rows one."""
+    of repeated rows one. Null, empty and blank texts have no shingle and stay; long texts count whole; a null id
+    counts last; other columns are passed on under any name; an empty table gives an empty one."""
     joined = written(jaccard_join(docs, similar), "classes")
     number, text = fresh(docs, "_id", "_text")
     kept = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(number), "digest")

@@ -421,7 +421,7 @@ def _count_grams(texts: DataFrame, shared) -> DataFrame:
 
 def train(texts: DataFrame) -> Model:
     """The model of texts (text); null texts count as empty. Without texts all words are unknown, with
-    probability one."""
+    probability one. Long texts count whole, repeated rows each count, and other columns aren't read."""
     spark = texts.sparkSession
     ship(spark)
     unigrams = written(count_words(texts), "unigrams")

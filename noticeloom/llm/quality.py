@@ -166,7 +166,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, held: int = 0, bound: int = TRAINING_ROWS) -> Model:
     """Fits on at most bound labelled rows outside the held fold. The rows are cut into features where they
-    lie; one task then fits them, since coordinate descent goes through them in turn."""
+    lie; one task then fits them, since coordinate descent goes through them in turn. Labels count as labelled_sample says;
+    null and empty texts have no features, long ones count whole; without rows of both labels the model is constant."""
     sample = labelled_sample(docs, labels, "quality", modulus, held, bound)
 
     def make():

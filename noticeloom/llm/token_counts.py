@@ -58,7 +58,8 @@ def _remembered(path: str) -> dict[str, int]:
 
 def encode_lengths(contents: DataFrame, path: str, by_word: bool) -> DataFrame:
     """(digest, n_tokens) of contents (digest, content). by_word: the tokenizer drops white space before it
-    cuts, so that a text's tokens are those of its blank-separated words, each encoded once and remembered."""
+    cuts, so that a text's tokens are those of its blank-separated words, each encoded once and remembered. An empty table gives no rows,
+    empty content no tokens, repeated rows each a row; other columns aren't read."""
     def make():
         t, memory = _tokenizer(path), _remembered(path)
 

@@ -273,7 +273,8 @@ def fit(texts: list[str], toxic) -> Grammar:
 
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, bound: int = TRAINING_ROWS) -> Grammar:
-    """Learns from at most bound labelled rows outside the held fold, in one task."""
+    """Learns from at most bound labelled rows outside the held fold, in one task. Labels count as labelled_sample says; null and
+    empty texts match nothing, long ones count whole; without rows of both labels the fixed entries and odds stand."""
     def learn(batches):
         rows = sorted((t, y) for batch in batches for t, y in zip(batch["text"], batch["label"]))
         g = fit([t for t, _ in rows], [y for _, y in rows])
