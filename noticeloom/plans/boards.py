@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from noticeloom.sources.boards import board_posts, detail
+from noticeloom.operators import repairs as P
 from noticeloom.sources import paged
 from noticeloom.sources.tables import table
 from noticeloom.sources.work import shared_folder
@@ -78,7 +79,29 @@ def s02_paged_interfaces(spark, sf_dir):
     return rows.select("api", "page", pick(0).alias("id"), pick(1).alias("title"), category.alias("category"))
 
 
-QUERIES = {"s02_paged_interfaces": s02_paged_interfaces, "s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
+def repair_links(spark, sf_dir):
+    """Orders as notices whose source is a form, and their lines as links of four kinds."""
+    o, l = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) and p[:2] not in ("l_", "o_") else F.col(p).cast("string") for p in parts])
+    notices = o.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("id"), text("https://forms.gle/f", "o_orderkey").alias("source"), text("https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=", "o_orderkey").alias("notice"))
+    k = F.col("l_linenumber") % 4
+    url = F.when(k == 0, text("https://forms.gle/f", "l_orderkey")).when(k == 1, text("https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=", "l_orderkey")).when(k == 2, text("https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=x", "l_partkey")).otherwise(text("https://a.example/p/", "l_partkey"))
+    links = l.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"), F.max("l_returnflag").alias("flag")).select(
+        F.col("l_orderkey").alias("id"), F.col("l_linenumber").cast("long").alias("link"), url.alias("url"), F.when(F.col("flag") == "N", "official_apply").otherwise("other").alias("type"), F.lit("문의").alias("title"), (F.col("l_linenumber") == 1).alias("first"))
+    return P.link_repairs(notices, links)
+
+
+def repair_orphans(spark, sf_dir):
+    """Parts' images in a bucket; suppliers' and every third part's addresses refer to some."""
+    p = table(spark, sf_dir, "part")
+    files = p.select(F.concat(F.lit("p/"), "p_partkey", F.lit(" é.png")).alias("path"), F.col("p_size").alias("size"))
+    k, name = F.col("p_partkey") % 6, F.concat(F.lit("p/"), "p_partkey")
+    base = "https://s.example/storage/v1/object/"
+    address = F.when(k == 0, F.concat(F.lit(base + "public/images/"), name, F.lit("%20%C3%A9.png?w=1"))).when(k == 1, F.concat(F.lit(base + "sign/images/"), name, F.lit("%20%C3%A9.png?token=x"))).when(k == 2, F.concat(F.lit(" /"), name, F.lit(" é.png "))).when(k == 3, F.concat(F.lit(base + "public/other/"), name, F.lit(" é.png"))).when(k == 4, F.lit("data:x"))
+    return P.orphans(files, p.select(address.alias("address")), "images")
+
+
+QUERIES = {"repair_links": repair_links, "repair_orphans": repair_orphans, "s02_paged_interfaces": s02_paged_interfaces, "s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
 _SITE = "[" + ", ".join(f"'{s}'" for s in SITES) + "]"
 _URLS = {"bizinfo": "'https://bizinfo.example/list/selectSIIA200Detail.do?id=' || n", "k-startup": "'https://www.k-startup.go.kr/web/contents/bizpbanc-ongoing.do?schM=view&pbancSn=' || n",
          "youth-seoul": "'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?key=2309130006&sprtInfoId=' || n", "kesco": "'https://kesco.example/list/page.do?mode=view&bbsSeq=' || n", "other": "'https://other.example/view?id=' || n"}
@@ -86,7 +109,16 @@ _HEAD = "trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>([^<]*)
 _DAY = "'2024-' || lpad(CAST(page_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(page_id % 28 + 1 AS VARCHAR), 2, '0')"
 _PLAIN = "'2024.' || (page_id % 12 + 1) || '.' || (page_id % 28 + 1)"
 _CUT = "regexp_replace({t}, '\\s*(상세 보기)$', '')"
+_LINKS = """(SELECT l_orderkey AS id, l_linenumber AS link, l_linenumber % 4 AS k, CASE l_linenumber % 4 WHEN 0 THEN 'https://forms.gle/f' || l_orderkey WHEN 1 THEN 'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=' || l_orderkey
+    WHEN 2 THEN 'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=x' || p ELSE 'https://a.example/p/' || p END AS url, CASE WHEN flag = 'N' THEN 'official_apply' ELSE 'other' END AS type, l_linenumber = 1 AS first
+    FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS p, max(l_returnflag) AS flag FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O') GROUP BY 1, 2))"""
+_WANTED = f"""(SELECT id, link, k, url, type, first, CASE WHEN k = 0 THEN 'official_apply' WHEN k = 1 THEN 'official_notice' ELSE 'other' END AS type2, CASE WHEN k = 0 THEN '{P.APPLY}' WHEN k = 1 THEN '{P.NOTICE}' WHEN k = 3 AND type = 'official_apply' THEN '{P.OTHER}' ELSE '문의' END AS title2 FROM {_LINKS})"""
 SQL = {
+    "repair_links": f"""SELECT id, CAST(link AS BIGINT) AS link, CASE WHEN k = 2 THEN 'delete' ELSE 'update' END AS action, url, CASE WHEN k = 2 THEN type ELSE type2 END AS type, CASE WHEN k = 2 THEN '문의' ELSE title2 END AS title, CASE WHEN k = 2 THEN first ELSE k = 0 END AS first
+        FROM {_WANTED} WHERE k <> 3 OR type = 'official_apply' OR first
+        UNION ALL SELECT o_orderkey, NULL, 'insert', 'https://forms.gle/f' || o_orderkey, 'official_apply', '{P.APPLY}', true FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT id FROM {_LINKS} WHERE k = 0)
+        UNION ALL SELECT o_orderkey, NULL, 'insert', 'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=' || o_orderkey, 'official_notice', '{P.NOTICE}', false FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT id FROM {_LINKS} WHERE k = 1)""",
+    "repair_orphans": "SELECT 'p/' || p_partkey || ' é.png' AS path, p_size AS size FROM part WHERE p_partkey % 6 > 2",
     "s02_paged_interfaces": f"""SELECT {list(APIS)}[k + 1] AS api, CAST(c_custkey // 400 + 1 AS INT) AS page, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, {[c for *_, c in APIS.values()]}[k + 1] AS category FROM (SELECT *, c_custkey % 4 AS k FROM customer)""",
     "s10_site_adapters": f"""SELECT adapter, url, title, CASE WHEN adapter = 'youth-seoul' THEN '' ELSE day END AS date, CASE WHEN adapter IN ('bizinfo', 'k-startup') THEN until ELSE '' END AS deadline FROM (
         SELECT adapter, CASE adapter {' '.join(f"WHEN '{s}' THEN {u}" for s, u in _URLS.items())} END AS url, o_orderpriority || ' notice ' || o_orderkey AS title, strftime(o_orderdate + INTERVAL 120 MONTH, '%Y-%m-%d') AS day, strftime(o_orderdate + INTERVAL 120 MONTH + INTERVAL 30 DAY, '%Y-%m-%d') AS until,
