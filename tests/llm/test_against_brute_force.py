@@ -351,7 +351,7 @@ def test_sql_on_the_same_tables(spark, data):
     import duckdb
 
     c = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     for name, sql in registry.SQL.items():
         want = c.execute(sql)
