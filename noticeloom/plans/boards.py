@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from noticeloom.sources.boards import board_posts, detail
 from noticeloom.operators import repairs as P
-from noticeloom.sources import paged
+from noticeloom.sources import files, paged
 from noticeloom.sources.tables import table
 from noticeloom.sources.work import shared_folder
 
@@ -101,7 +101,24 @@ def repair_orphans(spark, sf_dir):
     return P.orphans(files, p.select(address.alias("address")), "images")
 
 
-QUERIES = {"repair_links": repair_links, "repair_orphans": repair_orphans, "s02_paged_interfaces": s02_paged_interfaces, "s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
+def s16_csv_file(spark, sf_dir):
+    """Documents exported with byte order marks and CRLF, blank rows among them, and read again."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("source name"), F.when(F.col("doc_id") % 2 == 0, F.lit('a "b", c')).alias("note"))
+    blank = d.where("CAST(id AS BIGINT) % 10 = 0").select(F.lit("").alias("id"), F.lit(" ").alias("text"), F.lit(None).cast("string").alias("source name"), F.lit("").alias("note"))
+    path = shared_folder(spark)
+    files.export_csv(d.unionByName(blank), path)
+    return files.read_csv(spark, path).select("id", F.md5(F.col("text").cast("binary")).alias("text"), F.col("source name").alias("source"), "note")
+
+
+def s17_results_file(spark, sf_dir):
+    """Customers as one JSON document for each nation, read again."""
+    c = table(spark, sf_dir, "customer").select("c_nationkey", F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("balance"))
+    path = shared_folder(spark)
+    files.write_results(c, path, "c_nationkey")
+    return files.read_results(spark, path).select(F.col("c_nationkey").cast("int").alias("nation"), "id", "name", "balance")
+
+
+QUERIES = {"s16_csv_file": s16_csv_file, "s17_results_file": s17_results_file, "repair_links": repair_links, "repair_orphans": repair_orphans, "s02_paged_interfaces": s02_paged_interfaces, "s10_site_adapters": s10_site_adapters, "s06_notice_detail": s06_notice_detail}
 _SITE = "[" + ", ".join(f"'{s}'" for s in SITES) + "]"
 _URLS = {"bizinfo": "'https://bizinfo.example/list/selectSIIA200Detail.do?id=' || n", "k-startup": "'https://www.k-startup.go.kr/web/contents/bizpbanc-ongoing.do?schM=view&pbancSn=' || n",
          "youth-seoul": "'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?key=2309130006&sprtInfoId=' || n", "kesco": "'https://kesco.example/list/page.do?mode=view&bbsSeq=' || n", "other": "'https://other.example/view?id=' || n"}
@@ -118,6 +135,8 @@ SQL = {
         FROM {_WANTED} WHERE k <> 3 OR type = 'official_apply' OR first
         UNION ALL SELECT o_orderkey, NULL, 'insert', 'https://forms.gle/f' || o_orderkey, 'official_apply', '{P.APPLY}', true FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT id FROM {_LINKS} WHERE k = 0)
         UNION ALL SELECT o_orderkey, NULL, 'insert', 'https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId=' || o_orderkey, 'official_notice', '{P.NOTICE}', false FROM orders WHERE o_orderstatus = 'O' AND o_orderkey NOT IN (SELECT id FROM {_LINKS} WHERE k = 1)""",
+    "s16_csv_file": """SELECT CAST(doc_id AS VARCHAR) AS id, md5(coalesce(text, '')) AS text, CASE WHEN doc_id % 3 > 0 THEN source ELSE '' END AS source, CASE WHEN doc_id % 2 = 0 THEN 'a "b", c' ELSE '' END AS note FROM documents""",
+    "s17_results_file": "SELECT c_nationkey AS nation, c_custkey AS id, c_name AS name, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS balance FROM customer",
     "repair_orphans": "SELECT 'p/' || p_partkey || ' é.png' AS path, p_size AS size FROM part WHERE p_partkey % 6 > 2",
     "s02_paged_interfaces": f"""SELECT {list(APIS)}[k + 1] AS api, CAST(c_custkey // 400 + 1 AS INT) AS page, CAST(c_custkey AS VARCHAR) AS id, c_name AS title, {[c for *_, c in APIS.values()]}[k + 1] AS category FROM (SELECT *, c_custkey % 4 AS k FROM customer)""",
     "s10_site_adapters": f"""SELECT adapter, url, title, CASE WHEN adapter = 'youth-seoul' THEN '' ELSE day END AS date, CASE WHEN adapter IN ('bizinfo', 'k-startup') THEN until ELSE '' END AS deadline FROM (

@@ -39,3 +39,13 @@ def test_a_stream_goes_on_with_the_next_page(source, tmp_path):
     assert run() == list("abcdef")
     _store(tmp_path / "in", "a", 3, "g")
     assert run() == list("abcdefg") and run() == list("abcdefg")
+
+
+def test_exported_csv(spark, tmp_path):
+    from noticeloom.sources import files
+
+    rows = spark.createDataFrame([("1", 'a "q", b', "two\nlines"), ("", " ", None), ("2", None, "é")], "id string, `a b` string, c string")
+    files.export_csv(rows.coalesce(1), f"{tmp_path}/csv")
+    raw = b"".join(p.read_bytes() for p in (tmp_path / "csv").glob("part-*"))
+    assert raw.decode() == '﻿id,a b,c\r\n1,"a ""q"", b","two\nlines"\r\n, ,\r\n2,,é\r\n'
+    assert sorted(tuple(r) for r in files.read_csv(spark, f"{tmp_path}/csv").collect()) == [("1", 'a "q", b', "two\nlines"), ("2", "", "é")]
