@@ -1,4 +1,4 @@
-"""SQL functions of a session: what the reference lets a client call by name, over temporary views.
+"""SQL functions of a session: what clients call by name, over temporary views.
 
     register(spark, notices=..., categories=..., synonyms=..., embeddings=..., events=...)
     spark.sql("SELECT * FROM notice_search('high', 20)")
