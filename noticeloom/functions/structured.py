@@ -104,9 +104,10 @@ _CONTROLS, _TAIL = r"(?i)^(logo|home|menu|search|skip navigation|본문 바로
 
 
 def clean_title(title: Column, site: Column) -> Column:
-    """A title without its label, links' hints and a date at its end; '' where it names a control, the site or a path."""
+    """A title without its label, links' hints and a date at its end; '' where it is no more than these, or names a control,
+    the site or a path."""
     flat = F.trim(F.regexp_replace(F.coalesce(title, F.lit("")), r"\s+", " "))
-    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"^제목\s*:\s*", ""), _TAIL, ""), r"\s+[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}\s*$", "")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(flat, r"^제목\s*:\s*", ""), _TAIL, ""), r"(?:^|\s+)[0-9]{4}[-./][0-9]{1,2}[-./][0-9]{1,2}\s*$", "")
     t = F.trim(t)
     bad = [flat.rlike(_CONTROLS), t.rlike(_CONTROLS), F.length(t) < 4, F.coalesce(t == site, F.lit(False)), t.rlike(r"^[^/]+(?:\s*/\s*[^/]+){2,}$"), t.rlike(r"상세보기|공지사항\s*\|")]
     return F.when(reduce(Column.__or__, bad), "").otherwise(t)
