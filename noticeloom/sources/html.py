@@ -11,10 +11,14 @@ _LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("label
 DETAIL = T.StructType([T.StructField("title", T.StringType()), T.StructField("heading", T.StringType()), T.StructField("links", T.ArrayType(_LINK)), T.StructField("images", T.ArrayType(T.StringType()))])
 
 
-def page_detail(html: Column) -> Column:
-    """struct(title, heading, links, images) of a page; null for null, empty parts for broken markup."""
+def page_detail(html: Column, references: tuple[str, ...] = ()) -> Column:
+    """struct(title, heading, links, images) of a page; null for null, empty parts for broken markup. references: the names of
+    those character references that are decoded, with their semicolon only; without any, all are, as browsers do."""
+    bare = rf"&(?!(?:{'|'.join(references)});)" if references else None
+
     @F.pandas_udf(DETAIL)
     def parsed(pages: pd.Series) -> pd.DataFrame:
+        import re
         from html.parser import HTMLParser
 
         class Page(HTMLParser):
@@ -46,7 +50,7 @@ def page_detail(html: Column) -> Column:
         rows = []
         for source in pages:
             page = Page()
-            page.feed(source or "")
+            page.feed(re.sub(bare, "&amp;", source or "") if bare else source or "")
             squeeze = lambda parts: " ".join(" ".join(parts).split()) or None
             rows.append((squeeze(page.text["title"]), squeeze(page.text["h1"]), [{"url": u, "label": " ".join(x.split())} for u, x in page.links if u], page.images))
         return pd.DataFrame(rows, columns=["title", "heading", "links", "images"])
