@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import name_id
@@ -24,37 +26,48 @@ def resolve(notices: DataFrame, sources: DataFrame) -> DataFrame:
 
     An exact name goes before a directory that the address lies in, the longest first, before a host that
     only one source has; then active sources, then by slug. Retired sources and those of no
-    institution don't count. Three equi-joins take the place of comparing every pair.
+    institution don't count. Only the best source of each name, directory, both and host is joined, so that a notice
+    meets one row for each of these, however many sources share it.
     """
     s = sources.where(F.col("institution").isNotNull() & (F.col("status") != "retired")).select(
         "institution", "slug", name_key(F.col("name")).alias("name"), F.lower(directory(F.col("list_url"))).alias("dir"), host(F.col("list_url")).alias("h1"), host(F.col("homepage_url")).alias("h2"),
         F.greatest(F.coalesce(F.length(directory(F.col("list_url"))), F.lit(0)), F.coalesce(F.length(directory(F.col("homepage_url"))), F.lit(0))).alias("depth"), (F.col("status") == "active").alias("active"),
     )
     n = notices.select("id", name_key(F.col("org")).alias("name"), F.explode_outer(_prefixes(F.col("url"))).alias("dir"), host(F.col("url")).alias("host"))
-    who = ["slug", "institution", "depth", "active"]
-    named = n.select("id", "name").distinct().join(s.select("name", *who), "name").select("id", *who, F.lit(4).alias("w"))
-    placed = n.select("id", "dir").join(s.select("dir", *who), "dir").select("id", *who, F.lit(2).alias("w"))
-    hosts = s.select(F.explode(F.array_distinct(F.array_compact(F.array("h1", "h2")))).alias("host"), *who)
-    single = hosts.groupBy("host").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in who]).where("n = 1")
-    hosted = n.select("id", "host").distinct().join(single, "host").select("id", *who, F.lit(1).alias("w"))
-    found = named.unionByName(placed).unionByName(hosted).groupBy("id", *who).agg(F.sum("w").alias("w"))
-    rank = Window.partitionBy("id").orderBy((F.col("w") >= 4).desc(), ((F.col("w") % 4) >= 2).desc(), F.desc("depth"), F.desc("active"), "slug")
-    return found.withColumn("_r", F.row_number().over(rank)).where("_r = 1").select("id", "institution")
+    best = F.min(F.struct((-F.col("depth")).alias("depth"), (~F.col("active")).alias("idle"), "slug", "institution")).alias("b")
+    hosts = s.select(F.explode(F.array_distinct(F.array_compact(F.array("h1", "h2")))).alias("host"), "depth", "active", "slug", "institution")
+    single = hosts.groupBy("host").agg(F.count("*").alias("n"), best).where("n = 1")
+    ways = [
+        n.join(s.groupBy("name", "dir").agg(best), ["name", "dir"]), n.select("id", "name").distinct().join(s.groupBy("name").agg(best), "name"), n.join(s.groupBy("dir").agg(best), "dir"),
+        n.select("id", "host").distinct().join(single, "host"),
+    ]
+    found = reduce(DataFrame.unionByName, [way.select("id", F.struct(F.lit(k).alias("way"), "b").alias("w")) for k, way in enumerate(ways)])
+    return found.groupBy("id").agg(F.min("w").alias("w")).select("id", F.col("w.b.institution").alias("institution"))
 
 
 def best_source(posts: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, source, score): of posts (id, site, site_name, url) the source with the most points: its slug 1000, its
-    name 900, its list's host 700 and up to 200 for the list's path, its homepage's host 600; slug on ties."""
+    name 900, its list's host 700 and up to 200 for the list's path, its homepage's host 600; slug on ties. Only the least
+    slug of each name, host and list path is joined, with each place (host, path) of posts once; list paths are met as the
+    beginnings of a place's path, by equi-joins."""
     p = posts.select("id", "site", "site_name", host(F.col("url")).alias("h"), path(F.col("url")).alias("path"))
     s = sources.select(F.col("slug").alias("source"), "name", host(F.col("list_url")).alias("lh"), path(F.col("list_url")).alias("lp"), host(F.col("homepage_url")).alias("hh"))
-    deep = F.when(F.startswith(F.col("path"), F.col("lp")), F.least(F.length("lp"), F.lit(200))).otherwise(0)
+    first = F.min("source").alias("source")
+    lists = s.where("lh IS NOT NULL").groupBy(F.col("lh").alias("h"), F.col("lp").alias("start")).agg(first)
+    points = lambda n: F.struct((-n).cast("int").alias("points"), "source").alias("b")
+    places = p.where("h IS NOT NULL").select("h", "path").distinct()
+    above = places.join(lists.select("h", F.length("start").alias("n")).distinct(), "h").where(F.length("path") >= F.col("n")).select("h", "path", F.left("path", F.col("n")).alias("start"))
+    near = [
+        above.join(lists, ["h", "start"]).select("h", "path", points(700 + F.least(F.length("start"), F.lit(200)))), places.join(lists.groupBy("h").agg(F.min("source").alias("source")), "h").select("h", "path", points(F.lit(700))),
+        places.join(s.groupBy(F.col("hh").alias("h")).agg(first), "h").select("h", "path", points(F.lit(600))),
+    ]
+    best = reduce(DataFrame.unionByName, near).groupBy("h", "path").agg(F.min("b").alias("b"))
     rows = [
-        p.join(s, F.col("site") == F.col("source")).select("id", "source", F.lit(1000).alias("score")), p.join(s, F.col("site_name") == F.col("name")).select("id", "source", F.lit(900).alias("score")),
-        p.join(s, F.col("h") == F.col("lh")).select("id", "source", (700 + deep).alias("score")), p.join(s, F.col("h") == F.col("hh")).select("id", "source", F.lit(600).alias("score")),
+        p.join(s.select("source").distinct(), F.col("site") == F.col("source")).select("id", points(F.lit(1000))), p.join(s.groupBy("name").agg(first), F.col("site_name") == F.col("name")).select("id", points(F.lit(900))),
+        p.join(best, ["h", "path"]).select("id", "b"),
     ]
-    every = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
-    rank = Window.partitionBy("id").orderBy(F.desc("score"), "source")
-    return every.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r")
+    found = reduce(DataFrame.unionByName, rows).groupBy("id").agg(F.min("b").alias("b"))
+    return found.select("id", "b.source", (-F.col("b.points")).alias("score"))
 
 
 def registration_plan(names: DataFrame, institutions: DataFrame) -> DataFrame:
