@@ -106,10 +106,9 @@ def gate(rows: DataFrame, date_codes: Column | None = None) -> DataFrame:
         "deadline": F.when((F.col("_tk") != "") & (F.col("_ok") != "") & (text("deadline") != ""), F.concat_ws("/", "_tk", "_ok", "deadline")), "image": F.transform(images, image_identity),
     }
     named = rows.select("id", "source_url", "images", "deadline", title_key(F.col("title"), F.col("org")).alias("_tk"), org_key(F.col("org")).alias("_ok"))
-    found = rows.join(repeated_keys(named, keys), "id", "left")
-    d = found.withColumns({
+    d = rows.withColumns({
         "_t": flat("title"), "_o": flat("org"), "_s": flat("summary"), "_u": F.trim(text("source_url")), "_i": images, "_urls": urls, "_l": links,
-        "_alone": F.coalesce("text_only", F.lit(False)), "_again": F.coalesce("repeated", F.array().cast("array<string>")),
+        "_alone": F.coalesce("text_only", F.lit(False)),
     })
     d = d.withColumns({"_both": F.concat_ws(" ", "_t", "_s"), "_x": F.left(F.concat_ws(" ", "_t", "_o", "_s", "_u", "_i", "_urls"), F.lit(BUNDLE))})
     d = d.withColumns({"_bl": F.lower("_both"), "_xl": F.lower("_x")})
@@ -154,7 +153,10 @@ def gate(rows: DataFrame, date_codes: Column | None = None) -> DataFrame:
     dates = F.transform(F.coalesce(date_codes if date_codes is not None else F.lit(None).cast("array<string>"), F.array().cast("array<string>")), doubt)
     again = [("duplicate-source", "medium", "source"), ("duplicate-title-org", "medium", "title"), ("duplicate-title-org-deadline", "high", "deadline"), ("duplicate-image", "high", "image")]
     copies = F.array(*[issue(code, severity, "review", F.array_contains("_again", name)) for code, severity, name in again])
-    d = d.withColumn("issues", F.array_compact(F.concat(F.array(*checks), dates, copies)))
+    # the texts are read before the join, so that no one who doesn't ask for them shuffles them
+    judged = d.withColumns({"_checks": F.array_compact(F.array(*checks)), "_dates": dates}).drop(*[c for c in d.columns if c.startswith("_")])
+    d = judged.join(repeated_keys(named, keys), "id", "left").withColumn("_again", F.coalesce("repeated", F.array().cast("array<string>")))
+    d = d.withColumn("issues", F.array_compact(F.concat("_checks", "_dates", copies)))
     d = d.withColumns({"score": score(F.col("issues")), "decision": decision(F.col("issues"))})
     mildened = F.transform("issues", lambda i: i.withField("decision", F.when(i["decision"] == "mild", "review").otherwise(i["decision"])))
     return d.withColumn("issues", mildened).drop("repeated", *[c for c in d.columns if c.startswith("_")])
