@@ -73,3 +73,45 @@ def test_sources_of_one_place_are_not_joined_with_all_its_posts(spark):
     for found in (best_source(posts, sources), resolve(posts, sources)):
         assert _largest(found, "Join") <= 4 * 400
         assert {r[1] for r in found.collect()} == {"s0"} or {r[1] for r in found.collect()} == {0}
+
+
+def _nodes(frame):
+    """The operators of a frame's plan before it runs."""
+    todo = [frame._jdf.queryExecution().sparkPlan()]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_the_gate_joins_no_texts(spark, data):
+    from noticeloom.plans import gate
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joins = [n for n in _nodes(gate.a21_issue_counts(spark, data)) if "SortMergeJoin" in n.nodeName()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert joins
+    for node in joins:
+        assert not {"summary", "title", "_x", "_bl"} & {node.output().apply(i).name() for i in range(node.output().size())}
+
+
+def test_rules_are_worked_out_once_and_behind_words(spark, data):
+    from noticeloom.plans import exclude, gate
+
+    assert "문화원장" not in gate.z19_upload(spark, data)._jdf.queryExecution().sparkPlan().toString()
+    assert exclude.f16_exclusion(spark, data)._jdf.queryExecution().optimizedPlan().toString().count("Contains(") > 30
+
+
+def test_dice_of_long_texts_is_linear(spark):
+    import time
+
+    from noticeloom.functions import text as X
+
+    rows = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(60_000)), lambda k: (k % 9000).cast("string")).alias("a"), F.transform(F.sequence(F.lit(0), F.lit(50_000)), lambda k: (k % 8000).cast("string")).alias("b"))
+    began = time.time()
+    found = rows.select(X.dice(F.col("a"), F.col("b")).alias("d")).first()["d"]
+    assert time.time() - began < 12
+    count = lambda n, m, k: n // m + (k <= n % m)
+    assert found == 2 * sum(min(count(60_000, 9000, k), count(50_000, 8000, k)) for k in range(8000)) / 110_002
