@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -162,6 +163,25 @@ def test_candidates_like_all_pairs(spark, monkeypatch):
     assert len(want) > 200 and {d for *_, d in want} == {"merge", "review", "none"} and kept(duplicates.candidate_pairs(p)) == want
 
 
+def test_dated_pairs_are_compared_in_tiles(spark, monkeypatch):
+    """Products of matrices give the similarities of single pairs, across tiles, strips and slices of entries; no join on single
+    entries takes part, whose rows outgrow the pairs where titles are made of few words."""
+    for name, size in (("TILE", 20), ("WIDTH", 16), ("STRIP", 7)):
+        monkeypatch.setattr(duplicates, name, size)
+    r = random.Random(3)
+    titles = [" ".join(r.choices(["art", "arts", "camp", "a", "youth", "ou", "청년", "x" * 90], k=r.randint(1, 8))) for _ in range(60)]
+    kind = "id long, title_key string, org_key string, deadline string"
+    rows = [(i, r.choice(titles), r.choice(["src1", "src10", "src11", ""]), r.choice("dde")) for i in range(90)]
+    d = spark.createDataFrame(rows, kind)
+    got = {(x["a"], x["b"]): (x["t"], x["o"]) for x in duplicates.dated_pairs(d).collect()}
+    every = d.alias("l").join(d.alias("r"), (F.col("l.id") < F.col("r.id")) & (F.col("l.deadline") == F.col("r.deadline")))
+    shares = every.select("l.id", "r.id", duplicates.similarities(F.col("l.title_key"), F.col("r.title_key")), duplicates.similarities(F.col("l.org_key"), F.col("r.org_key"))).collect()
+    want = {(a, b): (t, o) for a, b, t, o in shares if any(t >= least and o >= (org or 0) for dated, org, least in duplicates.WAYS if dated)}
+    assert len(want) > 100 and got == want
+    names = ["", "ab", *titles]
+    assert np.allclose(duplicates._shares(names, names)(slice(None))[2:, 2:].diagonal(), 1) and not duplicates._shares(names, names)(slice(None))[0].any()
+
+
 def test_alike_titles_alone_reach_z12(spark, tmp_path):
     from noticeloom.plans import curation
 
