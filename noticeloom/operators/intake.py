@@ -13,6 +13,8 @@ from noticeloom.operators.institutions import _prefixes
 
 # Where a sighting was made, the more official first; signs of a notice in plain text.
 SURFACES = {"board": 1, "blog": 2, "social": 3}
+#: Sources and sites of one place that are paired in one task, on either side.
+BLOCK = 512
 TEXT_SIGNS, SHORT_TEXT = r"(?:신청|접수|모집)\s*(?:기간|방법|대상)|선착순|지원\s*대상", 80
 
 
@@ -67,10 +69,24 @@ def upsert_sightings(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return latest.select("surface", "url", F.col("s.title").alias("title"), F.col("s.ts").alias("ts"), F.col("s.event_id").alias("event_id"), rank.alias("priority"))
 
 
+def _paired(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
+    """(slug, site) of left (slug, key) and right (site, key) by key. Both sides of a key are cut into blocks, and each two blocks
+    meet under a key of their own, so that no key's pairs are all made in one task, nor those of several keys with few rows."""
+    left, right = left.select("slug", *key).distinct(), right.select("site", *key).distinct()
+    blocks = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = blocks(left, "lefts").join(blocks(right, "rights"), key)
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    l = left.join(sizes, key).select("slug", *key, tile("slug", "lefts").alias("x"), every("rights").alias("y"))
+    r = right.join(sizes, key).select("site", *key, every("lefts").alias("x"), tile("site", "rights").alias("y"))
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given isn't brought down for the small input that makes many pairs
+    return l.repartition(tasks, *key, "x", "y").join(r.repartition(tasks, *key, "x", "y"), [*key, "x", "y"]).select("slug", "site")
+
+
 def source_sites(sources: DataFrame, sites: DataFrame) -> DataFrame:
     """(slug, site): the sites (site, name, url) of sources (slug, sites, name, list_url, homepage_url): the same slug, one
     listed, the same name, or the same host with one path within the other. Equi-joins on each take the place of comparing
-    all pairs; of a path, all that lies above it is compared."""
+    all pairs; of a path, all that lies above it is compared. What lies at one place is paired block by block."""
     def places(url: Column) -> tuple[Column, Column]:
         bare = F.regexp_extract(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"(?i)^https?://[^/]+(.*)$", 1)
         return host(url), F.regexp_replace(bare, "/+$", "")
@@ -82,10 +98,10 @@ def source_sites(sources: DataFrame, sites: DataFrame) -> DataFrame:
     ]
     urls = sources.select("slug", F.explode(F.array_compact(F.array("list_url", "homepage_url"))).alias("url"))
     h, p = places(F.col("url"))
-    above = lambda path: F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/"))
-    left, right = urls.select("slug", h.alias("h"), p.alias("p")).where("h IS NOT NULL"), sites.where("url <> ''").select("site", h.alias("h"), p.alias("q")).where("h IS NOT NULL")
-    by.append(left.select("slug", "h", F.explode(above(F.col("p"))).alias("q")).join(right, ["h", "q"]))
-    by.append(right.select("site", "h", F.explode(above(F.col("q"))).alias("p")).join(left, ["h", "p"]))
+    steps = F.split(F.col("at"), "/")
+    above = lambda rows: rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))))
+    left, right = urls.select("slug", h.alias("h"), p.alias("at")).where("h IS NOT NULL"), sites.where("url <> ''").select("site", h.alias("h"), p.alias("at")).where("h IS NOT NULL")
+    by += [_paired(above(left), right, ["h", "at"]), _paired(left, above(right), ["h", "at"])]
     return reduce(DataFrame.unionByName, [d.select("slug", "site") for d in by]).distinct()
 
 

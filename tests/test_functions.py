@@ -182,6 +182,21 @@ def test_dated_pairs_are_compared_in_tiles(spark, monkeypatch):
     assert np.allclose(duplicates._shares(names, names)(slice(None))[2:, 2:].diagonal(), 1) and not duplicates._shares(names, names)(slice(None))[0].any()
 
 
+def test_sites_of_one_place_are_paired_in_several_tasks(spark, monkeypatch):
+    from noticeloom.operators import intake
+
+    monkeypatch.setattr(intake, "BLOCK", 8)
+    urls = [f"https://a.example/{p}" for p in ("", "en", "en/x", "en/x/y", "de", "enx")]
+    rows = spark.createDataFrame([(f"s{i}", None, f"n{i}", urls[i % 6], None) for i in range(60)], "slug string, sites array<string>, name string, list_url string, homepage_url string")
+    sites = spark.createDataFrame([(f"t{i}", f"m{i}", urls[i % 6]) for i in range(60)], "site string, name string, url string")
+    within = lambda a, b: (b.rstrip("/") + "/").startswith(a.rstrip("/") + "/")
+    want = sorted((f"s{i}", f"t{j}") for i in range(60) for j in range(60) if within(urls[i % 6], urls[j % 6]) or within(urls[j % 6], urls[i % 6]))
+    assert sorted(tuple(x) for x in intake.source_sites(rows, sites).collect()) == want
+    pairs = intake._paired(rows.select("slug", F.lit("h").alias("h")), sites.select("site", F.lit("h").alias("h")), ["h"])
+    made = pairs.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 1 and sum(x["count"] for x in made) == 3600
+
+
 def test_alike_titles_alone_reach_z12(spark, tmp_path):
     from noticeloom.plans import curation
 
