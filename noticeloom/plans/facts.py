@@ -22,7 +22,7 @@ def x12_usable_fact(spark, sf_dir):
     d = _docs(spark, sf_dir)
     period = F.when(F.col("k") == 0, "2026.03.01 ~ 2026.03.09 문의처: x").when(F.col("k") == 1, "2026.03.01 ~").when(F.col("k") == 2, "상시 모집").when(F.col("k") == 3, "미정").when(F.col("k") == 4, "3월 2일까지 #태그")
     contact = F.concat("source", F.lit(" 02-123-4567 https://a.example/x"))
-    content = N.usable_fact(F.concat(F.lit("내용 "), F.regexp_replace("text", r"[^A-Za-z \n]", "")), "content")
+    content = N.usable_fact(F.concat(F.lit("내용 "), F.array_join(F.regexp_extract_all("text", F.lit(r"([A-Za-z \n]+)"), F.lit(1)), "")), "content")
     return d.select("doc_id", N.usable_fact(period, "period").alias("period"), N.usable_fact(contact, "contact").alias("contact"), content.alias("content"))
 
 

@@ -115,3 +115,23 @@ def test_dice_of_long_texts_is_linear(spark):
     assert time.time() - began < 12
     count = lambda n, m, k: n // m + (k <= n % m)
     assert found == 2 * sum(min(count(60_000, 9000, k), count(50_000, 8000, k)) for k in range(8000)) / 110_002
+
+
+def test_a_facts_first_line_is_that_of_its_first_section(spark):
+    import random
+    import time
+
+    from noticeloom.functions import facts as N
+
+    r = random.Random(5)
+    bits = ["신청기간", "대상", ":", "：", "1.", " 2) ", " ", "\n", "\t", "\r\n", "●", "✅️", "📌", " - ", "abc", "Official Application", "첨부파일", " #x", "2026.3.1", "~", "상시 모집", "02-123-4567", " https://a.example/x", "미정", ","]
+    rows = [(i, "".join(r.choice(bits) for _ in range(r.randint(0, 9)))) for i in range(4000)] + [(-1, None), (-2, "\n"), (-3, " \n●대상: x")]
+    d = spark.createDataFrame(rows, "i long, t string")
+    whole = F.split(F.coalesce(F.get(N.sections(F.col("t")), 0), F.lit("")), "\n")[0]
+    fact = N.usable_fact(F.col("t"), "content")
+    assert d.select(fact.alias("a"), N.usable_fact(whole, "content").alias("b")).where("NOT (a <=> b)").isEmpty()
+    assert d.where(fact.isNotNull()).count() > 1000
+    long = spark.range(2000).select(F.concat(F.lit("내용 word"), F.repeat(F.lit("\nsome words of a text"), 2000)).alias("t"))
+    began = time.time()
+    assert long.where(N.usable_fact(F.col("t"), "content") == "내용 word").count() == 2000
+    assert time.time() - began < 15  # the lines after the first are not looked at
