@@ -31,10 +31,8 @@ def first_text(*values: Column, most: int) -> Column:
 def deadline_kind(declared: Column, end: Column, period: Column, text: Column) -> Column:
     """The declared kind of deadline where it is one, else what the period and the text say, else whether there is an end."""
     both = F.concat_ws(" ", F.coalesce(period, F.lit("")), F.coalesce(text, F.lit("")))
-    return (
-        F.when(declared.isin(*KINDS_OF_DEADLINE), declared).when(both.rlike(ONGOING), "ongoing").when(both.rlike(EXHAUSTED), "until_exhausted").when(end.isNotNull(), "fixed")
-        .when(both.rlike(PLANNED), "scheduled").otherwise("unknown")
-    )
+    said = lambda b: F.when(b.rlike(ONGOING), "ongoing").when(b.rlike(EXHAUSTED), "until_exhausted").when(end.isNotNull(), "fixed").when(b.rlike(PLANNED), "scheduled").otherwise("unknown")
+    return F.when(declared.isin(*KINDS_OF_DEADLINE), declared).otherwise(F.get(F.transform(F.array(both), said), 0))  # with both worked out once
 
 
 def structured_fields(n: dict[str, Column], facts: Column, guessed: Column) -> dict[str, Column]:
