@@ -21,6 +21,11 @@ APPLICATION_LABELS = r"신청|접수|지원(하기|\s*신청|서|\s*접수)|응
 SHARED_FORMS = r"(^|//)(forms\.gle|docs\.google\.com/forms|form\.naver\.com|forms\.office\.com)(/|$)"
 
 
+def _with(parts: dict[str, Column], body) -> Column:
+    """body(parts), with each part worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(n) for n, c in parts.items()])), body), 0)
+
+
 def host(url: Column) -> Column:
     """The host of an http or https address, in lower case, without 'www.' and port; null for others."""
     found = F.regexp_extract(F.lower(F.trim(url)), r"^https?://([^/?#]+)", 1)
@@ -51,7 +56,7 @@ def _params(url: Column, drop: tuple[str, ...], drop_blank: bool) -> Column:
 
 
 def _rebuilt(url: Column, drop: tuple[str, ...], drop_blank: bool) -> Column:
-    params = F.array_join(_params(url, drop, drop_blank), "&")
+    params = F.when(F.contains(url, F.lit("?")), F.array_join(_params(url, drop, drop_blank), "&")).otherwise("")
     base = F.regexp_replace(url, r"[?#].*$", "")
     return F.concat(base, F.when(params == "", "").otherwise(F.concat(F.lit("?"), params)))
 
@@ -59,7 +64,7 @@ def _rebuilt(url: Column, drop: tuple[str, ...], drop_blank: bool) -> Column:
 def source_url(url: Column) -> Column:
     """An address without fragment and passing parameters, parameters sorted, in lower case."""
     clean = F.trim(F.regexp_replace(F.coalesce(url, F.lit("")), r"\s+", " "))
-    return F.lower(_rebuilt(clean, SOURCE_URL_PARAMS, False))
+    return F.lower(_with({"u": clean}, lambda v: _rebuilt(v["u"], SOURCE_URL_PARAMS, False)))
 
 
 def source_key(url: Column) -> Column:
@@ -74,23 +79,30 @@ def image_identity(url: Column) -> Column:
 
 def is_application_link(url: Column, label: Column) -> Column:
     """Whether a link leads to an application form, by its host, path or label."""
-    text, name = F.trim(F.coalesce(url, F.lit(""))), F.coalesce(label, F.lit(""))
-    at = F.coalesce(F.regexp_extract(F.lower(text), r"^https?://([^/?#:]+)", 1), F.lit(""))
-    where = F.concat(path(text), F.regexp_extract(text, r"^[^?#]*(\?[^#]*)", 1))
-    by_label = name.rlike(f"(?i){APPLICATION_LABELS}")
-    never = at.rlike(r"^(pf|open)\.kakao\.com$") | (at.rlike(r"(^|\.)google\.com$") & path(text).rlike(r"(?i)^/forms/about/?$|/abuse/?$"))
-    found = by_label | at.rlike(APPLICATION_HOSTS) | ((at == "docs.google.com") & path(text).rlike(r"(?i)^/forms(/|$)")) | where.rlike(f"(?i){APPLICATION_PATHS}")
-    return F.when(text == "", False).when(at == "", by_label).otherwise(~never & found)
+    def judged(v: Column) -> Column:
+        by_label = v["name"].rlike(f"(?i){APPLICATION_LABELS}")
+        never = v["at"].rlike(r"^(pf|open)\.kakao\.com$") | (v["at"].rlike(r"(^|\.)google\.com$") & v["path"].rlike(r"(?i)^/forms/about/?$|/abuse/?$"))
+        found = by_label | v["at"].rlike(APPLICATION_HOSTS) | ((v["at"] == "docs.google.com") & v["path"].rlike(r"(?i)^/forms(/|$)")) | F.concat(v["path"], v["query"]).rlike(f"(?i){APPLICATION_PATHS}")
+        return F.when(v["text"] == "", False).when(v["at"] == "", by_label).otherwise(~never & found)
+
+    def parts(v: Column) -> Column:
+        t = v["text"]
+        at = F.coalesce(F.regexp_extract(F.lower(t), r"^https?://([^/?#:]+)", 1), F.lit(""))
+        return _with({"text": t, "name": v["name"], "at": at, "path": path(t), "query": F.regexp_extract(t, r"^[^?#]*(\?[^#]*)", 1)}, judged)
+
+    return _with({"text": F.trim(F.coalesce(url, F.lit(""))), "name": F.coalesce(label, F.lit(""))}, parts)
 
 
 def short_link(url: Column) -> Column:
     """Known short links cut down to their token; others unchanged."""
-    at = host(url)
-    origin = F.regexp_extract(url, r"^(https?://[^/?#]+)", 1)
-    token = F.regexp_extract(path(url), r"^/([A-Za-z0-9_-]+)", 1)
-    action = F.regexp_extract(path(url), r"(?i)^/_?[A-Za-z0-9_-]+/(chat|friend)(/|$)", 1)
-    channel = F.concat(origin, F.lit("/"), token, F.lit("/"), F.when(action == "", "").otherwise(F.concat(action, F.lit("/"))))
-    return F.when(at.isin("forms.gle", "naver.me") & (token != ""), F.concat(origin, F.lit("/"), token)).when((at == "pf.kakao.com") & (token != ""), channel).otherwise(url)
+    def cut(v: Column) -> Column:
+        origin = F.regexp_extract(v["url"], r"^(https?://[^/?#]+)", 1)
+        token = F.regexp_extract(v["path"], r"^/([A-Za-z0-9_-]+)", 1)
+        action = F.regexp_extract(v["path"], r"(?i)^/_?[A-Za-z0-9_-]+/(chat|friend)(/|$)", 1)
+        channel = F.concat(origin, F.lit("/"), token, F.lit("/"), F.when(action == "", "").otherwise(F.concat(action, F.lit("/"))))
+        return F.when(v["at"].isin("forms.gle", "naver.me") & (token != ""), F.concat(origin, F.lit("/"), token)).when((v["at"] == "pf.kakao.com") & (token != ""), channel).otherwise(v["url"])
+
+    return _with({"url": url}, lambda v: _with({"url": v["url"], "at": host(v["url"]), "path": path(v["url"])}, cut))
 
 
 def link_type(declared: Column, url: Column, label: Column) -> Column:

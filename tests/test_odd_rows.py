@@ -135,3 +135,22 @@ def test_a_facts_first_line_is_that_of_its_first_section(spark):
     began = time.time()
     assert long.where(N.usable_fact(F.col("t"), "content") == "내용 word").count() == 2000
     assert time.time() - began < 15  # the lines after the first are not looked at
+
+
+def test_link_repairs_join_once_and_work_addresses_out_once(spark, data):
+    from noticeloom.operators.repairs import APPLY, NOTICE, link_repairs
+    from noticeloom.plans import boards
+
+    plan = boards.repair_links(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.count("regexp_extract(") < 60
+    page = "https://youth.seoul.go.kr/infoData/sprtInfo/view.do?sprtInfoId="
+    notices = spark.createDataFrame([(1, "https://forms.gle/a?b=1", page + "1"), (2, "https://forms.gle/c", page + "2"), (3, None, None)], "id long, source string, notice string")
+    links = spark.createDataFrame([
+        (1, 1, "HTTPS://forms.gle/a?page=2&b=1#x", "other", "t", False), (1, 2, page + "1", "official_notice", NOTICE, False), (1, 3, page + "9", "other", "t", False), (1, None, "https://a.example/x", None, None, True),
+        (2, 4, None, "other", "t", False), (2, 5, "https://a.example/apply/", "other", None, False), (9, 6, "https://a.example/", "other", "t", True)], "id long, link long, url string, type string, title string, first boolean")
+    found = sorted((tuple(r) for r in link_repairs(notices, links).collect()), key=str)
+    form = lambda u: (u, "official_apply", APPLY, True)
+    assert found == sorted([
+        (1, 1, "update", *form("https://forms.gle/a")), (1, 3, "delete", page + "9", "other", "t", False), (1, None, "delete", "https://a.example/x", None, None, True), (1, None, "insert", "https://a.example/x", None, None, False),
+        (2, None, "insert", *form("https://forms.gle/c")), (2, None, "insert", page + "2", "official_notice", NOTICE, False), (2, 4, "delete", None, "other", "t", False), (2, 5, "update", "https://a.example/apply/", "official_apply", None, False),
+        (3, None, "insert", None, "official_apply", APPLY, True), (3, None, "insert", None, "official_notice", NOTICE, False)], key=str)
