@@ -142,14 +142,14 @@ def board_posts(pages: DataFrame, rules: dict[str, Rule] = RULES) -> DataFrame:
     return kept.select("adapter", "url", "r.title", "r.date", "r.deadline")
 
 
-def detail(html: Column, url: Column, site: Column) -> Column:
+def detail(html: Column, url: Column, site: Column, kept: str = "") -> Column:
     """struct(title, content, date, deadline, images, attachments) of a notice's page.
 
     Content is the first of CONTENTS with text, without REMOVED; if none of them has text, nor pictures or links, it is the
     page's. The title is the first of TITLES that can be one, else the page's; the date that of DATES, else the content's.
     Images are those that the page names for sharing, then those of the first of IMAGES that has any, else of the page; in
     order, each once, without NO_IMAGES. Attachments are the links of the first of ATTACHMENTS that has any. Strings are ''
-    where there is nothing; a null page has empty parts."""
+    where there is nothing; a null page has empty parts. In the content, blanks are squeezed, but for those of elements that match `kept`."""
     def each(selectors):
         return [s.strip() for s in selectors.split(",")]
 
@@ -165,11 +165,11 @@ def detail(html: Column, url: Column, site: Column) -> Column:
             content, scoped = "", False
             for element in filter(None, map(first, each(CONTENTS))):
                 scoped = scoped or bool(dom.select(element, "img, picture, video, iframe, a[href]"))
-                content = dom.readable(element, REMOVED)
+                content = dom.readable(element, REMOVED, kept)
                 if content:
                     break
             if not content and not scoped:
-                content = dom.readable(base, REMOVED)
+                content = dom.readable(base, REMOVED, kept)
             images: list[str] = []
 
             def add(elements, *names):

@@ -154,3 +154,8 @@ def test_link_repairs_join_once_and_work_addresses_out_once(spark, data):
         (1, 1, "update", *form("https://forms.gle/a")), (1, 3, "delete", page + "9", "other", "t", False), (1, None, "delete", "https://a.example/x", None, None, True), (1, None, "insert", "https://a.example/x", None, None, False),
         (2, None, "insert", *form("https://forms.gle/c")), (2, None, "insert", page + "2", "official_notice", NOTICE, False), (2, 4, "delete", None, "other", "t", False), (2, 5, "update", "https://a.example/apply/", "official_apply", None, False),
         (3, None, "insert", None, "official_apply", APPLY, True), (3, None, "insert", None, "official_notice", NOTICE, False)], key=str)
+
+
+def test_blanks_of_a_heading_are_as_the_sql_has_them(spark, tmp_path):
+    pages = spark.createDataFrame([(4 * k, "u", f"<title>{t}</title>") for k, t in enumerate(["- a  b", "1 x! y", " ", "x -", "\t q", ""])] + [(9, "u", "<title>- a  b</title>"), (2, "u", "<title>9 z</title>")], "page_id long, url string, html string")
+    assert any("Notice  a b" in r["content"] for r in _same(spark, "s06_notice_detail", tmp_path, pages=pages))
