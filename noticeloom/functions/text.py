@@ -7,10 +7,14 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+#: Bytes of a batch, about, that are Python strings at a time.
+SLICE_BYTES = 4 << 20
+
 # Words of a notice's title that don't tell it apart, and legal forms of organisations.
 GENERIC_WORDS = ("참여자", "참가자", "교육생", "수강생", "대상자", "모집", "안내", "공고", "신청", "접수", "추가", "기간", "연장")
 VARIANT_WORDS = ("신규", "프로그램", "안내")
@@ -20,9 +24,11 @@ WEEKLY = "매주\\s*(?:월|화|수|목|금|토|일)요일"
 
 def nfkc(text: Column) -> Column:
     """Compatibility composition, for which Spark has no function of its own."""
-    @F.pandas_udf(T.StringType())
-    def composed(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+    @F.arrow_udf(T.StringType())
+    def composed(values: pa.Array) -> pa.Array:
+        rows = max(1, len(values) * SLICE_BYTES // max(1, values.nbytes))  # a whole batch isn't held as Python strings
+        parts = [pa.array([None if v is None else unicodedata.normalize("NFKC", v) for v in values.slice(i, rows).to_pylist()], pa.large_string() if pa.types.is_large_string(values.type) else pa.string()) for i in range(0, len(values), rows)]
+        return pa.concat_arrays(parts) if parts else values
 
     return composed(text)
 

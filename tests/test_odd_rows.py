@@ -159,3 +159,14 @@ def test_link_repairs_join_once_and_work_addresses_out_once(spark, data):
 def test_blanks_of_a_heading_are_as_the_sql_has_them(spark, tmp_path):
     pages = spark.createDataFrame([(4 * k, "u", f"<title>{t}</title>") for k, t in enumerate(["- a  b", "1 x! y", " ", "x -", "\t q", ""])] + [(9, "u", "<title>- a  b</title>"), (2, "u", "<title>9 z</title>")], "page_id long, url string, html string")
     assert any("Notice  a b" in r["content"] for r in _same(spark, "s06_notice_detail", tmp_path, pages=pages))
+
+
+def test_composition_of_many_slices_keeps_rows_and_nulls(spark):
+    import unicodedata
+
+    from noticeloom.functions import text as X
+
+    rows = [(k, None if k % 7 == 0 else "" if k % 7 == 1 else "ﬁｘ㈜" * 900 * (k % 7)) for k in range(700)]
+    d = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    assert {r["k"]: r["c"] for r in d.select("k", X.nfkc(F.col("t")).alias("c")).collect()} == {k: t and unicodedata.normalize("NFKC", t) for k, t in rows}
+    assert d.where("k < 0").select(X.nfkc(F.col("t"))).collect() == []
