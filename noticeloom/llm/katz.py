@@ -46,6 +46,8 @@ BUCKET_TOKENS, WORD_TOKENS = 1_500_000, 2_000_000
 FREQUENT = 1 << 19
 
 TOP_COUNT = 100_000
+#: N-grams that are looked up at a time.
+LOOKED_UP = 1 << 18
 #: Words whose hashes a worker remembers at most, of 32 bytes at most each.
 MEMORY = 50_000
 
@@ -143,7 +145,7 @@ def pack_block(words: np.ndarray, middle: np.ndarray, first: np.ndarray, last: n
 
 
 def _ordered(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """The order by three columns of small numbers or codes; ties stay as they are."""
+    """The order by three columns of numbers; ties stay as they are."""
     if max((int(c.max()) for c in (middle, first, last) if len(c)), default=0) < 1 << _BITS:
         return np.argsort(_joined(middle, first, last), kind="stable")
     return np.lexsort((last, first, middle))
@@ -152,12 +154,16 @@ def _ordered(middle: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndar
 def _joined(*columns: np.ndarray) -> np.ndarray:
     out = np.zeros(len(columns[0]), np.uint64)
     for c in columns:
-        out = out << np.uint64(_BITS) | c.astype(np.uint64)
+        out <<= np.uint64(_BITS)
+        out |= c
     return out
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+    out = a.astype(np.uint64)
+    out <<= np.uint64(32)
+    out |= b if b.dtype.kind == "u" else b.astype(np.uint64)
+    return out
 
 
 class Words:
@@ -201,7 +207,13 @@ def _chunks(batches, place: int):
     rows: list[tuple] = []
     hashes: list[np.ndarray] = []
     size = 0
-    cut = lambda: (rows, np.concatenate(hashes), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(h) for h in hashes]))
+
+    def cut():
+        nonlocal rows, hashes, size
+        out = rows, np.concatenate(hashes), np.repeat(np.arange(len(rows), dtype=np.uint32), [len(h) for h in hashes])
+        rows, hashes, size = [], [], 0
+        return out
+
     for part in (part for batch in batches for part in slices(batch)):
         for row in zip(*(c.to_pylist() for c in part.columns)):
             rows.append(row[:place] + row[place + 1:])
@@ -209,7 +221,6 @@ def _chunks(batches, place: int):
             size += len(hashes[-1])
             if size >= CHUNK_TOKENS:
                 yield cut()
-                rows, hashes, size = [], [], 0
     if rows:
         yield cut()
 
@@ -260,15 +271,56 @@ def count_words(texts: DataFrame) -> DataFrame:
     def send(batches):
         for _, hashes, _ in _chunks(batches, 0):
             keys, n = np.unique(hashes, return_counts=True)
+            del hashes
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
 
     return texts.select("text").mapInArrow(send, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _numbered(*columns: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The distinct codes of all columns, in order, and the columns as places among them."""
-    codes, at = np.unique(np.concatenate(columns), return_inverse=True)
-    return codes, np.split(at, np.cumsum([len(c) for c in columns])[:-1])
+def _numbered(parts) -> tuple[np.ndarray, list[list[np.ndarray]]]:
+    """The distinct codes of all parts, in order, and each part's columns as places among them. Of the codes themselves only
+    one part's are held at a time."""
+    kept = []
+    for columns in parts:
+        own, at = np.unique(np.concatenate(columns), return_inverse=True)
+        kept.append((own, at.astype(np.uint32), np.cumsum([len(c) for c in columns])[:-1]))
+    codes, out = np.unique(np.concatenate([np.zeros(0, np.uint64), *(own for own, _, _ in kept)])), []
+    kept.reverse()
+    while kept:
+        own, at, cuts = kept.pop()
+        out.append(np.split(np.searchsorted(codes, own).astype(np.uint32)[at], cuts))
+    return codes, out
+
+
+def _summed(parts: list[list[np.ndarray]], counts: list[np.ndarray], words: int) -> list[np.ndarray]:
+    """(middle, first, last, n): parts' n-grams (middle, within, first, inner, last), runs as in pack_grams, put in order, and
+    the counts of equal ones added up."""
+    def columns(part):
+        middle, within, first, inner, last = part
+        return np.repeat(np.repeat(middle, within), inner), np.repeat(first, inner), last
+
+    n = np.concatenate([np.zeros(0, np.uint32), *counts])
+    small = words < 1 << _BITS  # then three numbers are one
+    held = [np.empty(len(n), np.uint64)] if small else [np.empty(len(n), np.uint32) for _ in range(3)]
+    place = 0
+    while parts:
+        found = columns(parts.pop(0))
+        for into, values in zip(held, [_joined(*found)] if small else found):
+            into[place:place + len(found[2])] = values
+        place += len(found[2])
+    by = np.argsort(held[0], kind="stable") if small else np.lexsort(held[::-1])
+    n = n[by]
+    for k in range(len(held)):
+        held[k] = held[k][by]
+    del by
+    start = _runs(*held) if len(n) else np.zeros(0, np.int64)
+    n = np.add.reduceat(n, start, dtype=np.uint32) if len(start) else n
+    held = [c[start] for c in held]
+    del start
+    if small:
+        mask = np.uint64((1 << _BITS) - 1)
+        held = [(held[0] >> np.uint64(shift) & mask).astype(np.uint32) for shift in (2 * _BITS, _BITS, 0)]
+    return [*held, n]
 
 
 class Block:
@@ -277,31 +329,37 @@ class Block:
 
     def __init__(self, words: np.ndarray, middle: np.ndarray, first: np.ndarray, last: np.ndarray, n: np.ndarray, of: np.ndarray, follower: np.ndarray, m: np.ndarray):
         self.words, self.middle, self.first, self.last, self.n = words, middle, first, last, n
-        divided = np.zeros(len(words), bool)
-        divided[of] = True
-        own = ~divided[middle]
-        key, count = np.concatenate([_pair(middle[own], last[own]), _pair(of, follower)]), np.concatenate([n[own], m])
+        key, count = _pair(middle, last), n
+        if len(of):
+            divided = np.zeros(len(words), bool)
+            divided[of] = True
+            own = ~divided[middle]
+            key, count = np.concatenate([key[own], _pair(of, follower)]), np.concatenate([n[own], m])
         by = np.argsort(key, kind="stable")
-        start = _runs(key[by]) if len(by) else by
-        self.pair = key[by][start]
-        self.m = np.add.reduceat(count[by], start) if len(start) else count
-        self.of, self.follower = (self.pair >> np.uint64(32)).astype(np.int64), (self.pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        # contexts: middle words over pairs, and two words over n-grams
+        key, count = key[by], count[by]
+        del by
         none = np.zeros(0, np.int64)
+        start = _runs(key) if len(key) else none
+        self.pair = key[start]
+        self.m = np.add.reduceat(count, start, dtype=np.int64) if len(start) else none
+        del key, count, start
+        self.of, self.follower = (self.pair >> np.uint64(32)).astype(np.uint32), self.pair.astype(np.uint32)
+        # contexts: middle words over pairs, and two words over n-grams
         self.heads = _runs(self.of) if len(self.of) else none
-        self.head = self.of[self.heads]
+        self.head = self.of[self.heads].astype(np.int64)
         self.count1 = np.add.reduceat(self.m, self.heads) if len(self.heads) else self.m
-        true = np.flatnonzero(first > 0) if len(words) and words[0] == _START else np.arange(len(n))
-        context = _pair(middle[true], first[true])
-        self.starts = _runs(context) if len(context) else none
-        self.context, self.g = context[self.starts], n[true]
-        self.gram = _pair(np.repeat(np.arange(len(self.starts)), _lengths(self.starts, len(true))), last[true])
-        self.shorter = _pair(middle[true], last[true])
-        self.count2 = np.add.reduceat(self.g, self.starts) if len(self.starts) else self.g
+        if len(words) and words[0] == _START:
+            true = np.flatnonzero(first > 0)
+            middle, first, last, n = (c[true] for c in (middle, first, last, n))
+            del true
+        self.starts = _runs(middle, first) if len(n) else none
+        self.context = _pair(middle[self.starts], first[self.starts])
+        self.inner, self.g = (middle, last), n
+        self.count2 = np.add.reduceat(n, self.starts, dtype=np.int64) if len(self.starts) else none
 
     @classmethod
     def read(cls, data: list[bytes]) -> Block:
-        numbers = lambda i: unpack(data[i], np.uint32).astype(np.int64)
+        numbers = lambda i: unpack(data[i], np.uint32)
         lengths = numbers(4)
         middle = np.repeat(np.repeat(numbers(1), numbers(2)), lengths)
         return cls(unpack_codes(data[0]), middle, np.repeat(numbers(3), lengths), numbers(5), numbers(6), numbers(7), numbers(8), numbers(9))
@@ -314,20 +372,30 @@ class Block:
 
     def probabilities(self, factors: dict[int, np.ndarray]) -> None:
         """p2, p3: of each pair's and n-gram's last word after the words before; left1, left2: what contexts leave."""
-        mass = lambda n, k: factors[k][np.minimum(n, DISCOUNTED + 1)] * n
-
-        def after(count, starts, masses):
-            size = _lengths(starts, len(masses))
+        def after(n, k, count, starts):
+            masses = factors[k][np.minimum(n, DISCOUNTED + 1)]
+            masses *= n
             left = 1 - (np.add.reduceat(masses, starts) if len(starts) else masses) / count
             tight = left < 1e-9  # nothing was discounted: such a context sets one count aside
-            return masses / np.repeat(count + tight, size), np.where(tight, 1 / (count + 1.0), left)
+            masses /= np.repeat(count + tight, _lengths(starts, len(masses)))
+            return masses, np.where(tight, 1 / (count + 1.0), left)
+
+        self.p2, self.left1 = after(self.m, 2, self.count1, self.heads)
+        self.p3, self.left2 = after(self.g, 3, self.count2, self.starts)
 
-        self.p2, self.left1 = after(self.count1, self.heads, mass(self.m, 2))
-        self.p3, self.left2 = after(self.count2, self.starts, mass(self.g, 3))
+    def grams(self) -> np.ndarray:
+        """Each n-gram as its context's place and its last word."""
+        return _pair(np.repeat(np.arange(len(self.starts), dtype=np.uint32), _lengths(self.starts, len(self.g))), self.inner[1])
 
     def context_weights(self) -> np.ndarray:
         """The backoff weight of each context of two words."""
-        covered = np.add.reduceat(self.p2[np.searchsorted(self.pair, self.shorter)], self.starts) if len(self.starts) else np.zeros(0)
+        covered, ends, a = np.zeros(len(self.starts)), np.append(self.starts[1:], len(self.g)), 0
+        while a < len(covered):  # whole contexts of some n-grams at a time
+            low = self.starts[a]
+            b = max(a + 1, int(np.searchsorted(ends, low + LOOKED_UP, side="right")))
+            shorter = _pair(*(c[low:ends[b - 1]] for c in self.inner))
+            covered[a:b] = np.add.reduceat(self.p2[np.searchsorted(self.pair, shorter)], self.starts[a:b] - low)
+            a = b
         return self.left2 / (1 - covered)
 
 
@@ -394,29 +462,28 @@ def _count_grams(texts: DataFrame, shared) -> DataFrame:
                     places = shared.value.bucket(np.full(int(chunk.parts[int(of[a])]), code), np.arange(int(chunk.parts[int(of[a])])))
                     for bucket in np.unique(places).tolist():  # two parts may share a bucket
                         rows.append((_PAIRS, bucket, "first" if bucket == places[0] else "again", data))
+            del chunk, hashes, row  # before the next chunk is made
             if rows:
                 yield _batch(rows)
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        of_kind = lambda k: [list(d) for d in group["data"][group["kind"] == k]]
-        joined = lambda found, kind: np.concatenate([np.zeros(0, kind), *found])
-        grams, sent = of_kind(_GRAMS), of_kind(_PAIRS)
-        columns = [joined(c, np.uint64) for c in zip(*map(unpack_grams, grams))] if grams else [np.zeros(0, np.uint64)] * 3
-        n, m = (joined([unpack(d[i], np.uint32) for d in parts], np.uint32).astype(np.int64) for i, parts in ((5, grams), (2, sent)))
-        pairs = [joined([unpack_codes(d[i]) for d in sent], np.uint64) for i in (0, 1)]
-        words, numbers = _numbered(*columns, *pairs)
-        by = _ordered(*numbers[:3])
-        middle, first, last = (c[by] for c in numbers[:3])
-        start = _runs(middle, first, last) if len(by) else by
-        n = np.add.reduceat(n[by], start) if len(start) else n
-        again = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(d[0])[:1] for d in group["data"][group["chunk"] == "again"])]))
-        block = Block(words, middle[start], first[start], last[start], n, *numbers[3:], m)
-        divided = np.isin(block.of, numbers[3])
-        data = [*pack_block(words, block.middle, block.first, block.last), *(pack(x.astype(np.uint32)) for x in (n, block.of[divided], block.follower[divided], block.m[divided])), pack_codes(again)]
-        return pd.DataFrame({"kind": [_BLOCK], "bucket": [group["bucket"].iloc[0]], "chunk": [""], "data": [data], "seen": [block.seen(again)]})
-
     sent = texts.select("text").mapInArrow(send, _PART)
-    return sent.groupBy("bucket").applyInPandas(merge, _PART + ", seen array<long>")
+    return sent.groupBy("bucket").applyInPandas(_merged, _PART + ", seen array<long>")
+
+
+def _merged(group: pd.DataFrame) -> pd.DataFrame:
+    """One bucket's rows of _count_grams as one."""
+    of_kind = lambda k: [list(d) for d in group["data"][group["kind"] == k]]
+    grams, sent = of_kind(_GRAMS), of_kind(_PAIRS)
+    words, numbers = _numbered(itertools.chain(([unpack_codes(d[i]) for i in (0, 2, 4)] for d in grams), ([unpack_codes(d[i]) for i in (0, 1)] for d in sent)))
+    of, follower = (np.concatenate([np.zeros(0, np.uint32), *(c[i] for c in numbers[len(grams):])]) for i in (0, 1))
+    m = np.concatenate([np.zeros(0, np.uint32), *(unpack(d[2], np.uint32) for d in sent)])
+    runs = [[c[0], unpack(d[1], np.uint32), c[1], unpack(d[3], np.uint32), c[2]] for d, c in zip(grams, numbers)]
+    del numbers
+    block = Block(words, *_summed(runs, [unpack(d[5], np.uint32) for d in grams], len(words)), of, follower, m)
+    again = np.unique(np.concatenate([np.zeros(0, np.uint64), *(unpack_codes(d[0])[:1] for d in group["data"][group["chunk"] == "again"])]))
+    divided = np.flatnonzero(np.isin(block.of, of))
+    data = [*pack_block(words, block.middle, block.first, block.last), *(pack(x.astype(np.uint32)) for x in (block.n, block.of[divided], block.follower[divided], block.m[divided])), pack_codes(again)]
+    return pd.DataFrame({"kind": [_BLOCK], "bucket": [group["bucket"].iloc[0]], "chunk": [""], "data": [data], "seen": [block.seen(again)]})
 
 
 def train(texts: DataFrame) -> Model:
@@ -526,12 +593,14 @@ class Evaluator:
     """A bucket of the model, asked for log10 probabilities."""
 
     def __init__(self, data: list[bytes], factors: dict[int, np.ndarray]):
-        b = self.block = Block.read(data)
+        b = Block.read(data)
+        b.middle = b.first = b.last = b.n = b.of = b.follower = None  # only what is looked up stays
         b.probabilities(factors)
         self.weight1 = np.log10(unpack(data[10], np.float64))
         weights = b.context_weights()
         weights[b.count2 > 1] = unpack(data[11], np.float64)
-        self.weight2, self.p2, self.p3 = np.log10(weights), np.log10(b.p2), np.log10(b.p3)
+        self.weight2, self.p2, self.p3 = (np.log10(x, out=x) for x in (weights, b.p2, b.p3))
+        self.words, self.pair, self.head, self.context, self.gram = b.words, b.pair, b.head, b.context, b.grams()
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray, possible: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -543,7 +612,7 @@ class Evaluator:
     def __call__(self, runs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(value, short, last) of packed n-grams: log10 P(last | first middle), but where short, the last word's own log10
         probability is still to be added. Words are looked up once for each run."""
-        b, inner = self.block, unpack(runs[3], np.uint32)
+        b, inner = self, unpack(runs[3], np.uint32)
         first, last = unpack_codes(runs[2]), unpack_codes(runs[4])
         spread = lambda x: np.repeat(x, inner)
         number = lambda codes: self._find(b.words, codes, np.ones(len(codes), bool))

@@ -6,9 +6,11 @@ import math
 import random
 import re
 import string
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -214,6 +216,27 @@ def test_katz_keeps_trigrams_and_singletons(spark, monkeypatch):
     assert 2 ** katz.train(texts).words.bits >= 14
 
 
+def test_katz_holds_few_bytes_for_an_ngram(monkeypatch):
+    r = np.random.default_rng(1)
+    grams = np.unique(r.integers(0, 3000, (300_000, 3)).astype(np.uint32), axis=0)
+    middle, first, last = (np.ascontiguousarray(c) for c in grams.T)
+    true = grams[first > 0]
+    contexts, times = np.unique(true[:, :2], axis=0, return_counts=True)
+    none = katz.pack(np.zeros(0, np.uint32))
+    weights = r.random(int((times > 1).sum()))
+    data = [*katz.pack_block(np.arange(3000, dtype=np.uint64), middle, first, last), katz.pack(np.ones(len(grams), np.uint32)), none, none, none, katz.pack(np.ones(3000)), katz.pack(weights)]
+    factors = {k: np.array([1.0, 0.5, 0.7, 0.8, 0.85, 0.9, 1.0]) for k in (2, 3)}
+    tracemalloc.start()
+    try:
+        found = katz.Evaluator(data, factors)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 140 * len(grams)
+    monkeypatch.setattr(katz, "LOOKED_UP", 5)  # contexts are weighed in slices
+    assert np.array_equal(katz.Evaluator(data, factors).weight2, found.weight2) and len(found.weight2) == len(contexts)
+
+
 def test_labelers_are_told_apart():
     counts = {("email", (1, 1, 1, 0)): 90, ("email", (0, -1, 0, -1)): 60, ("email", (1, 1, 0, 0)): 50, ("email", (0, -1, 0, 0)): 40}
     model = pii.estimate(counts)
