@@ -11,14 +11,15 @@ import re
 from dataclasses import dataclass, field
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from noticeloom.functions import structured as S
 
 from . import dom
-from .work import ship
+from .work import ship, sliced
 
 
 @dataclass(frozen=True)
@@ -118,15 +119,17 @@ def list_rows(html: Column, url: Column, adapter: Column, rules: dict[str, Rule]
     """array<struct<title, url, date, deadline>>: the rows of a list page, by its adapter's rule; unknown adapters are read
     as OTHERWISE. Days are yyyy-mm-dd, '' where there is none; no rows for null and broken pages."""
     ship()
+    kind = to_arrow_type(T._parse_datatype_string(_ROWS))
 
-    @F.pandas_udf(_ROWS)
-    def read(pages: pd.Series, urls: pd.Series, names: pd.Series) -> pd.Series:
+    @F.arrow_udf(_ROWS)
+    def read(pages: pa.Array, urls: pa.Array, names: pa.Array) -> pa.Array:
         def one(page, url, name):
             rule, tree = rules.get(name) or rules[OTHERWISE], dom.parse(page)
             rows = next((found for s in rule.rows if (found := [r for e in dom.select(tree, s) if (r := _row(e, rule, url or ""))])), [])
+            dom.forget(tree)
             return rows
 
-        return pd.Series([one(*x) for x in zip(pages, urls, names)], dtype=object)
+        return sliced(lambda *lists: [one(*x) for x in zip(*lists)], kind, pages, urls, names)
 
     return read(html, url, adapter)
 
@@ -154,9 +157,10 @@ def detail(html: Column, url: Column, site: Column, kept: str = "") -> Column:
         return [s.strip() for s in selectors.split(",")]
 
     ship()
+    kind = to_arrow_type(T._parse_datatype_string(_DETAIL))
 
-    @F.pandas_udf(_DETAIL)
-    def read(pages: pd.Series, urls: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_DETAIL)
+    def read(pages: pa.Array, urls: pa.Array) -> pa.Array:
         def one(page, url):
             tree = dom.parse(page)
             base = next(iter(dom.select(tree, "body")), tree)
@@ -188,9 +192,11 @@ def detail(html: Column, url: Column, site: Column, kept: str = "") -> Column:
             links = next((found for s in each(ATTACHMENTS) if (found := [
                 {"name": dom.text(e).strip() or e.attrs.get("title") or e.attrs["href"], "url": _resolved(url or "", e.attrs["href"])} for e in dom.select(tree, s) if e.attrs.get("href")])), [])
             titles = [next((t for s in each(TITLES) if (t := said(first(s)))), ""), _squeezed(dom.text(e)) if (e := first("title")) is not None else ""]
-            return titles, content, next((t for s in each(DATES) if (t := said(first(s)))), ""), images, links
+            dated = next((t for s in each(DATES) if (t := said(first(s)))), "")
+            dom.forget(tree)
+            return {"titles": titles, "content": content, "dated": dated, "images": images, "attachments": links}
 
-        return pd.DataFrame([one(*x) for x in zip(pages, urls)], columns=["titles", "content", "dated", "images", "attachments"])
+        return sliced(lambda *lists: [one(*x) for x in zip(*lists)], kind, pages, urls)
 
     d = read(html, url)
     clean = lambda i: S.clean_title(d["titles"][i], site)

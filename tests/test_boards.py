@@ -61,3 +61,28 @@ def test_rule_classifier(spark):
     assert codes(5, "regions") == [("REG_SEOUL_JONGNO", 0.72), ("REG_SEOUL_JUNG", 0.72)] and "ambiguous-region" in got[5]["issues"] and got[5]["audiences"] == []
     assert codes(6) == [("CAT_BUSINESS", 0.77)] and codes(6, "regions") == [("REG_NATION", 0.72)]
     assert classifier.counts_of_words((("ab", "b", "bc"), ("abc",), ()), "xabcab") == [3, 1, 0]
+
+
+def test_pages_are_read_in_slices_and_their_trees_freed(spark):
+    import gc
+
+    import pyarrow as pa
+
+    from noticeloom.sources import work
+
+    sizes, values = [], [None if k % 5 == 0 else "x" * (k % 300) for k in range(30_000)]
+    out = work.sliced(lambda a, b: sizes.append(sum(len(v or "") for v in a)) or [[v or "", w] for v, w in zip(a, b)], pa.list_(pa.string()), pa.array(values), pa.array(["y"] * len(values)))
+    assert out.to_pylist() == [[v or "", "y"] for v in values] and len(sizes) > 3 and max(sizes) < 2 * work.SLICE_BYTES
+    assert work.sliced(lambda a: a, pa.string(), pa.array([], pa.string())).to_pylist() == []
+    gc.collect()
+    gc.disable()
+    alive = lambda: sum(isinstance(x, dom.Element) for x in gc.get_objects())
+    try:
+        before = alive()
+        dom.forget(dom.parse(PAGE))
+        assert alive() == before
+    finally:
+        gc.enable()
+    pages = spark.createDataFrame([(k, "other", f"<table><tbody><tr><td><a href='/v/{k}'>{'t' * 900}{k}</a></table>" if k % 3 else None) for k in range(3000)], "page long, adapter string, html string").coalesce(1).withColumn("url", F.lit("https://h.example/l"))
+    got = {r["url"]: r["title"] for r in boards.board_posts(pages).collect()}
+    assert got == {f"https://h.example/v/{k}": "t" * 900 + str(k) for k in range(3000) if k % 3}
