@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.functions.text import squeezed
-from noticeloom.sources.work import ship
+from noticeloom.sources.work import ship, sliced
 
 # Weights of fields; categories and their words; what a source's own category means.
 WEIGHTS = {"title": 5, "category": 6, "summary": 3, "content": 2, "site": 1, "board": 1, "url": 1}
@@ -104,10 +104,13 @@ def word_points(fields: dict[str, Column], weights: dict[str, int], groups: dict
     ship()
     words, shares = tuple(map(tuple, groups.values())), [weights[f] for f in fields]
 
-    @F.pandas_udf("array<int>")
-    def points(*columns: pd.Series) -> pd.Series:
-        rows = ([counts_of_words(words, text or "") for text in row] for row in zip(*columns))
-        return pd.Series([[sum(w * n[k] for w, n in zip(shares, each)) for k in range(len(words))] for each in rows], dtype=object)
+    @F.arrow_udf("array<int>")
+    def points(*columns: pa.Array) -> pa.Array:
+        def of(*lists):
+            rows = ([counts_of_words(words, text or "") for text in row] for row in zip(*lists))
+            return [[sum(w * n[k] for w, n in zip(shares, each)) for k in range(len(words))] for each in rows]
+
+        return sliced(of, pa.list_(pa.int32()), *columns)
 
     return points(*fields.values())
 
