@@ -170,3 +170,16 @@ def test_composition_of_many_slices_keeps_rows_and_nulls(spark):
     d = spark.createDataFrame(rows, "k long, t string").coalesce(1)
     assert {r["k"]: r["c"] for r in d.select("k", X.nfkc(F.col("t")).alias("c")).collect()} == {k: t and unicodedata.normalize("NFKC", t) for k, t in rows}
     assert d.where("k < 0").select(X.nfkc(F.col("t"))).collect() == []
+
+
+def test_mean_vector_keeps_a_row_of_sums_for_a_block_of_dimensions(spark):
+    from noticeloom.functions import vectors as V
+
+    rows = [(1, 2.0, [1.0] * 70), (1, 1.0, [4.0] * 33), (1, 5.0, None), (1, 1.0, [None, 7.0]), (2, 1.0, []), (3, 1.0, [2.0]), (3, 3.0, [6.0])]
+    d = spark.createDataFrame(rows, "k int, w double, v array<double>")
+    mean = V.mean_vector(d, ["k"], "v", "w")
+    got = {r["k"]: r["mean"] for r in mean.collect()}
+    assert got.keys() == {1, 3} and got[3] == [5.0] and len(got[1]) == 70
+    assert got[1][:2] == pytest.approx([6 / 4, 13 / 4]) and got[1][2:33] == [2.0] * 31 and got[1][33:] == [1.0] * 37  # a null entry weighs, a missing one doesn't
+    assert V.mean_vector(d.where("k = 3"), [], "v").first()["mean"] == [4.0]
+    assert "posexplode" not in mean._jdf.queryExecution().optimizedPlan().toString()  # no row for each dimension
