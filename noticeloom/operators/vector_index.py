@@ -9,16 +9,20 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from noticeloom.functions.vectors import dot, is_valid
-from noticeloom.sources.work import written
+from noticeloom.sources.work import ship, written
 
 #: Vectors that the cells are fitted on and queries that the number of probes is fitted on, at most; cells, at most; the least recall.
 SAMPLE, TRIED, CELLS, RECALL = 20_000, 64, 256, 0.95
+#: Vectors whose distances from all centres are held at a time.
+TILE = 4096
 
 
 @dataclass
@@ -44,20 +48,32 @@ def exact(queries: DataFrame, rows: DataFrame, most: int, least: float = 0.0) ->
 
 
 def _best(pairs: DataFrame, most: int, least: float) -> DataFrame:
-    scored = pairs.select("query", "id", dot(F.col("unit"), F.col("u")).alias("similarity")).where(F.col("similarity") >= least)
+    product = F.aggregate(F.zip_with("unit", "u", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)  # of doubles already
+    scored = pairs.select("query", "id", product.alias("similarity")).where(F.col("similarity") >= least)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def _nearest(most: int) -> Column:
-    """array<int>: the cells nearest to the column unit, from the column all, array<struct<cell, centre>>."""
-    ranked = F.array_sort(F.transform("all", lambda c: F.struct((dot(c["centre"], c["centre"]) - 2 * dot(F.col("unit"), c["centre"])).alias("d"), c["cell"].alias("cell"))))
-    return F.transform(F.slice(ranked, 1, most), lambda c: c["cell"])
-
-
 def _with_cells(rows: DataFrame, cells: DataFrame, most: int) -> DataFrame:
-    every = cells.agg(F.collect_list(F.struct("cell", "centre")).alias("all"))  # at most CELLS centres
-    return rows.crossJoin(F.broadcast(every)).withColumn("cells", _nearest(most)).drop("all")
+    """rows (unit, ...) with the column cells, array<int>: the cells nearest to unit, the nearest first, by products of matrices."""
+    known = cells.orderBy("cell").collect()  # at most CELLS centres
+    if not known or most < 1:
+        return rows.withColumn("cells", F.array().cast("array<int>"))
+    numbers, centres = np.array([c["cell"] for c in known], np.int32), np.array([c["centre"] for c in known], float)
+    sizes = (centres**2).sum(axis=1)
+    ship()
+
+    @F.arrow_udf("array<int>")
+    def nearest(units: pa.Array) -> pa.Array:
+        vectors = units.flatten().to_numpy(zero_copy_only=False).reshape(-1, centres.shape[1])
+        found = [np.zeros(0, np.int32)]
+        for a in range(0, len(vectors), TILE):
+            distance = sizes - 2 * (vectors[a:a + TILE] @ centres.T)
+            found.append(numbers[np.argsort(distance, axis=1, kind="stable")[:, :most]].ravel())
+        each = min(most, len(numbers))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * each, pa.int32()), pa.array(np.concatenate(found)))
+
+    return rows.withColumn("cells", nearest("unit"))
 
 
 def build(vectors: DataFrame, dimensions: int, most: int = 10, recall: float = RECALL, cells: int | None = None, seed: int = 7) -> Index:

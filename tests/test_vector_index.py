@@ -37,6 +37,19 @@ def test_every_vector_lies_in_a_cell_and_clusters_are_found(spark):
     assert near.where("similarity < 0.9999").isEmpty()
 
 
+def test_nearest_cells_by_products_of_matrices(spark):
+    r = np.random.default_rng(5)
+    points, centres = r.normal(size=(500, 6)), r.normal(size=(40, 6))
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, unit array<double>").coalesce(1)
+    cells = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centres)], "cell int, centre array<double>")
+    found = N._with_cells(rows, cells, 3)
+    want = np.argsort(((points[:, None] - centres) ** 2).sum(axis=2), axis=1)[:, :3]
+    assert {r["id"]: r["cells"] for r in found.collect()} == dict(enumerate(want.tolist()))
+    assert N._with_cells(rows, cells.limit(0), 3).where("size(cells) > 0").isEmpty() and len(N._with_cells(rows, cells, 99).first()["cells"]) == 40
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort" not in plan and "Join" not in plan  # no row's distances in columns
+
+
 @pytest.mark.parametrize("rows", [[], [(1, [1.0, 0.0])], [(1, [1.0, 0.0]), (2, [0.0, 1.0])]])
 def test_few_vectors(spark, rows):
     index = N.build(spark.createDataFrame(rows, "id long, vector array<double>"), 2)
