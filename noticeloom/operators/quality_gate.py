@@ -88,11 +88,12 @@ def repeated_keys(rows: DataFrame, keys: dict[str, Column]) -> DataFrame:
     return long.join(often.select("name", "key"), ["name", "key"], "left_semi").groupBy("id").agg(F.collect_set("name").alias("repeated"))
 
 
-def gate(rows: DataFrame, date_codes: Column | None = None) -> DataFrame:
+def gate(rows: DataFrame, date_codes: Column | None = None, most: int | None = None) -> DataFrame:
     """rows with (issues array<struct<code, severity, decision>>, score, decision).
 
     rows: id, title, org, summary, source_url, images array<string>, links array<struct<url, label, type>>, text_only, is_poster,
     poster_confidence, same_notice, match_confidence, deadline. date_codes: doubts about dates, from date_quality.
+    most: characters of a notice's joined fields that are searched; all, where it isn't given.
     Null strings count as blank, null arrays as empty, unknown verdicts and confidences raise nothing.
     """
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
@@ -110,7 +111,8 @@ def gate(rows: DataFrame, date_codes: Column | None = None) -> DataFrame:
         "_t": flat("title"), "_o": flat("org"), "_s": flat("summary"), "_u": F.trim(text("source_url")), "_i": images, "_urls": urls, "_l": links,
         "_alone": F.coalesce("text_only", F.lit(False)),
     })
-    d = d.withColumns({"_both": F.concat_ws(" ", "_t", "_s"), "_x": F.left(F.concat_ws(" ", "_t", "_o", "_s", "_u", "_i", "_urls"), F.lit(BUNDLE))})
+    joined = F.concat_ws(" ", "_t", "_o", "_s", "_u", "_i", "_urls")
+    d = d.withColumns({"_both": F.concat_ws(" ", "_t", "_s"), "_x": joined if most is None else F.left(joined, F.lit(most))})
     d = d.withColumns({"_bl": F.lower("_both"), "_xl": F.lower("_x")})
     t, s, u, x, alone = F.col("_t"), F.col("_s"), F.col("_u"), F.col("_x"), F.col("_alone")
     in_both, in_x = (lambda *patterns: matches(F.col("_both"), F.col("_bl"), *patterns)), (lambda *patterns: matches(x, F.col("_xl"), *patterns))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeloom.operators.exclusions import exclusion
-from noticeloom.operators.quality_gate import gate
+from noticeloom.operators.quality_gate import BUNDLE, gate
 from noticeloom.sources.work import written
 
 
@@ -17,7 +17,7 @@ def upload_plan(posts: DataFrame, stored: DataFrame, year: Column, date_codes: C
     duplicates. Reasons are '' where there is none; null sources are never stored."""
     ruled = written(posts.withColumn("_rule", exclusion(F.col("title"), F.col("summary"), F.col("source_url"), year)), "ruled")
     out = ruled.where(F.col("_rule").isNotNull()).select("id", F.lit("excluded").alias("route"), F.col("_rule").alias("reason"))
-    judged = gate(ruled.where(F.col("_rule").isNull()).drop("_rule"), date_codes)
+    judged = gate(ruled.where(F.col("_rule").isNull()).drop("_rule"), date_codes, BUNDLE)
     known = stored.select(F.col("source_url").alias("_known")).where("_known <> ''").distinct()
     judged = judged.join(known, F.col("source_url") == F.col("_known"), "left")
     first = lambda issues: F.coalesce(F.get(issues, 0)["code"], F.lit(""))

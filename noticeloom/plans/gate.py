@@ -65,14 +65,14 @@ def notices(spark, sf_dir):
     )
 
 
-def _gated(spark, sf_dir):
+def _gated(spark, sf_dir, most=None):
     n = notices(spark, sf_dir)
     doubts = F.when(F.col("dates") != "", date_quality(F.col("dates"), F.col("deadline"))["issues"])
-    return Q.gate(n, doubts)
+    return Q.gate(n, doubts, most)
 
 
 def z11_quality_gate(spark, sf_dir):
-    return _gated(spark, sf_dir).select("id", "decision", "score", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
+    return _gated(spark, sf_dir, Q.BUNDLE).select("id", "decision", "score", F.array_join(F.transform("issues", lambda i: i["code"]), ",").alias("codes"))
 
 
 def a21_issue_counts(spark, sf_dir):
@@ -80,11 +80,11 @@ def a21_issue_counts(spark, sf_dir):
 
 
 def a18_review_queue(spark, sf_dir):
-    return _gated(spark, sf_dir).groupBy("decision").agg(F.count("*").alias("n"), F.sum("score").alias("points"))
+    return _gated(spark, sf_dir, Q.BUNDLE).groupBy("decision").agg(F.count("*").alias("n"), F.sum("score").alias("points"))
 
 
 def t08_worst_issues(spark, sf_dir):
-    return _gated(spark, sf_dir).orderBy(F.desc("score"), F.desc("id")).limit(80).select("id", "score")
+    return _gated(spark, sf_dir, Q.BUNDLE).orderBy(F.desc("score"), F.desc("id")).limit(80).select("id", "score")
 
 
 def z19_upload(spark, sf_dir):
@@ -124,22 +124,24 @@ _EXTRA = {  # code: when a document's text or other rows decide it
     "collapsed-structured-summary": "NOT regexp_matches(text, '[\\r\\n]')", "retrospective-news": f"NOT {_ACTION}", "public-safety-guide": f"NOT {_ACTION}", "news-board-without-action": f"NOT {_ACTION}",
     **{c: "count(*) OVER (PARTITION BY k) > 1" for c in ("duplicate-source", "duplicate-title-org", "duplicate-title-org-deadline", "duplicate-image")},
 }
-_EVERYWHERE = {"mojibake": "k NOT IN (2, 27, 28, 29) AND regexp_matches(left(text, 3500), '[�占]')", "encoded-or-binary-text": "k NOT IN (2, 27, 28, 29) AND regexp_matches(text, '\\b[A-Za-z0-9+/]{160,}')"}
+_EVERYWHERE = {"mojibake": "k NOT IN (2, 27, 28, 29) AND regexp_matches({seen}, '[�占]')", "encoded-or-binary-text": "k NOT IN (2, 27, 28, 29) AND regexp_matches(text, '\\b[A-Za-z0-9+/]{{160,}}')"}
 #: The boards' own title and the shared form address repeat as well.
 _ALSO = {"duplicate-title-org": "k = 3 AND count(*) OVER (PARTITION BY k) > 1", "duplicate-source": "k = 9 AND count(*) OVER (PARTITION BY k) > 1"}
 
 
-def _code(code: str) -> str:
+def _code(code: str, seen: str) -> str:
     tests = [f"list_contains(string_split(expected, ' '), '{code}')" + (f" AND {_EXTRA[code]}" if code in _EXTRA else "")]
-    tests += [f"({extra[code]})" for extra in (_EVERYWHERE, _ALSO) if code in extra]
+    tests += [f"({extra[code].format(seen=seen)})" for extra in (_EVERYWHERE, _ALSO) if code in extra]
     return f"CASE WHEN {' OR '.join(tests)} THEN '{code}' END"
 
 
 _SAMPLES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{e}')" for k, e in enumerate(_EXPECTED)) + ") AS v(k, expected))"
-_CODES = f"(SELECT id, k, list_filter([{', '.join(map(_code, _ORDER))}], lambda c: c IS NOT NULL) AS codes FROM (SELECT doc_id AS id, text, k, expected FROM (SELECT *, doc_id % {len(_EXPECTED)} AS k FROM documents) JOIN {_SAMPLES} USING (k)))"
+_codes = lambda seen: f"(SELECT id, k, list_filter([{', '.join(_code(c, seen) for c in _ORDER)}], lambda c: c IS NOT NULL) AS codes FROM (SELECT doc_id AS id, text, k, expected FROM (SELECT *, doc_id % {len(_EXPECTED)} AS k FROM documents) JOIN {_SAMPLES} USING (k)))"
 _LIST = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
-_GATE = f"""(SELECT *, list_sum(list_transform(codes, lambda c: CASE WHEN list_contains({_LIST(_HIGH)}, c) THEN 5 ELSE 3 END)) AS points,
-    CASE WHEN len(codes) = 0 THEN 'pass' WHEN k IN (27, 28) THEN 'review' WHEN len(list_intersect(codes, {_LIST(_REJECT)})) > 0 THEN 'reject' ELSE 'review' END AS decision FROM {_CODES})"""
+_gate = lambda seen: f"""(SELECT *, list_sum(list_transform(codes, lambda c: CASE WHEN list_contains({_LIST(_HIGH)}, c) THEN 5 ELSE 3 END)) AS points,
+    CASE WHEN len(codes) = 0 THEN 'pass' WHEN k IN (27, 28) THEN 'review' WHEN len(list_intersect(codes, {_LIST(_REJECT)})) > 0 THEN 'reject' ELSE 'review' END AS decision FROM {_codes(seen)})"""
+#: The gate over whole texts, and over their beginnings.
+_WHOLE, _GATE = _gate("text"), _gate("left(text, 3500)")
 #: The exclusion rules of samples, by number; the last three don't apply where the document's text calls for action.
 _EXCLUDED = {3: "metadata-title", 4: "breadcrumb-title", 10: "system-error-page", 11: "web-accessibility-mark", 12: "sports-program-timetable", 13: "application-guide", 15: "facility-schedule-or-parking-control",
              28: "sports-facility-hours-or-closure", 29: "sports-facility-hours-or-closure", 6: "retrospective-news-no-action", 7: "public-safety-guide", 8: "news-board-without-action"}
@@ -150,7 +152,7 @@ _ROUTED = f"""(SELECT *, CASE WHEN rule IS NOT NULL THEN 'excluded' WHEN decisio
 SQL = {
     "z19_upload": f"""SELECT id, route, CASE route WHEN 'excluded' THEN rule WHEN 'rejected' THEN list_filter(codes, lambda c: list_contains({_LIST(_REJECT)}, c))[1] WHEN 'candidate' THEN coalesce(codes[1], '') ELSE '' END AS reason FROM {_ROUTED}""",
     "z11_quality_gate": f"SELECT id, decision, CAST(coalesce(points, 0) AS INT) AS score, array_to_string(codes, ',') AS codes FROM {_GATE}",
-    "a21_issue_counts": f"SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM {_GATE}) GROUP BY 1",
+    "a21_issue_counts": f"SELECT code, count(*) AS n FROM (SELECT unnest(codes) AS code FROM {_WHOLE}) GROUP BY 1",
     "a18_review_queue": f"SELECT decision, count(*) AS n, CAST(sum(coalesce(points, 0)) AS BIGINT) AS points FROM {_GATE} GROUP BY 1",
     "t08_worst_issues": f"SELECT id, CAST(coalesce(points, 0) AS INT) AS score FROM {_GATE} ORDER BY 2 DESC, 1 DESC LIMIT 80",
 }

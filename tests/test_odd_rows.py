@@ -183,3 +183,23 @@ def test_mean_vector_keeps_a_row_of_sums_for_a_block_of_dimensions(spark):
     assert got[1][:2] == pytest.approx([6 / 4, 13 / 4]) and got[1][2:33] == [2.0] * 31 and got[1][33:] == [1.0] * 37  # a null entry weighs, a missing one doesn't
     assert V.mean_vector(d.where("k = 3"), [], "v").first()["mean"] == [4.0]
     assert "posexplode" not in mean._jdf.queryExecution().optimizedPlan().toString()  # no row for each dimension
+
+
+def _long_documents(spark, folder):
+    """Documents of 9,000 characters with a broken one at their end, written as a table."""
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("plain words "), 750), F.lit("�")).alias("text"))
+    rows.write.parquet(f"{folder}/documents.parquet")
+    return rows.withColumnRenamed("doc_id", "id")
+
+
+def test_issues_at_the_end_of_long_texts_are_counted(spark, tmp_path):
+    import duckdb
+
+    from noticeloom.plans import gate
+
+    _long_documents(spark, tmp_path)
+    found = {r["code"]: r["n"] for r in gate.a21_issue_counts(spark, str(tmp_path)).collect()}
+    assert found["mojibake"] == 52  # of two documents for each of 30 samples, but four samples without the text
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == dict(c.execute(gate.SQL["a21_issue_counts"]).fetchall())
