@@ -147,7 +147,7 @@ _EXCLUDED = {3: "metadata-title", 4: "breadcrumb-title", 10: "system-error-page"
              28: "sports-facility-hours-or-closure", 29: "sports-facility-hours-or-closure", 6: "retrospective-news-no-action", 7: "public-safety-guide", 8: "news-board-without-action"}
 _RULE = "CASE " + " ".join(f"WHEN k = {k}" + (f" AND NOT {_ACTION}" if k in (6, 7, 8) else "") + f" THEN '{rule}'" for k, rule in _EXCLUDED.items()) + " END"
 _SOURCES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, '{p[5]}')" for k, p in enumerate(SAMPLES)) + ") AS v(k, source))"
-_PLACED = f"""(SELECT g.*, {_RULE} AS rule, CASE WHEN ends_with(v.source, '/view/') OR ends_with(v.source, '/board/news/') THEN v.source || g.id ELSE v.source END AS url FROM {_GATE} g JOIN documents ON doc_id = g.id JOIN {_SOURCES} v USING (k))"""
+_PLACED = f"""(SELECT g.*, {_RULE} AS rule, CASE WHEN ends_with(v.source, '/view/') OR ends_with(v.source, '/board/news/') THEN v.source || g.id ELSE v.source END AS url FROM {_WHOLE} g JOIN documents ON doc_id = g.id JOIN {_SOURCES} v USING (k))"""
 _ROUTED = f"""(SELECT *, CASE WHEN rule IS NOT NULL THEN 'excluded' WHEN decision = 'reject' THEN 'rejected' WHEN url <> '' AND url IN (SELECT url FROM {_PLACED} WHERE id % 50 = 0) THEN 'updated' WHEN decision = 'review' OR k = 27 THEN 'candidate' ELSE 'poster' END AS route FROM {_PLACED})"""
 SQL = {
     "z19_upload": f"""SELECT id, route, CASE route WHEN 'excluded' THEN rule WHEN 'rejected' THEN list_filter(codes, lambda c: list_contains({_LIST(_REJECT)}, c))[1] WHEN 'candidate' THEN coalesce(codes[1], '') ELSE '' END AS reason FROM {_ROUTED}""",

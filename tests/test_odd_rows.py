@@ -203,3 +203,16 @@ def test_issues_at_the_end_of_long_texts_are_counted(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert found == dict(c.execute(gate.SQL["a21_issue_counts"]).fetchall())
+
+
+def test_uploads_are_judged_by_whole_texts(spark, tmp_path):
+    import duckdb
+
+    from noticeloom.plans import gate
+
+    _long_documents(spark, tmp_path)
+    found = {r["id"]: (r["route"], r["reason"]) for r in gate.z19_upload(spark, str(tmp_path)).collect()}
+    assert found[30] == found[60 - 6] == ("rejected", "mojibake")
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert found == {i: (route, reason) for i, route, reason in c.execute(gate.SQL["z19_upload"]).fetchall()}
