@@ -402,3 +402,38 @@ def test_anchors_are_in_every_match(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("l", F.lower("t"))
     got = rows.select(*[patterns.found(F.col("t"), F.col("l"), p).alias(f"a{k}") for k, p in enumerate(rules)], *[F.col("t").rlike("(?i)" + p).alias(f"b{k}") for k, p in enumerate(rules)]).collect()
     assert all(r[f"a{k}"] == r[f"b{k}"] for r in got for k in range(len(rules))) and sum(r[f"a{k}"] for r in got for k in range(len(rules))) > 8
+
+
+def test_titles_meet_at_equal_parts(spark):
+    """Titles that are made of few character pairs have most of the frequent ones in common; hardly any two of them are compared
+    for it, and no pair that is alike is lost. A large group of near copies is met about once for each pair."""
+    r = random.Random(11)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en", "ly", "ing", "tion"]
+    titles = [" ".join("".join(r.choices(parts, k=r.randint(1, 6))) for _ in range(r.randint(3, 60))) for _ in range(300)]
+    swap = lambda t, n: "".join(r.choice("xyz ") if k in at else c for at in [set(r.sample(range(len(t)), min(n, len(t))))] for k, c in enumerate(t)).strip()
+    titles += [swap(t, r.randint(1, 4)) for t in titles[:60]] + [swap(titles[0] * 2, 2) for _ in range(40)] + ["a", "ab", "ab c", "청년"]
+    titles = sorted({" ".join(t.split()) for t in titles})
+    keys = spark.createDataFrame([("b" if k % 5 else "c", k, t) for k, t in enumerate(titles)], "block string, name long, key string")
+    shares = duplicates._shares(titles, titles)(slice(None))
+    for least in (0.95, 0.9):
+        want = {(i, j): shares[i, j] for i in range(len(titles)) for j in range(i + 1, len(titles)) if (i % 5 == 0) == (j % 5 == 0) and shares[i, j] >= least}
+        assert {(x["x"], x["y"]): x["share"] for x in duplicates.alike(keys, least).collect()} == want and len(want) > 300
+    marked = keys.select("name", duplicates._marks(F.col("key"), 0.95).alias("s")).select("name", "s.*")
+    met = marked.alias("l").join(marked.alias("r"), F.col("l.name") < F.col("r.name")).where(F.arrays_overlap("l.marks", "r.marks") & duplicates._near_enough(0.95))
+    assert met.count() < 2 * (np.triu(shares, 1) >= 0.95).sum()
+
+
+def test_pairs_are_judged_where_they_meet(spark, monkeypatch):
+    """Each pair comes once, with the score that its whole rows give it, whatever the ways that find it."""
+    for name, size in (("BLOCK", 4), ("TILE", 20)):
+        monkeypatch.setattr(duplicates, name, size)
+    r = random.Random(9)
+    titles = ["seoul art camp for youth", "seoul art camp for youths", "garden walk", "garden walks 2026", "", "청년 예술 캠프 2026"]
+    hashes = [f"{0x00ff00ff00ff00ff ^ m:016x}" for m in (0, 1, 3, 0xfff, 0xffff, 1 << 63)]
+    some = lambda kinds, most: " ".join(r.choices(kinds, k=r.randint(0, most)))
+    p = _prints(spark, *[(r.choice(titles), r.choice(["mapo district office", "mapo district offices", "src1", ""]), some([f"u{k}" for k in range(60)], 2), some([f"i{k}" for k in range(40)], 2), some(hashes, 2),
+                          r.choice(["d", "e", ""]), some([f"a{k}" for k in range(60)], 1), some(["f1", "https://forms.gle/x", "f2"], 2)) for _ in range(120)]).cache()
+    every = p.alias("x").join(p.alias("y"), F.col("x.id") < F.col("y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    rows = lambda d: sorted(tuple(x) for x in d.where(F.col("score") >= duplicates.FLOOR).collect())
+    alone = p.select("id", F.col("id").alias("rep"))
+    assert rows(duplicates.scored_classes(p, alone)) == rows(duplicates.score_pairs(every, p))
