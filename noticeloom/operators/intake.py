@@ -14,7 +14,7 @@ from noticeloom.operators.institutions import _prefixes
 # Where a sighting was made, the more official first; signs of a notice in plain text.
 SURFACES = {"board": 1, "blog": 2, "social": 3}
 #: Sources and sites of one place that are paired in one task, on either side.
-BLOCK = 512
+BLOCK = 2048
 TEXT_SIGNS, SHORT_TEXT = r"(?:신청|접수|모집)\s*(?:기간|방법|대상)|선착순|지원\s*대상", 80
 
 
@@ -70,39 +70,59 @@ def upsert_sightings(stored: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def _paired(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
-    """(slug, site) of left (slug, key) and right (site, key) by key. Both sides of a key are cut into blocks, and each two blocks
+    """left (slug, key, ...) and right (site, key, ...) joined by key. Both sides of a key are cut into blocks, and each two blocks
     meet under a key of their own, so that no key's pairs are all made in one task, nor those of several keys with few rows."""
-    left, right = left.select("slug", *key).distinct(), right.select("site", *key).distinct()
     blocks = lambda rows, name: rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
     sizes = blocks(left, "lefts").join(blocks(right, "rights"), key)
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    l = left.join(sizes, key).select("slug", *key, tile("slug", "lefts").alias("x"), every("rights").alias("y"))
-    r = right.join(sizes, key).select("site", *key, every("lefts").alias("x"), tile("site", "rights").alias("y"))
+    l = left.join(sizes, key).select(*left.columns, tile("slug", "lefts").alias("x"), every("rights").alias("y"))
+    r = right.join(sizes, key).select(*right.columns, every("lefts").alias("x"), tile("site", "rights").alias("y"))
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a number that is given isn't brought down for the small input that makes many pairs
-    return l.repartition(tasks, *key, "x", "y").join(r.repartition(tasks, *key, "x", "y"), [*key, "x", "y"]).select("slug", "site")
+    return l.repartition(tasks, *key, "x", "y").join(r.repartition(tasks, *key, "x", "y"), [*key, "x", "y"]).drop("x", "y")
 
 
 def source_sites(sources: DataFrame, sites: DataFrame) -> DataFrame:
-    """(slug, site): the sites (site, name, url) of sources (slug, sites, name, list_url, homepage_url): the same slug, one
+    """(slug, site), once each: the sites (site, name, url) of sources (slug, sites, name, list_url, homepage_url): the same slug, one
     listed, the same name, or the same host with one path within the other. Equi-joins on each take the place of comparing
-    all pairs; of a path, all that lies above it is compared. What lies at one place is paired block by block."""
-    def places(url: Column) -> tuple[Column, Column]:
-        bare = F.regexp_extract(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"(?i)^https?://[^/]+(.*)$", 1)
-        return host(url), F.regexp_replace(bare, "/+$", "")
+    all pairs; of a path, all that lies above it is compared. What lies at one place is paired block by block.
 
+    Pairs outnumber rows by far, so they aren't shuffled to find repeated ones: slugs and sites come with all that is known
+    of them, and a pair is taken from the first of the joins that finds it, there at the least key."""
+    def place(url: Column) -> Column:
+        bare = F.regexp_extract(F.regexp_replace(F.trim(url), r"[?#].*$", ""), r"(?i)^https?://[^/]+(.*)$", 1)
+        return F.struct(host(url).alias("h"), F.regexp_replace(bare, "/+$", "").alias("at"))
+
+    def places(urls: Column) -> Column:
+        return F.filter(F.transform(urls, place), lambda p: p["h"].isNotNull())
+
+    def above(known: Column) -> Column:
+        steps = lambda p: F.split(p["at"], "/")
+        ups = lambda p: F.transform(F.sequence(F.lit(1), F.size(steps(p))), lambda n: F.struct(p["h"].alias("h"), F.array_join(F.slice(steps(p), F.lit(1), n), "/").alias("at")))
+        return F.array_distinct(F.flatten(F.transform(known, ups)))
+
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    none = F.array().cast("array<string>")
+    named = F.collect_set(F.when(F.col("name") != "", F.col("name"))).alias("names")
+    urls = lambda *kept: F.array_compact(F.array(*kept))
+    left = sources.groupBy("slug").agg(every(F.coalesce(F.col("sites"), none)).alias("listed"), named, every(places(urls("list_url", "homepage_url"))).alias("places"))
+    right = sites.groupBy("site").agg(named, every(places(urls(F.when(F.col("url") != "", F.col("url"))))).alias("places"))
+    right = right.withColumnsRenamed({"names": "site_names", "places": "site_places"})
+    equal, listed = F.coalesce(F.col("slug") == F.col("site"), F.lit(False)), F.coalesce(F.array_contains("listed", F.col("site")), F.lit(False))
+    key, one = F.struct("h", "at"), (F.size("places") == 1) & (F.size("site_places") == 1)
+    within, around = F.array_intersect(above(F.col("places")), "site_places"), F.array_intersect("places", above(F.col("site_places")))
+    new = ~equal & ~listed & ~F.arrays_overlap("names", "site_names")
+    at = lambda rows, c: rows.select("*", F.explode(c).alias("k")).select(*rows.columns, "k.*")
+    name = lambda rows, c: rows.select("*", F.explode(c).alias("name"))
     by = [
-        sources.select("slug", F.col("slug").alias("site")).join(sites.select("site"), "site"),
-        sources.select("slug", F.explode("sites").alias("site")).join(sites.select("site"), "site"),
-        sources.select("slug", "name").where("name <> ''").join(sites.select("site", "name"), "name"),
+        left.select("slug", F.col("slug").alias("site")).join(right.select("site"), "site"),
+        left.select("slug", F.explode("listed").alias("site")).join(right.select("site"), "site").where(~equal),
+        _paired(name(left, "names"), name(right, "site_names"), ["name"]).where(~equal & ~listed & (F.array_min(F.array_intersect("names", "site_names")) == F.col("name"))),
+        _paired(at(left, above(F.col("places"))), at(right, "site_places"), ["h", "at"]).where(new & F.when(one, True).otherwise(F.array_min(within) == key)),
+        _paired(at(left, "places"), at(right, above(F.col("site_places"))), ["h", "at"]).where(
+            new & F.when(one, F.get("places", 0) != F.get("site_places", 0)).otherwise((F.size(within) == 0) & (F.array_min(around) == key))),
     ]
-    urls = sources.select("slug", F.explode(F.array_compact(F.array("list_url", "homepage_url"))).alias("url"))
-    h, p = places(F.col("url"))
-    steps = F.split(F.col("at"), "/")
-    above = lambda rows: rows.withColumn("at", F.explode(F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))))
-    left, right = urls.select("slug", h.alias("h"), p.alias("at")).where("h IS NOT NULL"), sites.where("url <> ''").select("site", h.alias("h"), p.alias("at")).where("h IS NOT NULL")
-    by += [_paired(above(left), right, ["h", "at"]), _paired(left, above(right), ["h", "at"])]
-    return reduce(DataFrame.unionByName, [d.select("slug", "site") for d in by]).distinct()
+    return reduce(DataFrame.unionByName, [d.select("slug", "site") for d in by])
 
 
 def longest_prefix(rows: DataFrame, dirs: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Cases of single functions and operators."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -437,3 +438,28 @@ def test_pairs_are_judged_where_they_meet(spark, monkeypatch):
     rows = lambda d: sorted(tuple(x) for x in d.where(F.col("score") >= duplicates.FLOOR).collect())
     alone = p.select("id", F.col("id").alias("rep"))
     assert rows(duplicates.scored_classes(p, alone)) == rows(duplicates.score_pairs(every, p))
+
+
+def test_pairs_of_sources_and_sites_come_once_without_a_shuffle(spark, monkeypatch):
+    """Repeated slugs, sites, names and places give each pair once; what is made of pairs isn't exchanged."""
+    from noticeloom.operators import intake
+
+    monkeypatch.setattr(intake, "BLOCK", 3)
+    r = random.Random(4)
+    urls = [None, "", "x", "https://a.example", "https://a.example/", "https://a.example/en/x?y", "https://a.example/en", "HTTPS://A.example/en/", "https://b.example/en/x/z", "https://b.example/e"]
+    sources = [(r.choice(["s1", "s2", "s3", "t1", None]), r.choice([None, ["t1"], ["t2", "t2", "s1"]]), r.choice([None, "", "n1", "n2"]), r.choice(urls), r.choice(urls)) for _ in range(30)]
+    sites = [(r.choice(["s1", "s2", "t1", "t2", "t3", "t4"]), r.choice([None, "", "n1", "n2", "n3"]), r.choice(urls)) for _ in range(30)]
+
+    def place(url):
+        found = re.match(r"(?i)https?://([^/?#]+)([^?#]*)", url or "")
+        return found and (found[1].lower(), found[2].rstrip("/") + "/")
+
+    def together(source, site):
+        ps, q = [place(u) for u in source[3:] if place(u)], place(site[2])
+        near = q and any(p[0] == q[0] and (p[1].startswith(q[1]) or q[1].startswith(p[1])) for p in ps)
+        return source[0] == site[0] or site[0] in (source[1] or []) or bool(source[2]) and source[2] == site[1] or near
+
+    found = intake.source_sites(spark.createDataFrame(sources, "slug string, sites array<string>, name string, list_url string, homepage_url string"), spark.createDataFrame(sites, "site string, name string, url string"))
+    want = {(a[0], b[0]) for a in sources for b in sites if together(a, b)}
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str) and len(want) > 15
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith(("Aggregate", "Deduplicate"))
