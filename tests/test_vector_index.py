@@ -73,3 +73,26 @@ def test_session_functions_equal_the_operators(spark, data):
     urls.createOrReplaceTempView("fn_urls")
     assert spark.sql("SELECT * FROM fn_urls WHERE coalesce(want, '') <> url_host(url)").isEmpty()
     assert spark.sql("SELECT engagement(1, 2, 3)").first()[0] == 22
+
+
+def test_no_pair_of_vectors_is_a_row_but_the_nearest(spark, monkeypatch):
+    """Across tiles and strips, the similarities and ranks of single pairs, ties by id; vectors aren't joined with queries."""
+    monkeypatch.setattr(N, "TILE", 64)
+    monkeypatch.setattr(N, "STRIP", 5)
+    r = np.random.default_rng(8)
+    points = r.normal(size=(400, 6))
+    points[350:] = points[:50]  # copies
+    units = points / np.sqrt((points**2).sum(axis=1))[:, None]
+    rows = spark.createDataFrame([(i, u.tolist(), i % 3) for i, u in enumerate(units)], "id long, unit array<double>, cell int")
+    cells = spark.createDataFrame([(k, [float(k)] * 6) for k in range(3)], "cell int, centre array<double>")
+    queries = rows.where("id % 9 = 0").select(F.col("id").alias("query"), "unit")
+    found = N.search(queries, N.Index(cells, rows, 3), 7, least=0.2)
+    want = []
+    for q in range(0, 400, 9):
+        shares = {i: float(np.cumsum(units[q] * units[i])[-1]) for i in range(400) if i != q}
+        order = sorted((i for i in shares if shares[i] >= 0.2), key=lambda i: (-shares[i], i))[:7]
+        want += [(q, i, shares[i], k + 1) for k, i in enumerate(order)]
+    assert sorted(map(tuple, found.select("query", "id", "similarity", "rank").collect())) == sorted(want)
+    assert "FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()
+    some = N.search(queries, N.Index(cells, rows, 1), 7)
+    assert some.count() == 7 * queries.count() and some.join(rows, "id").groupBy("query").agg(F.count_distinct("cell").alias("n")).where("n > 1").isEmpty()
