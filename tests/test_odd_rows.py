@@ -216,3 +216,33 @@ def test_uploads_are_judged_by_whole_texts(spark, tmp_path):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert found == {i: (route, reason) for i, route, reason in c.execute(gate.SQL["z19_upload"]).fetchall()}
+
+
+def test_best_matches_shuffle_no_pairs(spark, monkeypatch):
+    """Pairs aren't shuffled to join copies: with few of them, nothing but the reduced rows is exchanged."""
+    import random
+
+    from noticeloom.operators import duplicates
+
+    r = random.Random(2)
+    rep = {i: i if i < 20 or r.random() < 0.5 else r.randrange(20) for i in range(60)}
+    reps = [i for i in rep if rep[i] == i]
+    scored = {tuple(sorted(r.sample(reps, 2))): r.choice([65, 70, 95]) for _ in range(150)} | {(rep[i], i): 100 for i in rep if rep[i] != i}
+    pairs = spark.createDataFrame([(a, b, n, "merge") for (a, b), n in scored.items()], "a long, b long, score int, decision string")
+    members = spark.createDataFrame(list(rep.items()), "id long, rep long")
+    want = {}
+    for (x, y), n in scored.items():
+        for a, y in ((x, y), (y, x)):
+            for b in {y, *(i for i in rep if rep[i] == y)}:
+                if a < b:
+                    want[b] = max(want.get(b, (0, 0)), (n, -a))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = duplicates.best_match(pairs, members)
+        assert not [n for n in _nodes(found) if "SortMergeJoin" in n.nodeName()]
+        assert {x["b"]: (x["score"], -x["a"]) for x in found.collect()} == want
+        monkeypatch.setattr(duplicates, "FEW", 0)
+        many = duplicates.best_match(pairs, members)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, found.collect()))
